@@ -116,9 +116,9 @@ def packed_batches(rows: Iterator[tuple[int, int, bytes]], limit: int = 1 << 24)
         yield packed_batch(held)
 
 
-def keyed(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(part, kind 1, payload null, key, doc_id, text): ``key`` tells rows apart
-    that share a doc_id but not the text; ``part`` is where a key lives."""
+def keyed(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text", also: list[str] = ()) -> DataFrame:
+    """(part, kind 1, payload null, key, doc_id, text, also ...): ``key`` tells rows
+    apart that share a doc_id but not the text; ``part`` is where a key lives."""
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     return docs.select(
         F.expr(f"cast(pmod(shiftrightunsigned(xxhash64(`{id_col}`, `{text_col}`), 33), {n}) as int)").alias("part"),
@@ -127,14 +127,13 @@ def keyed(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text
         key.alias("key"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        *also,
     )
 
 
 def with_payloads(keyed_docs: DataFrame, packed: DataFrame, n: int) -> DataFrame:
     """Documents and the packed rows of their partition together, packed rows first."""
-    side = packed.select(
-        "part", "kind", "payload", F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text")
-    )
+    side = packed.select("part", "kind", "payload", *[F.lit(None).cast(f.dataType).alias(f.name) for f in keyed_docs.schema.fields[3:]])
     return side.unionByName(keyed_docs).repartitionById(n, F.col("part")).sortWithinPartitions("kind")
 
 

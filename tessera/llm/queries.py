@@ -11,10 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, html_model, mixing, ordinal, quality, simhash, tokenfile
+from tessera.llm import bpe, html_model, mixing, ordinal, quality, simhash, suffix, tokenfile
 from tessera.llm.common import read
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(read(spark, sf_dir, "documents"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     return html_model.extract(pages.select("page_id", "url", "html"), html_model.fit(pages))
