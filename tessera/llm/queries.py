@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, html_model, mixing, ordinal, quality, simhash, suffix, tokenfile
+from tessera.llm import bpe, html_model, mixing, ordinal, quality, recompress, simhash, suffix, tokenfile
 from tessera.llm.common import read
 
 
@@ -24,6 +24,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_model.extract(pages.select("page_id", "url", "html"), html_model.fit(pages))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.digest(read(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     ratings = labels.select("doc_id", (F.col("quality") + 1 - F.col("toxic")).alias("grade"))

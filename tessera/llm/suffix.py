@@ -65,9 +65,9 @@ COLLECTION = 1024
 HELD = 1 << 21
 
 SPANS, OPEN = 1, 2
-PIECE = ["u8", "u8", "i8", "u4", "u1", "u1", "u1"]  # anchor, piece, key, start, windows - 1, anchor - start, met twice
+PIECE = ["u4", "u8", "i8", "u4", "u1", "u1", "u1"]  # bits of the anchor, piece, key, start, windows - 1, anchor - start, met twice
 SPAN = ["i8", "u4", "u4"]  # key, start, bytes
-WANTED = ["i8", "u4", "u1", "u1", "u8", "u1"]  # key, start, windows - 1, anchor - start, anchor, hot
+WANTED = ["i8", "u4", "u1", "u1", "u4", "u1"]  # key, start, windows - 1, anchor - start, bits of the anchor, hot
 SENT = ["u8", "i8", "u4", "u4"]  # bucket, key, start, bytes
 
 
@@ -194,10 +194,13 @@ def _survey(n: int):
             twice = same | np.r_[same[1:], False]
             first = ~same
             if twice.any():
-                spans = [key[twice], start[twice], windows[twice].astype(np.uint32) + np.uint32(LENGTH)]
-                yield here, SPANS, pack(spans)
-            columns = [c[first] for c in (anchor, piece, key, start, windows, ahead, twice.astype(np.uint8))]
-            for part, blob in split_by_part(part_of(mix(columns[0]), n), columns):
+                by = np.flatnonzero(twice)[np.lexsort((start[twice], key[twice]))]
+                yield here, SPANS, pack([key[by], start[by], windows[by].astype(np.uint32) + np.uint32(LENGTH)])
+            by = np.flatnonzero(first)[np.lexsort((start[first], key[first]))]  # runs of one key pack well
+            anchor, piece, key, start, windows, ahead, twice = (c[by] for c in (anchor, piece, key, start, windows, ahead, twice))
+            # 32 bits of the anchor beside its partition: a chance match is compared like any other
+            columns = [anchor.astype(np.uint32), piece, key, start, windows, ahead, twice.astype(np.uint8)]
+            for part, blob in split_by_part(part_of(mix(anchor), n), columns):
                 yield part, 0, blob
 
         def rows() -> Iterator[tuple[int, int, bytes]]:
@@ -302,7 +305,7 @@ def _fetch(n: int):
                 return
             key, start, windows, ahead, anchor, hot = (c[pick] for c in wanted)
             start, windows, ahead = start.astype(np.int64), windows.astype(np.int64) + 1, ahead.astype(np.int64)
-            bucket, size = anchor.copy(), windows + (LENGTH - 1)
+            bucket, size = anchor.astype(U64), windows + (LENGTH - 1)
             cold = hot == 0
             parts = [[bucket[cold], key[cold], start[cold], size[cold], base[cold]]]
             if not cold.all():
