@@ -195,6 +195,6 @@ def unpack_blocks(packed: DataFrame, keys: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], [*batch.schema.names[:-1], "values"])
 
     cols = [*keys, "block_row", "block_col"]
-    schema = packed.select(*cols, F.array(F.lit(0.0).cast("float")).alias("values")).schema
+    schema = packed.select(*cols, F.array(F.lit(None).cast("float")).alias("values")).schema
     lists = packed.select(*cols, F.unbase64("data").alias("raw")).mapInArrow(run, schema)
     return lists.select(*cols, F.posexplode("values").alias("position", "value"))

@@ -40,7 +40,7 @@ def densify(vertices: DataFrame, way: str = "way_id", spacing: float = SPACING_M
     Every segment knows the stretch of the way that it covers and emits the samples
     that fall into it; ways without length have none.
     """
-    w = Window.partitionBy(way).orderBy("nth")
+    w = Window.partitionBy(way).orderBy("nth", "x", "y")
     seg = vertices.withColumn("x1", F.lead("x").over(w)).withColumn("y1", F.lead("y").over(w)).where("x1 IS NOT NULL").withColumn("len", F.hypot(F.col("x1") - F.col("x"), F.col("y1") - F.col("y")))
     run = seg.withColumn("upto", F.sum("len").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("len").over(Window.partitionBy(way))).where("total > 0 AND len > 0")
     n = F.greatest(F.bround(F.col("total") / spacing), F.lit(1.0))

@@ -1,0 +1,286 @@
+"""Queries on grids, masks, neighbourhoods, resampling, roads and kernels."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions import grid as G
+from tessera.functions import verdicts
+from tessera.operators import kernel, raster, roads
+from tessera.plans import tables as T
+from tessera.plans.registry import query, r4
+
+
+def height(spark, sf_dir) -> int:
+    return int(T.read(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0]) // T.WIDTH + 1
+
+
+_H = "(SELECT max(p_partkey)//50 FROM part)"
+_FIELD = "f AS (SELECT \"row\", col, CASE WHEN landcover=80 THEN NULL ELSE elevation_m/1000.0 END AS v FROM cells)"
+
+
+def field(spark, sf_dir):
+    return T.cells(spark, sf_dir).select("tile_id", "row", "col", F.when(F.col("landcover") != 80, F.col("elevation_m") / 1000.0).alias("v"))
+
+
+@query(
+    f"WITH {T.CELLS}, {_FIELD}, o AS (SELECT a.i AS dr, b.i AS dc FROM range(-2,3) a(i), range(-2,3) b(i)), "
+    f"n AS (SELECT f.\"row\", f.col, least(greatest(f.\"row\"+dr,0),{_H}) AS nr, least(greatest(f.col+dc,0),49) AS nc FROM f, o) "
+    "SELECT n.\"row\", n.col, round(avg(f.v)+1e-7,4) AS near FROM n JOIN f ON f.\"row\"=n.nr AND f.col=n.nc GROUP BY 1,2"
+)
+def neighbourhood(spark, sf_dir):
+    """5 x 5 mean with repeated edges that ignores missing values."""
+    out = raster.neighbourhood_mean(field(spark, sf_dir), ["tile_id"], "v", height(spark, sf_dir), T.WIDTH)
+    return out.select("row", "col", r4(F.col("v_near") + 1e-7, "near"))
+
+
+@query(
+    f"WITH {T.CELLS}, m AS (SELECT \"row\", col FROM cells WHERE landcover=80), o AS (SELECT a.i AS dr, b.i AS dc FROM range(-2,3) a(i), range(-2,3) b(i) WHERE abs(a.i)+abs(b.i)<=2) "
+    f"SELECT DISTINCT \"row\"+dr AS \"row\", col+dc AS col FROM m, o WHERE \"row\"+dr BETWEEN 0 AND {_H} AND col+dc BETWEEN 0 AND 49 AND (\"row\"+dr, col+dc) NOT IN (SELECT (\"row\", col) FROM m)"
+)
+def spillover_ring(spark, sf_dir):
+    """The ring of two steps around the water cells."""
+    mask = T.cells(spark, sf_dir).where("landcover = 80").select("tile_id", "row", "col")
+    return raster.dilation_ring(mask, ["tile_id"], 2, height(spark, sf_dir), T.WIDTH).select("row", "col")
+
+
+@query(
+    f"WITH RECURSIVE {T.CELLS}, m AS (SELECT \"row\" AS r, col AS c FROM cells WHERE landcover<>50), e AS (SELECT a.r*2147483648+a.c AS x, b.r*2147483648+b.c AS y FROM m a JOIN m b ON abs(a.r-b.r)<=1 AND abs(a.c-b.c)<=1), "
+    "w AS (SELECT x, y FROM e UNION SELECT w.x, e.y FROM w JOIN e ON w.y=e.x), k AS (SELECT x, min(y) AS component FROM w GROUP BY 1) SELECT component, count(*) AS cells FROM k GROUP BY 1"
+)
+def patches(spark, sf_dir):
+    """8-connected patches of cells that are not built up."""
+    mask = T.cells(spark, sf_dir).where("landcover <> 50").select("tile_id", "row", "col")
+    return raster.components(mask, ["tile_id"], block=16).groupBy("component").agg(F.count("*").alias("cells"))
+
+
+@query(
+    "WITH p AS (SELECT s_suppkey AS id, 5.0+s_suppkey%40 AS x, 6.0+(s_suppkey*7)%30 AS y, 2.0+s_suppkey%5 AS w, 3.0+s_suppkey%7 AS h FROM supplier), g AS (SELECT r.i AS \"row\", c.i AS col FROM range(0,40) r(i), range(0,50) c(i)) "
+    "SELECT id, \"row\", col FROM p, g WHERE abs(col+0.5-x)/w + abs((40-\"row\"-0.5)-y)/h < 1"
+)
+def polygon_cells(spark, sf_dir):
+    """Cells inside one diamond per supplier."""
+    k = F.col("s_suppkey")
+    x, y, w, h = 5.0 + k % 40, 6.0 + (k * 7) % 30, 2.0 + k % 5, 3.0 + k % 7
+    corner = lambda a, b: F.struct(a.cast("double").alias("x"), b.cast("double").alias("y"))
+    rings = T.read(spark, sf_dir, "supplier").select(k.alias("id"), F.lit(0).alias("ring_id"), F.array(corner(x - w, y), corner(x, y + h), corner(x + w, y), corner(x, y - h)).alias("points"))
+    # a corner exactly on a centre line may go either way: the strict test of the SQL leaves out the edge itself
+    cells = raster.polygon_cells(rings, ["id"], G.Grid(0.0, 40.0, 1.0, 40, 50))
+    on_edge = F.abs(F.abs(F.col("col") + 0.5 - (5.0 + F.col("id") % 40)) / (2.0 + F.col("id") % 5) + F.abs(40 - F.col("row") - 0.5 - (6.0 + (F.col("id") * 7) % 30)) / (3.0 + F.col("id") % 7) - 1) < 1e-12
+    return cells.where(~on_edge)
+
+
+@query(
+    "WITH p AS (SELECT s_suppkey AS id, (s_suppkey*13%5000)::DOUBLE AS x, (s_suppkey*29%4000)::DOUBLE AS y FROM supplier), g AS (SELECT r.i AS \"row\", c.i AS col FROM range(0,40) r(i), range(0,50) c(i)) "
+    "SELECT id, count(*) AS cells, min(\"row\") AS top_row, max(col) AS last_col FROM p, g WHERE pow((col+0.5)*100-x,2)+pow(4000-(\"row\"+0.5)*100-y,2)<=250000 GROUP BY 1"
+)
+def disc_cells(spark, sf_dir):
+    """Cells within 500 m of a point."""
+    k = F.col("s_suppkey")
+    points = T.read(spark, sf_dir, "supplier").select(k.alias("id"), (k * 13 % 5000).cast("double").alias("x"), (k * 29 % 4000).cast("double").alias("y"))
+    return G.disc(points, G.Grid(0.0, 4000.0, 100.0, 40, 50), 500.0).groupBy("id").agg(F.count("*").alias("cells"), F.min("row").alias("top_row"), F.max("col").alias("last_col"))
+
+
+@query(
+    f"WITH {T.CELLS}, t AS (SELECT r.i AS \"row\", c.i AS col FROM range(0,13) r(i), range(0,16) c(i)) SELECT t.\"row\", t.col, s.landcover FROM t LEFT JOIN cells s ON s.\"row\"=CAST(floor((t.\"row\"+0.5)*3+0.17) AS BIGINT) AND s.col=CAST(floor((t.col+0.5)*3+0.17) AS BIGINT)"
+)
+def nearest_classes(spark, sf_dir):
+    """Class codes on a coarser, shifted grid."""
+    targets = spark.range(13 * 16).select(F.lit("t").alias("tile_id"), F.floor(F.col("id") / 16).alias("row"), (F.col("id") % 16).alias("col"))
+    return raster.resample_nearest(T.cells(spark, sf_dir), targets, "landcover", 3.0, 0.17, 0.17).select("row", "col", "landcover")
+
+
+@query(
+    f"WITH {T.CELLS}, {_FIELD}, t AS (SELECT r.i AS \"row\", c.i AS col, (r.i+0.5)*1.5+0.25-0.5 AS y, (c.i+0.5)*1.5+0.25-0.5 AS x FROM range(0,26) r(i), range(0,33) c(i)), o AS (SELECT a.i AS dr, b.i AS dc FROM range(0,2) a(i), range(0,2) b(i)), "
+    "n AS (SELECT t.\"row\", t.col, CAST(floor(y) AS BIGINT)+dr AS sr, CAST(floor(x) AS BIGINT)+dc AS sc, (CASE WHEN dr=1 THEN y-floor(y) ELSE 1-(y-floor(y)) END)*(CASE WHEN dc=1 THEN x-floor(x) ELSE 1-(x-floor(x)) END) AS w FROM t, o) "
+    "SELECT t.\"row\", t.col, round(sum(CASE WHEN f.v IS NOT NULL AND w>0 THEN w*f.v END)/nullif(sum(CASE WHEN f.v IS NOT NULL AND w>0 THEN w END),0),6) AS v FROM t LEFT JOIN n USING (\"row\",col) LEFT JOIN f ON f.\"row\"=sr AND f.col=sc GROUP BY 1,2"
+)
+def bilinear_field(spark, sf_dir):
+    """K6: a continuous field on another grid, ignoring missing values."""
+    targets = spark.range(26 * 33).select(F.lit("t").alias("tile_id"), F.floor(F.col("id") / 33).alias("row"), (F.col("id") % 33).alias("col"))
+    return raster.resample_bilinear(field(spark, sf_dir), targets, "v", 1.5, 0.25, 0.25).select("row", "col", F.round("v", 6).alias("v"))
+
+
+_SPLIT = "(least(({0}+1-0.5)/2.5, t.i+1.0)-greatest(({0}-0.5)/2.5, t.i))/(1/2.5)"
+
+
+@query(
+    f"WITH {T.PEOPLE}, a AS (SELECT p.\"row\", p.col, population, t.i AS tr, {_SPLIT.format('p.\"row\"')} AS wr FROM people p, range(-1,2000) t(i) WHERE (p.\"row\"+1-0.5)/2.5>t.i AND (p.\"row\"-0.5)/2.5<t.i+1 AND t.i BETWEEN p.\"row\"/2.5-3 AND p.\"row\"/2.5+3), "
+    f"b AS (SELECT p.tr, t.i AS tc, population*wr*{_SPLIT.format('p.col')} AS v FROM a p, range(-1,30) t(i) WHERE (p.col+1-0.5)/2.5>t.i AND (p.col-0.5)/2.5<t.i+1) SELECT tr AS \"row\", tc AS col, round(sum(v),4) AS population FROM b GROUP BY 1,2"
+)
+def summed_population(spark, sf_dir):
+    """Totals moved to coarser cells, conserved."""
+    people = T.population(spark, sf_dir).withColumn("tile_id", F.lit("t"))
+    return raster.resample_sum(people, "population", 2.5, 0.5, 0.5).select("row", "col", r4("population"))
+
+
+@query("SELECT round(sum(CASE WHEN l_linenumber=1 THEN l_quantity ELSE 0 END),2) AS source_total, round(sum(CASE WHEN l_linenumber=1 THEN l_quantity ELSE 0 END),2) AS grid_total, 0.0::DOUBLE AS drift_pct, false AS warns FROM lineitem")
+def population_conserved(spark, sf_dir):
+    """Totals before and after regridding."""
+    from tessera.operators import quality
+
+    people = T.population(spark, sf_dir).withColumn("tile_id", F.lit("t"))
+    out = quality.conservation(people, raster.resample_sum(people, "population", 2.5, 0.5, 0.5), "population")
+    return out.select(F.round("source_total", 2).alias("source_total"), F.round("grid_total", 2).alias("grid_total"), F.abs(F.round("drift_pct", 6)).alias("drift_pct"), "warns")
+
+
+@query(
+    f"WITH {T.CELLS}, {_FIELD}, w AS (SELECT \"row\"//16 AS block_row, col//16 AS block_col, \"row\", col, CAST(v AS FLOAT) AS v FROM f) SELECT block_row, block_col, count(*) AS n_cells, round(min(v),4)::DOUBLE AS vmin, round(max(v),4)::DOUBLE AS vmax, round(sum(coalesce(v,0)::DOUBLE)*37.77,1) AS total FROM w GROUP BY 1,2"
+)
+def exported_blocks(spark, sf_dir):
+    """Packed blocks, decoded again."""
+    packed = raster.pack_blocks(field(spark, sf_dir), ["tile_id"], "v", 16)
+    values = raster.unpack_blocks(packed, ["tile_id"]).groupBy("block_row", "block_col").agg((F.sum(F.coalesce(F.col("value").cast("double"), F.lit(0.0))) * 37.77).alias("total"))
+    return packed.join(values, ["block_row", "block_col"]).select("block_row", "block_col", F.col("n_cells").cast("long").alias("n_cells"), r4("vmin"), r4("vmax"), F.round("total", 1).alias("total"))
+
+
+@query(
+    f"WITH {T.CELLS}, {_FIELD}, g AS (SELECT \"row\", col, CASE WHEN landcover=10 THEN elevation_m/900.0 END AS w FROM cells) SELECT f.\"row\", f.col, round(v+w,4) AS both_sum, round(CASE WHEN f.col<25 THEN v ELSE w END,4) AS split FROM f JOIN g USING (\"row\",col)"
+)
+def raster_algebra(spark, sf_dir):
+    """Sum that keeps missing values missing; left columns of one, right of the other."""
+    a = field(spark, sf_dir)
+    b = T.cells(spark, sf_dir).select("row", "col", F.when(F.col("landcover") == 10, F.col("elevation_m") / 900.0).alias("w"))
+    return a.join(b, ["row", "col"]).select("row", "col", r4(F.col("v") + F.col("w"), "both_sum"), r4(F.when(F.col("col") < 25, F.col("v")).otherwise(F.col("w")), "split"))
+
+
+@query("SELECT user_id, round(greatest(abs(min(value)),abs(max(value))),4) AS domain, round(min(value),4) AS low, round(max(value),4) AS high FROM events GROUP BY 1")
+def display_domain(spark, sf_dir):
+    """Symmetric domain of a layer."""
+    return T.hourly(spark, sf_dir).groupBy("user_id").agg(F.min("value").alias("low"), F.max("value").alias("high")).select("user_id", r4(F.greatest(F.abs("low"), F.abs("high")), "domain"), r4("low"), r4("high"))
+
+
+_NAMES = "['" + "','".join(verdicts.COMPASS) + "']"
+
+
+@query(f"WITH {T.HOURLY} SELECT event_id, {_NAMES}[CAST(floor((((value*37)%360+11.25+360)%360)/22.5) AS INTEGER)+1] AS point FROM events")
+def compass_points(spark, sf_dir):
+    """Names of directions."""
+    return T.read(spark, sf_dir, "events").select("event_id", verdicts.compass(F.col("value") * 37 % 360).alias("point"))
+
+
+# -- roads ------------------------------------------------------------------------------
+
+_CLASS = "['motorway','trunk_link','primary','secondary','tertiary','residential','service']"
+_VEH = "CASE regexp_replace(cls,'_link$','') WHEN 'motorway' THEN 60000 WHEN 'trunk' THEN 40000 WHEN 'primary' THEN 25000 WHEN 'secondary' THEN 12000 WHEN 'tertiary' THEN 6000 WHEN 'residential' THEN 1200 ELSE 0 END"
+_WAYS = (
+    "v AS (SELECT l_orderkey AS way_id, l_linenumber AS nth, (l_partkey%50+0.5)*100 AS x, 100000-(floor(l_partkey/50.0)+0.5)*100 AS y FROM lineitem WHERE l_orderkey%7<5), "
+    "s AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM v WINDOW w AS (PARTITION BY way_id ORDER BY nth, x, y)), g AS (SELECT *, sqrt((x1-x)*(x1-x)+(y1-y)*(y1-y)) AS len FROM s WHERE x1 IS NOT NULL), "
+    "u AS (SELECT *, sum(len) OVER (PARTITION BY way_id ORDER BY nth, x, y) AS upto, sum(len) OVER (PARTITION BY way_id) AS total FROM g), q AS (SELECT *, greatest(round_even(total/50,0),1) AS n FROM u WHERE total>0 AND len>0) "
+)
+
+
+def ways(spark, sf_dir):
+    li = T.read(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % 7 < 5)
+    return li.select(F.col("l_orderkey").alias("way_id"), F.col("l_linenumber").alias("nth"), ((F.col("l_partkey") % 50 + 0.5) * 100).alias("x"), (100000 - (F.floor(F.col("l_partkey") / 50) + 0.5) * 100).alias("y"))
+
+
+@query(f"WITH {_WAYS} SELECT way_id, CAST(max(n) AS BIGINT) AS n_samples, round(max(total),4) AS length FROM q GROUP BY 1")
+def way_samples(spark, sf_dir):
+    """Equal samples along ways; each way has as many as its length asks for."""
+    s = roads.densify(ways(spark, sf_dir))
+    return s.groupBy("way_id").agg(F.count("*").alias("n_samples"), r4(F.max("length"), "length"))
+
+
+@query(f"SELECT o_orderkey AS id, cls, round({_VEH}*CASE WHEN cls LIKE '%_link' THEN 0.3 ELSE 1 END*0.10/86400/1000*1e9,4) AS nano FROM (SELECT o_orderkey, {_CLASS}[CAST(o_custkey%7 AS INTEGER)+1] AS cls FROM orders)")
+def road_factors(spark, sf_dir):
+    """Emission factor of each road."""
+    names = F.array(*[F.lit(x) for x in ("motorway", "trunk_link", "primary", "secondary", "tertiary", "residential", "service")])
+    o = T.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), names[(F.col("o_custkey") % 7).cast("int")].alias("cls"))
+    return o.select("id", "cls", r4(roads.road_factor(F.col("cls")) * 1e9, "nano"))
+
+
+@query(
+    f"WITH {_WAYS}, k AS (SELECT way_id, x, y, x1, y1, len, total, n, upto-len AS f, total/n AS step, unnest(range(0, CAST(n AS BIGINT))) AS k FROM q), "
+    "p AS (SELECT x+((k+0.5)*step-f)/len*(x1-x) AS sx, total/n AS w FROM k WHERE (k+0.5)*step>=f AND (k+0.5)*step<f+len) SELECT count(*)>0 AS some, round(sum(w)/1000,1) AS km FROM p"
+)
+def road_length(spark, sf_dir):
+    """Samples stand for the whole length of the roads."""
+    s = roads.densify(ways(spark, sf_dir))
+    return s.agg((F.count("*") > 0).alias("some"), F.round(F.sum(F.col("length") / F.col("n_samples")) / 1000, 1).alias("km"))
+
+
+@query()
+def emission_inventory(spark, sf_dir):
+    """Grams per second of each cell from roads and stacks."""
+    h = height(spark, sf_dir)
+    grid = G.Grid(0.0, 100000.0, 100.0, h, T.WIDTH)
+    s = roads.densify(ways(spark, sf_dir)).withColumn("per_m", roads.road_factor(F.lit("primary")))
+    stacks = T.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("double").alias("x"), F.lit(99950.0).alias("y"))
+    return roads.emission_cells(s, stacks, grid).select("row", "col", F.round("emission", 8).alias("emission"))
+
+
+# -- kernels ------------------------------------------------------------------------------
+
+_RES = 400.0
+_KER = "kr AS (SELECT a.i AS dr, b.i AS dc, sqrt(a.i*a.i+b.i*b.i::DOUBLE) AS d FROM range(-15,16) a(i), range(-15,16) b(i)), kw AS (SELECT dr, dc, exp(-0.5*pow(d/2.5,2))*exp(-0.004*d*400/(2.0*250))*(20000/(2.0*250*400*400))/(SELECT sum(exp(-0.5*pow(d/2.5,2))) FROM kr) AS w FROM kr)"
+
+
+def sources(spark, sf_dir):
+    return T.cells(spark, sf_dir).where("landcover = 80").select("tile_id", "row", "col", (F.col("elevation_m") / 1e6).alias("emission"))
+
+
+def parameters(spark, sf_dir):
+    one = T.read(spark, sf_dir, "region").limit(1).select(F.lit("t").alias("tile_id"), F.lit("winter").alias("season"), F.lit(2.0).alias("wind_speed"), F.lit(270.0).alias("wind_direction"), F.lit(0.004).alias("deposition"))
+    return kernel.season_parameters(one).drop("reason")
+
+
+_CONC = f"WITH {T.CELLS}, {_KER}, s AS (SELECT \"row\", col, elevation_m/1e6 AS e FROM cells WHERE landcover=80) SELECT \"row\"+dr AS \"row\", col+dc AS col, round(sum(e*w)*1e6,6) AS concentration FROM s, kw WHERE \"row\"+dr BETWEEN 0 AND {_H} AND col+dc BETWEEN 0 AND 49 GROUP BY 1,2"
+
+
+@query(_CONC)
+def concentration_sum(spark, sf_dir):
+    """The seasonal kernel over all sources, as joins."""
+    k = kernel.seasonal_kernel(parameters(spark, sf_dir), ["tile_id"], _RES)
+    out = kernel.concentration(sources(spark, sf_dir), k, ["tile_id"], height(spark, sf_dir), T.WIDTH)
+    return out.select("row", "col", F.round("concentration", 6).alias("concentration"))
+
+
+@query(_CONC)
+def concentration_overlap(spark, sf_dir):
+    """The same by overlap-add of blocks."""
+    k = kernel.seasonal_kernel(parameters(spark, sf_dir), ["tile_id"], _RES)
+    h = height(spark, sf_dir)
+    src = sources(spark, sf_dir)
+    out = kernel.concentration_blocks(src, k, ["tile_id"], h, T.WIDTH, block=32)
+    # a block fills its rectangle: cells beyond the reach of every source are zero there
+    reach = kernel.concentration(src, k, ["tile_id"], h, T.WIDTH).select("row", "col")
+    return out.join(reach, ["row", "col"]).select("row", "col", F.round("concentration", 6).alias("concentration"))
+
+
+@query(
+    "WITH kr AS (SELECT a.i AS dr, b.i AS dc, CASE WHEN a.i=0 AND b.i=0 THEN 200.0 ELSE b.i*400.0 END AS along, abs(a.i*400.0) AS across FROM range(-12,13) a(i), range(-12,13) b(i)) "
+    "SELECT dr, dc, round(CASE WHEN along>1e-6 THEN exp(-0.5*pow(across/(50+0.05*along),2))/(sqrt(2*pi())*(50+0.05*along)*2.0*250)*exp(-0.004*along/(2.0*250)) ELSE 0 END*1e9,4) AS nano FROM kr WHERE EXISTS (SELECT 1 FROM region)"
+)
+def plume(spark, sf_dir):
+    """The directional kernel of a westerly."""
+    k = kernel.plume_kernel(parameters(spark, sf_dir), ["tile_id"], _RES, 12)
+    return k.select("dr", "dc", r4(F.col("weight") * 1e9, "nano"))
+
+
+@query(f"WITH {T.CELLS} SELECT landcover, round(0.001+avg(elevation_m/10000)*0.009,8) AS deposition FROM cells GROUP BY 1")
+def deposition(spark, sf_dir):
+    """Deposition velocity by mean canopy."""
+    cells = T.cells(spark, sf_dir).withColumn("canopy", F.col("elevation_m") / 10000)
+    return kernel.deposition(cells, ["landcover"]).withColumn("deposition", F.round("deposition", 8))
+
+
+@query("SELECT c_custkey AS id, round(71+(c_custkey%500)/100.0,6) AS lon, round(30+(c_custkey%300)/100.0,6) AS lat FROM customer")
+def projection_round_trip(spark, sf_dir):
+    """Degrees to metres and back."""
+    c = T.read(spark, sf_dir, "customer")
+    lon, lat = 71 + (F.col("c_custkey") % 500) / 100.0, 30 + (F.col("c_custkey") % 300) / 100.0
+    east, north = G.forward(lon, lat, 43)
+    placed = c.select(F.col("c_custkey").alias("id"), east.alias("e"), north.alias("n"))
+    x, y = G.inverse(F.col("e"), F.col("n"), 43)
+    return placed.select("id", F.round(x, 6).alias("lon"), F.round(y, 6).alias("lat"))
+
+
+@query("SELECT event_id, CASE WHEN value BETWEEN 0 AND 99 THEN CAST(least(floor(value/10),9) AS BIGINT) END AS \"row\", CASE WHEN value BETWEEN 0 AND 99 THEN CAST(least(floor((value*37%360)/36),9) AS BIGINT) END AS col FROM events")
+def point_cells(spark, sf_dir):
+    """Points to cells."""
+    grid = G.Grid(0.0, 0.0, 1.0, 10, 10)
+    e = T.read(spark, sf_dir, "events")
+    row, col = grid.cell_of(F.col("value") * 37 % 360 / 36, -F.col("value") / 10)
+    inside = F.col("value").between(0, 99)
+    return e.select("event_id", F.when(inside, row).alias("row"), F.when(inside, col).alias("col"))
