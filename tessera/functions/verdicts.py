@@ -13,7 +13,8 @@ COMPASS = ("N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW", "
 
 
 def corrected_cooling(delta: Column) -> Column:
-    return F.greatest(-delta, F.lit(0.0)) / OVERPREDICTION
+    """Null stays null: greatest would skip it."""
+    return F.when(delta.isNotNull(), F.greatest(-delta, F.lit(0.0)) / OVERPREDICTION)
 
 
 def impact(expected: Column, contrast: Column) -> Column:

@@ -25,6 +25,11 @@ def deposition(cells: DataFrame, keys: list[str], canopy: str = "canopy") -> Dat
     return cells.groupBy(*keys).agg((BARE_M_S + F.coalesce(F.avg(canopy), F.lit(0.0)) * (CANOPY_M_S - BARE_M_S)).alias("deposition"))
 
 
+def _speed() -> Column:
+    """Wind with its floor; without a wind there is no answer."""
+    return F.when(F.col("wind_speed").isNotNull() & ~F.isnan(F.col("wind_speed").cast("double")), F.greatest(F.col("wind_speed"), F.lit(MIN_WIND)))
+
+
 def _offsets(params: DataFrame, radius: Column | int) -> DataFrame:
     r = radius if isinstance(radius, Column) else F.lit(radius)
     line = lambda: F.explode(F.sequence(-r, r))
@@ -37,7 +42,7 @@ def seasonal_kernel(params: DataFrame, keys: list[str], res: float) -> DataFrame
     along the way, whose total before loss is fetch over ventilation and cell area."""
     sigma = SEASONAL_SIGMA_M / res
     radius = int(min(np.ceil(RADIUS_SIGMAS * sigma), MAX_RADIUS))
-    ventilation = F.greatest(F.col("wind_speed"), F.lit(MIN_WIND)) * F.col("mixing_height_m")
+    ventilation = _speed() * F.col("mixing_height_m")
     d = F.hypot(F.col("dr").cast("double"), F.col("dc").cast("double"))
     line = np.exp(-0.5 * (np.hypot(*np.mgrid[-radius : radius + 1, -radius : radius + 1]) / sigma) ** 2)
     shape = F.exp(-0.5 * (d / sigma) ** 2) * F.exp(-F.col("deposition") * d * res / ventilation)
@@ -53,7 +58,7 @@ def plume_kernel(params: DataFrame, keys: list[str], res: float, radius: int = M
     own = (F.col("dr") == 0) & (F.col("dc") == 0)
     along = F.when(own, res / 2).otherwise(east * de + north * dn)
     across = F.abs(east * -dn + north * de)
-    ventilation = F.greatest(F.col("wind_speed"), F.lit(MIN_WIND)) * F.col("mixing_height_m")
+    ventilation = _speed() * F.col("mixing_height_m")
     ahead = F.greatest(along, F.lit(0.0))
     spread = SIGMA_INITIAL_M + F.col("sigma_y_coefficient") * ahead
     value = F.exp(-0.5 * (across / spread) ** 2) / (float(np.sqrt(2 * np.pi)) * spread * ventilation) * F.exp(-F.col("deposition") * ahead / ventilation)

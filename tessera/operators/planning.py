@@ -30,7 +30,7 @@ def parse(requests: DataFrame, text: str = "text") -> DataFrame:
     t = F.lower(F.col(text))
     digits = F.regexp_replace(_group(t, TREES, 1), r"[,\s]", "")
     count = F.greatest(F.bround(digits.try_cast("double") * F.when(_group(t, TREES, 2).isNotNull(), 1000).otherwise(1)), F.lit(1.0))
-    fraction = lambda raw: F.least(F.greatest(raw.try_cast("double") / 100, F.lit(0.01)), F.lit(1.0))
+    fraction = lambda raw: F.when(raw.isNotNull(), F.least(F.greatest(raw.try_cast("double") / 100, F.lit(0.01)), F.lit(1.0)))  # noqa: E731  least skips nulls
     first, last = _group(t, CANOPY_FIRST, 1), _group(t, CANOPY_LAST, 2)
     share, words = _group(t, TRAFFIC_SHARE, 1), F.coalesce(t.rlike(TRAFFIC_WORDS), F.lit(False))
     trees = F.when(digits.isNotNull(), count.cast("long"))

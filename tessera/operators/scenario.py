@@ -29,7 +29,8 @@ def tree_built_contrast(cells: DataFrame, keys: list[str], value: str = "lst_c")
 
 
 def canopy_fraction(ndvi: Column, tree_ndvi: Column) -> Column:
-    return F.least(F.greatest((ndvi - BARE_NDVI) / F.greatest(tree_ndvi - BARE_NDVI, F.lit(1e-6)), F.lit(0.0)), F.lit(1.0))
+    share = (ndvi - BARE_NDVI) / F.greatest(tree_ndvi - BARE_NDVI, F.lit(1e-6))
+    return F.when(ndvi.isNotNull() & tree_ndvi.isNotNull(), F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)))
 
 
 def effective_fraction(asked: Column, inside: Column, ndvi: Column, canopy: Column, landcover: Column) -> Column:
