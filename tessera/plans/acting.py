@@ -25,12 +25,12 @@ def cube(spark, sf_dir):
         "ndvi": F.when(cover == 10, 0.65).when(cover == 80, -0.05).otherwise(0.12) + k % 17 / 200.0,
         "ndbi": F.when(cover == 10, -0.20).otherwise(0.25) - k % 13 / 200.0, "albedo": F.when(cover == 10, 0.14).otherwise(0.20) + k % 11 / 400.0,
     })
-    return out.withColumn("lst_c", 30 + 25 * (1 - F.col("ndvi")) + F.col("elevation_m") / 500).withColumn("window", F.lit("2024-summer"))
+    return out.withColumn("lst_c", 30 + 25 * (1 - F.col("ndvi")) + F.col("elevation_m") / 500).withColumn("window", F.when(F.col("row").isNotNull(), "2024-summer"))
 
 
 def scalars(spark, sf_dir):
     one = T.read(spark, sf_dir, "region").limit(1)
-    return one.select(F.lit("t").alias("tile_id"), F.lit("2024-summer").alias("window"), F.lit(34.0).alias("air_temp_c"), F.lit(2.5).alias("wind_speed_ms"), F.lit(38.0).alias("relative_humidity_pct"))
+    return one.select(T.tile("r_regionkey").alias("tile_id"), F.when(F.col("r_regionkey").isNotNull(), "2024-summer").alias("window"), F.lit(34.0).alias("air_temp_c"), F.lit(2.5).alias("wind_speed_ms"), F.lit(38.0).alias("relative_humidity_pct"))
 
 
 KEYS = ["tile_id", "window"]
@@ -116,7 +116,7 @@ def scenarios(spark, sf_dir):
 
 def planted(spark, sf_dir):
     s = scenarios(spark, sf_dir)
-    cells = s.select("scenario_id", F.lit("t").alias("tile_id"), F.explode(F.sequence("r0", F.col("r0") + 7)).alias("row"), "c0").select("scenario_id", "tile_id", "row", F.explode(F.sequence("c0", F.col("c0") + 7)).alias("col"))
+    cells = s.select("scenario_id", T.tile("scenario_id").alias("tile_id"), F.explode(F.sequence("r0", F.col("r0") + 7)).alias("row"), "c0").select("scenario_id", "tile_id", "row", F.explode(F.sequence("c0", F.col("c0") + 7)).alias("col"))
     return scenario.planted(cube(spark, sf_dir), s.select("scenario_id", "canopy_fraction"), cells, KEYS)
 
 

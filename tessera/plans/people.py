@@ -23,7 +23,7 @@ _TOTALS = (
 
 
 def cells(spark, sf_dir):
-    return T.population(spark, sf_dir).withColumn("tile_id", F.lit("t"))
+    return T.population(spark, sf_dir).withColumn("tile_id", T.tile("row"))
 
 
 @query(f"WITH {_GROUPED} SELECT \"row\", col, \"group\" FROM grp")
@@ -138,7 +138,7 @@ _STATION = "st AS (SELECT user_id AS station, avg(value) AS modelled, avg(value*
 
 def station_table(spark, sf_dir):
     e = T.read(spark, sf_dir, "events")
-    return e.groupBy(F.col("user_id").alias("station")).agg(F.avg("value").alias("modelled"), F.avg(F.col("value") * 1.7 + F.col("event_id") % 11).alias("observed")).withColumn("net", F.lit("n"))
+    return e.groupBy(F.col("user_id").alias("station")).agg(F.avg("value").alias("modelled"), F.avg(F.col("value") * 1.7 + F.col("event_id") % 11).alias("observed")).withColumn("net", F.when(F.col("station").isNotNull(), "n"))
 
 
 @query("WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, CASE WHEN event_id%9=0 THEN -999.0 ELSE avg(value) OVER (PARTITION BY user_id, CAST(ts AS DATE)) END AS value FROM events), m AS (SELECT user_id, count(CASE WHEN value>=0 THEN 1 END) AS days, median(CASE WHEN value>=0 THEN value END) AS median FROM d GROUP BY 1) SELECT user_id, days, round(CASE WHEN days>=60 THEN median END,4) AS median, CASE WHEN days<60 THEN days||' of 60 days' END AS reason FROM m")

@@ -86,7 +86,7 @@ def disc_cells(spark, sf_dir):
 )
 def nearest_classes(spark, sf_dir):
     """Class codes on a coarser, shifted grid."""
-    targets = spark.range(13 * 16).select(F.lit("t").alias("tile_id"), F.floor(F.col("id") / 16).alias("row"), (F.col("id") % 16).alias("col"))
+    targets = spark.range(13 * 16).select(T.tile("id").alias("tile_id"), F.floor(F.col("id") / 16).alias("row"), (F.col("id") % 16).alias("col"))
     return raster.resample_nearest(T.cells(spark, sf_dir), targets, "landcover", 3.0, 0.17, 0.17).select("row", "col", "landcover")
 
 
@@ -97,7 +97,7 @@ def nearest_classes(spark, sf_dir):
 )
 def bilinear_field(spark, sf_dir):
     """K6: a continuous field on another grid, ignoring missing values."""
-    targets = spark.range(26 * 33).select(F.lit("t").alias("tile_id"), F.floor(F.col("id") / 33).alias("row"), (F.col("id") % 33).alias("col"))
+    targets = spark.range(26 * 33).select(T.tile("id").alias("tile_id"), F.floor(F.col("id") / 33).alias("row"), (F.col("id") % 33).alias("col"))
     return raster.resample_bilinear(field(spark, sf_dir), targets, "v", 1.5, 0.25, 0.25).select("row", "col", F.round("v", 6).alias("v"))
 
 
@@ -110,7 +110,7 @@ _SPLIT = "(least(({0}+1-0.5)/2.5, t.i+1.0)-greatest(({0}-0.5)/2.5, t.i))/(1/2.5)
 )
 def summed_population(spark, sf_dir):
     """Totals moved to coarser cells, conserved."""
-    people = T.population(spark, sf_dir).withColumn("tile_id", F.lit("t"))
+    people = T.population(spark, sf_dir).withColumn("tile_id", T.tile("row"))
     return raster.resample_sum(people, "population", 2.5, 0.5, 0.5).select("row", "col", r4("population"))
 
 
@@ -119,7 +119,7 @@ def population_conserved(spark, sf_dir):
     """Totals before and after regridding."""
     from tessera.operators import quality
 
-    people = T.population(spark, sf_dir).withColumn("tile_id", F.lit("t"))
+    people = T.population(spark, sf_dir).withColumn("tile_id", T.tile("row"))
     out = quality.conservation(people, raster.resample_sum(people, "population", 2.5, 0.5, 0.5), "population")
     return out.select(F.round("source_total", 2).alias("source_total"), F.round("grid_total", 2).alias("grid_total"), F.abs(F.round("drift_pct", 6)).alias("drift_pct"), "warns")
 
@@ -221,7 +221,7 @@ def sources(spark, sf_dir):
 
 
 def parameters(spark, sf_dir):
-    one = T.read(spark, sf_dir, "region").limit(1).select(F.lit("t").alias("tile_id"), F.lit("winter").alias("season"), F.lit(2.0).alias("wind_speed"), F.lit(270.0).alias("wind_direction"), F.lit(0.004).alias("deposition"))
+    one = T.read(spark, sf_dir, "region").limit(1).select(T.tile("r_regionkey").alias("tile_id"), F.lit("winter").alias("season"), F.lit(2.0).alias("wind_speed"), F.lit(270.0).alias("wind_direction"), F.lit(0.004).alias("deposition"))
     return kernel.season_parameters(one).drop("reason")
 
 

@@ -14,13 +14,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tile(key: str):
+    """The one tile, as a value of the row: a constant key would turn equi joins into cross joins."""
+    return F.when(F.col(key).isNotNull(), "t")
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per part: a cell with cover class, elevation, and values of its own."""
     part = read(spark, sf_dir, "part")
     size = F.col("p_size")
     cover = F.when(size <= 10, 10).when(size <= 40, 50).when(size <= 45, 80).otherwise(30)
     return part.select(
-        F.lit("t").alias("tile_id"), F.floor(F.col("p_partkey") / WIDTH).alias("row"), (F.col("p_partkey") % WIDTH).alias("col"), cover.alias("landcover"), F.col("p_retailprice").alias("elevation_m")
+        tile("p_partkey").alias("tile_id"), F.floor(F.col("p_partkey") / WIDTH).alias("row"), (F.col("p_partkey") % WIDTH).alias("col"), cover.alias("landcover"), F.col("p_retailprice").alias("elevation_m")
     )
 
 
@@ -28,7 +33,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per line item in a season window: digital numbers of a scene (its day) in a cell."""
     li = read(spark, sf_dir, "lineitem")
     return li.select(
-        F.lit("t").alias("tile_id"), season_label(F.col("l_shipdate")).alias("window"), F.floor(F.col("l_partkey") / WIDTH).alias("row"), (F.col("l_partkey") % WIDTH).alias("col"),
+        tile("l_partkey").alias("tile_id"), season_label(F.col("l_shipdate")).alias("window"), F.floor(F.col("l_partkey") / WIDTH).alias("row"), (F.col("l_partkey") % WIDTH).alias("col"),
         F.to_date("l_shipdate").cast("string").alias("scene_id"), F.col("l_shipdate").alias("ts"), (1000 + F.col("l_quantity") * 20).alias("blue"), (900 + F.col("l_quantity") * 60).alias("red"),
         (1000 + F.col("l_extendedprice") % 6000).alias("nir"), (1500 + F.col("l_discount") * 20000).alias("swir16"), (1200 + F.col("l_tax") * 20000).alias("swir22"),
         F.when(F.col("l_returnflag") == "R", 9).otherwise(3 + F.col("l_linenumber") % 6).alias("scl"), (F.col("l_linenumber") * 8).cast("int").alias("qa"), (40000 + F.col("l_extendedprice") % 9000).alias("thermal"),

@@ -50,7 +50,7 @@ def test_entry(spark):
     assert df.count() > 0
 
 
-@pytest.mark.parametrize("name", ["composite_depth", "concentration_sum", "benefit_shares", "lattice", "scenario_deltas", "matched_difference"])
+@pytest.mark.parametrize("name", ["composite_depth", "concentration_sum", "benefit_shares", "lattice", "scenario_deltas", "matched_difference", "hindcast_score", "feature_rows"])
 def test_plans_have_no_cartesian_product_and_no_row_python(spark, name):
     plan = catalogue.queries()[name](spark, SF)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan
