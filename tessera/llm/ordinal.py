@@ -20,7 +20,7 @@ from tessera.llm.textfeatures import Sample, dot, fit_sparse, hashed
 
 #: A document is selected if its chance of at least this grade is at least SELECT.
 GOOD_GRADE = 2
-SELECT = 0.5
+SELECT = 0.45
 
 
 @dataclass
@@ -41,8 +41,7 @@ def ordered(raw: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, ratings: DataFrame, grades: int, rows: int = FIT_ROWS, size: int = FIT_BYTES) -> OrdinalModel | None:
     """Fitted on at most ``rows`` rated documents and ``size`` bytes of ``ratings(doc_id,
-    grade 0 .. grades-1)``; None where the sample has one grade only.  Grades weigh
-    by the root of their shares, so that rare ones count."""
+    grade 0 .. grades-1)``; None where the sample has one grade only."""
     table = labelled_sample(docs, ratings, ["grade"], rows, size)
     y = np.asarray(table["grade"]).astype(int)
     if len(np.unique(y)) < 2:
@@ -50,9 +49,8 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, rows: int = FIT_ROWS,
     raw, offsets = text_bytes(table["text"].combine_chunks())
     sample = Sample(raw, offsets)
     share = np.bincount(y, minlength=grades) / len(y)
-    weight = 1 / np.sqrt(share[y])
-    weight /= weight.sum()
-    sample.most_weight = weight.max() * 2
+    weight = 1 / len(y)
+    sample.most_weight = weight * 2
 
     def slope(score, extra):
         theta = np.r_[-np.inf, ordered(extra), np.inf]
@@ -67,7 +65,7 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, rows: int = FIT_ROWS,
 
     start = np.clip(np.cumsum(share)[:-1], 0.02, 0.98)
     cut = np.maximum.accumulate(np.log(start / (1 - start)))
-    w, c, extra = fit_sparse(sample, slope, np.r_[cut[:1], np.log(np.maximum(np.diff(cut), 0.05))])
+    w, c, extra = fit_sparse(sample, slope, np.r_[cut[:1], np.log(np.maximum(np.diff(cut), 0.05))], rounds=150, l1=2e-3)
     return OrdinalModel(*sample.spread(w, c), ordered(extra))
 
 
