@@ -132,3 +132,22 @@ def disc(points: DataFrame, grid: Grid, radius: float) -> DataFrame:
     cells = near.withColumn("row", F.explode(F.sequence(F.col("r0") - k, F.col("r0") + k))).withColumn("col", F.explode(F.sequence(F.col("c0") - k, F.col("c0") + k)))
     d2 = (grid.x(F.col("col")) - F.col("x")) ** 2 + (grid.y(F.col("row")) - F.col("y")) ** 2
     return cells.where((d2 <= radius * radius) & F.col("row").between(0, grid.height - 1) & F.col("col").between(0, grid.width - 1)).select("id", "row", "col")
+
+
+def edge_longitude(col: Column, west: float, east: float, width: int) -> Column:
+    """Longitude of a column's left edge, kept inside the box."""
+    return F.least(F.greatest(west + col * (east - west) / width, F.lit(west)), F.lit(east))
+
+
+def edge_column(lon: Column, west: float, east: float, width: int) -> Column:
+    """Column whose edge is nearest to a longitude, kept inside the box."""
+    return F.least(F.greatest(F.floor((lon - west) * width / (east - west) + 0.5), F.lit(0)), F.lit(width)).cast("long")
+
+
+def block_ring(row0: Column, row1: Column, col0: Column, col1: Column, grid: Grid) -> Column:
+    """Closed ring of a block's corners in WGS84 degrees."""
+    def corner(row: Column, col: Column) -> Column:
+        lon, lat = inverse(grid.left + col * grid.res, grid.top - row * grid.res, grid.zone)
+        return F.struct(lon.alias("lon"), lat.alias("lat"))
+
+    return F.array(corner(row1, col0), corner(row1, col1), corner(row0, col1), corner(row0, col0), corner(row1, col0))
