@@ -154,13 +154,13 @@ def season_totals(spark, sf_dir):
     return i.groupBy(season.season_of(F.col("window")).alias("season")).agg(F.count_distinct("window").alias("windows"), F.count("*").alias("rows_in"), F.count("ndvi").alias("clear"))
 
 
-@query("SELECT o_orderkey AS id, printf('%s: %.2f degC, %.1f%% canopy added, %.0f residents', 'r00c'||lpad(CAST(o_custkey%100 AS VARCHAR),2,'0'), (o_custkey%50)/8.0+0.001, (o_custkey%32)/64.0*100, (o_orderkey%1000)*1.0) AS line FROM orders")
+@query("SELECT o_orderkey AS id, printf('%s: %.2f degC, %.1f%% canopy added, %.0f residents', 'r00c'||lpad(CAST(o_custkey%100 AS VARCHAR),2,'0'), (o_custkey%50)/8.0+0.001, (o_custkey%32)/64.0*100+0.001, (o_orderkey%1000)*1.0) AS line FROM orders")
 def region_lines(spark, sf_dir):
     """Facts of regions as lines of text."""
     o = T.read(spark, sf_dir, "orders")
     t = o.select(
         F.col("o_orderkey").alias("id"), F.concat(F.lit("r00c"), F.lpad((F.col("o_custkey") % 100).cast("string"), 2, "0")).alias("region_id"), (F.col("o_custkey") % 50 / 8.0 + 0.001).alias("expected_cooling"),
-        (F.col("o_custkey") % 32 / 64.0).alias("canopy_added"), (F.col("o_orderkey") % 1000 * 1.0).alias("residents"),
+        (F.col("o_custkey") % 32 / 64.0 + 0.00001).alias("canopy_added"), (F.col("o_orderkey") % 1000 * 1.0).alias("residents"),
     )
     return regions.as_text(t).select("id", "line")
 
