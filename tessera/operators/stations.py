@@ -9,11 +9,15 @@ LEAST_DAYS = 14
 LEAST_STATIONS = 4
 
 
-def first_sensor(locations: DataFrame, parameter: str) -> DataFrame:
-    """The first sensor of each location that measures ``parameter``."""
+#: Id of fine particulates among the monitors' parameters.
+FINE_PARTICLES = 2
+
+
+def first_sensor(locations: DataFrame, parameter: int = FINE_PARTICLES) -> DataFrame:
+    """The first sensor of each location whose parameter has this id."""
     from pyspark.sql import Window
 
-    exploded = locations.select("id", "name", "coordinates", F.posexplode("sensors").alias("nth", "sensor")).where(F.col("sensor.parameter.name") == parameter)
+    exploded = locations.select("id", "name", "coordinates", F.posexplode("sensors").alias("nth", "sensor")).where(F.col("sensor.parameter.id") == parameter)
     return exploded.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("nth"))).where("rank = 1").select("id", "name", "coordinates", F.col("sensor.id").alias("sensor_id"))
 
 

@@ -153,6 +153,12 @@ def test_stations_need_days_and_drop_sentinels(spark):
     assert got == {"a": (14, 1.0, None), "b": (13, None, "13 of 14 days")}
 
 
+def test_first_sensor_of_a_location(spark):
+    ddl = "id int, name string, coordinates struct<longitude double, latitude double>, sensors array<struct<id int, parameter struct<id int>>>"
+    df = spark.createDataFrame([(1, "a", (74.3, 31.5), [(10, (1,)), (11, (2,)), (12, (2,))]), (2, "b", (74.4, 31.5), [(20, (5,))]), (3, "c", None, None)], ddl)
+    assert [(r.id, r.sensor_id) for r in stations.first_sensor(df).collect()] == [(1, 11)]
+
+
 def test_matching_ignores_strata_without_controls(spark):
     df = spark.createDataFrame([("t", 1, True, 5.0), ("t", 1, False, 3.0), ("t", 2, True, 9.0), ("t", -1, True, 99.0)], "tile_id string, stratum long, changed boolean, v double")
     assert rows(change.matched_difference(df, ["tile_id"], "v")) == [("t", 2.0, 1, 1)]
