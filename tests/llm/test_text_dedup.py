@@ -110,3 +110,10 @@ def test_determined_symbols_are_the_same_in_any_context():
 
 def test_substring_dedup_of_nothing(spark):
     assert recompress.digest(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_results_do_not_depend_on_partitions(spark, documents):
+    df = spark.createDataFrame(documents, "doc_id long, text string").where("doc_id IS NOT NULL")
+    for operator in (suffix, recompress):
+        one, many = (by_id([tuple(r) for r in operator.digest(df.repartition(n)).collect()]) for n in (1, 7))
+        assert one == many
