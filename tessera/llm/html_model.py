@@ -73,6 +73,7 @@ class Page:
 def parse(source: str) -> Page:
     page = Page([-1], ["html"], [()], [None], [0])
     stack = [0]
+    opened: dict[str, int] = {}  # open elements by name: an end tag that matches none costs nothing
 
     def add(tag: str, names: tuple[str, ...], text: str | None) -> int:
         page.parent.append(stack[-1])
@@ -83,6 +84,8 @@ def parse(source: str) -> Page:
         return len(page.tag) - 1
 
     def close(to: int) -> None:
+        for v in stack[to:]:
+            opened[page.tag[v]] -= 1
         del stack[to:]
 
     at, size, search = 0, len(source), _TOKEN.search
@@ -99,6 +102,8 @@ def parse(source: str) -> Page:
             continue
         name = name.lower()
         if m.group(1):
+            if not opened.get(name):
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if page.tag[stack[k]] == name:
                     close(k)
@@ -146,6 +151,7 @@ def parse(source: str) -> Page:
         node = add(name, names, None)
         if name not in VOID and not m.group(3).endswith("/"):
             stack.append(node)
+            opened[name] = opened.get(name, 0) + 1
     return page
 
 
@@ -296,12 +302,10 @@ def main_text(page: Page, content: np.ndarray) -> str:
     """Kept text, one line per block in page order."""
     blocks: list[str] = []
     parts: list[str] = []
-    home, last = -1, None
-
-    def block_of(v: int) -> int:
-        while v > 0 and page.tag[v] not in BLOCK:
-            v = page.parent[v]
-        return v
+    home = -1
+    block = [0]  # the nearest block element at or above each node
+    for v in range(1, len(page.tag)):
+        block.append(v if page.text[v] is None and page.tag[v] in BLOCK else block[page.parent[v]])
 
     def flush() -> None:
         text = clean("".join(parts)).strip(" ")
@@ -314,15 +318,11 @@ def main_text(page: Page, content: np.ndarray) -> str:
             if page.tag[v] in BLOCK:
                 flush()
             continue
-        at = block_of(page.parent[v])
-        if at != home:
+        if block[v] != home:
             flush()
-            home = at
+            home = block[v]
         if content[v] >= 0.5:
             parts.append(page.text[v])
-        elif last is not None and page.parent[v] != last:
-            pass
-        last = page.parent[v]
     flush()
     return "\n".join(blocks)
 
