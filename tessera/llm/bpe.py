@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,29 +31,34 @@ ODD_SPACE = (
 )
 #: Longest text given to the library in one call where safe pieces exist.
 LONG_TEXT = 1 << 16
+#: Bytes of text whose distinct units are looked up together.
+TOGETHER = 1 << 22
 _SAFE_PIECE = re.compile(r"(?<=[^\s])(?= [A-Za-z])")
 
 
 class UnitEncoder:
     """Ids of texts through a cache of encoded units.
 
-    ``encode(list of strings) -> list of id lists`` is the library's call.  The
-    cache is emptied when it holds ``most`` units.
+    ``encode(list of strings) -> list of id lists`` is the library's call;
+    ``encode_whole``, if another, takes texts that are not split.  The cache holds
+    ids as bytes and is emptied when it has ``most`` units.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 600_000):
-        self.encode, self.most, self.known = encode, most, {}
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], encode_whole: Callable | None = None, most: int = 600_000):
+        self.encode, self.encode_whole, self.most, self.known = encode, encode_whole or encode, most, {}
 
-    def ids_of(self, units: list[str]) -> list[np.ndarray]:
+    def ids_of(self, units: list[str]) -> list[bytes]:
         known = self.known
         if len(known) > self.most:
             known.clear()
-        new = [u for u in dict.fromkeys(units) if u not in known]
+        got = list(map(known.get, units))
+        new = list(dict.fromkeys(u for u, ids in zip(units, got, strict=True) if ids is None))
+        if not new:
+            return got
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            for u, ids in zip(part, self.encode(part), strict=True):
-                known[u] = np.array(ids, np.uint32)
-        return [known[u] for u in units]
+            known.update(zip(part, (array("I", ids).tobytes() for ids in self.encode(part)), strict=True))
+        return list(map(known.get, units))
 
     def whole(self, text: str) -> np.ndarray:
         if len(text) <= LONG_TEXT:
@@ -64,7 +70,7 @@ class UnitEncoder:
                     pieces.append(text[at : m.start()])
                     at = m.start()
             pieces.append(text[at:])
-        out = [np.array(x, np.uint32) for p in pieces for x in self.encode([p])]
+        out = [np.array(x, np.uint32) for p in pieces for x in self.encode_whole([p])]
         return np.concatenate(out) if out else np.empty(0, np.uint32)
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,9 +94,9 @@ class UnitEncoder:
         units = self.ids_of([" " + words[i] for i in used] + heads)
         row = slot[index]
         row[firsts] = len(used) + np.arange(len(heads))
-        length = np.fromiter(map(len, units), np.int64, len(units))
+        length = np.fromiter(map(len, units), np.int64, len(units)) // 4
         start = np.cumsum(length) - length
-        flat = np.concatenate(units) if units else np.empty(0, np.uint32)
+        flat = np.frombuffer(b"".join(units), np.uint32)
         each = length[row]
         ids = flat[np.repeat(start[row] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
         counts = np.add.reduceat(each, firsts) if len(firsts) else np.empty(0, np.int64)
@@ -148,7 +154,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = UnitEncoder(one_by_one(encoding(rank_path, pattern)))
         for whole in batches:
-            for batch in slices(whole, text_col):
+            for batch in slices(whole, text_col, TOGETHER):
                 ids, counts = coder.batch(batch.column(batch.schema.get_field_index(text_col)))
                 offsets = np.r_[0, np.cumsum(counts)].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)))
@@ -185,7 +191,7 @@ def digest(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
         coder = UnitEncoder(one_by_one(enc))
         flat, ends = token_bytes(enc)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", TOGETHER):
                 ids, counts = coder.batch(batch.column(1))
                 raw = decode_bytes(ids.astype(np.int64), flat, ends)
                 width = np.r_[0, np.cumsum(ends[ids.astype(np.int64) + 1] - ends[ids])]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import UnitEncoder
+from tessera.llm.bpe import TOGETHER, UnitEncoder
 from tessera.llm.common import partitions, shared_dir, slices
 
 U64 = np.uint64
@@ -31,6 +31,8 @@ ESCAPE = 15
 MICRO = 256
 #: Ids in a block, but for one document that has more.
 BLOCK = 1 << 18
+#: Parts up to which their sums, one row each, are broadcast.
+BROADCAST_PARTS = 100_000
 
 
 def bit_lengths(v: np.ndarray) -> np.ndarray:
@@ -122,8 +124,30 @@ def decode_block(words: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
 FILE = "part int, block int, start_in_part long, doc_ids array<long>, counts array<long>, n_ids long, first array<long>, words binary"
 
 
-def tokenizer_encode(path: str):
-    """``encode`` of a tokenizers file for UnitEncoder."""
+#: Marks that end a unit as a match of their own when letters stand before them.
+_MARKS = frozenset(".,;:!?)]}\"|*#%&$-/")
+_CODERS: dict[str, UnitEncoder] = {}
+#: Matches of the pre-tokenization pattern that a worker keeps the ids of.
+CORES = 500_000
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable
+    bytes for themselves, the others for letters from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+def tokenizer_coder(path: str) -> UnitEncoder:
+    """Encoder of a byte-level BPE tokenizers file, kept by the worker.
+
+    A unit of letters, or of letters and one mark, is one or two matches of the
+    pattern; those go to the library's model, each distinct one once.  Any other
+    unit goes through the library's own pre-tokenizer.
+    """
+    if path in _CODERS:
+        return _CODERS[path]
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -131,7 +155,37 @@ def tokenizer_encode(path: str):
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return lambda units: [e.ids for e in tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+    model, letters, cores = tokenizer.model, byte_letters(), {}
+
+    def match(text: str) -> list[int]:
+        ids = cores.get(text)
+        if ids is None:
+            if len(cores) > CORES:
+                cores.clear()
+            ids = cores[text] = [t.id for t in model.tokenize(text.encode().decode("latin-1").translate(letters))]
+        return ids
+
+    def whole(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(units: list[str]) -> list[list[int]]:
+        out: list[list[int] | None] = []
+        other = []
+        for k, unit in enumerate(units):
+            body = unit[1:] if unit[:1] == " " else unit
+            if body.isalpha():
+                out.append(match(unit))
+            elif body[-1:] in _MARKS and body[:-1].isalpha():
+                out.append(match(unit[:-1]) + match(unit[-1]))
+            else:
+                out.append(None)
+                other.append(k)
+        for k, ids in zip(other, whole([units[k] for k in other]), strict=True):
+            out[k] = ids
+        return out
+
+    _CODERS[path] = UnitEncoder(encode, whole)
+    return _CODERS[path]
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, out: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> str:
@@ -149,17 +203,23 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str | None = None, e
         from pyspark import TaskContext
 
         part, block, done = TaskContext.get().partitionId(), 0, 0
-        coder = UnitEncoder(tokenizer_encode(tokenizer_path))
+        coder = tokenizer_coder(tokenizer_path)
         for whole in batches:
-            for batch in slices(whole, "text", 1 << 19):
+            for batch in slices(whole, "text", TOGETHER):
+                doc_ids = batch.column(0).to_pylist()
                 ids, counts = coder.batch(batch.column(1))
-                ends = np.cumsum(counts)
-                ids = np.insert(ids, ends, end_id)
+                ids = np.insert(ids, np.cumsum(counts), end_id)
                 counts = counts + 1
-                words, first = encode_block(ids)
-                row = [part, block, done, batch.column(0).to_pylist(), counts.tolist(), len(ids), first.tolist(), words.tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, ARROW, strict=True)], NAMES)
-                block, done = block + 1, done + len(ids)
+                ends = np.cumsum(counts)
+                lo = 0
+                while lo < len(counts):  # whole documents up to BLOCK ids, one at least
+                    before = int(ends[lo - 1]) if lo else 0
+                    hi = max(lo + 1, int(np.searchsorted(ends, before + BLOCK, "right")))
+                    own = ids[before : int(ends[hi - 1])]
+                    words, first = encode_block(own)
+                    row = [part, block, done, doc_ids[lo:hi], counts[lo:hi].tolist(), len(own), first.tolist(), words.tobytes()]
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, ARROW, strict=True)], NAMES)
+                    block, done, lo = block + 1, done + len(own), hi
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, FILE).write.parquet(out)
@@ -202,4 +262,5 @@ def _reader(spark: SparkSession, path: str, column, name: str, ddl: str) -> Data
                 ids = np.split(values, ends[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(starts), column(ids)], ["doc_id", "start", name])
 
-    return blocks.join(starts, "part").mapInArrow(run, f"doc_id long, start long, {ddl}")
+    side = F.broadcast(starts) if starts.count() <= BROADCAST_PARTS else starts
+    return blocks.join(side, "part").mapInArrow(run, f"doc_id long, start long, {ddl}")
