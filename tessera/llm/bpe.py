@@ -39,8 +39,8 @@ _SAFE_PIECE = re.compile(r"(?<=[^\s])(?= [A-Za-z])")
 class UnitEncoder:
     """Ids of texts through a cache of encoded units.
 
-    ``encode(list of strings) -> list of id lists`` is the library's call;
-    ``encode_whole``, if another, takes texts that are not split.  The cache holds
+    ``encode(list of strings) -> list of id lists`` is the library's call, or one
+    that gives ids as bytes; ``encode_whole``, if another, takes texts that are not split.  The cache holds
     ids as bytes and is emptied when it has ``most`` units.
     """
 
@@ -57,7 +57,7 @@ class UnitEncoder:
             return got
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            known.update(zip(part, (array("I", ids).tobytes() for ids in self.encode(part)), strict=True))
+            known.update(zip(part, (ids if type(ids) is bytes else array("I", ids).tobytes() for ids in self.encode(part)), strict=True))
         return list(map(known.get, units))
 
     def whole(self, text: str) -> np.ndarray:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,7 +129,7 @@ FILE = "part int, block int, start_in_part long, doc_ids array<long>, counts arr
 _MARKS = frozenset(".,;:!?)]}\"|*#%&$-/")
 _CODERS: dict[str, UnitEncoder] = {}
 #: Matches of the pre-tokenization pattern that a worker keeps the ids of.
-CORES = 500_000
+CORES = 900_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -157,19 +158,20 @@ def tokenizer_coder(path: str) -> UnitEncoder:
     tokenizer.encode_special_tokens = True
     model, letters, cores = tokenizer.model, byte_letters(), {}
 
-    def match(text: str) -> list[int]:
+    def match(text: str) -> bytes:
         ids = cores.get(text)
         if ids is None:
             if len(cores) > CORES:
                 cores.clear()
-            ids = cores[text] = [t.id for t in model.tokenize(text.encode().decode("latin-1").translate(letters))]
+            plain = text.replace(" ", "\u0120") if text.isascii() else text.encode().decode("latin-1").translate(letters)
+            ids = cores[text] = array("I", [t.id for t in model.tokenize(plain)]).tobytes()
         return ids
 
     def whole(texts: list[str]) -> list[list[int]]:
         return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(units: list[str]) -> list[list[int]]:
-        out: list[list[int] | None] = []
+    def encode(units: list[str]) -> list[bytes | list[int]]:
+        out: list = []
         other = []
         for k, unit in enumerate(units):
             body = unit[1:] if unit[:1] == " " else unit
@@ -184,7 +186,7 @@ def tokenizer_coder(path: str) -> UnitEncoder:
             out[k] = ids
         return out
 
-    _CODERS[path] = UnitEncoder(encode, whole)
+    _CODERS[path] = UnitEncoder(encode, whole, most=500_000)
     return _CODERS[path]
 
 
