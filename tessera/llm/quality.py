@@ -16,7 +16,7 @@ from tessera.llm.textfeatures import Sample, fit_sparse, dot, hashed
 #: Labelled rows that a classifier is fitted on, at most; chosen by a hash of doc_id.
 FIT_ROWS = 3000
 #: Total bytes of text in them, at most.
-FIT_BYTES = 12_000_000
+FIT_BYTES = 8_000_000
 #: Rows of the sample held back to calibrate the probability.
 HELD_OUT = 0.25
 #: A document whose calibrated probability of quality is below this is rejected.

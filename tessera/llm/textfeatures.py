@@ -68,20 +68,37 @@ class Sample:
     """Features of a bounded sample of texts, for fitting.  Words and pairs in
     fewer than ``LEAST_DOCS`` of its texts are left out: they would be learnt by heart."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
-        (owner, slot), (gram, at), self.words = hashed(raw, offsets)
-        self.n = len(self.words)
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, step: int = 1 << 20):
+        # text by text in slices of about ``step`` bytes, so that no array has an entry for each n-gram of the sample
+        parts, lo, self.n = [], 0, len(offsets) - 1
+        while lo < self.n:
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + step, "right")) - 1)
+            (owner, slot), (gram, at), _ = hashed(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            per = np.diff(at)
+            code, count = np.unique(np.repeat(np.arange(hi - lo), per) * CHAR_SLOTS + gram, return_counts=True)
+            of = code // CHAR_SLOTS
+            columns = (owner + lo, slot, of + lo, code % CHAR_SLOTS)
+            parts.append((*(c.astype(np.int32) for c in columns), (count / np.maximum(per, 1)[of]).astype(np.float32)))
+            lo = hi
+        columns = [[p[k] for p in parts] for k in range(5)]
+        parts.clear()
+        owner, slot, c_owner, c_slot, c_value = (np.concatenate(c) if c else np.empty(0, np.int32) for c in columns)
+        columns.clear()
         self.most_weight = 1 / max(1, self.n)
-        common = np.bincount(slot, minlength=WORD_SLOTS)[slot] >= LEAST_DOCS
-        self.owner, slot = owner[common], slot[common]
-        self.word_slots, self.slot = np.unique(slot, return_inverse=True)
-        per = np.diff(at)
-        code, count = np.unique(np.repeat(np.arange(self.n), per) * CHAR_SLOTS + gram, return_counts=True)
-        owner, slot = code // CHAR_SLOTS, code % CHAR_SLOTS
-        common = np.bincount(slot, minlength=CHAR_SLOTS)[slot] >= LEAST_DOCS
-        self.c_owner = owner[common]
-        self.char_slots, self.c_slot = np.unique(slot[common], return_inverse=True)
-        self.c_value = (count / np.maximum(per, 1)[owner])[common]
+        self.word_slots, lookup = self._common(slot, WORD_SLOTS)
+        keep = lookup[slot] >= 0
+        self.owner, self.slot = owner[keep], lookup[slot[keep]]
+        self.char_slots, lookup = self._common(c_slot, CHAR_SLOTS)
+        keep = lookup[c_slot] >= 0
+        self.c_owner, self.c_slot, self.c_value = c_owner[keep], lookup[c_slot[keep]], c_value[keep]
+
+    @staticmethod
+    def _common(slot: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+        """Slots in enough texts, and the place of each slot among them, or -1."""
+        used = np.flatnonzero(np.bincount(slot, minlength=slots) >= LEAST_DOCS)
+        lookup = np.full(slots, -1, np.int32)
+        lookup[used] = np.arange(len(used))
+        return used, lookup
 
     def score(self, w: np.ndarray, c: np.ndarray) -> np.ndarray:
         return np.bincount(self.owner, w[self.slot], self.n) + np.bincount(self.c_owner, c[self.c_slot] * self.c_value, self.n)
