@@ -172,6 +172,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 3, id_col: str = "doc_id",
 
 
 def keep_one(docs: DataFrame, threshold: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each group the smallest doc_id stays."""
-    found = near_duplicates(docs, threshold, id_col, text_col).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(found, docs[id_col] == F.col("_kept"), "left_semi")
+    """The rows of ``docs`` without near-duplicates: of each group the smallest doc_id
+    stays, with all rows that carry it; rows without a doc_id can't be told apart and stay."""
+    found = near_duplicates(docs, threshold, id_col, text_col)
+    kept = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")

@@ -45,6 +45,13 @@ def test_simhash_equals_brute_force(spark):
     assert want == {i: g[1] for i, g in got.items()}
 
 
+def test_one_of_each_group_stays(spark):
+    text = "some words of a text that stands here more than once and is long enough"
+    df = spark.createDataFrame([(5, text, "a"), (3, text, "b"), (3, text, "b"), (None, text, "c"), (9, "quite another text with other words in it", "d")], "doc_id long, text string, fp string")
+    out = simhash.keep_one(df)
+    assert out.columns == df.columns and sorted(r.fp for r in out.collect()) == ["b", "b", "c", "d"]
+
+
 def test_anchors_meet_for_every_close_pair(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 60, dtype=np.int64) ^ np.left_shift(rng.integers(0, 2, 60), 63)
