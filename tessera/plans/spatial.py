@@ -169,16 +169,19 @@ _WAYS = (
     "u AS (SELECT *, sum(len) OVER (PARTITION BY way_id ORDER BY nth, x, y) AS upto, sum(len) OVER (PARTITION BY way_id) AS total FROM g), q AS (SELECT *, greatest(round_even(total/50,0),1) AS n FROM u WHERE total>0 AND len>0) "
 )
 
+#: The SQL of way_samples and road_length has only these ways.
+_SQL_WAYS = "way_id % 7 < 5"
+
 
 def ways(spark, sf_dir):
-    li = T.read(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % 7 < 5)
+    li = T.read(spark, sf_dir, "lineitem")
     return li.select(F.col("l_orderkey").alias("way_id"), F.col("l_linenumber").alias("nth"), ((F.col("l_partkey") % 50 + 0.5) * 100).alias("x"), (100000 - (F.floor(F.col("l_partkey") / 50) + 0.5) * 100).alias("y"))
 
 
 @query(f"WITH {_WAYS} SELECT way_id, CAST(max(n) AS BIGINT) AS n_samples, round(max(total),4) AS length FROM q GROUP BY 1")
 def way_samples(spark, sf_dir):
     """Equal samples along ways; each way has as many as its length asks for."""
-    s = roads.densify(ways(spark, sf_dir))
+    s = roads.densify(ways(spark, sf_dir).where(_SQL_WAYS))
     return s.groupBy("way_id").agg(F.count("*").alias("n_samples"), r4(F.max("length"), "length"))
 
 
@@ -196,7 +199,7 @@ def road_factors(spark, sf_dir):
 )
 def road_length(spark, sf_dir):
     """Samples stand for the whole length of the roads."""
-    s = roads.densify(ways(spark, sf_dir))
+    s = roads.densify(ways(spark, sf_dir).where(_SQL_WAYS))
     return s.agg((F.count("*") > 0).alias("some"), F.round(F.sum(F.col("length") / F.col("n_samples")) / 1000, 1).alias("km"))
 
 
