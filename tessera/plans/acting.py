@@ -86,9 +86,10 @@ def linear_cross_validation(spark, sf_dir):
 def boosted_cross_validation(spark, sf_dir):
     """Blocked validation of boosted trees on all features (no SQL form)."""
     t = features.training_frame(feature_table(spark, sf_dir))
-    f = features.block_folds(t, ["tile_id"], 2, 10)
-    fr = t.withColumn("block_row", F.floor(F.col("row") / 10)).withColumn("block_col", F.floor(F.col("col") / 10)).join(f, ["tile_id", "block_row", "block_col"])
-    return features.cv_report(features.cross_validate(fr, ["landcover"], [0, 1], rounds=5))
+    f = features.block_folds(t, ["tile_id"])
+    block_row, block_col = (F.floor(F.col(c) / features.BLOCK) for c in ("row", "col"))
+    fr = t.withColumn("block_row", block_row).withColumn("block_col", block_col).join(f, ["tile_id", "block_row", "block_col"])
+    return features.cv_report(features.cross_validate(fr, ["landcover"], list(range(features.FOLDS))))
 
 
 @query(f"WITH {_CUBE} SELECT round(median(CASE WHEN landcover=10 THEN ndvi END),4) AS tree_ndvi, round(median(CASE WHEN landcover=10 THEN ndbi END),4) AS tree_ndbi, round(median(CASE WHEN landcover=10 THEN albedo END),4) AS tree_albedo, count(CASE WHEN landcover=10 THEN 1 END) AS tree_cells FROM cube")

@@ -189,8 +189,8 @@ def detected_change(spark, sf_dir):
 @query()
 def change_sites(spark, sf_dir):
     """Patches of change, largest first within the tile."""
-    f = change.flag_change(change_field(spark, sf_dir), ["tile_id"], 1.0)
-    return change.sites(f, ["tile_id"], 3).select("sign", "component", "cells", r4("mean_change"))
+    f = change.flag_change(change_field(spark, sf_dir), ["tile_id"])
+    return change.sites(f, ["tile_id"]).select("sign", "component", "cells", r4("mean_change"))
 
 
 _STRATA = f"{_FIELD}, base AS (SELECT f.*, landcover, elevation_m AS b, elevation_m*0.01+CASE WHEN changed THEN -0.3 ELSE 0 END AS v FROM fl f JOIN cells USING (\"row\",col)), eg AS (SELECT quantile_cont(b,[0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS e FROM base), sr AS (SELECT base.*, landcover*11+len(list_filter(e, lambda x: x<=b)) AS stratum FROM base, eg)"

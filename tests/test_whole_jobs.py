@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from tessera.operators import roads
+from tessera.operators import change, features, roads
 from tessera.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -17,3 +17,26 @@ def test_emission_inventory_has_all_ways(spark):
     per_m = roads.VEHICLES["primary"] * roads.GRAMS_PER_KM / roads.DAY_S / 1000
     total = sum(r["emission"] for r in catalogue.queries()["emission_inventory"](spark, SF).collect())
     assert total == pytest.approx(metres * per_m + stacks * roads.KILN_G_S, rel=1e-5)
+
+
+def test_boosted_cross_validation_fits_every_fold_at_the_defaults(spark, monkeypatch):
+    seen = {}
+
+    def scored(frame, groups, folds, target="lst_c", rounds=20):
+        seen.update(folds=list(folds), rounds=rounds, blocks=frame.select("block_row", "block_col", "fold").distinct().collect(), last=frame.agg({"row": "max"}).first()[0])
+        return frame.selectExpr("fold", "lst_c", "lst_c AS predicted", "lst_c AS naive")
+
+    monkeypatch.setattr(features, "cross_validate", scored)
+    catalogue.queries()["boosted_cross_validation"](spark, SF.replace("0.001", "0.01"))
+    assert (seen["folds"], seen["rounds"]) == (list(range(features.FOLDS)), 20)
+    assert {r.fold for r in seen["blocks"]} <= set(seen["folds"])
+    assert max(r.block_row for r in seen["blocks"]) == seen["last"] // features.BLOCK
+
+
+def test_change_sites_take_the_defaults(spark, monkeypatch):
+    seen = []
+    flag, sites = change.flag_change, change.sites
+    monkeypatch.setattr(change, "flag_change", lambda field, key, sigma=change.SIGMA: seen.append(sigma) or flag(field, key, sigma))
+    monkeypatch.setattr(change, "sites", lambda flagged, key, least=change.MIN_SITE_CELLS: seen.append(least) or sites(flagged, key, least))
+    catalogue.queries()["change_sites"](spark, SF)
+    assert seen == [3.0, 9]
