@@ -4,8 +4,8 @@ Equal vectors of a label are one node with a weight.  The nodes of a label are
 dealt into shards of bounded size; each shard becomes one hierarchical navigable
 small-world graph, built and stored once.  Every node then asks every shard of its
 label, in blocks.  The beam is doubled for queries whose beam is half full of
-matches, and for all while the recall of audited queries against brute force is
-too low; what a beam of ``MOST_BEAM`` does not settle is compared with the whole
+matches, and for all while the recall of audited queries against brute force, of
+matches or of nearest nodes, is too low; what a beam of ``MOST_BEAM`` does not settle is compared with the whole
 shard, so a vector with many partners loses none of them.
 """
 
@@ -32,8 +32,9 @@ BUILD_BEAM = 32
 FIRST_BEAM = 24
 #: Queries that a beam of this many does not settle are compared with the whole shard.
 MOST_BEAM = 96
-#: Share of a block's nodes whose answers are audited by brute force, and the recall they must reach.
+#: One in so many of a block's nodes is audited by brute force, so many at least; the recall they must reach.
 AUDIT = 50
+LEAST_AUDIT = 64
 RECALL = 0.99
 
 
@@ -157,20 +158,35 @@ def units(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def matches(graph: Graph, exact: np.ndarray, queries: np.ndarray, audit: np.ndarray, threshold: float) -> list[np.ndarray]:
+def audited(n: int) -> np.ndarray:
+    """Marks of the queries whose answers are audited: one in ``AUDIT``, but ``LEAST_AUDIT`` or all at least."""
+    return np.arange(n) % max(1, min(AUDIT, n // LEAST_AUDIT)) == 0
+
+
+def matches(graph: Graph, exact: np.ndarray, queries: np.ndarray, audit: np.ndarray, threshold: float, own: np.ndarray | None = None) -> list[np.ndarray]:
     """For each query the nodes with cosine of at least ``threshold``, in double
-    precision; ``audit`` marks queries whose answers are checked by brute force."""
+    precision, without its own node ``own`` (-1: not in the graph).  ``audit`` marks
+    queries whose answers are checked by brute force: their matches and, as most may
+    have none, their nearest node."""
     n = len(exact)
+    own = np.full(len(queries), -1) if own is None else own
     out: list[np.ndarray] = [np.empty(0, np.int64)] * len(queries)
     todo = np.arange(len(queries))
     beam = min(FIRST_BEAM, n)
     checked = np.flatnonzero(audit).tolist()
-    truth = [np.flatnonzero(exact @ queries[i] >= threshold) for i in checked]
+    truth, nearest, reached = {}, {}, {}
+    for i in checked:
+        cos = exact @ queries[i]
+        if own[i] >= 0:
+            cos[own[i]] = -2.0
+        truth[i], nearest[i] = np.flatnonzero(cos >= threshold), cos.max()
     while True:
         if beam > min(MOST_BEAM, n // 2):
             for at in range(0, len(todo), 256):
                 some = todo[at : at + 256]
                 hit = queries[some] @ exact.T >= threshold
+                inside = np.flatnonzero(own[some] >= 0)
+                hit[inside, own[some[inside]]] = False
                 for i, row in zip(some, hit, strict=True):
                     out[i] = np.flatnonzero(row)
             return out
@@ -178,16 +194,19 @@ def matches(graph: Graph, exact: np.ndarray, queries: np.ndarray, audit: np.ndar
         for at in range(0, len(todo), 512):
             some = todo[at : at + 512]
             found = graph.find(queries[some], beam)
-            cos = np.where(found >= 0, np.einsum("qd,qkd->qk", queries[some], exact[np.maximum(found, 0)]), -1.0)
+            cos = np.where(found >= 0, np.einsum("qd,qkd->qk", queries[some], exact[np.maximum(found, 0)]), -2.0)
+            cos[found == np.where(own[some] >= 0, own[some], -2)[:, None]] = -2.0
             hit = cos >= threshold
             for j, i in enumerate(some):
                 out[i] = found[j][hit[j]]
+                reached[i] = cos[j].max()
             full.append(some[hit.sum(axis=1) > beam // 2])
         todo_full = np.concatenate(full)
-        settled = [(i, t) for i, t in zip(checked, truth, strict=True) if i not in todo_full]
-        want = sum(len(t) for _, t in settled)
-        got = sum(len(np.intersect1d(out[i], t)) for i, t in settled)
-        todo = todo_full if got >= RECALL * want else np.arange(len(queries))
+        settled = np.setdiff1d(checked, todo_full)
+        want = sum(len(truth[i]) for i in settled)
+        got = sum(len(np.intersect1d(out[i], truth[i])) for i in settled)
+        near = sum(reached[i] >= nearest[i] - 1e-9 for i in settled)
+        todo = todo_full if got >= RECALL * want and near >= RECALL * len(settled) else np.arange(len(queries))
         if not len(todo):
             return out
         beam *= 2
@@ -253,16 +272,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
     graphs = stored(dealt.groupBy("label", "width", "shard").applyInArrow(build, f"label {kind}, width int, shard int, shards int, graph binary"), "graphs")
 
     # a shard's own nodes are a block of queries; each block asks every shard of its label
-    blocks = graphs.select("label", "width", F.col("graph").alias("block"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-    asked = blocks.join(graphs.select("label", "width", "shard", "graph"), ["label", "width", "shard"]).select("block", "graph")
+    blocks = graphs.select("label", "width", F.col("graph").alias("block"), F.col("shard").alias("home"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    asked = blocks.join(graphs.select("label", "width", "shard", "graph"), ["label", "width", "shard"]).select("block", "graph", (F.col("home") == F.col("shard")).alias("same"))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, shard in zip(batch.column(0), batch.column(1), strict=True):
+            for block, shard, same in zip(*batch.columns, strict=True):
                 _, queries, q_node, q_weight = pickle.loads(block.as_py())
                 graph, exact, node, weight = pickle.loads(shard.as_py())
-                found = matches(graph, exact, queries, q_node % AUDIT == 0, threshold)
-                links = np.array([weight[f].sum() for f in found])
+                inside = np.arange(len(q_node)) if same.as_py() else None
+                found = matches(graph, exact, queries, audited(len(q_node)), threshold, inside)
+                # a node's equal rows are known without a search
+                links = np.array([weight[f].sum() for f in found]) + (q_weight - 1 if same.as_py() else 0)
                 own = len(node) + np.arange(len(q_node))
                 a, b = span(len(node) + len(q_node), [np.r_[o, f] for o, f in zip(own, found, strict=True)])
                 names = np.r_[node, q_node]
@@ -273,7 +294,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
 
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     told = stored(asked.repartition(n).mapInArrow(ask, "a long, b long, links long"), "links")
-    counts = told.where("a = b").groupBy(F.col("a").alias("node")).agg((F.sum("links") - 1).alias("n_links"))
+    counts = told.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
     joined = stored(components(told.where("a <> b").select("a", "b")), "components")
     by_vector = nodes.join(counts, "node").join(joined, "node", "left").select("label", "v", "n_links", F.coalesce("component", "node").alias("component_id"))
     out = marked.join(by_vector, ["label", "v"], "left")
