@@ -42,12 +42,11 @@ def ordered(raw: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, ratings: DataFrame, grades: int, rows: int = FIT_ROWS, size: int = FIT_BYTES) -> OrdinalModel | None:
     """Fitted on at most ``rows`` rated documents and ``size`` bytes of ``ratings(doc_id,
     grade 0 .. grades-1)``; None where the sample has one grade only."""
-    table = labelled_sample(docs, ratings, ["grade"], rows, size)
+    table, parts = labelled_sample(docs, ratings, ["grade"], rows, size)
     y = np.asarray(table["grade"]).astype(int)
     if len(np.unique(y)) < 2:
         return None
-    raw, offsets = text_bytes(table["text"].combine_chunks())
-    sample = Sample(raw, offsets)
+    sample = Sample(parts)
     share = np.bincount(y, minlength=grades) / len(y)
     weight = 1 / len(y)
     sample.most_weight = weight * 2

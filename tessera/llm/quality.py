@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, Rolling, byte_values, mix, slices, text_bytes, word_spans
+from tessera.llm.common import U64, Rolling, byte_values, mix, slices, stored, text_bytes, word_spans
 from tessera.llm.textfeatures import Sample, fit_sparse, dot, hashed
 
 #: Labelled rows that a classifier is fitted on, at most; chosen by a hash of doc_id.
 FIT_ROWS = 3000
 #: Total bytes of text in them, at most.
-FIT_BYTES = 8_000_000
+FIT_BYTES = 24_000_000
+#: Bytes of text that the driver holds at once.
+PART_BYTES = 2_000_000
 #: Rows of the sample held back to calibrate the probability.
 HELD_OUT = 0.25
 #: A document whose calibrated probability of quality is below this is rejected.
@@ -95,16 +97,29 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], rows: int = FIT_ROWS, size: int = FIT_BYTES):
-    """Texts and labels of at most ``rows`` labelled documents and ``size`` bytes,
-    the first by a hash of doc_id.  Bounded whatever the tables hold."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], rows: int = FIT_ROWS, size: int = FIT_BYTES) -> tuple[pa.Table, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """Labels, and in parts the texts, of at most ``rows`` labelled documents and
+    ``size`` bytes, the first by a hash of doc_id.  Bounded whatever the tables hold."""
     marked = labels.where(" AND ".join(f"{c} IS NOT NULL" for c in columns)).select("doc_id", *columns)
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = text.join(F.broadcast(chosen), "doc_id").where(F.length("text") <= size // 50)
-    table = found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).toArrow()
-    keep = np.cumsum(np.asarray(pa.compute.binary_length(table["text"]))) <= size
-    return table.filter(pa.array(keep))
+    first = found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    # one partition, so the ids count its rows
+    kept = stored(first.select(F.monotonically_increasing_id().alias("nth"), F.octet_length("text").alias("bytes"), "text", *columns), "sample")
+    table = kept.drop("text").orderBy("nth").toArrow()
+    upto = np.cumsum(np.asarray(table["bytes"], np.int64))
+    table = table.slice(0, int(np.searchsorted(upto, size, "right")))
+
+    def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        nth, lo = np.asarray(table["nth"]), 0
+        while lo < len(nth):
+            hi = max(lo + 1, int(np.searchsorted(upto[: len(nth)], (upto[lo - 1] if lo else 0) + PART_BYTES, "right")))
+            part = kept.where(F.col("nth").between(int(nth[lo]), int(nth[hi - 1]))).orderBy("nth").select("text").toArrow()
+            yield text_bytes(part["text"].combine_chunks())
+            lo = hi
+
+    return table, parts()
 
 
 def logistic(p: np.ndarray) -> np.ndarray:
@@ -117,13 +132,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     Classes weigh alike.  Probabilities are calibrated by Platt's scaling on rows
     held out from the fit.
     """
-    table = labelled_sample(docs, labels, ["quality"])
+    table, parts = labelled_sample(docs, labels, ["quality"])
     y = np.asarray(table["quality"]).astype(float) > 0
     if y.all() or not y.any():
         return None
-    raw, offsets = text_bytes(table["text"].combine_chunks())
     held = (np.arange(len(y)) % round(1 / HELD_OUT)) == 0
-    sample = Sample(raw, offsets)
+    sample = Sample(parts)
     weight = np.where(y, 0.5 / max(1, (y & ~held).sum()), 0.5 / max(1, (~y & ~held).sum())) * ~held
 
     sample.most_weight = weight.max()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 
 from tessera.llm.common import U64, Rolling, byte_values, mix, word_spans
@@ -68,43 +70,49 @@ class Sample:
     """Features of a bounded sample of texts, for fitting.  Words and pairs in
     fewer than ``LEAST_DOCS`` of its texts are left out: they would be learnt by heart."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, step: int = 1 << 20):
-        # text by text in slices of about ``step`` bytes, so that no array has an entry for each n-gram of the sample
-        parts, lo, self.n = [], 0, len(offsets) - 1
-        while lo < self.n:
-            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + step, "right")) - 1)
-            (owner, slot), (gram, at), _ = hashed(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            per = np.diff(at)
-            code, count = np.unique(np.repeat(np.arange(hi - lo), per) * CHAR_SLOTS + gram, return_counts=True)
-            of = code // CHAR_SLOTS
-            columns = (owner + lo, slot, of + lo, code % CHAR_SLOTS)
-            parts.append((*(c.astype(np.int32) for c in columns), (count / np.maximum(per, 1)[of]).astype(np.float32)))
-            lo = hi
-        columns = [[p[k] for p in parts] for k in range(5)]
-        parts.clear()
-        owner, slot, c_owner, c_slot, c_value = (np.concatenate(c) if c else np.empty(0, np.int32) for c in columns)
-        columns.clear()
+    def __init__(self, texts: Iterable[tuple[np.ndarray, np.ndarray]], step: int = 1 << 20):
+        # (bytes, offsets) of the texts come in parts, and go in slices of about ``step`` bytes: no array has an entry for each n-gram of the sample
+        self.parts, self.n = [], 0
+        used, c_used = np.zeros(WORD_SLOTS, np.int64), np.zeros(CHAR_SLOTS, np.int64)
+        for raw, offsets in texts:
+            lo, n = 0, len(offsets) - 1
+            while lo < n:
+                hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + step, "right")) - 1)
+                (owner, slot), (gram, at), _ = hashed(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                per = np.diff(at)
+                code, count = np.unique(np.repeat(np.arange(hi - lo), per) * CHAR_SLOTS + gram, return_counts=True)
+                of, c_slot = code // CHAR_SLOTS, code % CHAR_SLOTS
+                used += np.bincount(slot, minlength=WORD_SLOTS)
+                c_used += np.bincount(c_slot, minlength=CHAR_SLOTS)
+                self.parts.append((self.n, hi - lo, owner.astype(np.int32), slot.astype(np.int32), of.astype(np.int32), c_slot.astype(np.uint16), (count / np.maximum(per, 1)[of]).astype(np.float32)))
+                self.n += hi - lo
+                lo = hi
         self.most_weight = 1 / max(1, self.n)
-        self.word_slots, lookup = self._common(slot, WORD_SLOTS)
-        keep = lookup[slot] >= 0
-        self.owner, self.slot = owner[keep], lookup[slot[keep]]
-        self.char_slots, lookup = self._common(c_slot, CHAR_SLOTS)
-        keep = lookup[c_slot] >= 0
-        self.c_owner, self.c_slot, self.c_value = c_owner[keep], lookup[c_slot[keep]], c_value[keep]
+        self.word_slots, lookup = self._common(used)
+        self.char_slots, c_lookup = self._common(c_used)
+        for k, (first, n, owner, slot, of, c_slot, value) in enumerate(self.parts):
+            keep, c_keep = lookup[slot] >= 0, c_lookup[c_slot] >= 0
+            self.parts[k] = (first, n, owner[keep], lookup[slot[keep]], of[c_keep], c_lookup[c_slot[c_keep]].astype(np.uint16), value[c_keep])
 
     @staticmethod
-    def _common(slot: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    def _common(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Slots in enough texts, and the place of each slot among them, or -1."""
-        used = np.flatnonzero(np.bincount(slot, minlength=slots) >= LEAST_DOCS)
-        lookup = np.full(slots, -1, np.int32)
+        used = np.flatnonzero(count >= LEAST_DOCS)
+        lookup = np.full(len(count), -1, np.int32)
         lookup[used] = np.arange(len(used))
         return used, lookup
 
     def score(self, w: np.ndarray, c: np.ndarray) -> np.ndarray:
-        return np.bincount(self.owner, w[self.slot], self.n) + np.bincount(self.c_owner, c[self.c_slot] * self.c_value, self.n)
+        parts = [np.bincount(o, w[s], n) + np.bincount(co, c[cs] * v, n) for _, n, o, s, co, cs, v in self.parts]
+        return np.concatenate(parts) if parts else np.zeros(0)
 
     def gradient(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.bincount(self.slot, g[self.owner], len(self.word_slots)), np.bincount(self.c_slot, g[self.c_owner] * self.c_value, len(self.char_slots))
+        dw, dc = np.zeros(len(self.word_slots)), np.zeros(len(self.char_slots))
+        for first, n, o, s, co, cs, v in self.parts:
+            own = g[first : first + n]
+            dw += np.bincount(s, own[o], len(dw))
+            dc += np.bincount(cs, own[co] * v, len(dc))
+        return dw, dc
 
     def spread(self, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Weights of all slots from those of the slots in use."""
