@@ -11,9 +11,9 @@ micro-blocks decode side by side.
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,49 +36,53 @@ BLOCK = 1 << 18
 BROADCAST_PARTS = 100_000
 
 
+#: Bits of each number below 2**16, 1 at least.
+_BITS = np.maximum(np.frexp(np.arange(1 << 16, dtype=np.float64))[1], 1).astype(np.uint8)
+
+
 def bit_lengths(v: np.ndarray) -> np.ndarray:
-    out = np.ones(len(v), np.uint8)
-    top = int(v.max()) if len(v) else 0
-    for k in range(1, top.bit_length()):
-        out += v >= U64(1 << k)
+    """Bits of each value, 1 at least."""
+    out = _BITS[v & U64(0xFFFF)]
+    top = int(v.max(initial=0))
+    for k in range(16, top.bit_length(), 16):
+        part = (v >> U64(k)) & U64(0xFFFF)
+        out = np.where(part > 0, _BITS[part] + np.uint8(k), out)
     return out
 
 
+def counts_at(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids that a word starting at each place takes, and whether it is an escape."""
+    n = len(v)
+    bits = np.concatenate([bit_lengths(v), np.full(max(COUNTS), 255, np.uint8)])
+    room = np.minimum(MICRO - np.arange(n) % MICRO, n - np.arange(n)).astype(np.uint16)
+    widest = {1: bits}  # of the next c values, from two shorter stretches that cover them
+    take = np.ones(n, np.uint8)
+    for c, w in zip(COUNTS[::-1], WIDTHS[::-1], strict=True):
+        if c > 1:
+            half = max(h for h in widest if h < c and 2 * h >= c)
+            widest[c] = np.maximum(widest[half][: half - c], widest[half][c - half :])
+        fits = (widest[c][:n] <= w) & (room >= c)
+        np.maximum(take, fits.view(np.uint8) * np.uint8(c), out=take)
+    return take, bits[:n] > WIDTHS[-1]
+
+
 def encode_block(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words and the first word of each micro-block."""
     v = values.astype(U64)
     n = len(v)
     if not n:
         return np.empty(0, U64), np.zeros(1, np.int64)
-    bits = np.concatenate([bit_lengths(v), np.full(64, 255, np.uint8)])
+    take, escape = counts_at(v)
     lanes = -(-n // MICRO)
     at = np.arange(lanes) * MICRO
     stop = np.minimum(at + MICRO, n)
-    live = np.arange(lanes)
-    starts, counts, owners, raw = [], [], [], []
-    while len(live):
-        p, room = at[live], stop[live] - at[live]
-        near = np.maximum.accumulate(bits[p[:, None] + np.arange(8)], axis=1)
-        take = np.zeros(len(live), np.int64)
-        for c, w in zip(COUNTS[6:], WIDTHS[6:], strict=True):
-            fits = (take == 0) & (room >= c) & (near[:, c - 1] <= w)
-            take[fits] = c
-        small = np.flatnonzero((near[:, 7] <= WIDTHS[5]) & (room >= 10))
-        if len(small):
-            far = np.maximum.accumulate(bits[np.minimum(p[small, None] + np.arange(60), n + 63)], axis=1)
-            for c, w in zip(COUNTS[5::-1], WIDTHS[5::-1], strict=True):
-                take[small[(room[small] >= c) & (far[:, c - 1] <= w)]] = c
-        escape = take == 0
-        take[escape] = 1
-        starts.append(p)
-        counts.append(take)
-        owners.append(live)
-        raw.append(escape)
-        at[live] += take
-        live = live[at[live] < stop[live]]
-    start, count, owner, escaped = map(np.concatenate, (starts, counts, owners, raw))
-    order = np.argsort(start)
-    start, count, owner, escaped = start[order], count[order], owner[order], escaped[order]
+    marks = np.zeros(n, bool)
+    while len(at):  # all micro-blocks a word further
+        marks[at] = True
+        at = at + take[at].astype(np.int64)
+        at, stop = at[at < stop], stop[at < stop]
+    start = np.flatnonzero(marks)
+    count, escaped, owner = take[start], escape[start], start // MICRO
     space = 1 + escaped.astype(np.int64)
     place = np.cumsum(space) - space
     words = np.zeros(int(space.sum()), U64)
@@ -125,27 +129,17 @@ def decode_block(words: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
 FILE = "part int, block int, start_in_part long, doc_ids array<long>, counts array<long>, n_ids long, first array<long>, words binary"
 
 
-#: Marks that end a unit as a match of their own when letters stand before them.
-_MARKS = frozenset(".,;:!?)]}\"|*#%&$-/")
 _CODERS: dict[str, UnitEncoder] = {}
-#: Matches of the pre-tokenization pattern that a worker keeps the ids of.
-CORES = 900_000
-
-
-def byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in byte-level vocabularies: printable
-    bytes for themselves, the others for letters from 256 on, in order."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 def tokenizer_coder(path: str) -> UnitEncoder:
-    """Encoder of a byte-level BPE tokenizers file, kept by the worker.
+    """Encoder of a tokenizers file, kept by the worker.
 
-    A unit of letters, or of letters and one mark, is one or two matches of the
-    pattern; those go to the library's model, each distinct one once.  Any other
-    unit goes through the library's own pre-tokenizer.
+    The library's defaults hold: a special token's text in a document becomes that
+    token.  Texts are split into units only if the file says that this is safe: byte
+    level BPE by the pattern of :data:`bpe.UNIT_PATTERN`, no normalizer, no token
+    added with spaces or with a reach beyond its own text.  Any other file works on
+    whole texts.
     """
     if path in _CODERS:
         return _CODERS[path]
@@ -155,38 +149,22 @@ def tokenizer_coder(path: str) -> UnitEncoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    model, letters, cores = tokenizer.model, byte_letters(), {}
-
-    def match(text: str) -> bytes:
-        ids = cores.get(text)
-        if ids is None:
-            if len(cores) > CORES:
-                cores.clear()
-            plain = text.replace(" ", "\u0120") if text.isascii() else text.encode().decode("latin-1").translate(letters)
-            ids = cores[text] = array("I", [t.id for t in model.tokenize(plain)]).tobytes()
-        return ids
-
-    def whole(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    said = json.loads(tokenizer.to_str())
+    added = said["added_tokens"]
+    split = (
+        said["normalizer"] is None
+        and said["model"].get("type") == "BPE"
+        and not said["model"].get("dropout")
+        and {k: said["pre_tokenizer"].get(k) for k in ("type", "add_prefix_space", "use_regex")} == {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"] for t in added)
+    )
+    leads = np.zeros(1 + max(tokenizer.get_vocab().values()), bool)
+    leads[[i for token, i in tokenizer.get_vocab().items() if token[:1] == "\u0120"]] = True
 
-    def encode(units: list[str]) -> list[bytes | list[int]]:
-        out: list = []
-        other = []
-        for k, unit in enumerate(units):
-            body = unit[1:] if unit[:1] == " " else unit
-            if body.isalpha():
-                out.append(match(unit))
-            elif body[-1:] in _MARKS and body[:-1].isalpha():
-                out.append(match(unit[:-1]) + match(unit[-1]))
-            else:
-                out.append(None)
-                other.append(k)
-        for k, ids in zip(other, whole([units[k] for k in other]), strict=True):
-            out[k] = ids
-        return out
+    def encode(texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    _CODERS[path] = UnitEncoder(encode, whole, most=500_000)
+    _CODERS[path] = UnitEncoder(encode, leads, lambda run: encode([run])[0], tuple(t["content"] for t in added), split)
     return _CODERS[path]
 
 
