@@ -5,9 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,13 +23,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the session names it.
 
-    Only where the session names none (tests, one machine) a temporary folder
-    is made and set as the checkpoint folder.
+    Only where the session names none and runs on one machine a temporary folder is
+    made and set as the checkpoint folder; a cluster without one is refused, as its
+    machines can't read each other's files.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named is None:
         named = sc.getCheckpointDir()
+    if named is None and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if named is None:
         named = tempfile.mkdtemp(prefix="tessera-")
     if sc.getCheckpointDir() is None:
@@ -35,15 +40,40 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_WRITTEN: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: later stages start
     from files, whatever executors are lost meanwhile."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What :func:`stored` writes inside is deleted at the end: for results that
+    have been written elsewhere by then."""
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        for path in _WRITTEN.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def require_long(df: DataFrame, column: str) -> None:
+    """Refuse ids that are not whole numbers, before any work is done."""
+    kind = df.schema[column].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"column {column} must hold whole numbers, not {kind}")
+
+
 def partitions(df: DataFrame) -> int:
     """Partitions for an exchange of ``df``: the session's number, or as many as
     its scan has, so that the count follows the input."""
@@ -119,14 +149,14 @@ def packed_batches(rows: Iterator[tuple[int, int, bytes]], limit: int = 1 << 24)
 def keyed(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text", also: list[str] = ()) -> DataFrame:
     """(part, kind 1, payload null, key, doc_id, text, also ...): ``key`` tells rows
     apart that share a doc_id but not the text; ``part`` is where a key lives."""
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     return docs.select(
         F.expr(f"cast(pmod(shiftrightunsigned(xxhash64(`{id_col}`, `{text_col}`), 33), {n}) as int)").alias("part"),
         F.lit(1).alias("kind"),
         F.lit(None).cast("binary").alias("payload"),
         key.alias("key"),
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        F.col(f"`{id_col}`").alias("doc_id"),
+        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
         *also,
     )
 
@@ -241,3 +271,35 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     ends[lasts] = inside[lasts]
     s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     return s, e, np.searchsorted(s, offsets)
+
+
+def distinct_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """A number for each word, the same for equal words of ``raw`` and no others, and
+    the distinct words by number.  The spans are those of :func:`word_spans`."""
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=offsets[1:])
+    data = np.ascontiguousarray(raw[~_SPACE[raw]])
+    column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    coded = column.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of the XXH3-128 of each word; each distinct word is hashed once."""
+    index, words = distinct_words(raw, starts, ends)
+    told = b"".join(map(xxhash.xxh3_128_digest, words.to_numpy(zero_copy_only=False)))
+    wide = np.frombuffer(told, U64).reshape(-1, 2)
+    return wide[index, 0], wide[index, 1]
+
+
+def exact_names(columns: list[np.ndarray]) -> np.ndarray:
+    """A number for each row of the columns of small numbers, equal for equal rows only."""
+    out, top = columns[0].astype(np.int64), int(columns[0].max(initial=0)) + 1
+    for c in columns[1:]:
+        k = int(c.max(initial=0)) + 1
+        if top * k >= 1 << 63:
+            kinds, out = np.unique(out, return_inverse=True)
+            top = len(kinds)
+        out = out * k + c
+        top *= k
+    return out

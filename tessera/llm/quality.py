@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import U64, Rolling, byte_values, mix, slices, stored, text_bytes, word_spans
+from tessera.llm.common import distinct_words, exact_names, slices, stored, text_bytes, word_spans
 from tessera.llm.textfeatures import Sample, fit_sparse, dot, hashed
 
 #: Labelled rows that a classifier is fitted on, at most; chosen by a hash of doc_id.
@@ -28,8 +28,13 @@ WINDOW = 5
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 
 
+def per_owner(owner: np.ndarray, texts: int) -> np.ndarray:
+    return np.bincount(owner, minlength=texts).astype(np.int64)
+
+
 def base_counts(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text;
+    equal lines and words are told by their bytes."""
     texts = len(offsets) - 1
     starts, ends, before = word_spans(raw, offsets)
     words = np.diff(before)
@@ -41,7 +46,6 @@ def base_counts(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     lead = (raw & 0xC0) != 0x80
     total = np.r_[0, np.cumsum(lead, dtype=np.int64)]
     in_words = np.r_[0, np.cumsum(total[ends] - total[starts])]
-    roll = Rolling(byte_values(raw))
     # lines with a word: between line breaks and text ends
     breaks = np.flatnonzero(raw == 0x0A)
     line_start = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
@@ -50,36 +54,32 @@ def base_counts(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     line_end = np.where(np.isin(line_end - 1, breaks), line_end - 1, line_end)
     owner = np.searchsorted(offsets, line_start, "right") - 1
     has = np.searchsorted(starts, line_end) > np.searchsorted(starts, line_start)
-    line_start, line_end, owner = line_start[has], line_end[has], owner[has]
-    h = mix(roll.of(line_start, line_end) + owner.astype(U64) * U64(0xD6E8FEB86659FD93))
-    order = np.argsort(h, kind="stable")
-    again = np.zeros(len(h), bool)
-    again[order[1:]] = h[order[1:]] == h[order[:-1]]
-    dup_lines = np.bincount(owner[again], minlength=texts)
+    view = raw.tobytes()
+    lines = [(t, view[a:b]) for t, a, b in zip(owner[has].tolist(), line_start[has].tolist(), line_end[has].tolist(), strict=True)]
+    dup_lines = per_owner(owner[has], texts) - np.bincount([t for t, _ in set(lines)], minlength=texts).astype(np.int64)
     # words in windows of five that are found twice in the text
-    word = roll.of(starts, ends)
     text = np.repeat(np.arange(texts), words)
     repeat = np.zeros(texts, np.int64)
-    if len(word) >= WINDOW:
-        window = Rolling(word)
+    if len(text) >= WINDOW:
+        word, _ = distinct_words(raw, starts, ends)
         at = np.flatnonzero(text[: len(text) - WINDOW + 1] == text[WINDOW - 1 :])
-        g = mix(window.of(at, at + WINDOW) + text[at].astype(U64) * U64(0xD6E8FEB86659FD93))
-        order = np.argsort(g)
-        same = g[order[1:]] == g[order[:-1]]
-        twice = np.zeros(len(g), bool)
+        name = exact_names([word[at + k] for k in range(WINDOW)] + [text[at]])
+        order = np.argsort(name)
+        same = name[order[1:]] == name[order[:-1]]
+        twice = np.zeros(len(name), bool)
         twice[order[1:][same]] = True
         twice[order[:-1][same]] = True
-        edge = np.zeros(len(word) + 1, np.int64)
+        edge = np.zeros(len(text) + 1, np.int64)
         np.add.at(edge, at[twice], 1)
         np.add.at(edge, at[twice] + WINDOW, -1)
         covered = np.cumsum(edge[:-1]) > 0
-        repeat = np.bincount(text[covered], minlength=texts)
+        repeat = per_owner(text[covered], texts)
     return {
         "n_words": words.astype(np.int64),
         "word_chars": in_words[before[1:]] - in_words[before[:-1]],
         "n_symbols": per_text(_SYMBOL[raw]),
-        "n_dup_lines": dup_lines.astype(np.int64),
-        "n_repeat_words": repeat.astype(np.int64),
+        "n_dup_lines": dup_lines,
+        "n_repeat_words": repeat,
     }
 
 

@@ -3,7 +3,8 @@
 Level 0 names runs of one word; each later level names pairs (a, b) where a falls
 on the left and b on the right by a bit of their names, so pairs never overlap and
 whether two symbols join depends on the two alone.  A name is a hash of what it
-stands for, so equal strings get equal names in all documents without a table.
+stands for, so equal strings get equal names in all documents without a table: a
+table of names would take a round of joins for each level, over nearly all pairs.
 
 Each symbol carries its *extent*: the words that must be seen to know that it is
 formed.  A symbol whose extent lies inside a window is formed in the same way
@@ -12,8 +13,9 @@ highest level that has one, with the words of its extent; windows inside one run
 which have none, are named by their words.
 
 1. Names of windows go to the name's partition: those in two documents are shared.
-2. Windows with a shared name are verified by a hash of all their words; the
-   smallest doc_id keeps, the others lose the window's words.
+2. Windows with a shared name are verified by 96 bits of two chained hashes of the
+   XXH3-128 of each of their words; the smallest doc_id keeps, the others lose the
+   window's words.
 3. What is lost goes back to the documents.
 
 Tasks send one row for a name or window that many of their documents have.
@@ -33,19 +35,20 @@ from tessera.llm.common import (
     PACKED,
     U64,
     Rolling,
-    byte_values,
     keyed,
     mix,
     pack,
     packed_batches,
     part_of,
     partitions,
+    require_long,
     slices,
     split_by_part,
     stored,
     text_bytes,
     unpack_all,
     with_payloads,
+    word_hashes,
     word_spans,
 )
 from tessera.llm.suffix import covered
@@ -61,7 +64,7 @@ LAST_ID = np.iinfo(np.int64).max  # of a null doc_id: no document is after it
 
 NAME = ["u4", "i8", "u1"]  # bits of the name, key, known to be shared
 SHARED = ["i8", "u4"]  # key, bits of (key, name)
-SEEN = ["u8", "i8", "i8", "u4"]  # window, doc_id, key, first word
+SEEN = ["u8", "u4", "i8", "i8", "u4"]  # 96 bits of the window, doc_id, key, first word
 LOST = ["i8", "u4", "u4"]  # key, first word, windows
 
 
@@ -124,14 +127,22 @@ def window_names(word: np.ndarray, text: np.ndarray, starts: np.ndarray, window:
 
 
 def words_of(raw: np.ndarray, offsets: np.ndarray):
-    """Word hashes, text of each word, words before each text, window starts, spans."""
+    """Both hashes of the words, text of each word, words before each text, window starts."""
     starts, ends, before = word_spans(raw, offsets)
-    word = Rolling(byte_values(raw)).of(starts, ends)
+    word, more = word_hashes(raw, starts, ends)
     counts = np.diff(before)
     text = np.repeat(np.arange(len(counts)), counts)
     windows = np.maximum(counts - WINDOW + 1, 0)
     at = np.repeat(before[:-1] - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
-    return word, text, before, at, (starts, ends)
+    return word, more, text, before, at
+
+
+def window_hashes(word: np.ndarray, more: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of each window: its words one after another, through two hashes."""
+    a, b = np.zeros(len(at), U64), np.full(len(at), _B)
+    for k in range(WINDOW):
+        a, b = mix(a * _A + word[at + k]), mix(b * _B ^ more[at + k])
+    return a, b.astype(np.uint32)
 
 
 def tag(key: np.ndarray, name: np.ndarray) -> np.ndarray:
@@ -165,7 +176,7 @@ def _name(n: int):
             for whole in batches:
                 for batch in slices(whole, "text"):
                     key = batch.column(0).to_numpy()
-                    word, text, _, at, _ = words_of(*text_bytes(batch.column(1)))
+                    word, _, text, _, at = words_of(*text_bytes(batch.column(1)))
                     if not len(at):
                         continue
                     name, owner = window_names(word, text, at), text[at]
@@ -250,16 +261,16 @@ def _verify(n: int):
         here = TaskContext.get().partitionId() % n
 
         def send(held: list[list[np.ndarray]]) -> Iterator[tuple[int, int, bytes]]:
-            window, doc, key, first = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((doc, window))
-            window, doc, key, first = window[order], doc[order], key[order], first[order]
-            new = np.r_[True, window[1:] != window[:-1]]
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            order = np.lexsort((columns[2], columns[1], columns[0]))
+            window, more, doc, key, first = (c[order] for c in columns)
+            new = np.r_[True, (window[1:] != window[:-1]) | (more[1:] != more[:-1])]
             least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
             lost = doc > least
             if lost.any():
                 yield here, 1, pack(_runs(key[lost], first[lost]))
-            sent = _by_key([key[~lost], first[~lost], doc[~lost], window[~lost]])
-            for part, blob in split_by_part(part_of(mix(sent[3]), n), [sent[3], sent[2], sent[0], sent[1]]):
+            key, window, more, doc, first = _by_key([c[~lost] for c in (key, window, more, doc, first)])
+            for part, blob in split_by_part(part_of(mix(window), n), [window, more, doc, key, first]):
                 yield part, 0, blob
 
         def rows() -> Iterator[tuple[int, int, bytes]]:
@@ -269,7 +280,7 @@ def _verify(n: int):
                     bits = np.unique(side[1])
                 key = batch.column(3).to_numpy()
                 doc = batch.column(4).fill_null(LAST_ID).to_numpy()
-                word, text, before, at, _ = words_of(*text_bytes(batch.column(5)))
+                word, more, text, before, at = words_of(*text_bytes(batch.column(5)))
                 if not len(at) or not len(bits):
                     continue
                 owner = text[at]
@@ -277,7 +288,7 @@ def _verify(n: int):
                 place = np.minimum(np.searchsorted(bits, marked), len(bits) - 1)
                 shared = bits[place] == marked
                 at, owner = at[shared], owner[shared]
-                held.append([Rolling(word).of(at, at + WINDOW), doc[owner], key[owner], (at - before[owner]).astype(np.uint32)])
+                held.append([*window_hashes(word, more, at), doc[owner], key[owner], (at - before[owner]).astype(np.uint32)])
                 size += len(at)
                 if size >= HELD:
                     yield from send(held)
@@ -312,12 +323,12 @@ def _least(n: int):
         def rows() -> Iterator[tuple[int, int, bytes]]:
             entries, direct = _gathered(batches)
             yield from _forward(direct, LOST, 0, n)
-            window, doc, key, first = unpack_all(entries, SEEN)
-            if not len(window):
+            columns = unpack_all(entries, SEEN)
+            if not len(columns[0]):
                 return
-            order = np.lexsort((doc, window))
-            window, doc, key, first = window[order], doc[order], key[order], first[order]
-            new = np.r_[True, window[1:] != window[:-1]]
+            order = np.lexsort((columns[2], columns[1], columns[0]))
+            window, more, doc, key, first = (c[order] for c in columns)
+            new = np.r_[True, (window[1:] != window[:-1]) | (more[1:] != more[:-1])]
             lost = doc > doc[np.flatnonzero(new)][np.cumsum(new) - 1]
             columns = _runs(key[lost], first[lost])
             for part, blob in split_by_part(part_of(columns[0].view(U64), n), columns):
@@ -362,12 +373,18 @@ def kept_bytes(raw: np.ndarray, s: np.ndarray, e: np.ndarray, gone: np.ndarray |
     return out.tobytes()
 
 
-def _lost(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, DataFrame]:
+def _lost(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int, DataFrame, DataFrame]:
+    require_long(docs, id_col)
     n = partitions(docs)
-    rows = keyed(docs, n, id_col, text_col)
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    own = docs.select(  # names of our own only, whatever the columns are called
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{text_col}`").isNull().alias("null"),
+        F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)]).alias("row"),
+    )
+    rows = keyed(own, n)
     shared = stored(rows.select("key", "text").mapInArrow(_name(n), PACKED).repartitionById(n, F.col("part")).mapInArrow(_share(n), PACKED), "names")
     lost = with_payloads(rows, shared, n).mapInArrow(_verify(n), PACKED).repartitionById(n, F.col("part")).mapInArrow(_least(n), PACKED)
-    return rows, n, lost
+    return rows, n, lost, own
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -375,9 +392,10 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     Null texts have no words; rows with one doc_id do not remove from each other;
     a null doc_id comes after all others; a run of one word that is longer than the
-    window is named by its words.  An empty table gives an empty table.
+    window is named by its words.  Other columns are not looked at.  Ids that are not
+    whole numbers are refused.  An empty table gives an empty table.
     """
-    rows, n, lost = _lost(docs, id_col, text_col)
+    rows, n, lost, _ = _lost(docs, id_col, text_col)
 
     def finish(batch: pa.RecordBatch, raw: np.ndarray, texts) -> list[pa.Array]:
         return [
@@ -391,10 +409,16 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) with the kept words joined by one space."""
-    rows, n, lost = _lost(docs, id_col, text_col)
+    """``docs`` with the kept words of each text joined by one space; a null text stays
+    null.  Other columns stay as they are, whatever their names."""
+    _, n, lost, own = _lost(docs, id_col, text_col)
+    rows = keyed(own, n, also=["null", "row"])
 
     def finish(batch: pa.RecordBatch, raw: np.ndarray, texts) -> list[pa.Array]:
-        return [batch.column(4), pa.array([kept_bytes(raw, *t).decode() for t in texts], pa.string())]
+        null = batch.column(6).to_pylist()
+        return [batch.column(4), batch.column(7), pa.array([None if z else kept_bytes(raw, *t).decode() for t, z in zip(texts, null, strict=True)], pa.string())]
 
-    return with_payloads(rows, lost, n).mapInArrow(_cut(["doc_id", "text"], finish), "doc_id long, text string")
+    cut = with_payloads(rows, lost, n).mapInArrow(_cut(["doc_id", "row", "text"], finish), own.select("doc_id", "row", "text").schema)
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    place = {c: F.col(f"row.c{k}").alias(c) for k, c in enumerate(others)} | {id_col: F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col), text_col: F.col("text").alias(text_col)}
+    return cut.select(*[place[c] for c in docs.columns])

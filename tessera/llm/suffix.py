@@ -5,8 +5,8 @@ their smallest 64-byte hashes.  The windows of one anchor occurrence form a piec
 and a piece can only repeat in pieces with the same anchor.
 
 1. Each task finds its pieces and sends (anchor, piece hash) to the anchor's
-   partition.  Pieces met twice as a whole repeat; so do all their windows.  An
-   anchor with one piece only is done.  An anchor with several different pieces is
+   partition.  Pieces met twice as a whole, by 96 bits of XXH3-128, repeat; so do all
+   their windows.  An anchor with one piece only is done.  An anchor with several different pieces is
    open: one copy of each goes on.
 2. The open pieces are gathered by anchor, and a Burrows-Wheeler transform of each
    collection is built column by column: each round inserts one symbol per piece,
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,7 +66,9 @@ COLLECTION = 1024
 HELD = 1 << 21
 
 SPANS, OPEN = 1, 2
-PIECE = ["u4", "u8", "i8", "u4", "u1", "u1", "u1"]  # bits of the anchor, piece, key, start, windows - 1, anchor - start, met twice
+#: Most bytes of one text that are looked at together.
+SEGMENT = 1 << 22
+PIECE = ["u4", "u8", "u4", "i8", "u4", "u1", "u1", "u1"]  # bits of the anchor, 96 bits of the piece, key, start, windows - 1, anchor - start, met twice
 SPAN = ["i8", "u4", "u4"]  # key, start, bytes
 WANTED = ["i8", "u4", "u1", "u1", "u4", "u1"]  # key, start, windows - 1, anchor - start, bits of the anchor, hot
 SENT = ["u8", "i8", "u4", "u4"]  # bucket, key, start, bytes
@@ -83,13 +86,13 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def pieces_of(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, start, windows, anchor - start, anchor hash, piece hash) of all pieces."""
+    """(text, start, windows, anchor - start, anchor hash, 96 bits of the piece's XXH3-128) of all pieces."""
     n = len(raw)
     counts = np.maximum(np.diff(offsets) - (length - 1), 0)
     total = int(counts.sum())
     if not total:
         e = np.empty(0, np.int64)
-        return e, e, e, e, e.astype(U64), e.astype(U64)
+        return e, e, e, e, e.astype(U64), e.astype(U64), e.astype(np.uint32)
     roll = Rolling(byte_values(raw))
     at = np.arange(n - gram + 1)
     grams = roll.of(at, at + gram)
@@ -101,7 +104,10 @@ def pieces_of(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
     s, a = starts[first], anchor[first]
     windows = np.diff(np.r_[first, total])
     text = np.searchsorted(offsets, s, "right") - 1
-    return text, s - offsets[text], windows, a - s, grams[a], roll.of(s, s + windows + (length - 1))
+    view, digest = memoryview(np.ascontiguousarray(raw)), xxhash.xxh3_128_digest
+    told = b"".join([digest(view[lo:hi]) for lo, hi in zip(s.tolist(), (s + windows + (length - 1)).tolist(), strict=True)])
+    wide = np.frombuffer(told, U64).reshape(-1, 2)
+    return text, s - offsets[text], windows, a - s, grams[a], wide[:, 0], wide[:, 1].astype(np.uint32)
 
 
 def bwt_order(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -147,11 +153,8 @@ def bwt_order(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.nda
 
 def repeated_windows(data: np.ndarray, start: np.ndarray, length: np.ndarray, window: int = LENGTH) -> np.ndarray:
     """Flags at positions of ``data`` where a window starts that starts elsewhere too."""
-    order = bwt_order(data, start, length)
-    end = np.zeros(len(data) + 1, np.int64)
-    owner = np.repeat(np.arange(len(start)), length)
-    end = (start + length)[owner]
-    long = order[order < len(data)]
+    long = bwt_order(data, start, length)[len(start) :]  # the empty suffixes come first
+    end = np.repeat(start + length, length)
     long = long[end[long] - long >= window]
     roll = Rolling(byte_values(data))
     h = roll.of(long, long + window)
@@ -187,19 +190,19 @@ def _survey(n: int):
         here = TaskContext.get().partitionId() % n
 
         def send(held: list[list[np.ndarray]]) -> Iterator[tuple[int, int, bytes]]:
-            anchor, piece, key, start, windows, ahead = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((piece, anchor))
-            anchor, piece, key, start, windows, ahead = (c[order] for c in (anchor, piece, key, start, windows, ahead))
-            same = np.r_[False, (anchor[1:] == anchor[:-1]) & (piece[1:] == piece[:-1])]
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            order = np.lexsort((columns[2], columns[1], columns[0]))
+            anchor, piece, more, key, start, windows, ahead = (c[order] for c in columns)
+            same = np.r_[False, (anchor[1:] == anchor[:-1]) & (piece[1:] == piece[:-1]) & (more[1:] == more[:-1])]
             twice = same | np.r_[same[1:], False]
             first = ~same
             if twice.any():
                 by = np.flatnonzero(twice)[np.lexsort((start[twice], key[twice]))]
                 yield here, SPANS, pack([key[by], start[by], windows[by].astype(np.uint32) + np.uint32(LENGTH)])
             by = np.flatnonzero(first)[np.lexsort((start[first], key[first]))]  # runs of one key pack well
-            anchor, piece, key, start, windows, ahead, twice = (c[by] for c in (anchor, piece, key, start, windows, ahead, twice))
+            anchor, piece, more, key, start, windows, ahead, twice = (c[by] for c in (anchor, piece, more, key, start, windows, ahead, twice))
             # 32 bits of the anchor beside its partition: a chance match is compared like any other
-            columns = [anchor.astype(np.uint32), piece, key, start, windows, ahead, twice.astype(np.uint8)]
+            columns = [anchor.astype(np.uint32), piece, more, key, start, windows, ahead, twice.astype(np.uint8)]
             for part, blob in split_by_part(part_of(mix(anchor), n), columns):
                 yield part, 0, blob
 
@@ -210,9 +213,9 @@ def _survey(n: int):
                     key = batch.column(0).to_numpy()
                     raw, offsets = text_bytes(batch.column(1))
                     for lo, hi, base in segments(offsets):
-                        text, s, w, a, ah, ph = pieces_of(raw[lo:hi], np.clip(offsets, lo, hi) - lo)
+                        text, s, w, a, ah, ph, more = pieces_of(raw[lo:hi], np.clip(offsets, lo, hi) - lo)
                         if len(s):
-                            held.append([ah, ph, key[text], (s + base).astype(np.uint32), (w - 1).astype(np.uint8), a.astype(np.uint8)])
+                            held.append([ah, ph, more, key[text], (s + base).astype(np.uint32), (w - 1).astype(np.uint8), a.astype(np.uint8)])
                             size += len(s)
                     if size >= HELD:
                         yield from send(held)
@@ -225,9 +228,9 @@ def _survey(n: int):
     return run
 
 
-def segments(offsets: np.ndarray, most: int = 1 << 25) -> Iterator[tuple[int, int, int]]:
+def segments(offsets: np.ndarray, most: int = SEGMENT) -> Iterator[tuple[int, int, int]]:
     """Byte ranges of a slice, and what to add to starts: one range, or for a single
-    text longer than positions can tell, ranges that overlap by a window less one."""
+    text longer than that, ranges that overlap by a window less one."""
     if offsets[-1] <= most:
         yield 0, int(offsets[-1]), 0
         return
@@ -247,13 +250,13 @@ def _judge(n: int):
             key, start, size = unpack_all(direct, SPAN)
             for part, blob in split_by_part(part_of(key.view(U64), n), [key, start, size]):
                 yield part, SPANS, blob
-            anchor, piece, key, start, windows, ahead, twice = unpack_all(blobs, PIECE)
-            if not len(anchor):
+            columns = unpack_all(blobs, PIECE)
+            if not len(columns[0]):
                 return
-            order = np.lexsort((piece, anchor))
-            anchor, piece, key, start, windows, ahead, twice = (c[order] for c in (anchor, piece, key, start, windows, ahead, twice))
+            order = np.lexsort((columns[2], columns[1], columns[0]))
+            anchor, piece, more, key, start, windows, ahead, twice = (c[order] for c in columns)
             new_anchor = np.r_[True, anchor[1:] != anchor[:-1]]
-            new_piece = new_anchor | np.r_[True, piece[1:] != piece[:-1]]
+            new_piece = new_anchor | np.r_[True, (piece[1:] != piece[:-1]) | (more[1:] != more[:-1])]
             group = np.cumsum(new_piece) - 1
             whole = (np.bincount(group) > 1) | (np.bincount(group, twice) > 0)
             again = whole[group] & (twice == 0)  # what was met twice in a task is told already
@@ -422,7 +425,8 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each row.
 
     Null texts are empty.  Repeated rows are documents of their own, so a text of
-    200 bytes or more that stands in two rows is removed from both.  An empty table
+    200 bytes or more that stands in two rows is removed from both.  Ids may have any
+    type and be null or repeated; other columns are not looked at.  An empty table
     gives an empty table.
     """
     rows, n, spans = _spans(docs, id_col, text_col)
@@ -435,21 +439,26 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         return [part.column(4), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(found, pa.int64()), pa.array(sha, pa.string())]
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    return with_payloads(rows, spans, n).mapInArrow(_cut(names, finish), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_payloads(rows, spans, n).mapInArrow(_cut(names, finish), f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with repeated strings cut from its texts; a null text stays null, a
-    character of which a byte is cut goes whole.  Other columns stay as they are."""
+    character of which a byte is cut goes whole.  Other columns stay as they are,
+    whatever their names; ids may have any type and be null or repeated."""
     others = [c for c in docs.columns if c != text_col]
     rows, n, spans = _spans(docs, id_col, text_col)
-    wide = keyed(docs.withColumn("_null", F.col(text_col).isNull()).withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in others])), n, id_col, text_col, ["_null", "_row"])
+    own = docs.select(  # names of our own only, whatever the columns are called
+        F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{text_col}`").isNull().alias("null"),
+        F.struct(F.lit(0).alias("none"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)]).alias("row"),
+    )
+    wide = keyed(own, n, also=["null", "row"])
 
     def finish(part: pa.RecordBatch, texts) -> list[pa.Array]:
         null = part.column(6).to_pylist()
         kept = [None if z else bytes(t if r is None else t[~r]).decode("utf-8", "ignore") for (t, r), z in zip(texts, null, strict=True)]
         return [part.column(7), pa.array(kept, pa.string())]
 
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.col(f"`{text_col}`").alias("_text")).schema
-    cut = with_payloads(wide, spans, n).mapInArrow(_cut(["_row", "_text"], finish), row)
-    return cut.select(*[(F.col("_text") if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
+    cut = with_payloads(wide, spans, n).mapInArrow(_cut(["row", "text"], finish), own.select("row", "text").schema)
+    place = {c: F.col(f"row.c{k}").alias(c) for k, c in enumerate(others)}
+    return cut.select(*[place.get(c, F.col("text").alias(c)) for c in docs.columns])

@@ -66,13 +66,67 @@ def test_column_wise_order_is_the_suffix_order(seed):
     assert got == sorted(bytes(d[i:]) for d in docs for i in range(len(d)))
 
 
+@pytest.mark.parametrize("block", range(10))
+def test_repeated_windows_of_tiny_collections(block):
+    """10,000 random collections of one to six strings, in the order they come."""
+    rng = np.random.default_rng(block)
+    for _ in range(1000):
+        window = int(rng.integers(1, 6))
+        docs = [rng.integers(97, 97 + rng.integers(1, 4), rng.integers(0, 14)).astype(np.uint8) for _ in range(rng.integers(1, 7))]
+        size = np.array([len(d) for d in docs])
+        start = np.cumsum(size) - size
+        seen = Counter(bytes(d[i : i + window]) for d in docs for i in range(len(d) - window + 1))
+        want = np.concatenate([[i + window <= len(d) and seen[bytes(d[i : i + window])] > 1 for i in range(len(d))] for d in docs]).astype(bool)
+        assert (suffix.repeated_windows(np.concatenate(docs), start, size, window) == want).all()
+
+
+def test_strings_that_share_a_little_less_than_a_window_stay(spark):
+    """190 bytes in common, both ends differ: nothing occurs twice, whatever the order of rows."""
+    rng = np.random.default_rng(3)
+    for k in range(4):
+        core = bytes(rng.integers(97, 123, 190).astype(np.uint8)).decode()
+        ends = [bytes(rng.integers(97, 123, 10).astype(np.uint8)).decode() for _ in range(3)]
+        rows = [(i, e[:5] + core + e[5:]) for i, e in enumerate(ends)]
+        for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+            assert all(r.n_removed == 0 for r in suffix.digest(spark.createDataFrame(order, "doc_id long, text string").coalesce(1)).collect())
+
+
+def test_text_longer_than_a_segment(spark):
+    rng = np.random.default_rng(4)
+    long = rng.integers(97, 123, suffix.SEGMENT + 5000).astype(np.uint8)
+    long[suffix.SEGMENT - 150 : suffix.SEGMENT + 150] = long[1000:1300]  # a repeat across the border
+    rows = [(1, bytes(long).decode()), (2, bytes(long[suffix.SEGMENT + 1000 : suffix.SEGMENT + 1250]).decode())]
+    got = {r.doc_id: r for r in suffix.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_bytes, got[1].n_removed, got[1].n_spans) == (len(long), 850, 3) and got[2].n_removed == 250
+
+
+@pytest.mark.parametrize("operator", [suffix, recompress])
+def test_columns_with_any_names(spark, operator):
+    words = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, words, True, "r1", 5), (2, words + " end", None, None, None), (3, None, False, "r3", 7), (4, "", True, "", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `_null` boolean, `row` string, `part` int")
+    out = {r.doc_id: r for r in operator.dedup(df).collect()}
+    assert operator.dedup(df).columns == df.columns
+    assert [(out[k]["_null"], out[k]["row"], out[k]["part"]) for k in (1, 2, 3, 4)] == [r[2:] for r in rows]
+    assert out[3].text is None and out[4].text == "" and out[2].text.strip() == "end"
+    odd = df.select("doc_id", "text", "part").toDF("key", "payload", "a.b")
+    assert operator.dedup(odd, "key", "payload").count() == 4 and operator.dedup(odd, "key", "payload").columns == odd.columns
+
+
+def test_ids_of_other_types(spark):
+    df = spark.createDataFrame([("a", "x" * 300), ("b", "x" * 300), (None, "y")], "doc_id string, text string")
+    assert {r.doc_id: r.n_removed for r in suffix.digest(df).collect()} == {"a": 300, "b": 300, None: 0}
+    with pytest.raises(TypeError, match="whole numbers"):
+        recompress.digest(df)
+
+
 def test_hot_anchor_is_split_by_sub_ranges():
     """Sub-pieces of an anchor cover all its windows, and shared bytes give equal buckets."""
     rng = np.random.default_rng(5)
     line = rng.integers(97, 123, 230).astype(np.uint8)
     texts = [np.concatenate([rng.integers(97, 123, 90).astype(np.uint8), line, rng.integers(97, 123, 60).astype(np.uint8)]) for _ in range(6)]
     raw, offsets = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
-    text, s, w, a, ah, ph = suffix.pieces_of(raw, offsets)
+    text, s, w, a, ah, ph, more = suffix.pieces_of(raw, offsets)
     assert int(w.sum()) == sum(len(t) - 199 for t in texts)
     spans = sum(np.maximum(np.minimum(a, suffix.SUB_RANGE * j + suffix.SUB_RANGE - 1) - np.maximum(a - w + 1, suffix.SUB_RANGE * j) + 1, 0) for j in range(-(-256 // suffix.SUB_RANGE)))
     assert (spans == w).all()
