@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 
 #: Element names, fixed by HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math select option object canvas head".split())
+#: Elements whose content is no page text; the first four run to the end of a page that does not close them.
+RAW = frozenset("script style textarea title template iframe svg select option head".split())
+_TO_END = frozenset("script style textarea title".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul br".split()
@@ -34,11 +38,16 @@ _P_ENDS = frozenset(
     "header hr main menu nav ol p pre section table ul".split()
 )
 _LISTED = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: End tags that close table cells on their way.
+_THROUGH_CELLS = frozenset("tr table tbody thead tfoot body html div article main section".split())
 _SCOPE = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr",), "th": ("tr",), "option": ("select",)}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+_TAG_HEAD = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_SPECIAL = re.compile(r"[>\"']")
 _ATTR = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f\v   -     　\x85\x1c-\x1f]+")
+_LONG_REFERENCE = re.compile(r"&#([0-9]{8,});?")
 _NAMES = re.compile(r"[a-z]+")
 
 #: Words in names that mark parts beside the article; plain text in natural order.
@@ -59,6 +68,11 @@ _CLASS_AT = {w: i for i, w in enumerate(BESIDE + WITHIN)}
 N_FEATURES = 1 + len(TAGS) + len(_CLASS_AT) + 8
 
 
+@cache
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}\s*>", re.I)
+
+
 @dataclass
 class Page:
     """Nodes in page order; node 0 is the root.  ``text`` is None for elements."""
@@ -70,10 +84,54 @@ class Page:
     depth: list[int]
 
 
+class Tags:
+    """Tags of a page in linear time.  A tag is tried by one expression; once that has
+    failed, ends are looked up in the list of quotes and angle brackets, and what was
+    learnt about an opening quote is not found out again."""
+
+    def __init__(self, source: str):
+        self.source, self.marks, self.after = source, None, {}
+
+    def at(self, start: int) -> tuple[str, str, str, int] | None:
+        """(slash, name, attributes, end) of the tag at ``start``, or None for text."""
+        if self.marks is None:
+            m = _TAG.match(self.source, start)
+            if m:
+                return m[1], m[2], m[3], m.end()
+            self.marks = [m.start() for m in _SPECIAL.finditer(self.source)]
+            last: dict[str, int] = {}
+            self.closing = [0] * len(self.marks)  # place of the next mark of the same kind, or -1
+            for k in range(len(self.marks) - 1, -1, -1):
+                kind = self.source[self.marks[k]]
+                self.closing[k] = last.get(kind, -1)
+                last[kind] = k
+        head = _TAG_HEAD.match(self.source, start)
+        if not head:
+            return None
+        k, passed = bisect_left(self.marks, head.end()), []
+        while True:
+            if k >= len(self.marks) or k < 0:
+                end = -1
+                break
+            if self.source[self.marks[k]] == ">":
+                end = self.marks[k]
+                break
+            if k in self.after:
+                end = self.after[k]
+                break
+            passed.append(k)
+            k = self.closing[k] + 1 if self.closing[k] >= 0 else -1
+        self.after.update(dict.fromkeys(passed, end))
+        return None if end < 0 else (head[1], head[2], self.source[head.end() : end], end + 1)
+
+
 def parse(source: str) -> Page:
+    """The tree of a page, in time linear in its length whatever it holds."""
     page = Page([-1], ["html"], [()], [None], [0])
     stack = [0]
-    opened: dict[str, int] = {}  # open elements by name: an end tag that matches none costs nothing
+    opened: dict[str, list[int]] = {}  # places in the stack of the open elements of each name
+    blocks: list[int] = []  # places in the stack of the open block elements
+    never: set[str] = set()  # names of elements that nothing closes any more
 
     def add(tag: str, names: tuple[str, ...], text: str | None) -> int:
         page.parent.append(stack[-1])
@@ -85,62 +143,66 @@ def parse(source: str) -> Page:
 
     def close(to: int) -> None:
         for v in stack[to:]:
-            opened[page.tag[v]] -= 1
+            opened[page.tag[v]].pop()
         del stack[to:]
+        while blocks and blocks[-1] >= to:
+            blocks.pop()
+
+    def nearest(names: tuple[str, ...]) -> int:
+        return max((opened[n][-1] for n in names if opened.get(n)), default=0)
 
-    at, size, search = 0, len(source), _TOKEN.search
+    at, text_from, size, tags = 0, 0, len(source), Tags(source)
+    last_bracket = source.rfind(">")
     while at < size:
-        m = search(source, at)
-        end = m.start() if m else size
-        if end > at:
-            add("#text", (), source[at:end])
-        if not m:
+        start = source.find("<", at)
+        if start < 0:
             break
-        at = m.end()
-        name = m.group(2)
+        after = source[start + 1 : start + 2]
+        slash = name = attributes = None
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            end = size if end < 0 else end + 3
+        elif after in ("!", "?") and start < last_bracket:
+            end = source.find(">", start) + 1
+        else:
+            found = tags.at(start) if after == "/" or after.isalpha() else None
+            if not found:
+                at = start + 1  # text
+                continue
+            slash, name, attributes, end = found
+        if start > text_from:
+            add("#text", (), source[text_from:start])
+        at = text_from = end
         if name is None:
             continue
         name = name.lower()
-        if m.group(1):
-            if not opened.get(name):
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if page.tag[stack[k]] == name:
-                    close(k)
-                    break
-                if page.tag[stack[k]] in ("td", "th") and name not in ("tr", "table", "tbody", "thead", "tfoot", "body", "html", "div", "article", "main", "section"):
-                    break
+        if slash:
+            k = nearest((name,))
+            if k and (k >= nearest(("td", "th")) or name in _THROUGH_CELLS):
+                close(k)
             continue
         if name in ("html", "body"):
             continue
         if name in RAW:
-            # the content of these is no page text; up to its own end tag
-            stop = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
+            # up to its own end tag
+            stop = None if name in never else _end_of(name).search(source, at)
             if stop:
-                at = stop.end()
-            elif name in ("script", "style", "title", "textarea", "noscript", "template", "svg"):
-                at = size
+                at = text_from = stop.end()
+            elif name in _TO_END:
+                at = text_from = size
+            else:
+                never.add(name)
             continue
-        if name in _P_ENDS:
-            for k in range(len(stack) - 1, 0, -1):
-                tag = page.tag[stack[k]]
-                if tag == "p":
-                    close(k)
-                    break
-                if tag in BLOCK:
-                    break
+        if name in _P_ENDS and blocks and page.tag[stack[blocks[-1]]] == "p":
+            close(blocks[-1])
         if name in _LISTED:
-            for k in range(len(stack) - 1, 0, -1):
-                tag = page.tag[stack[k]]
-                if tag in _LISTED[name]:
-                    close(k)
-                    break
-                if tag in _SCOPE[name]:
-                    break
+            k = nearest(_LISTED[name])
+            if k and k > nearest(_SCOPE[name]):
+                close(k)
         names: tuple[str, ...] = ()
-        if m.group(3):
+        if attributes:
             found = []
-            for a in _ATTR.finditer(m.group(3)):
+            for a in _ATTR.finditer(attributes):
                 value = (a.group(2) or a.group(3) or a.group(4) or "").lower()
                 kind = a.group(1).lower()
                 if kind in ("hidden",) or (kind == "aria-hidden" and value == "true") or (kind == "style" and "display:none" in value.replace(" ", "")):
@@ -149,14 +211,24 @@ def parse(source: str) -> Page:
                     found += _NAMES.findall(value)
             names = tuple(found)
         node = add(name, names, None)
-        if name not in VOID and not m.group(3).endswith("/"):
+        if name not in VOID and not attributes.endswith("/"):
+            opened.setdefault(name, []).append(len(stack))
+            if name in BLOCK:
+                blocks.append(len(stack))
             stack.append(node)
-            opened[name] = opened.get(name, 0) + 1
+    if size > text_from:
+        add("#text", (), source[text_from:size])
     return page
 
 
+def _short(m: re.Match) -> str:
+    digits = m[1].lstrip("0")
+    return f"&#{digits or 0};" if len(digits) < 8 else "&#99999999;"
+
+
 def clean(text: str) -> str:
-    return _SPACES.sub(" ", entities.unescape(text))
+    """Character references decoded, white space made single spaces."""
+    return _SPACES.sub(" ", entities.unescape(_LONG_REFERENCE.sub(_short, text)))
 
 
 def features(page: Page) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -327,18 +399,20 @@ def main_text(page: Page, content: np.ndarray) -> str:
     return "\n".join(blocks)
 
 
-#: Labelled pages that the model is trained on, at most; the first by a hash of page_id.
+#: Labelled pages that the model is trained on, at most, the first by a hash of page_id, and the characters of each, at most.
 TRAIN_PAGES = 80
 TRAIN_CHARS = 20_000
 
 
-def fit(pages: DataFrame, most: int = TRAIN_PAGES) -> TreeModel:
+def fit(pages: DataFrame, most: int = TRAIN_PAGES, most_chars: int = TRAIN_CHARS) -> TreeModel:
     """Train on at most ``most`` pages of ``pages(page_id, html)`` that mark their
     article, beside a few written examples of parts that pages in the table may
-    lack (menus, notices, forms, comments), which :func:`label` labels alike."""
+    lack (menus, notices, forms, comments), which :func:`label` labels alike.  The
+    sample fits the driver: pages of more than ``most_chars`` characters are not
+    trained on; all pages are extracted from, whatever their length."""
     rows = (
-        pages.where(F.col("html").rlike("(?i)<(article|main)\\b") & (F.length("html") <= TRAIN_CHARS))
-        .orderBy(F.xxhash64("page_id"), "page_id").limit(most).select("html").toArrow()["html"].to_pylist()
+        pages.where(F.col("html").rlike("(?i)<(article|main)\\b") & (F.length("html") <= most_chars))
+        .orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(most).select("html").toArrow()["html"].to_pylist()
     )
     made = [(p, y, 1.0) for p in map(parse, rows) if (y := label(p)) is not None]
     return train(made + example_pages(max(1, len(made)) / len(EXAMPLES)))

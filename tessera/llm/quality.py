@@ -15,7 +15,7 @@ from tessera.llm.textfeatures import Sample, fit_sparse, dot, hashed
 
 #: Labelled rows that a classifier is fitted on, at most; chosen by a hash of doc_id.
 FIT_ROWS = 3000
-#: Total bytes of text in them, at most.
+#: Total bytes of text in them, at most; no text of more than a fiftieth of this many characters is fitted on.
 FIT_BYTES = 24_000_000
 #: Bytes of text that the driver holds at once.
 PART_BYTES = 2_000_000
@@ -97,14 +97,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, columns: list[str], rows: int = FIT_ROWS, size: int = FIT_BYTES) -> tuple[pa.Table, Iterator[tuple[np.ndarray, np.ndarray]]]:
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, columns: list[str], rows: int = FIT_ROWS, size: int = FIT_BYTES, longest: int | None = None, id_col: str = "doc_id", text_col: str = "text"
+) -> tuple[pa.Table, Iterator[tuple[np.ndarray, np.ndarray]]]:
     """Labels, and in parts the texts, of at most ``rows`` labelled documents and
-    ``size`` bytes, the first by a hash of doc_id.  Bounded whatever the tables hold."""
+    ``size`` bytes, the first by a hash of their ids, and none of more than ``longest``
+    characters (size / 50 if not given).  Bounded whatever the tables hold."""
+    longest = size // 50 if longest is None else longest
+    docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    labels = labels.select(F.col(f"`{id_col}`").alias("doc_id"), *columns)
     marked = labels.where(" AND ".join(f"{c} IS NOT NULL" for c in columns)).select("doc_id", *columns)
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id", *columns).limit(rows)
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = text.join(F.broadcast(chosen), "doc_id").where(F.length("text") <= size // 50)
-    first = found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    found = text.join(F.broadcast(chosen), "doc_id").where(F.length("text") <= longest)
+    first = found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), *columns).limit(rows)
     # one partition, so the ids count its rows
     kept = stored(first.select(F.monotonically_increasing_id().alias("nth"), F.octet_length("text").alias("bytes"), "text", *columns), "sample")
     table = kept.drop("text").orderBy("nth").toArrow()
@@ -126,13 +132,14 @@ def logistic(p: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(p, -40, 40)))
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """The classifier of label ``quality``, or None where the sample has one class only.
+    Fitted on the bounded sample that :func:`labelled_sample` takes; all else covers all rows.
 
     Classes weigh alike.  Probabilities are calibrated by Platt's scaling on rows
     held out from the fit.
     """
-    table, parts = labelled_sample(docs, labels, ["quality"])
+    table, parts = labelled_sample(docs, labels, ["quality"], id_col=id_col, text_col=text_col)
     y = np.asarray(table["quality"]).astype(float) > 0
     if y.all() or not y.any():
         return None

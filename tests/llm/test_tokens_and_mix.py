@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -228,6 +229,43 @@ def test_messages_equal_enumeration():
     assert np.allclose(html_model.beliefs(page, model)[0], content / total)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("<>a b\"'/=")), max_size=40))
+def test_tags_from_the_list_of_marks_are_those_of_the_expression(source):
+    listed = html_model.Tags(source + '<x "')
+    assert listed.at(len(source)) is None and listed.marks is not None  # from here on the list is used
+    listed = html_model.Tags(source)
+    listed.at(len(source))
+    for start in [k for k in range(len(source)) if source[k] == "<"]:
+        m = html_model._TAG.match(source, start)
+        fresh = html_model.Tags(source)
+        fresh.at(len(source))  # no tag there: the list is made
+        for tags in (fresh, listed):
+            assert tags.at(start) == (m and (m[1], m[2], m[3], m.end()))
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a '", '<a "', "<object>", "<svg>", "<!x ", "<?x ", "<!--", "<a '>'", "<p><b>", "<", "</a ", "&#99999999999", "<li><b></li>", "<div>", "<hr><b>"])
+def test_hostile_pages_take_linear_time(part):
+    source = part * (600_000 // len(part)) + "<p>end</p>"
+    began = time.process_time()
+    page = html_model.parse(source)
+    html_model.clean("".join(t for t in page.text if t))
+    assert time.process_time() - began < 20 and len(page.tag) == len(page.parent)
+
+
+def test_open_elements_that_block_end_tags():
+    for source in ("<b>" * 50_000 + "<hr>" * 50_000, "<b>" * 50_000 + "<li></li>" * 30_000, "<x><td>" + "<b>" * 50_000 + "</x>" * 50_000):
+        began = time.process_time()
+        html_model.parse(source)
+        assert time.process_time() - began < 20
+
+
+def test_references_and_embedded_parts():
+    assert html_model.clean("&#0000000065;&#99999999999999999;&#x41; &amp;  b") == "A\ufffdA & b"
+    page = html_model.parse("<article><p>one <math><mi>x</mi></math></p><noscript><p>two</p></noscript><object>three<svg><text>no</text></svg></object></article><svg>open<p>four")
+    assert [t.strip() for t in page.text if t] == ["one", "x", "two", "three", "open", "four"]
+
+
 def test_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     extra = spark.createDataFrame([(900, "u", None), (901, "u", ""), (902, "u", "<p>"), (903, "u", "plain words &amp; more"), (904, "u", "<script>x"), (905, "u", "<div><p>unclosed")], "page_id long, url string, html string")
