@@ -2,11 +2,13 @@
 
 Equal vectors of a label are one node with a weight.  The nodes of a label are
 dealt into shards of bounded size; each shard becomes one hierarchical navigable
-small-world graph, built and stored once.  Every node then asks every shard of its
-label, in blocks.  The beam is doubled for queries whose beam is half full of
-matches, and for all while the recall of audited queries against brute force, of
-matches or of nearest nodes, is too low; what a beam of ``MOST_BEAM`` does not settle is compared with the whole
-shard, so a vector with many partners loses none of them.
+small-world graph.  A graph is sent once to each group of at most about ``GROUP``
+queries, which follow it as rows, so what is sent beside it is the queries' vectors.
+Every node asks every shard of its label.  The beam is doubled for queries whose
+beam is half full of matches, and for all while the recall of audited queries against
+brute force, of matches or of nearest nodes, is too low; what a beam of ``MOST_BEAM``
+does not settle is compared with the whole shard, so a vector with many partners loses
+none of them.  Shards of fewer than twice the first beam are compared as a whole.
 """
 
 from __future__ import annotations
@@ -16,17 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import require_long, stored
 from tessera.llm.components import components
 
 THRESHOLD = 0.98
 #: Nodes in a shard, about.
-SHARD = 4096
-#: Nodes in a block of queries, about.
-BLOCK = 4096
+SHARD = 8192
+#: Queries of a label that follow one copy of a graph, about.
+GROUP = 16384
 LINKS = 12
 BUILD_BEAM = 32
 FIRST_BEAM = 24
@@ -155,7 +157,9 @@ class Graph:
 
 
 def units(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    """Vectors of length one; scaled first, so that no square overflows or vanishes."""
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
 def audited(n: int) -> np.ndarray:
@@ -163,11 +167,12 @@ def audited(n: int) -> np.ndarray:
     return np.arange(n) % max(1, min(AUDIT, n // LEAST_AUDIT)) == 0
 
 
-def matches(graph: Graph, exact: np.ndarray, queries: np.ndarray, audit: np.ndarray, threshold: float, own: np.ndarray | None = None) -> list[np.ndarray]:
+def matches(graph: Graph, exact: np.ndarray, queries: np.ndarray, audit: np.ndarray, threshold: float, own: np.ndarray | None = None) -> tuple[list[np.ndarray], int, int]:
     """For each query the nodes with cosine of at least ``threshold``, in double
     precision, without its own node ``own`` (-1: not in the graph).  ``audit`` marks
     queries whose answers are checked by brute force: their matches and, as most may
-    have none, their nearest node."""
+    have none, their nearest node.  Also the true matches of the audited queries, and
+    how many of them are in the answers."""
     n = len(exact)
     own = np.full(len(queries), -1) if own is None else own
     out: list[np.ndarray] = [np.empty(0, np.int64)] * len(queries)
@@ -175,6 +180,10 @@ def matches(graph: Graph, exact: np.ndarray, queries: np.ndarray, audit: np.ndar
     beam = min(FIRST_BEAM, n)
     checked = np.flatnonzero(audit).tolist()
     truth, nearest, reached = {}, {}, {}
+
+    def audited_answers() -> tuple[list[np.ndarray], int, int]:
+        return out, sum(len(truth[i]) for i in checked), sum(len(np.intersect1d(out[i], truth[i])) for i in checked)
+
     for i in checked:
         cos = exact @ queries[i]
         if own[i] >= 0:
@@ -189,7 +198,7 @@ def matches(graph: Graph, exact: np.ndarray, queries: np.ndarray, audit: np.ndar
                 hit[inside, own[some[inside]]] = False
                 for i, row in zip(some, hit, strict=True):
                     out[i] = np.flatnonzero(row)
-            return out
+            return audited_answers()
         full = []
         for at in range(0, len(todo), 512):
             some = todo[at : at + 512]
@@ -208,7 +217,7 @@ def matches(graph: Graph, exact: np.ndarray, queries: np.ndarray, audit: np.ndar
         near = sum(reached[i] >= nearest[i] - 1e-9 for i in settled)
         todo = todo_full if got >= RECALL * want and near >= RECALL * len(settled) else np.arange(len(queries))
         if not len(todo):
-            return out
+            return audited_answers()
         beam *= 2
 
 
@@ -234,69 +243,117 @@ def span(n: int, groups: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, int), np.array(b, int)
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of each row.
-
-    Only rows with equal labels that are not null are compared.  Vectors that are
-    null, empty, zero, or hold null or non-finite numbers link with nothing; vectors
-    of another length than a shard's first do not link with it.  Equal vectors link
-    with each other.  Repeated vec_ids are rows of their own in the counts and one
-    node of the component.
-    """
-    v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
-    usable = (
-        F.col(label_col).isNotNull()
-        & F.coalesce(F.size(vector_col) > 0, F.lit(False))
-        & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
-        & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
-    )
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), v.alias("v"), usable.alias("usable"))
-    marked = stored(rows.select("vec_id", "label", F.when(F.col("usable"), F.transform("v", lambda x: x + F.lit(0.0))).alias("v")), "vectors")
-    nodes = stored(marked.where("v IS NOT NULL").groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")), "nodes")
-    shards = nodes.groupBy("label", F.size("v").alias("width")).agg(F.ceil(F.count("*") / SHARD).cast("int").alias("shards"))
-    dealt = (
-        nodes.withColumn("width", F.size("v")).join(shards, ["label", "width"])
-        .withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards")).cast("int"))
+def usable(vector: Column, label: Column) -> Column:
+    """Whether a vector may link: not null, empty or zero, with finite numbers only, under a label."""
+    return (
+        label.isNotNull()
+        & F.coalesce(F.size(vector) > 0, F.lit(False))
+        & F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+        & F.coalesce(F.exists(vector, lambda x: x != 0), F.lit(False))
     )
 
+
+def search(nodes: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD) -> DataFrame:
+    """What ``nodes(label, v, node, weight)`` are linked to, in rows of three kinds:
+    ``links`` of a node (a = b), pairs (a, b) that join (links null), and the audit of
+    some queries (a null): ``wanted`` true links, of which ``got`` were found."""
+    sized = nodes.withColumn("width", F.size("v"))
+    shards = sized.groupBy("label", "width").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards"), F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
+    dealt = sized.join(shards, ["label", "width"]).withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards")).cast("int"))
+
     def build(table: pa.Table) -> pa.Table:
         width = table["width"][0].as_py()
         exact = units(np.asarray(table["v"].combine_chunks().flatten()).reshape(-1, width))
         order = np.argsort(np.asarray(table["node"]))
         exact, node, weight = exact[order], np.asarray(table["node"])[order], np.asarray(table["weight"])[order]
         blob = pickle.dumps((Graph(exact), exact, node, weight))
-        head = [table["label"][0].as_py(), width, table["shard"][0].as_py(), table["shards"][0].as_py()]
-        return pa.table([pa.array([head[0]], table["label"].type), *(pa.array([x], pa.int32()) for x in head[1:]), pa.array([blob], pa.binary())], names=["label", "width", "shard", "shards", "graph"])
+        return pa.table([table["label"][:1], *(table[c][:1] for c in ("width", "shard", "groups")), pa.array([blob], pa.binary())], names=["label", "width", "shard", "groups", "graph"])
 
     kind = nodes.schema["label"].dataType.simpleString()
-    graphs = stored(dealt.groupBy("label", "width", "shard").applyInArrow(build, f"label {kind}, width int, shard int, shards int, graph binary"), "graphs")
-
-    # a shard's own nodes are a block of queries; each block asks every shard of its label
-    blocks = graphs.select("label", "width", F.col("graph").alias("block"), F.col("shard").alias("home"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-    asked = blocks.join(graphs.select("label", "width", "shard", "graph"), ["label", "width", "shard"]).select("block", "graph", (F.col("home") == F.col("shard")).alias("same"))
+    graphs = stored(dealt.groupBy("label", "width", "shard").applyInArrow(build, f"label {kind}, width int, shard int, groups int, graph binary"), "graphs")
+    key = ["label", "width", "shard", "group"]
+    sent = graphs.select("label", "width", "shard", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "graph")
+    asked = dealt.select(
+        "label", "width", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64("node"), F.col("groups")).cast("int").alias("group"),
+        F.lit(None).cast("binary").alias("graph"), "node", "weight", "v",
+    )
+    rows = sent.select(*key, "graph", *(F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in ("node", "weight", "v"))).unionByName(asked)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
         for batch in batches:
-            for block, shard, same in zip(*batch.columns, strict=True):
-                _, queries, q_node, q_weight = pickle.loads(block.as_py())
-                graph, exact, node, weight = pickle.loads(shard.as_py())
-                inside = np.arange(len(q_node)) if same.as_py() else None
-                found = matches(graph, exact, queries, audited(len(q_node)), threshold, inside)
+            graph_at = np.flatnonzero(np.asarray(batch.column(4).is_valid()))
+            edges = np.unique(np.r_[0, graph_at, graph_at + 1, batch.num_rows])
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if batch.column(4)[lo].is_valid:
+                    held = pickle.loads(batch.column(4)[lo].as_py())
+                    continue
+                graph, exact, node, weight = held
+                part = batch.slice(lo, hi - lo)
+                q_node, q_weight = np.asarray(part.column(5)), np.asarray(part.column(6))
+                queries = units(np.asarray(part.column(7).flatten()).reshape(len(q_node), -1))
+                place = np.minimum(np.searchsorted(node, q_node), len(node) - 1)
+                own = np.where(node[place] == q_node, place, -1)
+                found, wanted, got = matches(graph, exact, queries, audited(len(q_node)), threshold, own)
                 # a node's equal rows are known without a search
-                links = np.array([weight[f].sum() for f in found]) + (q_weight - 1 if same.as_py() else 0)
-                own = len(node) + np.arange(len(q_node))
-                a, b = span(len(node) + len(q_node), [np.r_[o, f] for o, f in zip(own, found, strict=True)])
+                links = np.array([weight[f].sum() for f in found], np.int64) + np.where(own >= 0, q_weight - 1, 0)
+                a, b = span(len(node) + len(q_node), [np.r_[len(node) + k, f] for k, f in enumerate(found)])
                 names = np.r_[node, q_node]
-                # rows of two kinds: links of a node, and pairs that join (links null)
+                none = np.arange(len(q_node) + len(a) + 1) >= len(q_node)
+                audit = np.arange(len(none)) < len(none) - 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.r_[q_node, names[a]]), pa.array(np.r_[q_node, names[b]]), pa.array(np.r_[links, np.zeros(len(a))].astype(np.int64))], ["a", "b", "links"]
+                    [
+                        pa.array(np.r_[q_node, names[a], 0], mask=~audit), pa.array(np.r_[q_node, names[b], 0], mask=~audit),
+                        pa.array(np.r_[links, np.zeros(len(a) + 1, np.int64)], mask=none),
+                        pa.array(np.r_[np.zeros(len(none) - 1, np.int64), wanted], mask=audit), pa.array(np.r_[np.zeros(len(none) - 1, np.int64), got], mask=audit),
+                    ],
+                    ["a", "b", "links", "wanted", "got"],
                 )
 
-    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    told = stored(asked.repartition(n).mapInArrow(ask, "a long, b long, links long"), "links")
-    counts = told.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a graph comes before the queries that are put to it
+    return rows.repartition(n, *key).sortWithinPartitions(*key, F.col("graph").isNull()).mapInArrow(ask, "a long, b long, links long, wanted long, got long")
+
+
+def audited_recall(told: DataFrame) -> DataFrame:
+    """(wanted, got, recall) of the audited queries of a :func:`search`."""
+    sums = told.where("a IS NULL").agg(F.coalesce(F.sum("wanted"), F.lit(0)).alias("wanted"), F.coalesce(F.sum("got"), F.lit(0)).alias("got"))
+    return sums.withColumn("recall", F.when(F.col("wanted") > 0, F.col("got") / F.col("wanted")))
+
+
+def marked_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> tuple[DataFrame, DataFrame]:
+    """(vec_id, label, v) of every row, with v null where it links with nothing, and
+    the distinct vectors (label, v, node, least, weight) with numbers of our own."""
+    require_long(vectors, id_col)
+    v = F.transform(F.col(f"`{vector_col}`"), lambda x: x.cast("double"))
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").alias("label"), v.alias("v"))
+    ok = usable(F.col("v"), F.col("label"))
+    # adding zero makes -0 and 0 equal
+    marked = stored(rows.select("vec_id", "label", F.when(ok, F.transform("v", lambda x: x + F.lit(0.0))).alias("v")), "vectors")
+    classes = marked.where("v IS NOT NULL").groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"))
+    return marked, stored(classes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+
+def near_duplicates(
+    vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", shard: int = SHARD
+) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of each row.
+
+    Only rows with equal labels that are not null are compared.  Vectors that are
+    null, empty, zero, or hold null or non-finite numbers link with nothing; vectors
+    of another length do not link.  Equal vectors link with each other.  Repeated
+    vec_ids are rows of their own in the counts.  A component is named by its smallest
+    vec_id that is not null, and by null if it has none; ``kept`` compares the two,
+    nulls being equal.  Ids that are not whole numbers are refused.  Other columns are
+    not looked at.  An empty table gives an empty table.
+    """
+    marked, nodes = marked_vectors(vectors, id_col, vector_col, label_col)
+    told = stored(search(nodes, threshold, shard), "links")
+    counts = told.where("links IS NOT NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
     joined = stored(components(told.where("a <> b").select("a", "b")), "components")
-    by_vector = nodes.join(counts, "node").join(joined, "node", "left").select("label", "v", "n_links", F.coalesce("component", "node").alias("component_id"))
-    out = marked.join(by_vector, ["label", "v"], "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    named = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    by_vector = named.join(smallest, "component").join(counts, "node").select("label", "v", "n_links", "component_id")
+    linked = marked.where("v IS NOT NULL").join(by_vector, ["label", "v"]).select("vec_id", "n_links", "component_id")
+    alone = marked.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
