@@ -44,8 +44,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     return level.select("source", "source_size", "weight", target.cast("double").alias("target"))
 
 
-#: Equal ranges of u in which running sums are first taken.
-RANGES = 4096
+#: Ranges of ranks in which running sums are first taken, at least, and the documents in one, about.
+RANGES, IN_RANGE = 4096, 10_000
 #: Sources up to which the plan, one row per source, is broadcast.
 BROADCAST_SOURCES = 10_000
 
@@ -56,58 +56,72 @@ def uniform(id_col: Column, seed: int) -> Column:
     return (word.cast("double") + 0.5) / float(2**48)
 
 
-def pareto_rank(u: Column, p: Column) -> Column:
-    """Odds of u divided by the odds of the inclusion probability."""
-    return F.try_divide(F.try_divide(u, 1 - u), F.try_divide(p, 1 - p))
+def pareto_rank(u: Column, p: Column, size: Column, mean: Column) -> Column:
+    """The random odds of a document over its inclusion odds, null where it has none.
+
+    A document of average size has the source's inclusion probability ``p``; the odds
+    of others grow with the root of their size, so that a sample of a given number of
+    words holds fewer fragments of pages.
+    """
+    return F.try_divide(F.try_divide(u, 1 - u), F.try_divide(p, 1 - p) * F.sqrt(F.try_divide(size, mean)))
 
 
-def cuts(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0) -> DataFrame:
-    """One row per source of ``sized(source, size, u)``: source_size, target, the
-    certain copies of each document, the inclusion probability of one more, and
-    the u at which the Pareto order is cut.
+def cuts(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0) -> DataFrame:
+    """One row per source of ``rows(source, size, u)``: source_size, target, the
+    certain copies of each document, the inclusion probability of one more for a
+    document of average size, that size, and the rank at which the Pareto order is cut.
 
-    With one probability in a source the rank grows with u.  Documents are taken
-    in rank order until the words left after the certain copies are met to within
-    half a document; the sums are taken over ranges of u first and then inside the
-    one range that holds the cut, so a source with a third of all rows is spread
-    like any other.
+    Documents with words are taken in rank order until the words left after the
+    certain copies are met to within half a document: a sample of fixed size in words.
+    Sums are taken over ranges of ranks first and then inside the one range that holds
+    the cut, so a source with a third of all rows is spread like any other.
     """
-    ranges = sized.groupBy("source", F.floor(F.col("u") * RANGES).cast("int").alias("range")).agg(F.sum("size").alias("in_range"))
-    plan = targets(ranges.groupBy("source").agg(F.sum("in_range").alias("source_size")), weights, share, most)
+    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("documents"))
+    plan = targets(sums.select("source", "source_size"), weights, share, most)
     sure = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0))
-    plan = plan.select(
-        F.col("source").alias("of"), "source_size", "target", sure.alias("sure"), (F.col("target") - sure * F.col("source_size")).alias("rest")
-    ).withColumn("p", F.try_divide("rest", "source_size"))
-    up = Window.partitionBy("source").orderBy("range")
-    summed = ranges.select("source", "range", F.sum("in_range").over(up).alias("upto"), "in_range")
-    same = F.col("source").eqNullSafe(F.col("of"))
-    edge = (
-        summed.join(plan.where("rest > 0"), same)
-        .where("upto >= rest")
-        .groupBy("of")
-        .agg(F.min(F.struct("range", (F.col("rest") - F.col("upto") + F.col("in_range")).alias("room"))).alias("edge"), F.first("p").alias("p"))
-        .select("of", "p", F.col("edge.range").alias("edge"), F.col("edge.room").alias("room"))
+    counted = sums.select(F.col("source").alias("of2"), "documents")
+    plan = stored(
+        plan.join(counted, F.col("source").eqNullSafe(F.col("of2"))).select(
+            F.col("source").alias("of"), "source_size", "target", "documents", sure.alias("sure"), (F.col("target") - sure * F.col("source_size")).alias("rest")
+        ).withColumn("p", F.try_divide("rest", "source_size")).withColumn("mean", F.try_divide("source_size", "documents")),
+        "plan",
     )
-    near = sized.withColumn("range", F.floor(F.col("u") * RANGES).cast("int")).join(edge, same & (F.col("range") == F.col("edge")))
-    ranked = near.groupBy("of", "u", "p", "room").agg(F.sum("size").alias("size")).withColumn("rank", pareto_rank(F.col("u"), F.col("p")))
-    inside = F.sum("size").over(Window.partitionBy("of").orderBy("rank", "u"))
-    last = ranked.withColumn("mid", inside - F.col("size") / 2).where("mid <= room").groupBy("of").agg(F.max("u").alias("last"))
-    cut = edge.join(last.withColumnRenamed("of", "of2"), F.col("of").eqNullSafe(F.col("of2")), "left").select(
-        F.col("of").alias("of3"), F.coalesce("last", F.col("edge") / float(RANGES)).alias("cut")
+    ranges = max(RANGES, (plan.agg(F.sum("documents")).first()[0] or 0) // IN_RANGE)
+    open_plan = plan.where("rest > 0").select("of", "rest", "p", "mean")
+    ranked = _with(rows.where("size > 0"), open_plan, F.col("source")).select("of", "rest", "size", pareto_rank(F.col("u"), F.col("p"), F.col("size"), F.col("mean")).alias("rank"))
+    ranked = ranked.withColumn("range", F.floor(F.col("rank") / (1 + F.col("rank")) * ranges).cast("int"))
+    up = Window.partitionBy("of").orderBy("range")
+    edge = (
+        ranked.groupBy("of", "rest", "range").agg(F.sum("size").alias("in_range"))
+        .withColumn("upto", F.sum("in_range").over(up))
+        .where("upto >= rest").groupBy("of")
+        .agg(F.min(F.struct("range", (F.col("rest") - F.col("upto") + F.col("in_range")).alias("room"))).alias("edge"))
+        .select(F.col("of").alias("edge_of"), F.col("edge.range").alias("edge"), F.col("edge.room").alias("room"))
     )
-    return plan.join(cut, F.col("of").eqNullSafe(F.col("of3")), "left").select("of", "source_size", "target", "sure", "p", "cut")
+    near = ranked.join(edge, F.col("of").eqNullSafe(F.col("edge_of")) & (F.col("range") == F.col("edge"))).groupBy("of", "rank", "room").agg(F.sum("size").alias("size"))
+    inside = F.sum("size").over(Window.partitionBy("of").orderBy("rank"))
+    last = near.withColumn("mid", inside - F.col("size") / 2).where("mid <= room").groupBy("of").agg(F.max("rank").alias("last")).withColumnRenamed("of", "last_of")
+    below = F.col("edge") / float(ranges)  # no document of the range fits: all ranks before it
+    cut = edge.join(last, F.col("edge_of").eqNullSafe(F.col("last_of")), "left").select("edge_of", F.coalesce("last", below / (1 - below)).alias("cut"), F.col("last").isNotNull().alias("reached"))
+    return plan.join(cut, F.col("of").eqNullSafe(F.col("edge_of")), "left").select("of", "source_size", "target", "sure", "p", "mean", "cut", "reached")
 
 
 def sized(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     return docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), uniform(F.col(id_col), seed).alias("u")
+        F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), uniform(F.col(f"`{id_col}`"), seed).alias("u")
     )
 
 
-def _apply(rows: DataFrame, plan: DataFrame, source: Column, u: Column, size: Column) -> DataFrame:
+def _with(rows: DataFrame, plan: DataFrame, source: Column) -> DataFrame:
     side = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
-    copies = F.when(size == 0, 0).otherwise(F.col("sure") + F.when(u <= F.col("cut"), 1).otherwise(0)).cast("int")
-    return rows.join(side, source.eqNullSafe(F.col("of"))).withColumn("_copies", copies)
+    return rows.join(side, source.eqNullSafe(F.col("of")))
+
+
+def _apply(rows: DataFrame, plan: DataFrame, source: Column, u: Column, size: Column) -> DataFrame:
+    rank = pareto_rank(u, F.col("p"), size, F.col("mean"))
+    once_more = F.when(F.col("reached"), rank <= F.col("cut")).otherwise(rank < F.col("cut"))
+    copies = F.when(size == 0, 0).otherwise(F.col("sure") + F.when(once_more, 1).otherwise(0)).cast("int")
+    return _with(rows, plan, source).withColumn("_copies", copies)
 
 
 def mix_sizes(
@@ -117,7 +131,8 @@ def mix_sizes(
     """(doc_id, size, source_size, target, taken) of every document; texts are read once.
 
     Null texts have size zero, documents of size zero are never taken, and rows
-    with one doc_id share their fate.  An empty table gives an empty table.
+    with one doc_id draw the same random number.  Other columns are not looked at.
+    An empty table gives an empty table.
     """
     rows = stored(sized(docs, seed, id_col, text_col, source_col), "sizes")
     plan = stored(cuts(rows, weights, share, most), "mix")
@@ -134,7 +149,8 @@ def mix(
     Columns and their names stay as they are.  The texts are not shuffled: the
     plan, one row per source, goes to them.
     """
-    plan = stored(cuts(sized(docs, seed, id_col, text_col, source_col), weights, share, most), "mix")
+    rows = stored(sized(docs, seed, id_col, text_col, source_col), "sizes")
+    plan = stored(cuts(rows, weights, share, most), "mix")
     out = _apply(
         docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")),
         plan, F.col(f"_row.`{source_col}`"), uniform(F.col(f"_row.`{id_col}`"), seed), word_count(F.col(f"_row.`{text_col}`")),

@@ -68,25 +68,27 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
-#: The mix of op6: closed-form targets, certain copies, then the order of u cut by words.
+#: The mix of op6: closed-form targets, certain copies, then the Pareto order cut by words.
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
          (CAST('0x' || substr(md5('7|' || doc_id), 1, 12) AS BIGINT)::DOUBLE + 0.5) / 281474976710656 AS u
   FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) FILTER (WHERE size > 0) AS documents FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INTEGER) + 1] AS weight FROM s),
 r AS (SELECT *, 3.0::DOUBLE * source_size / weight AS ratio, sum(source_size) OVER () AS everything, sum(weight) OVER () AS heavy FROM w),
 l AS (
   SELECT *, (everything - 3.0::DOUBLE * coalesce(sum(source_size) OVER o, 0)) / (heavy - coalesce(sum(weight) OVER o, 0)) AS level
   FROM r WINDOW o AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (
-  SELECT source, source_size, least(3.0::DOUBLE * source_size, (SELECT arg_min(level, ratio) FROM l WHERE level <= ratio) * weight) AS target FROM l),
+  SELECT source, source_size, documents, least(3.0::DOUBLE * source_size, (SELECT arg_min(level, ratio) FROM l WHERE level <= ratio) * weight) AS target FROM l),
 p AS (SELECT *, floor(target / source_size) AS sure, target - floor(target / source_size) * source_size AS rest FROM t),
+o AS (
+  SELECT d.doc_id, d.size, d.source, p.source_size, p.target, p.sure, p.rest,
+         (d.u / (1 - d.u)) / (((p.rest / p.source_size) / (1 - p.rest / p.source_size)) * sqrt(d.size / (p.source_size / p.documents))) AS rank
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
 x AS (
-  SELECT d.doc_id, d.size, p.source_size, p.target, p.sure, p.rest,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.u ROWS UNBOUNDED PRECEDING) - d.size / 2.0 AS middle
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+  SELECT *, sum(size) OVER (PARTITION BY source, size > 0 ORDER BY rank) - size / 2.0 AS middle FROM o)
 SELECT doc_id, size, source_size, target,
        CAST(CASE WHEN size = 0 THEN 0 ELSE size * (sure + CASE WHEN rest > 0 AND middle <= rest THEN 1 ELSE 0 END) END AS BIGINT) AS taken
 FROM x

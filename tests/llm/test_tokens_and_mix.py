@@ -163,6 +163,47 @@ def test_mix(spark):
     assert sum(len(WORD.findall(r.text or "")) for r in mixed.collect()) == sum(taken.values())
 
 
+def brute_mix(rows, seed=7):
+    """{id: copies} by a plain loop over the Pareto order of each source."""
+    sizes = defaultdict(int)
+    for _, s, n in rows:
+        sizes[s] += n
+    out = {}
+    for s, target in fill(sizes).items():
+        own = [(i, n) for i, t, n in rows if t == s and n]
+        out |= {i: 0 for i, t, n in rows if t == s}
+        if not own:
+            continue
+        sure = int(target // sizes[s])
+        rest = target - sure * sizes[s]
+        p, mean = rest / sizes[s], sizes[s] / len(own)
+        ranked = []
+        for i, n in own:
+            u = (int(hashlib.md5(f"{seed}|{i}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+            ranked.append((u / (1 - u) / (p / (1 - p) * (n / mean) ** 0.5) if p else float("inf"), i, n))
+        before = 0
+        for _, i, n in sorted(ranked):
+            before += n
+            out[i] = sure + (rest > 0 and before - n / 2 <= rest)
+    return out
+
+
+def test_the_mix_follows_the_odds(spark):
+    """Copies equal those of a plain loop, and not those of the order of u alone."""
+    rng = np.random.default_rng(2)
+    rows = [(i, str(s), int(n)) for i, (s, n) in enumerate(zip(rng.choice(list("abcd"), 400, p=[0.6, 0.2, 0.15, 0.05]), rng.geometric(0.02, 400)))] + [(900, None, 7), (901, "a", 0)]
+    df = spark.createDataFrame([(i, "w " * n, s) for i, s, n in rows], "doc_id long, text string, source string")
+    got = {r.doc_id: r.taken // max(r.size, 1) for r in mixing.mix_sizes(df).collect()}
+    assert got == brute_mix(rows)
+    by_u = sorted((int(hashlib.md5(f"7|{i}".encode()).hexdigest()[:12], 16), got[i]) for i, s, n in rows if s == "a" and n)
+    copies = [c for _, c in by_u]
+    assert copies != sorted(copies, reverse=True)
+    # larger documents are taken more often
+    sized = [(n, got[i]) for i, s, n in rows if s == "a" and n]
+    high = [c for n, c in sized if n > np.median([n for n, _ in sized])]
+    assert np.mean(high) > np.mean([c for _, c in sized])
+
+
 def test_mix_of_nothing(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix_sizes(empty).count() == 0 and mixing.mix(empty).count() == 0
