@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, mixing, quality, simhash, suffix
-from tessera.llm.common import read, stored
+from tessera.llm.common import read, scratch, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +55,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stored(stage(spark, docs, sf_dir), f"stage{k}")
+        with scratch(spark):  # a stage's own tables go once its result is written
+            done = stage(spark, docs, sf_dir)
+            docs = written(done, f"stage{k}")
     return docs

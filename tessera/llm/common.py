@@ -46,12 +46,25 @@ _WRITTEN: list[list[str]] = []
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: later stages start
     from files, whatever executors are lost meanwhile."""
+    return _kept(df, name)[0]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Like :func:`stored`, but never deleted with the :func:`scratch` around it."""
+    out, path = _kept(df, name)
+    for paths in _WRITTEN:
+        if path in paths:
+            paths.remove(path)
+    return out
+
+
+def _kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
     if _WRITTEN:
         _WRITTEN[-1].append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 @contextmanager

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tessera.llm.common import shared_dir
@@ -18,8 +18,14 @@ def components(edges: DataFrame) -> DataFrame:
     so no neighbourhood is ever gathered into one row.
     """
     shared_dir(edges.sparkSession)
-    links = (
-        edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct().checkpoint()
+    def told(rows: DataFrame) -> tuple[DataFrame, tuple]:
+        """The rows checkpointed, with their number and sum of hashes, in one job."""
+        seen = Observation()
+        kept = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")).alias("s")).checkpoint()
+        return kept, (seen.get["n"], seen.get["s"])
+
+    links, same = told(
+        edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct()
     )
     while True:
         both = links.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(links.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
@@ -29,17 +35,14 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: a node and its neighbours below move to the smallest of them
         below = large.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = large.join(below, "hi")
-        small = (
+        links, now = told(
             moved.where("lo > m")
             .select(F.col("m").alias("lo"), F.col("lo").alias("hi"))
             .unionByName(below.select(F.col("m").alias("lo"), "hi"))
             .distinct()
-            .checkpoint()
         )
-        same = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")).alias("s")).first()
-        now = small.agg(F.count("*").alias("n"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")).alias("s")).first()
-        links = small
         if same == now:
             break
+        same = now
     roots = links.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return links.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots)

@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def _half(fp: Column, half: int) -> Column:
@@ -120,7 +120,9 @@ def links(fps: DataFrame, threshold: int = 3) -> DataFrame:
     """(a, b) pairs of distinct fingerprints that join all that link, directly or in steps."""
     if threshold > 3:
         raise ValueError("two halves cover at most 3 differing bits")
-    dealt = anchors(fps.select("fp").distinct())
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # distinct fingerprints are few bytes in few partitions, but each becomes 34 rows
+    dealt = anchors(fps.select("fp").distinct().repartition(n))
     # only anchors with someone at home and a second fingerprint can link
     sizes = dealt.groupBy("half", "anchor").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).where("n > 1 AND homes > 0")
     groups = F.ceil(F.col("homes") / HOT_ANCHOR).cast("int")
@@ -154,14 +156,15 @@ def links(fps: DataFrame, threshold: int = 3) -> DataFrame:
         if held:
             yield from close()
 
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, "half", "anchor", "salt").sortWithinPartitions("half", "anchor", "salt").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id): component_id is the smallest doc_id
     reachable over links.  Texts without words share fingerprint zero and link
-    like any other; null doc_ids are ignored as component ids; repeated rows stay."""
+    like any other; null doc_ids are ignored as component ids (null if a group has no
+    other); repeated rows stay.  Ids may have any type with an order.  Other columns
+    are not looked at.  An empty table gives an empty table."""
     marked = stored(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     joined = stored(components(links(classes, threshold)), "components")
@@ -175,5 +178,8 @@ def keep_one(docs: DataFrame, threshold: int = 3, id_col: str = "doc_id", text_c
     """The rows of ``docs`` without near-duplicates: of each group the smallest doc_id
     stays, with all rows that carry it; rows without a doc_id can't be told apart and stay."""
     found = near_duplicates(docs, threshold, id_col, text_col)
-    kept = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(F.col("_kept")), "left_semi")
+    kept = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("kept")).distinct()
+    # names of our own only, whatever the columns are called
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row"))
+    left = rows.join(kept, F.col("id").eqNullSafe(F.col("kept")), "left_semi")
+    return left.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -52,6 +52,14 @@ def test_one_of_each_group_stays(spark):
     assert out.columns == df.columns and sorted(r.fp for r in out.collect()) == ["b", "b", "c", "d"]
 
 
+def test_one_of_each_group_stays_whatever_the_columns_are_called(spark):
+    text = "some words of a text that stands here more than once and is long enough"
+    df = spark.createDataFrame([("b", text, True, 1), ("a", text, None, 2), ("c", None, False, 3), ("d", "", False, 4)], "id string, text string, `_kept` boolean, kept int")
+    out = simhash.keep_one(df, id_col="id")
+    assert out.columns == df.columns and sorted(r.id for r in out.collect()) == ["a", "c"]
+    assert simhash.keep_one(df.limit(0), id_col="id").count() == 0 and simhash.near_duplicates(df.limit(0), id_col="id").count() == 0
+
+
 def test_anchors_meet_for_every_close_pair(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 60, dtype=np.int64) ^ np.left_shift(rng.integers(0, 2, 60), 63)

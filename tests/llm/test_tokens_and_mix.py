@@ -1,6 +1,7 @@
 """Tokenizers, token files, mixing, quality, grades and page extraction."""
 
 import hashlib
+import os
 import re
 import time
 import zlib
@@ -15,7 +16,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tessera.llm import bpe, html_model, mixing, ordinal, quality, tokenfile
-from tessera.llm.common import text_bytes
+from tessera.llm.common import shared_dir, text_bytes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = ["", " ", "  ", " a", "a ", "a  b", "x\n y", "x \n", "it's he'll a-b. (c)", "日本 語。 text\n\n a", "a b c d", "<|endoftext|> x", "hello <|endoftext|> world", "x1 1x, é. ª² a٣,", None]
@@ -329,5 +330,9 @@ def test_pipeline_stages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns
+    folder = shared_dir(spark)
+    before = set(os.listdir(folder))
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and "doc_id" in out.columns
+    left = {x.split("-")[1] for x in set(os.listdir(folder)) - before if x.startswith("tessera-")}
+    assert left == {f"stage{k}" for k in range(5)}
