@@ -144,6 +144,14 @@ def edge_column(lon: Column, west: float, east: float, width: int) -> Column:
     return F.least(F.greatest(F.floor((lon - west) * width / (east - west) + 0.5), F.lit(0)), F.lit(width)).cast("long")
 
 
+def bounds(blocks: DataFrame, grid: Grid) -> DataFrame:
+    """``blocks`` (row0, row1, col0, col1) with west, south, east and north: the
+    envelope of the four corners in degrees, as straight edges of a grid are curved there."""
+    ring = blocks.withColumn("_ring", block_ring(F.col("row0"), F.col("row1"), F.col("col0"), F.col("col1"), grid))
+    of = lambda pick, name: pick(F.transform("_ring", lambda p: p[name]))
+    return ring.withColumns({"west": of(F.array_min, "lon"), "south": of(F.array_min, "lat"), "east": of(F.array_max, "lon"), "north": of(F.array_max, "lat")}).drop("_ring")
+
+
 def block_ring(row0: Column, row1: Column, col0: Column, col1: Column, grid: Grid) -> Column:
     """Closed ring of a block's corners in WGS84 degrees."""
     def corner(row: Column, col: Column) -> Column:

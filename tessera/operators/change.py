@@ -47,6 +47,14 @@ def sites(flagged: DataFrame, key: list[str], least: int = MIN_SITE_CELLS) -> Da
     return sized.groupBy(*key, "sign", "component").agg(F.count("*").alias("cells"), F.avg("change").alias("mean_change"), F.avg("row").alias("row"), F.avg("col").alias("col")).where(F.col("cells") >= least)
 
 
+def largest(found: DataFrame, key: list[str], top: int | None = None) -> DataFrame:
+    """Sites with their rank in the tile, the largest first, ties by component; the first ``top``."""
+    from tessera.operators.regions import ranked
+
+    out = ranked(found.withColumn("region_id", F.concat_ws("|", F.lpad(F.col("component").cast("string"), 20, "0"), F.col("sign").cast("string"))), key, F.col("cells").cast("double"), top)
+    return out.drop("region_id", "score")
+
+
 def strata(cells: DataFrame, key: list[str], cover: str, value: str, bins: int = BINS) -> DataFrame:
     """Stratum of each cell: land cover times (bins + 1) plus the quantile bin of the
     value; -1 without a value."""
@@ -67,6 +75,13 @@ def matched_difference(cells: DataFrame, key: list[str], value: str) -> DataFram
     )
 
 
+def refuse_leakage(trained: list[str], scored: list[str]) -> None:
+    """A hindcast may only be scored on windows after all that it was trained on."""
+    late = sorted(w for w in trained if w >= min(scored))
+    if not trained or not scored or late:
+        raise ValueError(f"trained on {', '.join(late) or 'nothing'}, scored from {min(scored) if scored else 'nothing'} on")
+
+
 def score(pairs: DataFrame, key: list[str], predicted: str = "predicted", observed: str = "observed") -> DataFrame:
     """n, MAE, bias and spatial R2, raw and with the mean residual taken out."""
     both = pairs.where(F.col(predicted).isNotNull() & F.col(observed).isNotNull()).withColumn("r", F.col(predicted) - F.col(observed))

@@ -15,9 +15,9 @@ def population_groups(cells: DataFrame, keys: list[str], people: str = "populati
     unless ``by`` is given; ties by row and col), cut where the middle of a cell's
     people falls in the running total.
 
-    Running sums go over 1,024 equal slices of the sorted cells first: a slice is a
-    range of the sort key, found by a range partitioning, so no tile is sorted by one
-    task.
+    Running sums go over slices of the sorted cells first, as many as the session has
+    shuffle partitions: a slice is a range of the sort key, found by a range
+    partitioning, so no tile is sorted by one task.
     """
     stratifier = by or people
     inhabited = cells.where(F.col(people) > 0)
@@ -28,9 +28,9 @@ def population_groups(cells: DataFrame, keys: list[str], people: str = "populati
 
 def _frozen(df: DataFrame) -> DataFrame:
     """Slices must not move between the two passes that use them."""
-    from tessera.operators.raster import _cut
+    from tessera.operators.raster import checkpointed
 
-    return _cut(df)
+    return checkpointed(df)
 
 
 def _cumulate(ranged: DataFrame, keys: list[str], people: str, stratifier: str, groups: int) -> DataFrame:

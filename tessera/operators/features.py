@@ -110,6 +110,54 @@ def cv_report(scored: DataFrame, target: str = "lst_c") -> DataFrame:
     return by.agg(F.avg("mae").alias("mae"), F.stddev_pop("mae").alias("mae_sd"), F.avg("naive_mae").alias("naive_mae")).withColumn("skill", 1 - F.try_divide("mae", "naive_mae"))
 
 
+def linear_without_fold(frame: DataFrame, x: Column, target: str = "lst_c") -> DataFrame:
+    """For each fold the slope, intercept and mean target of all other folds, from the
+    sums of each fold: one row per fold, no row is copied."""
+    y = F.col(target)
+    both = frame.where(x.isNotNull() & y.isNotNull())
+    sums = {"n": F.count("*"), "x": F.sum(x), "y": F.sum(y), "xx": F.sum(x * x), "xy": F.sum(x * y)}
+    own = both.groupBy("fold").agg(*[c.cast("double").alias(f"s{k}") for k, c in sums.items()])
+    every = Window.partitionBy()  # a row per fold
+    n, sx, sy, sxx, sxy = (F.sum(f"s{k}").over(every) - F.col(f"s{k}") for k in sums)
+    slope = F.try_divide(sxy - F.try_divide(sx * sy, n), sxx - F.try_divide(sx * sx, n))
+    line = own.select("fold", slope.alias("slope"), F.try_divide(sy, n).alias("naive"), F.try_divide(sx, n).alias("_mean"))
+    return line.select("fold", "slope", (F.col("naive") - F.col("slope") * F.col("_mean")).alias("intercept"), "naive")
+
+
+def leave_one_window_out(frame: DataFrame, groups: list[str], windows: list[str], target: str = "lst_c", rounds: int = 20) -> DataFrame:
+    """Held-out predictions of every window by a model of the others: a fold is a
+    window.  One fit per window of the list; fewer than two are refused."""
+    if len(windows) < 2:
+        raise ValueError("a window can be left out only if there are others")
+    return cross_validate(frame.withColumn("fold", F.col("window")).where(F.col("window").isin(windows)), groups, windows, target, rounds)
+
+
+def save(model: PipelineModel, path: str) -> None:
+    check_features(model)
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    """A saved model; one with other features, or in another order, is refused."""
+    model = PipelineModel.load(path)
+    check_features(model)
+    return model
+
+
+#: Variables of the cube that have a value in each cell, and those with one for a whole window.
+SPATIAL = ["ndvi", "ndbi", "albedo", "lst_c", "landcover", "elevation_m", "population", "emission"]
+SCALAR = [*WEATHER, "wind_direction_deg"]
+
+
+def spatial_variable(name: str) -> str:
+    """``name`` if it can be mapped; scalars of a window and unknown names are refused."""
+    if name in SCALAR:
+        raise ValueError(f"{name} has one value for a window and can't be mapped")
+    if name not in SPATIAL:
+        raise ValueError(f"no variable {name}; there are {', '.join(SPATIAL)}")
+    return name
+
+
 def linear(frame: DataFrame, keys: list[str], x: Column, target: str = "lst_c") -> DataFrame:
     """Slope and intercept of one feature for each key: a model that SQL can fit too."""
     return frame.withColumn("_x", x).groupBy(*keys).agg(F.regr_slope(target, "_x").alias("slope"), F.regr_intercept(target, "_x").alias("intercept"))

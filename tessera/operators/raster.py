@@ -116,13 +116,13 @@ def components(mask: DataFrame, keys: list[str], block: int = 64) -> DataFrame:
     near = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r in (-1, 0, 1) for c in (-1, 0, 1) if (r, c) != (0, 0)])
     sent = edge_cells.select(*keys, F.explode(near).alias("d"), "row", "col", F.col("label").alias("a")).select(*keys, (F.col("row") + F.col("d.dr")).alias("row"), (F.col("col") + F.col("d.dc")).alias("col"), "a")
     links = sent.join(edge_cells.withColumnRenamed("label", "b"), [*keys, "row", "col"]).where("a <> b").select(*keys, "a", "b").distinct()
-    current = _cut(links.select(*keys, F.col("a").alias("node")).distinct().withColumn("root", F.col("node")))
-    links = _cut(links)
+    current = checkpointed(links.select(*keys, F.col("a").alias("node")).distinct().withColumn("root", F.col("node")))
+    links = checkpointed(links)
     while True:
         told = links.join(current.select(*keys, F.col("node").alias("a"), F.col("root").alias("r")), [*keys, "a"]).groupBy(*keys, F.col("b").alias("node")).agg(F.min("r").alias("r"))
         step = current.join(told, [*keys, "node"], "left").select(*keys, "node", F.least("root", F.coalesce("r", "root")).alias("root"), F.col("root").alias("old"))
         jump = step.select(*keys, F.col("node").alias("root"), F.col("root").alias("higher"))
-        new = _cut(step.join(jump, [*keys, "root"], "left").select(*keys, "node", F.least("root", F.coalesce("higher", "root")).alias("root"), "old"))
+        new = checkpointed(step.join(jump, [*keys, "root"], "left").select(*keys, "node", F.least("root", F.coalesce("higher", "root")).alias("root"), "old"))
         changed = new.where("root <> old").limit(1).count()
         current = new.drop("old")
         if not changed:
@@ -130,13 +130,17 @@ def components(mask: DataFrame, keys: list[str], block: int = 64) -> DataFrame:
     return labelled.join(current.withColumnRenamed("node", "label"), [*keys, "label"], "left").select(*keys, "row", "col", F.coalesce("root", "label").alias("component"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder the session names, or in a temporary one where it names none."""
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder the session names, or on one machine in a temporary one
+    where it names none; a cluster without one is refused."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         import tempfile
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix=f"tessera-{uuid.uuid4().hex[:6]}"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix=f"tessera-{uuid.uuid4().hex[:6]}"))
     return df.checkpoint()
 
 

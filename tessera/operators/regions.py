@@ -47,6 +47,12 @@ def ranked(regions: DataFrame, keys: list[str], score: Column, top: int | None =
     return out if top is None else out.where(F.col("rank") <= top)
 
 
+def untried(regions: DataFrame, tried: DataFrame, keys: list[str], top: int = 24) -> DataFrame:
+    """The first ``top`` ranked regions that were not tried yet, in rank order."""
+    left = regions.join(tried.select(*keys, "region_id").distinct(), [*keys, "region_id"], "left_anti")
+    return left.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("rank"))).where(F.col("rank") <= top)
+
+
 def explain(cells: DataFrame, keys: list[str], block: int = BLOCK, most: int = 8) -> DataFrame:
     """Blocks that changed, strongest first: cooling, canopy added, residents, the median
     group of their inhabited cells, tree and water share, inside or spillover.

@@ -42,9 +42,11 @@ def densify(vertices: DataFrame, way: str = "way_id", spacing: float = SPACING_M
     """
     w = Window.partitionBy(way).orderBy("nth", "x", "y")
     seg = vertices.withColumn("x1", F.lead("x").over(w)).withColumn("y1", F.lead("y").over(w)).where("x1 IS NOT NULL").withColumn("len", F.hypot(F.col("x1") - F.col("x"), F.col("y1") - F.col("y")))
-    run = seg.withColumn("upto", F.sum("len").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("len").over(Window.partitionBy(way))).where("total > 0 AND len > 0")
+    run = seg.withColumn("upto", F.sum("len").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("len").over(Window.partitionBy(way)))
+    # where a segment begins is exactly where the one before ends, so no sample falls into both
+    run = run.withColumn("from", F.coalesce(F.lag("upto").over(w), F.lit(0.0))).where("total > 0 AND len > 0")
     n = F.greatest(F.bround(F.col("total") / spacing), F.lit(1.0))
-    placed = run.withColumn("n", n).withColumn("step", F.col("total") / F.col("n")).withColumn("from", F.col("upto") - F.col("len"))
+    placed = run.withColumn("n", n).withColumn("step", F.col("total") / F.col("n"))
     last = F.col("upto") == F.max("upto").over(Window.partitionBy(way))
     k0 = F.ceil(F.col("from") / F.col("step") - 0.5)
     k1 = F.when(last, F.col("n") - 1).otherwise(F.ceil(F.col("upto") / F.col("step") - 0.5) - 1).cast("long")

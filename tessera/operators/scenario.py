@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import verdicts
 from tessera.operators import regions
+from tessera.operators.raster import dilation_ring
 
 BARE_NDVI = 0.10
 MOVED = ["ndvi", "ndbi", "albedo"]
+NEAR = ("ndvi", "ndbi")
 SPILLOVER = 2
 
 
@@ -79,6 +81,29 @@ def neighbourhood_shift(touched: DataFrame, keys: list[str], variable: str, heig
     return at.groupBy(*keys, F.col("nr").alias("row"), F.col("nc").alias("col")).agg((F.sum("d") / n).alias(f"{variable}_near_shift"))
 
 
+def after_features(touched: DataFrame, table: DataFrame, keys: list[str], height: int, width: int, near: tuple[str, ...] = NEAR) -> DataFrame:
+    """Features of every cell that a scenario touches or whose neighbourhood it touches,
+    as they are afterwards: moved variables, and neighbourhood means of the moved field.
+    ``table`` holds the features before, of all cells; ``near`` names the variables
+    whose neighbourhoods the model looks at."""
+    on = ["scenario_id", *keys, "row", "col"]
+    out = touched.select(*on, *[f"{v}_new" for v in MOVED])
+    for v in near:
+        out = out.join(neighbourhood_shift(touched, ["scenario_id", *keys], v, height, width), on, "full_outer")
+    moved = {v: F.coalesce(f"{v}_new", v) for v in MOVED} | {f"{v}_near": F.col(f"{v}_near") + F.coalesce(f"{v}_near_shift", F.lit(0.0)) for v in near}
+    return out.join(table, [*keys, "row", "col"]).withColumns(moved).drop(*[f"{v}_new" for v in MOVED], *[f"{v}_near_shift" for v in near])
+
+
+def sided(changed: DataFrame, mask: DataFrame, keys: list[str], height: int, width: int, steps: int = SPILLOVER) -> DataFrame:
+    """Cells with ``delta``, and whether they lie inside the mask or in the ring of
+    ``steps`` around it; masked and ring cells that did not change have delta 0."""
+    on = [*keys, "row", "col"]
+    inside = mask.select(*on).distinct().withColumn("inside", F.lit(True)).withColumn("ring", F.lit(False))
+    around = dilation_ring(mask.select(*on), keys, steps, height, width).select(*on).withColumn("inside", F.lit(False)).withColumn("ring", F.lit(True))
+    out = inside.unionByName(around).join(changed.select(*on, "delta"), on, "full_outer")
+    return out.select(*on, F.coalesce("inside", F.lit(False)).alias("inside"), F.coalesce("ring", F.lit(False)).alias("ring"), F.coalesce("delta", F.lit(0.0)).alias("delta"))
+
+
 def deltas(after: DataFrame, before: DataFrame, predict: Callable[[DataFrame], DataFrame], on: list[str]) -> DataFrame:
     """Difference of two predictions on the affected cells; every other valid cell is 0
     by construction and is not made a row."""
@@ -117,6 +142,20 @@ def satisfies(expected_cooling: Column, target: Column) -> Column:
     return F.coalesce(expected_cooling >= target, F.lit(False))
 
 
+def greedy(candidates: DataFrame, outcomes: DataFrame, objective: str = "objective_id") -> DataFrame:
+    """The best of the candidates that were run: ``candidates(objective, region_id, rank,
+    metric, status)`` against ``outcomes(objective, region_id, expected_cooling,
+    person_degrees, delta_pm25)``.  Refused ones are counted and skipped; of equal
+    scores the better ranked one wins."""
+    run = candidates.join(outcomes, [objective, "region_id"], "left").withColumn("ok", F.col("status") == "ok")
+    got = score(F.col("metric"), F.col("expected_cooling"), F.col("person_degrees"), F.col("delta_pm25"))
+    scored = run.withColumn("score", F.when(F.col("ok"), F.round(got, 6)))
+    first = F.struct("score", -F.col("rank"))
+    return scored.groupBy(objective, "metric").agg(
+        F.max_by("region_id", F.when(F.col("score").isNotNull(), first)).alias("best_region"), F.max("score").alias("score"), F.count_if("ok").alias("tried"), F.count_if(~F.col("ok")).alias("refused")
+    )
+
+
 def search_trace(scored: DataFrame, search: str, step: str, budget: int) -> DataFrame:
     """Proposals in order with the best so far and why the search stops where it does;
     an unscored proposal never wins."""

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import textcheck, verdicts
-from tessera.operators import features, planning, scenario
+from tessera.operators import features, planning, raster, scenario
 from tessera.plans import tables as T
-from tessera.plans.people import _CHOICE, _LATTICE, choices, lattice_of
+from tessera.plans.people import _CHOICE, _LATTICE, _RID, choices, lattice_of
 from tessera.plans.registry import query, r4
-from tessera.plans.spatial import height
+from tessera.plans.spatial import _H, height
 
 _CUBE = (
     f"{T.CELLS}, cube AS (SELECT tile_id, \"row\", col, landcover, elevation_m, CASE WHEN landcover=10 THEN 0.65 WHEN landcover=80 THEN -0.05 ELSE 0.12 END+(\"row\"*col%17)/200.0 AS ndvi, CASE WHEN landcover=10 THEN -0.20 ELSE 0.25 END-(\"row\"*col%13)/200.0 AS ndbi, CASE WHEN landcover=10 THEN 0.14 ELSE 0.20 END+(\"row\"*col%11)/400.0 AS albedo FROM cells), "
@@ -40,11 +40,15 @@ def feature_table(spark, sf_dir):
     return features.features(cube(spark, sf_dir), scalars(spark, sf_dir), KEYS, height(spark, sf_dir), T.WIDTH)
 
 
-@query(f"WITH {_CUBE} SELECT \"row\", col, round(ndvi+ndbi+albedo,6) AS base, 34.0 AS air_temp_c, landcover<>0 AS usable FROM cube")
+_NEAR = f"od AS (SELECT a.i AS dr, b.i AS dc FROM range(-2,3) a(i), range(-2,3) b(i)), nb AS (SELECT c.\"row\", c.col, least(greatest(c.\"row\"+dr,0),{_H}) AS nr, least(greatest(c.col+dc,0),49) AS nc FROM cube c, od), nr AS (SELECT nb.\"row\", nb.col, avg(c.ndvi) AS ndvi_near, avg(c.ndbi) AS ndbi_near FROM nb JOIN cube c ON c.\"row\"=nb.nr AND c.col=nb.nc GROUP BY 1,2)"
+
+
+@query(f"WITH {_CUBE}, {_NEAR} SELECT \"row\", col, round(ndvi+ndbi+albedo,6) AS base, round(ndvi_near,6) AS ndvi_near, round(ndbi_near,6) AS ndbi_near, 34.0 AS air_temp_c, 2.5 AS wind_speed_ms, 38.0 AS relative_humidity_pct, landcover<>0 AS usable FROM cube JOIN nr USING (\"row\", col)")
 def feature_rows(spark, sf_dir):
-    """Features of every cell with its window's weather."""
+    """Features of every cell, of its neighbourhood, and its window's weather."""
     t = feature_table(spark, sf_dir)
-    return t.select("row", "col", F.round(F.col("ndvi") + F.col("ndbi") + F.col("albedo"), 6).alias("base"), "air_temp_c", "usable")
+    near = [F.round(c, 6).alias(c) for c in ("ndvi_near", "ndbi_near")]
+    return t.select("row", "col", F.round(F.col("ndvi") + F.col("ndbi") + F.col("albedo"), 6).alias("base"), *near, *features.WEATHER, "usable")
 
 
 @query(f"WITH {_CUBE}, b AS (SELECT DISTINCT \"row\"//10 AS block_row, col//10 AS block_col FROM cube) SELECT block_row, block_col, CAST((row_number() OVER (ORDER BY md5('0|'||block_row||'|'||block_col))-1)%5 AS INTEGER) AS fold FROM b")
@@ -76,9 +80,7 @@ def naive_predictions(spark, sf_dir):
 def linear_cross_validation(spark, sf_dir):
     """Blocked validation of the one-feature model that SQL can fit as well."""
     fr = folded(spark, sf_dir)
-    rest = fr.select(F.col("fold").alias("own"), "ndvi", "lst_c").join(F.broadcast(spark.range(5).select(F.col("id").cast("int").alias("fold"))), F.col("own") != F.col("fold"))
-    model = features.linear(rest, ["fold"], F.col("ndvi")).join(rest.groupBy("fold").agg(F.avg("lst_c").alias("naive")), "fold")
-    scored = fr.join(model, "fold").withColumn("predicted", F.col("slope") * F.col("ndvi") + F.col("intercept"))
+    scored = fr.join(F.broadcast(features.linear_without_fold(fr, F.col("ndvi"))), "fold").withColumn("predicted", F.col("slope") * F.col("ndvi") + F.col("intercept"))
     return features.cv_report(scored).select(*[r4(c) for c in ("mae", "mae_sd", "naive_mae", "skill")])
 
 
@@ -105,14 +107,14 @@ def tree_built_contrast(spark, sf_dir):
 
 
 _SCEN = (
-    f"{_CUBE}, sc AS (SELECT s_suppkey AS scenario_id, 0.1+(s_suppkey%5)*0.1 AS canopy_fraction, s_suppkey%30 AS r0, (s_suppkey*3)%40 AS c0 FROM supplier), rf AS (SELECT median(CASE WHEN landcover=10 THEN ndvi END) AS tn FROM cube), "
+    f"{_CUBE}, sc AS (SELECT s_suppkey AS scenario_id, 0.1+(s_suppkey%5)*0.1 AS canopy_fraction, (s_suppkey*7)%greatest((SELECT max(p_partkey)//50 FROM part)-6,1) AS r0, (s_suppkey*3)%43 AS c0 FROM supplier), rf AS (SELECT median(CASE WHEN landcover=10 THEN ndvi END) AS tn FROM cube), "
     "pl AS (SELECT scenario_id, \"row\", col, ndvi, CASE WHEN landcover NOT IN (80,0) THEN least(canopy_fraction, 1-least(greatest((ndvi-0.1)/greatest(tn-0.1,1e-6),0),1)) ELSE 0 END AS added, tn FROM sc JOIN cube ON \"row\" BETWEEN r0 AND r0+7 AND col BETWEEN c0 AND c0+7, rf)"
 )
 
 
 def scenarios(spark, sf_dir):
     k = F.col("s_suppkey")
-    return T.read(spark, sf_dir, "supplier").select(k.alias("scenario_id"), (0.1 + k % 5 * 0.1).alias("canopy_fraction"), (k % 30).alias("r0"), (k * 3 % 40).alias("c0"))
+    return T.read(spark, sf_dir, "supplier").select(k.alias("scenario_id"), (0.1 + k % 5 * 0.1).alias("canopy_fraction"), (k * 7 % max(height(spark, sf_dir) - 7, 1)).alias("r0"), (k * 3 % 43).alias("c0"))
 
 
 def planted(spark, sf_dir):
@@ -127,19 +129,48 @@ def planting(spark, sf_dir):
     return planted(spark, sf_dir).groupBy("scenario_id").agg(F.count("*").alias("cells"), r4(F.sum("canopy_added"), "canopy_added"), r4(F.avg("ndvi_new"), "ndvi_after"))
 
 
-@query(f"WITH {_SCEN}, lm AS (SELECT regr_slope(lst_c,ndvi) AS s FROM cubel) SELECT scenario_id, count(CASE WHEN s*added*(tn-ndvi)<>0 THEN 1 END) AS cells_changed, round(avg(s*added*(tn-ndvi)),4) AS mean_inside, round(greatest(-avg(s*added*(tn-ndvi)),0)/2.5,4) AS expected_cooling FROM pl, lm GROUP BY 1")
+#: Changes of masked cells, of their neighbourhoods' means, and the sides, for masks ms(s.., row, col, d).
+def _field_sql(ids: str) -> str:
+    on = " AND ".join(f"m.{i}=a.{i}" for i in ids.split(","))
+    a_ids = ",".join(f"a.{i}" for i in ids.split(","))
+    return (
+        f"af AS (SELECT DISTINCT {ids}, \"row\"+dr AS \"row\", col+dc AS col FROM ms, od WHERE \"row\"+dr BETWEEN 0 AND {_H} AND col+dc BETWEEN 0 AND 49), "
+        f"sf AS (SELECT {a_ids}, a.\"row\", a.col, sum(coalesce(m.d,0))/25 AS shift FROM af a CROSS JOIN od LEFT JOIN ms m ON {on} AND m.\"row\"=least(greatest(a.\"row\"+dr,0),{_H}) AND m.col=least(greatest(a.col+dc,0),49) GROUP BY ALL), "
+        f"rg AS (SELECT DISTINCT {ids}, \"row\"+dr AS \"row\", col+dc AS col, true AS near FROM ms, od WHERE abs(dr)+abs(dc)<=2), "
+        f"fd AS (SELECT sf.*, lm.s*(coalesce(d,0)+0.5*shift) AS delta, d IS NOT NULL AS inside, d IS NULL AND coalesce(near,false) AS ring FROM sf LEFT JOIN ms USING ({ids},\"row\",col) LEFT JOIN rg USING ({ids},\"row\",col), lm)"
+    )
+
+
+_LM = "lm AS (SELECT regr_slope(lst_c,ndvi+0.5*ndvi_near) AS s, median(CASE WHEN landcover=50 THEN lst_c END)-median(CASE WHEN landcover=10 THEN lst_c END) AS k FROM cubel JOIN nr USING (\"row\",col))"
+_DELTA = f"{_SCEN}, {_NEAR}, {_LM}, ms AS (SELECT scenario_id, \"row\", col, added*(tn-ndvi) AS d FROM pl), {_field_sql('scenario_id')}"
+
+
+def greenness(table):
+    """What the linear model sees: a cell's greenness and half of its neighbourhood's."""
+    return F.col("ndvi") + 0.5 * F.col("ndvi_near")
+
+
+def delta_field(spark, sf_dir, touched):
+    """Changes of temperature of ``touched`` scenarios, inside, in the ring and beyond."""
+    # both are read several times: the grid once per window, the masks once per scenario
+    h, table, touched = height(spark, sf_dir), raster.checkpointed(feature_table(spark, sf_dir)), raster.checkpointed(touched)
+    model = features.linear(table, KEYS, greenness(table))
+    predict = lambda d: d.join(F.broadcast(model), KEYS).withColumn("predicted", F.col("slope") * greenness(d) + F.col("intercept"))
+    changed = scenario.deltas(scenario.after_features(touched, table, KEYS, h, T.WIDTH, ("ndvi",)), table, predict, [*KEYS, "row", "col"])
+    return scenario.sided(changed, touched, ["scenario_id", *KEYS], h, T.WIDTH)
+
+
+@query(
+    f"WITH {_DELTA} SELECT scenario_id, count(CASE WHEN abs(delta)>1e-12 THEN 1 END) AS cells_changed, round(avg(CASE WHEN inside THEN delta END),4) AS mean_inside, round(coalesce(avg(CASE WHEN ring THEN delta END),0),4) AS mean_ring, count(CASE WHEN ring THEN 1 END) AS ring_cells, "
+    "round(greatest(-avg(CASE WHEN inside THEN delta END),0)/2.5,4) AS expected_cooling FROM fd GROUP BY 1"
+)
 def scenario_deltas(spark, sf_dir):
-    """M7, A10, P25: differences of two predictions for all scenarios at once."""
-    c = cube(spark, sf_dir)
-    model = features.linear(c, KEYS, F.col("ndvi"))
-    p = planted(spark, sf_dir)
-    predict = lambda d: d.join(model, KEYS).withColumn("predicted", F.col("slope") * F.col("ndvi") + F.col("intercept"))
-    after = p.select("scenario_id", *KEYS, "row", "col", F.col("ndvi_new").alias("ndvi"))
-    d = scenario.deltas(after, c, predict, [*KEYS, "row", "col"]).join(p.select("scenario_id", "row", "col", "canopy_added"), ["scenario_id", "row", "col"])
-    # a cell that takes nothing has two equal predictions, up to rounding of their sums
-    d = d.withColumn("delta", F.when(F.abs("delta") < 1e-12, 0.0).otherwise(F.col("delta"))).withColumn("inside", F.lit(True)).withColumn("ring", F.lit(False))
-    out = scenario.summarise_delta(d, ["scenario_id"])
-    return out.select("scenario_id", "cells_changed", r4("mean_inside"), r4(verdicts.corrected_cooling(F.col("mean_inside")), "expected_cooling"))
+    """Differences of two predictions for all scenarios at once, with
+    the neighbourhoods of the planted field."""
+    d = delta_field(spark, sf_dir, planted(spark, sf_dir))
+    # equal predictions can differ in the last bit of their sums
+    out = scenario.summarise_delta(d.withColumn("delta", F.when(F.abs("delta") > 1e-12, F.col("delta")).otherwise(0.0)), ["scenario_id"])
+    return out.select("scenario_id", "cells_changed", r4("mean_inside"), r4("mean_ring"), "ring_cells", r4(verdicts.corrected_cooling(F.col("mean_inside")), "expected_cooling"))
 
 
 @query("SELECT l_orderkey AS id, l_linenumber AS nth, e AS expected, c AS contrast, CASE WHEN e>=-0.005 THEN 'none' WHEN c<1 THEN CASE WHEN abs(e)>=0.1 THEN 'small' ELSE 'marginal' END WHEN abs(e)/c>=0.3 THEN 'large' WHEN abs(e)/c>=0.15 THEN 'moderate' WHEN abs(e)/c>=0.05 THEN 'small' ELSE 'marginal' END AS impact, CASE WHEN l_returnflag='R' OR l_linestatus='F' AND l_linenumber>3 THEN 'low' ELSE 'moderate' END AS confidence, CAST(round_even(l_tax*l_extendedprice/25,0) AS BIGINT) AS trees FROM (SELECT *, l_tax*-10 AS e, l_quantity/10 AS c FROM lineitem)")
@@ -179,13 +210,13 @@ def resolved_plans(spark, sf_dir):
 
 
 @query(
-    "WITH a AS (SELECT o_custkey AS plan_id, CASE WHEN o_orderkey%2=0 THEN 'plant' ELSE 'restrict' END AS kind, CASE WHEN o_orderkey%5=0 THEN o_orderkey%7 END AS tree_count, CASE WHEN o_orderkey%3=0 THEN (o_orderkey%13)/10.0 END AS canopy_fraction FROM orders WHERE o_orderkey%6<2), "
+    "WITH a AS (SELECT o_custkey AS plan_id, CASE WHEN o_orderkey%2=0 THEN 'plant' ELSE 'restrict' END AS kind, CASE WHEN o_orderkey%5=0 THEN o_orderkey%7 END AS tree_count, CASE WHEN o_orderkey%3=0 THEN (o_orderkey%13)/10.0 END AS canopy_fraction FROM orders), "
     "g AS (SELECT plan_id, kind, count(*) AS n, bool_or(kind='plant' AND ((tree_count IS NULL)=(canopy_fraction IS NULL))) AS bad, bool_or(coalesce(canopy_fraction NOT BETWEEN 0 AND 1,false) OR coalesce(tree_count<1,false)) AS out FROM a GROUP BY 1,2) SELECT plan_id, CASE WHEN bool_or(n>1) THEN 'an action twice' WHEN bool_or(bad) THEN 'exactly one of count and fraction' WHEN bool_or(out) THEN 'a number out of bounds' END AS reason FROM g GROUP BY 1"
 )
 def well_formed_plans(spark, sf_dir):
     """Plans that are not well formed."""
     k = F.col("o_orderkey")
-    a = T.read(spark, sf_dir, "orders").where(k % 6 < 2).select(
+    a = T.read(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("plan_id"), F.when(k % 2 == 0, "plant").otherwise("restrict").alias("kind"), F.when(k % 5 == 0, k % 7).alias("tree_count"), F.when(k % 3 == 0, k % 13 / 10.0).alias("canopy_fraction"), F.lit(None).cast("double").alias("emission_fraction")
     )
     return planning.well_formed(a)
@@ -250,11 +281,54 @@ def search_trace(spark, sf_dir):
     return scenario.search_trace(scored, "search", "step", 10).drop("satisfied")
 
 
-@query("WITH o AS (SELECT c_custkey%40 AS plan_id, c_mktsegment AS seg, c_acctbal FROM customer), b AS (SELECT seg, plan_id, sum(c_acctbal) AS score FROM o GROUP BY 1,2) SELECT seg, arg_max(plan_id, (round(score,4), -plan_id)) AS best_plan, round(max(score),2) AS score FROM (SELECT *, row_number() OVER (PARTITION BY seg ORDER BY plan_id) AS rank FROM b) WHERE rank<=3 GROUP BY 1")
-def greedy_best(spark, sf_dir):
-    """E5: the best of the first candidates of each objective."""
-    from pyspark.sql import Window
+_AIR = "kr AS (SELECT a.i AS dr, b.i AS dc, sqrt(a.i*a.i+b.i*b.i::DOUBLE) AS d FROM range(-15,16) a(i), range(-15,16) b(i)), kw AS (SELECT dr, dc, exp(-0.5*pow(d/2.5,2))*exp(-0.004*d*400/(2.0*250))*(20000/(2.0*250*400*400))/(SELECT sum(exp(-0.5*pow(d/2.5,2))) FROM kr) AS w FROM kr)"
 
-    b = T.read(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("seg"), (F.col("c_custkey") % 40).alias("plan_id")).agg(F.sum("c_acctbal").alias("score"))
-    first = b.withColumn("rank", F.row_number().over(Window.partitionBy("seg").orderBy("plan_id"))).where("rank <= 3")
-    return first.groupBy("seg").agg(F.max_by("plan_id", F.struct(F.round("score", 4), -F.col("plan_id"))).alias("best_plan"), F.round(F.max("score"), 2).alias("score"))
+
+@query(
+    f"WITH {_LATTICE}, {_CUBE.replace(T.CELLS + ', ', '')}, {_NEAR}, {_LM}, {_AIR}, rf AS (SELECT median(CASE WHEN landcover=10 THEN ndvi END) AS tn FROM cube), "
+    "ob AS (SELECT n_nationkey AS oid, ['cooling','person_degrees','pm25_reduction'][CAST(n_nationkey%3 AS INTEGER)+1] AS metric, n_nationkey%5 AS area FROM nation), "
+    "cd AS (SELECT oid, metric, region_id, plantable_canopy_m2, row_number() OVER (PARTITION BY oid ORDER BY CASE WHEN metric='pm25_reduction' THEN round(emission*1e6,0) ELSE round(plantable_canopy_m2*population,0) END DESC, region_id) AS rank FROM ob JOIN lat ON col0//10=area), "
+    "tp AS (SELECT *, metric<>'pm25_reduction' AND plantable_canopy_m2<=0 AS refused FROM cd WHERE rank<=3), "
+    f"lr AS (SELECT *, {_RID} AS region_id FROM land), cr AS (SELECT *, {_RID} AS region_id FROM cube), "
+    "ms AS (SELECT oid, region_id, \"row\", col, CASE WHEN landcover NOT IN (80,0) THEN least(0.3, 1-least(greatest((ndvi-0.1)/greatest(tn-0.1,1e-6),0),1)) ELSE 0 END*(tn-ndvi) AS d FROM tp JOIN cr USING (region_id), rf WHERE NOT refused AND metric<>'pm25_reduction'), "
+    f"{_field_sql('oid,region_id')}, "
+    "th AS (SELECT oid, region_id, greatest(-avg(CASE WHEN inside THEN delta END),0)/2.5 AS cooling, sum(-delta*coalesce(CASE WHEN population>0 THEN population END,0)) AS degrees FROM fd LEFT JOIN (SELECT \"row\", col, population FROM people) USING (\"row\",col) GROUP BY 1,2), "
+    "sr AS (SELECT oid, region_id, \"row\", col, emission FROM tp JOIN lr USING (region_id) WHERE NOT refused AND metric='pm25_reduction'), "
+    "ar AS (SELECT s.oid, s.region_id, sum(s.emission*w)*1e6 AS c FROM sr s, kw JOIN sr t ON t.oid=s.oid AND t.region_id=s.region_id AND t.\"row\"=s.\"row\"+dr AND t.col=s.col+dc GROUP BY 1,2), "
+    "pm AS (SELECT oid, region_id, c/count(*) AS less FROM ar JOIN sr USING (oid,region_id) GROUP BY oid, region_id, c), "
+    "oc AS (SELECT oid, metric, region_id, rank, refused, CASE WHEN NOT refused THEN round(CASE metric WHEN 'cooling' THEN cooling WHEN 'person_degrees' THEN degrees ELSE coalesce(less,0) END,6) END AS score FROM tp LEFT JOIN th USING (oid,region_id) LEFT JOIN pm USING (oid,region_id)) "
+    "SELECT oid AS objective_id, metric, arg_max(region_id, (score, -rank)) FILTER (WHERE score IS NOT NULL) AS best_region, round(max(score),4) AS score, count(CASE WHEN NOT refused THEN 1 END) AS tried, count(CASE WHEN refused THEN 1 END) AS refused FROM oc GROUP BY 1,2"
+)
+def greedy_best(spark, sf_dir):
+    """E5: the first three candidates of each objective with one fixed lever, checked,
+    run, scored; the best one.  An objective may use one column of regions."""
+    from tessera.operators import equity, kernel, regions
+    from tessera.plans.people import land
+    from tessera.plans.spatial import _RES, parameters
+
+    k = F.col("n_nationkey")
+    metric = F.when(k % 3 == 0, "cooling").when(k % 3 == 1, "person_degrees").otherwise("pm25_reduction")
+    objectives = T.read(spark, sf_dir, "nation").select(k.alias("objective_id"), metric.alias("metric"), (k % 5).alias("area"))
+    air = F.col("metric") == "pm25_reduction"
+    offered = lattice_of(spark, sf_dir).withColumn("area", F.floor(F.col("col0") / 10)).join(objectives, "area")
+    worth = F.when(air, F.round(F.col("emission") * 1e6, 0)).otherwise(F.round(F.col("plantable_canopy_m2") * F.col("population"), 0))
+    first = regions.ranked(offered, ["objective_id"], worth, 3)
+    levers = first.withColumn("tree_count", F.lit(None).cast("long")).withColumn("canopy_fraction", F.when(~air, 0.30)).withColumn("emission_fraction", F.when(air, 1.0))
+    plans = planning.resolve(levers).withColumn("scenario_id", F.concat_ws("/", F.col("objective_id").cast("string"), "region_id"))
+    run = plans.where("status = 'ok'").select("scenario_id", "objective_id", "region_id", "metric", "canopy_fraction_added")
+    ground = land(spark, sf_dir).withColumn("region_id", regions.region_id(10)).select("tile_id", "region_id", "row", "col", "population", "emission")
+    own = ground.join(run, "region_id")
+    trees = run.where(~air).select("scenario_id", F.col("canopy_fraction_added").alias("canopy_fraction"))
+    touched = scenario.planted(cube(spark, sf_dir), trees, own.where(~air).select("scenario_id", "tile_id", "row", "col"), KEYS)
+    people = ground.select("row", "col", "population")
+    change = delta_field(spark, sf_dir, touched).join(people, ["row", "col"], "left").withColumn("population", F.coalesce("population", F.lit(0.0)))
+    cooler = scenario.summarise_delta(change, ["scenario_id"]).join(equity.totals(change, ["scenario_id"]), "scenario_id")
+    sent = own.where(air & (F.col("emission") > 0)).select("scenario_id", "tile_id", "row", "col", "emission")
+    spread = kernel.seasonal_kernel(parameters(spark, sf_dir), ["tile_id"], _RES).join(sent.select("tile_id", "scenario_id").distinct(), "tile_id").drop("tile_id")
+    field = kernel.concentration(sent.drop("tile_id"), spread, ["scenario_id"], height(spark, sf_dir), T.WIDTH)
+    less = own.where(air).select("scenario_id", "row", "col").join(field, ["scenario_id", "row", "col"], "left").groupBy("scenario_id").agg((-F.avg(F.coalesce("concentration", F.lit(0.0)))).alias("delta_pm25"))
+    outcomes = run.select("scenario_id", "objective_id", "region_id").join(cooler, "scenario_id", "left").join(less, "scenario_id", "left").select(
+        "objective_id", "region_id", verdicts.corrected_cooling(F.col("mean_inside")).alias("expected_cooling"), F.col("net").alias("person_degrees"), "delta_pm25"
+    )
+    best = scenario.greedy(plans.select("objective_id", "region_id", "rank", "metric", "status"), outcomes)
+    return best.withColumn("score", F.round("score", 4))

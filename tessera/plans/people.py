@@ -9,6 +9,7 @@ from tessera.operators import change, composite, equity, regions, stations
 from tessera.plans import tables as T
 from tessera.plans.observing import indices
 from tessera.plans.registry import query, r4
+from tessera.plans.spatial import height
 
 W = '"window"'
 _GROUPED = (
@@ -84,12 +85,12 @@ def lattice(spark, sf_dir):
     )
 
 
-_CHOICE = "ch AS (SELECT c_custkey%40 AS plan_id, printf('r%02dc%02d', CAST(c_custkey//40%6 AS INTEGER), CAST(c_custkey%5 AS INTEGER)) AS region_id FROM customer)"
+_CHOICE = "ch AS (SELECT c_custkey%40 AS plan_id, printf('r%02dc%02d', CAST((c_custkey//40)%((SELECT max(p_partkey) FROM part)//500+2) AS INTEGER), CAST(c_custkey%5 AS INTEGER)) AS region_id FROM customer)"
 
 
 def choices(spark, sf_dir):
     k = F.col("c_custkey")
-    return T.read(spark, sf_dir, "customer").select((k % 40).alias("plan_id"), F.format_string("r%02dc%02d", F.floor(k / 40) % 6, k % 5).alias("region_id"))
+    return T.read(spark, sf_dir, "customer").select((k % 40).alias("plan_id"), F.format_string("r%02dc%02d", F.floor(k / 40) % ((height(spark, sf_dir) - 1) // 10 + 2), k % 5).alias("region_id"))
 
 
 @query(f"WITH {_LATTICE}, {_CHOICE} SELECT plan_id, CAST(sum(cells) AS BIGINT) AS cells, round(sum(area_m2),1) AS area_m2, round(sum(plantable_canopy_m2),1) AS plantable_canopy_m2 FROM (SELECT DISTINCT * FROM ch) JOIN lat USING (region_id) GROUP BY 1")
@@ -104,10 +105,10 @@ def unknown_regions(spark, sf_dir):
     return regions.unknown_regions(choices(spark, sf_dir), lattice_of(spark, sf_dir))
 
 
-@query(f"WITH {_LATTICE}, {_CHOICE} SELECT landcover, count(*) AS cells FROM land WHERE {_RID} IN (SELECT region_id FROM ch WHERE plan_id<8) GROUP BY 1")
+@query(f"WITH {_LATTICE}, {_CHOICE} SELECT landcover, count(*) AS cells FROM land WHERE {_RID} IN (SELECT region_id FROM ch) GROUP BY 1")
 def cells_in_regions(spark, sf_dir):
     """Cells of chosen regions."""
-    return regions.cells_of(choices(spark, sf_dir).where("plan_id < 8"), land(spark, sf_dir), 10).groupBy("landcover").agg(F.count("*").alias("cells"))
+    return regions.cells_of(choices(spark, sf_dir), land(spark, sf_dir), 10).groupBy("landcover").agg(F.count("*").alias("cells"))
 
 
 @query(f"WITH {_LATTICE}, s AS (SELECT region_id, round(plantable_canopy_m2*population,0) AS by_people, round(emission*1e6,0) AS by_emission FROM lat) SELECT * FROM (SELECT region_id, row_number() OVER (ORDER BY by_people DESC, region_id) AS rank, row_number() OVER (ORDER BY by_emission DESC, region_id) AS emission_rank FROM s) WHERE rank<=24")
@@ -171,7 +172,7 @@ def pooled_fit(spark, sf_dir):
 # -- change ------------------------------------------------------------------------------
 
 _PIX = "pix AS (SELECT *, CASE WHEN red>0 AND (red-1000.0)/10000>0 AND (red-1000.0)/10000<=1.6 AND scl IN (4,5,6,7) THEN (red-1000.0)/10000 END AS r, CASE WHEN nir>0 AND (nir-1000.0)/10000>0 AND (nir-1000.0)/10000<=1.6 AND scl IN (4,5,6,7) THEN (nir-1000.0)/10000 END AS n FROM obs)"
-_FIELD = f"{T.OBS}, {T.CELLS}, {_PIX}, cw AS (SELECT {W}, \"row\", col, median((n-r)/nullif(n+r,0)) AS ndvi FROM pix GROUP BY 1,2,3), ch AS (SELECT \"row\", col, median(CASE WHEN {W}>='1998-winter' THEN ndvi END)-median(CASE WHEN {W}<'1998-winter' THEN ndvi END) AS change FROM cw GROUP BY 1,2), dr AS (SELECT median(change) AS drift FROM ch), th AS (SELECT drift, 1.0*1.4826*median(abs(change-drift)) AS threshold FROM ch, dr GROUP BY 1), fl AS (SELECT ch.*, coalesce(abs(change-drift)>threshold,false) AS changed FROM ch, th)"
+_FIELD = f"{T.OBS}, {T.CELLS}, {_PIX}, cw AS (SELECT {W}, \"row\", col, median((n-r)/nullif(n+r,0)) AS ndvi FROM pix GROUP BY 1,2,3), ch AS (SELECT \"row\", col, median(CASE WHEN {W}>='1998-winter' THEN ndvi END)-median(CASE WHEN {W}<'1998-winter' THEN ndvi END) AS change FROM cw GROUP BY 1,2), dr AS (SELECT median(change) AS drift FROM ch), th AS (SELECT drift, 3.0*1.4826*median(abs(change-drift)) AS threshold FROM ch, dr GROUP BY 1), fl AS (SELECT ch.*, coalesce(abs(change-drift)>threshold,false) AS changed FROM ch, th)"
 
 
 def change_field(spark, sf_dir):
@@ -182,7 +183,7 @@ def change_field(spark, sf_dir):
 @query(f"WITH {_FIELD} SELECT count(*) AS cells, count(CASE WHEN changed THEN 1 END) AS changed, round(max(drift),4) AS drift, round(max(threshold),4) AS threshold FROM fl, th")
 def detected_change(spark, sf_dir):
     """Cells whose change stands out from the tile's own spread."""
-    f = change.flag_change(change_field(spark, sf_dir), ["tile_id"], 1.0)
+    f = change.flag_change(change_field(spark, sf_dir), ["tile_id"])
     return f.agg(F.count("*").alias("cells"), F.count_if("changed").alias("changed"), r4(F.max("drift"), "drift"), r4(F.max("threshold"), "threshold"))
 
 
@@ -190,14 +191,14 @@ def detected_change(spark, sf_dir):
 def change_sites(spark, sf_dir):
     """Patches of change, largest first within the tile."""
     f = change.flag_change(change_field(spark, sf_dir), ["tile_id"])
-    return change.sites(f, ["tile_id"]).select("sign", "component", "cells", r4("mean_change"))
+    return change.largest(change.sites(f, ["tile_id"]), ["tile_id"]).select("rank", "sign", "component", "cells", r4("mean_change"))
 
 
 _STRATA = f"{_FIELD}, base AS (SELECT f.*, landcover, elevation_m AS b, elevation_m*0.01+CASE WHEN changed THEN -0.3 ELSE 0 END AS v FROM fl f JOIN cells USING (\"row\",col)), eg AS (SELECT quantile_cont(b,[0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]) AS e FROM base), sr AS (SELECT base.*, landcover*11+len(list_filter(e, lambda x: x<=b)) AS stratum FROM base, eg)"
 
 
 def stratified(spark, sf_dir):
-    f = change.flag_change(change_field(spark, sf_dir), ["tile_id"], 1.0)
+    f = change.flag_change(change_field(spark, sf_dir), ["tile_id"])
     b = f.join(T.cells(spark, sf_dir).drop("tile_id"), ["row", "col"]).withColumn("v", F.col("elevation_m") * 0.01 + F.when(F.col("changed"), -0.3).otherwise(0.0))
     return change.strata(b, ["tile_id"], "landcover", "elevation_m")
 
@@ -232,7 +233,7 @@ def hindcast_score(spark, sf_dir):
 @query(f"WITH {_FIELD}, x AS (SELECT changed, elevation_m*0.01 AS b, elevation_m*0.011-CASE WHEN changed THEN 0.2 ELSE 0 END AS a FROM fl JOIN cells USING (\"row\",col)) SELECT round(avg(CASE WHEN changed THEN a-b END),4) AS changed_shift, round(avg(CASE WHEN NOT changed THEN a-b END),4) AS unchanged_shift, round(avg(CASE WHEN changed THEN a-b END)-avg(CASE WHEN NOT changed THEN a-b END),4) AS effect FROM x")
 def difference_in_differences(spark, sf_dir):
     """Shift of changed land against the rest."""
-    f = change.flag_change(change_field(spark, sf_dir), ["tile_id"], 1.0).join(T.cells(spark, sf_dir).drop("tile_id"), ["row", "col"])
+    f = change.flag_change(change_field(spark, sf_dir), ["tile_id"]).join(T.cells(spark, sf_dir).drop("tile_id"), ["row", "col"])
     x = f.withColumn("b", F.col("elevation_m") * 0.01).withColumn("a", F.col("elevation_m") * 0.011 - F.when(F.col("changed"), 0.2).otherwise(0.0))
     return change.difference_in_differences(x, ["tile_id"], "b", "a").select(r4("changed_shift"), r4("unchanged_shift"), r4("effect"))
 

@@ -11,8 +11,15 @@ from tessera.plans import tables as T
 from tessera.plans.registry import query, r4
 
 
+_HEIGHTS: dict[tuple[str, str], int] = {}
+
+
 def height(spark, sf_dir) -> int:
-    return int(T.read(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0]) // T.WIDTH + 1
+    """Rows of the grid: one number from the table, asked for once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _HEIGHTS:
+        _HEIGHTS[key] = int(T.read(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0]) // T.WIDTH + 1
+    return _HEIGHTS[key]
 
 
 _H = "(SELECT max(p_partkey)//50 FROM part)"
@@ -82,22 +89,22 @@ def disc_cells(spark, sf_dir):
 
 
 @query(
-    f"WITH {T.CELLS}, t AS (SELECT r.i AS \"row\", c.i AS col FROM range(0,13) r(i), range(0,16) c(i)) SELECT t.\"row\", t.col, s.landcover FROM t LEFT JOIN cells s ON s.\"row\"=CAST(floor((t.\"row\"+0.5)*3+0.17) AS BIGINT) AND s.col=CAST(floor((t.col+0.5)*3+0.17) AS BIGINT)"
+    f"WITH {T.CELLS}, t AS (SELECT r.i AS \"row\", c.i AS col FROM (SELECT unnest(range(0,({_H}+1)//3+1)) AS i) r, range(0,17) c(i)) SELECT t.\"row\", t.col, s.landcover FROM t LEFT JOIN cells s ON s.\"row\"=CAST(floor((t.\"row\"+0.5)*3+0.17) AS BIGINT) AND s.col=CAST(floor((t.col+0.5)*3+0.17) AS BIGINT)"
 )
 def nearest_classes(spark, sf_dir):
     """Class codes on a coarser, shifted grid."""
-    targets = spark.range(13 * 16).select(T.tile("id").alias("tile_id"), F.floor(F.col("id") / 16).alias("row"), (F.col("id") % 16).alias("col"))
+    targets = spark.range((height(spark, sf_dir) // 3 + 1) * 17).select(T.tile("id").alias("tile_id"), F.floor(F.col("id") / 17).alias("row"), (F.col("id") % 17).alias("col"))
     return raster.resample_nearest(T.cells(spark, sf_dir), targets, "landcover", 3.0, 0.17, 0.17).select("row", "col", "landcover")
 
 
 @query(
-    f"WITH {T.CELLS}, {_FIELD}, t AS (SELECT r.i AS \"row\", c.i AS col, (r.i+0.5)*1.5+0.25-0.5 AS y, (c.i+0.5)*1.5+0.25-0.5 AS x FROM range(0,26) r(i), range(0,33) c(i)), o AS (SELECT a.i AS dr, b.i AS dc FROM range(0,2) a(i), range(0,2) b(i)), "
+    f"WITH {T.CELLS}, {_FIELD}, t AS (SELECT r.i AS \"row\", c.i AS col, (r.i+0.5)*1.5+0.25-0.5 AS y, (c.i+0.5)*1.5+0.25-0.5 AS x FROM (SELECT unnest(range(0,CAST(floor(({_H}+1)/1.5) AS BIGINT)+1)) AS i) r, range(0,34) c(i)), o AS (SELECT a.i AS dr, b.i AS dc FROM range(0,2) a(i), range(0,2) b(i)), "
     "n AS (SELECT t.\"row\", t.col, CAST(floor(y) AS BIGINT)+dr AS sr, CAST(floor(x) AS BIGINT)+dc AS sc, (CASE WHEN dr=1 THEN y-floor(y) ELSE 1-(y-floor(y)) END)*(CASE WHEN dc=1 THEN x-floor(x) ELSE 1-(x-floor(x)) END) AS w FROM t, o) "
     "SELECT t.\"row\", t.col, round(sum(CASE WHEN f.v IS NOT NULL AND w>0 THEN w*f.v END)/nullif(sum(CASE WHEN f.v IS NOT NULL AND w>0 THEN w END),0),6) AS v FROM t LEFT JOIN n USING (\"row\",col) LEFT JOIN f ON f.\"row\"=sr AND f.col=sc GROUP BY 1,2"
 )
 def bilinear_field(spark, sf_dir):
     """K6: a continuous field on another grid, ignoring missing values."""
-    targets = spark.range(26 * 33).select(T.tile("id").alias("tile_id"), F.floor(F.col("id") / 33).alias("row"), (F.col("id") % 33).alias("col"))
+    targets = spark.range((int(height(spark, sf_dir) / 1.5) + 1) * 34).select(T.tile("id").alias("tile_id"), F.floor(F.col("id") / 34).alias("row"), (F.col("id") % 34).alias("col"))
     return raster.resample_bilinear(field(spark, sf_dir), targets, "v", 1.5, 0.25, 0.25).select("row", "col", F.round("v", 6).alias("v"))
 
 
@@ -164,15 +171,11 @@ def compass_points(spark, sf_dir):
 _CLASS = "['motorway','trunk_link','primary','secondary','tertiary','residential','service']"
 _VEH = "CASE regexp_replace(cls,'_link$','') WHEN 'motorway' THEN 60000 WHEN 'trunk' THEN 40000 WHEN 'primary' THEN 25000 WHEN 'secondary' THEN 12000 WHEN 'tertiary' THEN 6000 WHEN 'residential' THEN 1200 ELSE 0 END"
 _WAYS = (
-    "v AS (SELECT l_orderkey AS way_id, l_linenumber AS nth, (l_partkey%50+0.5)*100 AS x, 100000-(floor(l_partkey/50.0)+0.5)*100 AS y FROM lineitem WHERE l_orderkey%7<5), "
+    "v AS (SELECT l_orderkey AS way_id, l_linenumber AS nth, (l_partkey%50+0.5)*100 AS x, 100000-(floor(l_partkey/50.0)+0.5)*100 AS y FROM lineitem), "
     "s AS (SELECT *, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM v WINDOW w AS (PARTITION BY way_id ORDER BY nth, x, y)), g AS (SELECT *, sqrt((x1-x)*(x1-x)+(y1-y)*(y1-y)) AS len FROM s WHERE x1 IS NOT NULL), "
     "u AS (SELECT *, sum(len) OVER (PARTITION BY way_id ORDER BY nth, x, y) AS upto, sum(len) OVER (PARTITION BY way_id) AS total FROM g), q AS (SELECT *, greatest(round_even(total/50,0),1) AS n FROM u WHERE total>0 AND len>0) "
 )
 
-#: The SQL of way_samples and road_length has only these ways.
-_SQL_WAYS = "way_id % 7 < 5"
-
-
 def ways(spark, sf_dir):
     li = T.read(spark, sf_dir, "lineitem")
     return li.select(F.col("l_orderkey").alias("way_id"), F.col("l_linenumber").alias("nth"), ((F.col("l_partkey") % 50 + 0.5) * 100).alias("x"), (100000 - (F.floor(F.col("l_partkey") / 50) + 0.5) * 100).alias("y"))
@@ -181,7 +184,7 @@ def ways(spark, sf_dir):
 @query(f"WITH {_WAYS} SELECT way_id, CAST(max(n) AS BIGINT) AS n_samples, round(max(total),4) AS length FROM q GROUP BY 1")
 def way_samples(spark, sf_dir):
     """Equal samples along ways; each way has as many as its length asks for."""
-    s = roads.densify(ways(spark, sf_dir).where(_SQL_WAYS))
+    s = roads.densify(ways(spark, sf_dir))
     return s.groupBy("way_id").agg(F.count("*").alias("n_samples"), r4(F.max("length"), "length"))
 
 
@@ -199,7 +202,7 @@ def road_factors(spark, sf_dir):
 )
 def road_length(spark, sf_dir):
     """Samples stand for the whole length of the roads."""
-    s = roads.densify(ways(spark, sf_dir).where(_SQL_WAYS))
+    s = roads.densify(ways(spark, sf_dir))
     return s.agg((F.count("*") > 0).alias("some"), F.round(F.sum(F.col("length") / F.col("n_samples")) / 1000, 1).alias("km"))
 
 
@@ -244,11 +247,9 @@ def concentration_overlap(spark, sf_dir):
     """The same by overlap-add of blocks."""
     k = kernel.seasonal_kernel(parameters(spark, sf_dir), ["tile_id"], _RES)
     h = height(spark, sf_dir)
-    src = sources(spark, sf_dir)
-    out = kernel.concentration_blocks(src, k, ["tile_id"], h, T.WIDTH, block=32)
-    # a block fills its rectangle: cells beyond the reach of every source are zero there
-    reach = kernel.concentration(src, k, ["tile_id"], h, T.WIDTH).select("row", "col")
-    return out.join(reach, ["row", "col"]).select("row", "col", F.round("concentration", 6).alias("concentration"))
+    out = kernel.concentration_blocks(sources(spark, sf_dir), k, ["tile_id"], h, T.WIDTH, block=32)
+    # a block fills its rectangle: cells beyond the reach of every source are zero there, up to the transform's rounding
+    return out.where("concentration > 1e-12").select("row", "col", F.round("concentration", 6).alias("concentration"))
 
 
 @query(
@@ -268,15 +269,36 @@ def deposition(spark, sf_dir):
     return kernel.deposition(cells, ["landcover"]).withColumn("deposition", F.round("deposition", 8))
 
 
-@query("SELECT c_custkey AS id, round(71+(c_custkey%500)/100.0,6) AS lon, round(30+(c_custkey%300)/100.0,6) AS lat FROM customer")
+def _forward_sql(zone: int) -> str:
+    """Easting and northing as SQL, from the series' constants."""
+    lam, s = f"radians(lon-({G.central_meridian(zone)}))", "sin(radians(lat))"
+    x = "+".join(["eta", *(f"({a!r})*cos({2 * j}*xi)*sinh({2 * j}*eta)" for j, a in enumerate(G.ALPHA, 1))])
+    y = "+".join(["xi", *(f"({a!r})*sin({2 * j}*xi)*cosh({2 * j}*eta)" for j, a in enumerate(G.ALPHA, 1))])
+    scale = f"{G.SCALE * G.RADIUS!r}"
+    return (
+        f"t AS (SELECT *, sinh(atanh({s})-{G.ECCENTRICITY!r}*atanh({G.ECCENTRICITY!r}*{s})) AS t, {lam} AS lam FROM p), e AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam)/sqrt(1+t*t)) AS eta FROM t) "
+        f"SELECT id, round({G.FALSE_EASTING}+{scale}*({x}),3) AS east, round({scale}*({y}),3) AS north"
+    )
+
+
+@query(f"WITH p AS (SELECT c_custkey AS id, 71+(c_custkey%500)/100.0 AS lon, 30+(c_custkey%300)/100.0 AS lat FROM customer), {_forward_sql(43)}, round(lon,6) AS lon, round(lat,6) AS lat FROM e")
 def projection_round_trip(spark, sf_dir):
-    """Degrees to metres and back."""
+    """Degrees to metres, and back."""
     c = T.read(spark, sf_dir, "customer")
     lon, lat = 71 + (F.col("c_custkey") % 500) / 100.0, 30 + (F.col("c_custkey") % 300) / 100.0
     east, north = G.forward(lon, lat, 43)
     placed = c.select(F.col("c_custkey").alias("id"), east.alias("e"), north.alias("n"))
     x, y = G.inverse(F.col("e"), F.col("n"), 43)
-    return placed.select("id", F.round(x, 6).alias("lon"), F.round(y, 6).alias("lat"))
+    return placed.select("id", F.round("e", 3).alias("east"), F.round("n", 3).alias("north"), F.round(x, 6).alias("lon"), F.round(y, 6).alias("lat"))
+
+
+@query()
+def grid_bounds(spark, sf_dir):
+    """The envelope in degrees of each region's own grid (no SQL form of the inverse series)."""
+    from tessera.plans.people import lattice_of
+
+    g = G.Grid(429000.0, 3497500.0, 100.0, height(spark, sf_dir), T.WIDTH)
+    return G.bounds(lattice_of(spark, sf_dir), g).select("region_id", *[F.round(c, 7).alias(c) for c in ("west", "south", "east", "north")])
 
 
 @query("SELECT event_id, CASE WHEN value BETWEEN 0 AND 99 THEN CAST(least(floor(value/10),9) AS BIGINT) END AS \"row\", CASE WHEN value BETWEEN 0 AND 99 THEN CAST(least(floor((value*37%360)/36),9) AS BIGINT) END AS col FROM events")

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geojson, season, verdicts
 from tessera.functions import grid as G
-from tessera.operators import change, composite, features, kernel, planning, regions, roads, scenario
+from tessera.operators import change, composite, equity, features, kernel, planning, regions, roads, scenario
 from tessera.plans import tables as T
-from tessera.plans.acting import _PLANS, _SCEN, KEYS, cube, plan_table, planted, scenarios
+from tessera.plans.acting import _DELTA, _PLANS, KEYS, cube, delta_field, plan_table, planted, scenarios
 from tessera.plans.observing import _IDX, _PIX, W, indices
 from tessera.plans.people import lattice_of
 from tessera.plans.registry import query, r4
@@ -32,9 +32,8 @@ def grafted_layer(spark, sf_dir):
 def latest_build(spark, sf_dir):
     """The report of the latest build."""
     s = T.scenes(spark, sf_dir).withColumn("build_id", F.year("ts"))
-    s.groupBy("build_id").agg(F.to_date(F.max("ts")).alias("built_at")).createOrReplaceTempView("builds")
-    composite.scene_counts(s, ["build_id", "collection", "window"], 40.0).createOrReplaceTempView("build_sources")
-    return spark.sql(io.LATEST_BUILD)
+    builds = s.groupBy("build_id").agg(F.to_date(F.max("ts")).alias("built_at"))
+    return io.latest_build(builds, composite.scene_counts(s, ["build_id", "collection", "window"], 40.0))
 
 
 @query(
@@ -93,26 +92,26 @@ def preset_plans(spark, sf_dir):
     return planning.resolve(joined).select("id", "slug", "status", "trees")
 
 
-_LINE = "lm AS (SELECT regr_slope(lst_c,ndvi) AS s, median(CASE WHEN landcover=50 THEN lst_c END)-median(CASE WHEN landcover=10 THEN lst_c END) AS k FROM cubel), dd AS (SELECT scenario_id, avg(s*added*(tn-ndvi)) AS m, avg(added) AS a, max(k) AS k FROM pl, lm GROUP BY 1)"
-
-
 @query(
-    f"WITH {_SCEN}, {_LINE}, f AS (SELECT *, CASE WHEN k>=1 THEN m/nullif(-a*k,0) END AS ratio, abs(m) AS z FROM dd) SELECT scenario_id, round(greatest(-m,0)/2.5,4) AS expected_cooling, CASE WHEN m>=-0.005 THEN 'none' WHEN k<1 THEN CASE WHEN z>=0.1 THEN 'small' ELSE 'marginal' END WHEN z/k>=0.3 THEN 'large' WHEN z/k>=0.15 THEN 'moderate' WHEN z/k>=0.05 THEN 'small' ELSE 'marginal' END AS impact, "
-    "round(ratio,4) AS ratio_to_linear, CASE WHEN m>0 THEN 'warms' WHEN -m>k THEN 'beyond the ceiling' WHEN ratio<0.3 OR ratio>2 THEN 'off the linear expectation' ELSE 'no spillover' END AS flag FROM f"
+    f"WITH {_DELTA}, {T.PEOPLE}, ad AS (SELECT scenario_id, avg(added) AS a FROM pl GROUP BY 1), dd AS (SELECT scenario_id, avg(CASE WHEN inside THEN delta END) AS m, coalesce(avg(CASE WHEN ring THEN delta END),0) AS r, sum(CASE WHEN population>0 THEN -delta*population ELSE 0 END) AS degrees, sum(CASE WHEN population>0 AND delta<-1e-12 THEN population ELSE 0 END) AS reached FROM fd LEFT JOIN (SELECT \"row\", col, population FROM people) USING (\"row\",col) GROUP BY 1), "
+    f"f AS (SELECT *, CASE WHEN k>=1 THEN m/nullif(-a*k,0) END AS ratio, abs(m) AS z FROM dd JOIN ad USING (scenario_id), lm) SELECT scenario_id, round(greatest(-m,0)/2.5,4) AS expected_cooling, CASE WHEN m>=-0.005 THEN 'none' WHEN k<1 THEN CASE WHEN z>=0.1 THEN 'small' ELSE 'marginal' END WHEN z/k>=0.3 THEN 'large' WHEN z/k>=0.15 THEN 'moderate' WHEN z/k>=0.05 THEN 'small' ELSE 'marginal' END AS impact, "
+    "round(ratio,4) AS ratio_to_linear, CASE WHEN m>0 THEN 'warms' WHEN -m>k THEN 'beyond the ceiling' WHEN ratio<0.3 OR ratio>2 THEN 'off the linear expectation' WHEN r=0 THEN 'no spillover' END AS flag, round(degrees,2) AS person_degrees, round(reached,2) AS people_reached FROM f"
 )
 def scenario_outcomes(spark, sf_dir):
-    """Figures and flags of all scenarios in one plan."""
-    c = cube(spark, sf_dir)
-    model = features.linear(c, KEYS, F.col("ndvi"))
-    p = planted(spark, sf_dir).join(model, KEYS)
-    d = p.withColumn("delta", F.col("slope") * (F.col("ndvi_new") - F.col("ndvi"))).withColumn("inside", F.lit(True)).withColumn("ring", F.lit(False))
-    stats = scenario.summarise_delta(d, ["scenario_id", *KEYS]).join(d.groupBy("scenario_id").agg(F.avg("canopy_added").alias("mean_added")), "scenario_id")
-    out = scenario.outcome(stats, scenario.tree_built_contrast(c, KEYS), KEYS)
-    return out.select("scenario_id", r4("expected_cooling"), "impact", r4("ratio_to_linear"), "flag")
+    """Figures and flags of all scenarios in one plan: masks,
+    planting, changes inside and in the ring, who is reached, verdicts."""
+    p = planted(spark, sf_dir)
+    people = T.population(spark, sf_dir).select("row", "col", "population")
+    d = delta_field(spark, sf_dir, p).join(people, ["row", "col"], "left").withColumn("population", F.coalesce("population", F.lit(0.0)))
+    reached = d.groupBy("scenario_id").agg(F.sum(F.when((F.col("population") > 0) & (F.col("delta") < -1e-12), F.col("population")).otherwise(0.0)).alias("people_reached"))
+    totals = equity.totals(d, ["scenario_id"]).select("scenario_id", F.col("net").alias("person_degrees"))
+    stats = scenario.summarise_delta(d, ["scenario_id", *KEYS]).join(p.groupBy("scenario_id").agg(F.avg("canopy_added").alias("mean_added")), "scenario_id")
+    out = scenario.outcome(stats.join(totals, "scenario_id").join(reached, "scenario_id"), scenario.tree_built_contrast(cube(spark, sf_dir), KEYS), KEYS)
+    return out.select("scenario_id", r4("expected_cooling"), "impact", r4("ratio_to_linear"), "flag", F.round("person_degrees", 2).alias("person_degrees"), F.round("people_reached", 2).alias("people_reached"))
 
 
 @query(
-    f"WITH {T.CELLS}, {_KER}, sc AS (SELECT s_suppkey AS scenario_id, s_suppkey%30 AS r0, (s_suppkey*3)%40 AS c0 FROM supplier), rm AS (SELECT scenario_id, \"row\", col, CASE WHEN landcover=80 THEN elevation_m/1e6 ELSE 0 END*0.5 AS g FROM sc JOIN cells ON \"row\" BETWEEN r0 AND r0+7 AND col BETWEEN c0 AND c0+7), "
+    f"WITH {T.CELLS}, {_KER}, sc AS (SELECT s_suppkey AS scenario_id, (s_suppkey*7)%greatest((SELECT max(p_partkey)//50 FROM part)-6,1) AS r0, (s_suppkey*3)%43 AS c0 FROM supplier), rm AS (SELECT scenario_id, \"row\", col, CASE WHEN landcover=80 THEN elevation_m/1e6 ELSE 0 END*0.5 AS g FROM sc JOIN cells ON \"row\" BETWEEN r0 AND r0+7 AND col BETWEEN c0 AND c0+7), "
     f"st AS (SELECT scenario_id, sum(g) AS t FROM rm GROUP BY 1), de AS (SELECT scenario_id, \"row\"+dr AS \"row\", col+dc AS col, sum(g*w)*1e6 AS c FROM rm, kw WHERE g>0 AND \"row\"+dr BETWEEN 0 AND {_H} AND col+dc BETWEEN 0 AND 49 GROUP BY 1,2,3) "
     "SELECT scenario_id, CASE WHEN t=0 THEN 'nothing to remove' ELSE 'ok' END AS status, round(-max(c),4) AS strongest, CASE WHEN max(c) IS NULL THEN NULL ELSE count(c) END AS cells FROM st LEFT JOIN de USING (scenario_id) GROUP BY 1, t"
 )
@@ -142,8 +141,11 @@ def hindcast(spark, sf_dir):
     from tessera.functions.bands import KELVIN, THERMAL_OFFSET, THERMAL_SCALE
 
     c = x.join(obs, composite.CELL).withColumn("lst_c", F.col("t") * THERMAL_SCALE + THERMAL_OFFSET - KELVIN)
-    model = features.linear(c.where("window < '1998-winter'"), ["tile_id"], F.col("ndvi"))
-    after = c.where("window >= '1998-winter'").join(model, "tile_id").withColumn("predicted", F.col("slope") * F.col("ndvi") + F.col("intercept")).withColumn("observed", F.col("lst_c"))
+    windows = [r[0] for r in c.select("window").distinct().orderBy("window").collect()]  # two a year
+    before, later = [w for w in windows if w < "1998-winter"], [w for w in windows if w >= "1998-winter"]
+    change.refuse_leakage(before, later)
+    model = features.linear(c.where(F.col("window").isin(before)), ["tile_id"], F.col("ndvi"))
+    after = c.where(F.col("window").isin(later)).join(model, "tile_id").withColumn("predicted", F.col("slope") * F.col("ndvi") + F.col("intercept")).withColumn("observed", F.col("lst_c"))
     return change.score(after, ["window"]).select("window", "n", r4("mae"), r4("bias"), r4("mae_debiased"))
 
 

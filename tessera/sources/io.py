@@ -52,9 +52,9 @@ def read_cube(spark: SparkSession, path: str, window: str | None = None) -> Data
     table = spark.read.option("mergeSchema", True).parquet(path)
     if window is None:
         return table
-    known = [r[0] for r in table.select("window").distinct().orderBy("window").limit(1000).collect()]
-    if window not in known:
-        raise ValueError(f"no window {window}; there are {', '.join(known)}")
+    if not table.where(F.col("window") == window).limit(1).count():
+        some = [str(r[0]) for r in table.select("window").distinct().orderBy("window").limit(50).collect()]
+        raise ValueError(f"no window {window}; there are {', '.join(some)}" + (" and others" if len(some) == 50 else ""))
     return table.where(F.col("window") == window)
 
 
@@ -72,9 +72,19 @@ def record_build(builds: DataFrame, path: str) -> None:
     builds.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("build_id").parquet(path)
 
 
+def read_builds(spark: SparkSession, path: str) -> DataFrame:
+    """All builds; columns that earlier ones did not have yet are null there."""
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
+def latest_build(builds: DataFrame, build_sources: DataFrame) -> DataFrame:
+    """The report of the latest build; the session's views stay as they are."""
+    return builds.sparkSession.sql(LATEST_BUILD, builds=builds, build_sources=build_sources)
+
+
 LATEST_BUILD = """
 SELECT build_id, built_at, collection, window, found, kept
-FROM builds JOIN build_sources USING (build_id)
-WHERE built_at = (SELECT max(built_at) FROM builds)
+FROM {builds} JOIN {build_sources} USING (build_id)
+WHERE built_at = (SELECT max(built_at) FROM {builds})
 ORDER BY collection, window NULLS FIRST
 """

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import bands, season, textcheck, verdicts
+from tessera.functions import grid as G
 from tessera.functions.grid import Grid, forward, inverse
 from tessera.operators import change, composite, equity, features, kernel, planning, quality, raster, regions, roads, scenario, stations
 from tessera.sources import io
@@ -231,9 +232,11 @@ def test_cube_store_and_graft(spark, tmp_path):
 
 
 def test_catalogue_report(spark):
-    spark.createDataFrame([(1, "2024-01-01"), (2, "2024-02-01")], "build_id int, built_at string").createOrReplaceTempView("builds")
-    spark.createDataFrame([(1, "x", "w", 5, 4), (2, "y", "w", 3, 2), (2, "y", None, 1, 1)], "build_id int, collection string, window string, found int, kept int").createOrReplaceTempView("build_sources")
-    assert [r.window for r in spark.sql(io.LATEST_BUILD).collect()] == [None, "w"]
+    builds = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-02-01")], "build_id int, built_at string")
+    sources = spark.createDataFrame([(1, "x", "w", 5, 4), (2, "y", "w", 3, 2), (2, "y", None, 1, 1)], "build_id int, collection string, window string, found int, kept int")
+    views = [t.name for t in spark.catalog.listTables()]
+    assert [r.window for r in io.latest_build(builds, sources).collect()] == [None, "w"]
+    assert [t.name for t in spark.catalog.listTables()] == views
 
 
 def test_hourly_and_elements(spark, tmp_path):
@@ -253,3 +256,107 @@ def test_quality_and_regions_on_empty_tables(spark):
     assert quality.valid_fractions(empty, ["window"], ["a"]).count() == 0
     cells = spark.createDataFrame([], "tile_id string, row long, col long, headroom double, lst_c double, population double, emission double")
     assert regions.lattice(cells, ["tile_id"], 1e4).count() == 0
+
+
+def test_ways_have_each_sample_once(spark):
+    """Samples that fall on a vertex belong to one segment, whatever rounding does."""
+    rng = np.random.default_rng(1)
+    rows = [(w, k, float(x), float(y)) for w in range(200) for k, (x, y) in enumerate(rng.integers(0, 20, (rng.integers(2, 7), 2)) * 50.0)]
+    got = roads.densify(spark.createDataFrame(rows, "way_id long, nth int, x double, y double")).groupBy("way_id").agg(F.count("*").alias("c"), F.max("n_samples").alias("n"), F.countDistinct("k").alias("k")).collect()
+    assert got and all(r.c == r.n == r.k for r in got)
+
+
+def test_planting_reaches_the_ring(spark):
+    """Cools where planted, less in the ring, nothing beyond the reach of a neighbourhood."""
+    cells = spark.createDataFrame([("t", "2024-summer", r, c, 50, 0.12, 0.25, 0.2) for r in range(30) for c in range(30)], "tile_id string, window string, row long, col long, landcover int, ndvi double, ndbi double, albedo double")
+    mask = [(r, c) for r in range(10, 16) for c in range(12, 17)]
+    touched = cells.join(spark.createDataFrame(mask, "row long, col long"), ["row", "col"]).selectExpr("'s' AS scenario_id", "*", "0.65 AS ndvi_new", "ndbi AS ndbi_new", "albedo AS albedo_new")
+    table = raster.neighbourhood_mean(cells, ["tile_id", "window"], "ndvi", 30, 30)
+    predict = lambda d: d.withColumn("predicted", 40 - 10 * F.col("ndvi") - 5 * F.col("ndvi_near"))
+    on = ["tile_id", "window", "row", "col"]
+    after = scenario.after_features(touched, table, ["tile_id", "window"], 30, 30, ("ndvi",))
+    d = scenario.sided(scenario.deltas(after, table, predict, on), touched, ["scenario_id", "tile_id", "window"], 30, 30)
+    field = np.full((30, 30), 0.12)
+    moved = field.copy()
+    for r, c in mask:
+        moved[r, c] = 0.65
+    near = lambda f: np.mean([np.pad(f, 2, mode="edge")[i : i + 30, j : j + 30] for i in range(5) for j in range(5)], axis=0)
+    want = -10 * (moved - field) - 5 * (near(moved) - near(field))
+    for r in d.collect():
+        assert r.delta == pytest.approx(want[r.row, r.col], abs=1e-9)
+        assert r.inside == ((r.row, r.col) in mask)
+        assert r.ring == (not r.inside and min(abs(r.row - a) + abs(r.col - b) for a, b in mask) <= 2)
+    stats = scenario.summarise_delta(d, ["scenario_id"]).first()
+    assert stats.mean_inside < stats.mean_ring < 0 and stats.cells_changed == int((np.abs(want) > 1e-12).sum())
+
+
+def test_greedy_skips_refused_plans(spark):
+    c = spark.createDataFrame([(1, "a", 1, "cooling", "refused"), (1, "b", 2, "cooling", "ok"), (1, "c", 3, "cooling", "ok"), (2, "a", 1, "pm25_reduction", "ok"), (3, "a", 1, "cooling", "refused")], "objective_id int, region_id string, rank int, metric string, status string")
+    o = spark.createDataFrame([(1, "a", 9.0, 9.0, None), (1, "b", 0.5, 1.0, None), (1, "c", 0.5, 2.0, None), (2, "a", None, None, -0.25)], "objective_id int, region_id string, expected_cooling double, person_degrees double, delta_pm25 double")
+    got = {r.objective_id: (r.best_region, r.score, r.tried, r.refused) for r in scenario.greedy(c, o).collect()}
+    assert got == {1: ("b", 0.5, 2, 1), 2: ("a", 0.25, 1, 0), 3: (None, None, 0, 1)}
+
+
+def test_sites_and_candidates_are_ranked(spark):
+    s = spark.createDataFrame([("t", 1, 5, 10), ("t", -1, 3, 30), ("t", 1, 9, 30), ("u", 1, 2, 9)], "tile_id string, sign int, component long, cells long")
+    top = change.largest(s, ["tile_id"], 2).collect()
+    assert sorted((r.tile_id, r["rank"], r.component) for r in top) == [("t", 1, 3), ("t", 2, 9), ("u", 1, 2)]
+    r = spark.createDataFrame([("t", f"r{k:02d}", k) for k in range(1, 31)], "tile_id string, region_id string, rank int")
+    left = regions.untried(r, spark.createDataFrame([("t", "r02"), ("t", "r05")], "tile_id string, region_id string"), ["tile_id"], 3).collect()
+    assert [(x.region_id, x["rank"]) for x in sorted(left, key=lambda x: x["rank"])] == [("r01", 1), ("r03", 2), ("r04", 3)]
+
+
+def test_leakage_and_scalars_are_refused():
+    change.refuse_leakage(["2019-summer", "2020-summer"], ["2021-summer"])
+    for before, after in ((["2021-summer"], ["2021-summer"]), ([], ["2021-summer"]), (["2020-summer"], [])):
+        with pytest.raises(ValueError):
+            change.refuse_leakage(before, after)
+    assert features.spatial_variable("ndvi") == "ndvi"
+    for name in ("air_temp_c", "colour"):
+        with pytest.raises(ValueError):
+            features.spatial_variable(name)
+
+
+def test_bounds_hold_the_tile(spark):
+    """The published grid's envelope holds the box it was snapped from, closely."""
+    g = G.Grid(429000.0, 3497500.0, 100.0, 201, 202)
+    one = spark.createDataFrame([(0, 201, 0, 202)], "row0 int, row1 int, col0 int, col1 int")
+    b = G.bounds(one, g).first()
+    assert b.west <= 74.2533 <= b.west + 0.003 and b.south <= 31.4305 <= b.south + 0.003
+    assert b.east - 0.003 <= 74.4641 <= b.east and b.north - 0.003 <= 31.6103 <= b.north
+
+
+def test_builds_are_replaced_and_grow_columns(spark, tmp_path):
+    path = str(tmp_path / "builds")
+    first = spark.createDataFrame([(1, "a", 3), (2, "a", 4)], "build_id int, collection string, found int")
+    io.record_build(first, path)
+    io.record_build(first.where("build_id = 2").withColumn("found", F.lit(9)), path)
+    io.record_build(spark.createDataFrame([(3, "b", 5, "v2")], "build_id int, collection string, found int, version string"), path)
+    got = {r.build_id: (r.found, r.version) for r in io.read_builds(spark, path).collect()}
+    assert got == {1: (3, None), 2: (9, None), 3: (5, "v2")}
+
+
+def test_bands_and_points_are_read(spark, tmp_path):
+    path = str(tmp_path / "obs")
+    spark.createDataFrame([("t", "s", None, 0, 1, 5.0, 6.0)], "tile_id string, scene_id string, ts timestamp, row int, col int, red double, nir double").write.parquet(path)
+    assert io.read_observations(spark, path, ["red"]).columns == ["tile_id", "scene_id", "ts", "row", "col", "red"]
+    points = str(tmp_path / "points")
+    spark.createDataFrame([(74.3, 31.5, 4.0), (74.3, 31.5, float("nan")), (80.0, 31.5, 1.0)], "lon double, lat double, people double").write.parquet(points)
+    assert sorted(r.people for r in io.read_points(spark, points, 74.0, 31.0, 75.0, 32.0, "people").collect()) == [0.0, 4.0]
+
+
+def test_models_are_kept_and_windows_left_out(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    rows = [(w, int(rng.choice([10, 50])), *map(float, rng.random(9)), 0.0) for w in ("2023-summer", "2024-summer", "2025-summer") for _ in range(60)]
+    frame = spark.createDataFrame(rows, ["window", "landcover", *features.NUMERIC, "lst_c"]).withColumn("lst_c", 40 - 10 * F.col("ndvi"))
+    scored = features.leave_one_window_out(frame, ["landcover"], ["2023-summer", "2024-summer", "2025-summer"], rounds=3)
+    report = features.cv_report(scored).first()
+    assert scored.count() == 180 and report.mae < report.naive_mae
+    with pytest.raises(ValueError):
+        features.leave_one_window_out(frame, ["landcover"], ["2023-summer"])
+    model = features.train(frame, rounds=3)
+    features.save(model, str(tmp_path / "model"))
+    kept = features.load(str(tmp_path / "model"))
+    assert features.importances(kept)[0][0] == "ndvi" and sorted(features.importances(kept), key=lambda x: -x[1]) == features.importances(model)
+    same = kept.transform(frame).select("predicted").collect()
+    assert same == model.transform(frame).select("predicted").collect()
