@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 NUMERAL = r"(?<![A-Za-z0-9.])\d+(?:\.\d+)?"
 UNITS = r"%|degc|degf|°c|°f|km2|m2|km|m3|µg/m3|ug/m3|million|billion"
 NUMBER = rf"({NUMERAL})(?:\s*({UNITS})\b)?"
+#: Words of either direction; fixed, as equal verdicts need equal words.
 COOLER = r"\b(cool(?:s|er|ing)?|falls?|drops?|decreas(?:es|ing)?)\b"
 WARMER = r"\b(warm(?:s|er|ing)?|hotter|ris(?:es|ing)|increas(?:es|ing)?)\b"
 

@@ -195,7 +195,9 @@ def unpack_blocks(packed: DataFrame, keys: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = [np.frombuffer(b.as_py(), "<f4") for b in batch.column(batch.num_columns - 1)]
-            lists = pa.array([[None if np.isnan(x) else float(x) for x in v] for v in values], pa.list_(pa.float32()))
+            flat = np.concatenate([np.empty(0, "<f4"), *values]).astype(np.float32)
+            offsets = np.cumsum([0, *map(len, values)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, mask=np.isnan(flat)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], [*batch.schema.names[:-1], "values"])
 
     cols = [*keys, "block_row", "block_col"]
