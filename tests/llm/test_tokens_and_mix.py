@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import public_tokenizers as P
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -271,8 +271,9 @@ def test_messages_equal_enumeration():
     assert np.allclose(html_model.beliefs(page, model)[0], content / total)
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=1500, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list("<>a b\"'/=")), max_size=40))
+@example("<b'/'>")
 def test_tags_from_the_list_of_marks_are_those_of_the_expression(source):
     listed = html_model.Tags(source + '<x "')
     assert listed.at(len(source)) is None and listed.marks is not None  # from here on the list is used
