@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import TOGETHER, UnitEncoder
-from tessera.llm.common import partitions, shared_dir, slices
+from tessera.llm.common import partitions, require_long, shared_dir, slices
 
 U64 = np.uint64
 #: Ids in a word and their width in bits, by selector; fixed by the coding.
@@ -173,8 +173,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str | None = None, e
 
     Rows are dealt by ranges of doc_id, so file ``part`` k holds smaller doc_ids
     than k + 1; a null text has only the end id, a null doc_id sorts first, rows
-    with one doc_id stand in text order.  Returns the folder.
+    with one doc_id stand in text order.  Ids that are not whole numbers are refused;
+    other columns are not looked at.  Returns the folder.
     """
+    require_long(docs, id_col)
     spark = docs.sparkSession
     out = out or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     n = partitions(docs)
