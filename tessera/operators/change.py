@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.quantiles import medians, quantiles
+from tessera.operators.raster import checkpointed
+
 MAD_TO_SIGMA = 1.4826
 SIGMA = 3.0
 MIN_SITE_CELLS = 9
@@ -28,12 +31,16 @@ def change_field(cells: DataFrame, key: list[str], value: str, before: Column, a
 
 def threshold(field: DataFrame, key: list[str], sigma: float = SIGMA) -> DataFrame:
     """Common drift and the threshold from the tile's own spread, one row per tile."""
-    drift = field.groupBy(*key).agg(F.median("change").alias("drift"), F.stddev_pop("change").alias("sd"))
-    spread = field.join(drift, key).groupBy(*key).agg(F.first("drift").alias("drift"), F.first("sd").alias("sd"), (F.median(F.abs(F.col("change") - F.col("drift"))) * MAD_TO_SIGMA).alias("mad"))
-    return spread.select(*key, "drift", (sigma * F.when(F.col("mad") > 0, F.col("mad")).otherwise(F.col("sd"))).alias("threshold"))
+    sd = field.groupBy(*key).agg(F.stddev_pop("change").alias("sd"))
+    drift = sd.join(medians(field, key, {"drift": F.col("change")}), key, "left")
+    mad = medians(field.join(drift.select(*key, "drift"), key), key, {"mad": F.abs(F.col("change") - F.col("drift")) * MAD_TO_SIGMA})
+    return drift.join(mad, key, "left").select(*key, "drift", (sigma * F.when(F.col("mad") > 0, F.col("mad")).otherwise(F.col("sd"))).alias("threshold"))
 
 
 def flag_change(field: DataFrame, key: list[str], sigma: float = SIGMA) -> DataFrame:
+    """Cells with ``changed`` and its ``sign``.  The field is checkpointed: the passes
+    over it do not compute it again."""
+    field = checkpointed(field)
     moved = F.col("change") - F.col("drift")
     return field.join(threshold(field, key, sigma), key).withColumn("changed", F.coalesce(F.abs(moved) > F.col("threshold"), F.lit(False))).withColumn("sign", F.signum(moved).cast("int"))
 
@@ -58,9 +65,9 @@ def largest(found: DataFrame, key: list[str], top: int | None = None) -> DataFra
 def strata(cells: DataFrame, key: list[str], cover: str, value: str, bins: int = BINS) -> DataFrame:
     """Stratum of each cell: land cover times (bins + 1) plus the quantile bin of the
     value; -1 without a value."""
-    edges = cells.groupBy(*key).agg(F.percentile(value, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("edges"))
+    edges = quantiles(cells, key, value, [i / bins for i in range(1, bins)]).withColumnRenamed("q", "edges")
     bin_ = F.size(F.filter("edges", lambda e: e <= F.col(value)))
-    return cells.join(edges, key).withColumn("stratum", F.when(F.col(value).isNull(), -1).otherwise(F.col(cover) * (bins + 1) + bin_).cast("long")).drop("edges")
+    return cells.join(edges, key, "left").withColumn("stratum", F.when(F.col(value).isNull(), -1).otherwise(F.col(cover) * (bins + 1) + bin_).cast("long")).drop("edges")
 
 
 def matched_difference(cells: DataFrame, key: list[str], value: str) -> DataFrame:

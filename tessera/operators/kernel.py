@@ -67,8 +67,9 @@ def plume_kernel(params: DataFrame, keys: list[str], res: float, radius: int = M
 
 def concentration(sources: DataFrame, kernel: DataFrame, keys: list[str], height: int, width: int, value: str = "emission") -> DataFrame:
     """Sum of all sources' kernels at each cell they reach, in millionths, as joins and
-    a grouped sum: for small radii and as the check of :func:`concentration_blocks`."""
-    sent = sources.where(F.col(value) > 0).join(kernel.where("weight <> 0"), keys)
+    a grouped sum: for small radii and as the check of :func:`concentration_blocks`.
+    A kernel may have fewer keys than its sources: one for all scenarios of a tile."""
+    sent = sources.where(F.col(value) > 0).join(kernel.where("weight <> 0"), [k for k in keys if k in kernel.columns])
     at = sent.select(*keys, (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), (F.col(value) * F.col("weight")).alias("part"))
     return at.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)).groupBy(*keys, "row", "col").agg((F.greatest(F.sum("part"), F.lit(0.0)) * TO_MICRO).alias("concentration"))
 
@@ -78,10 +79,11 @@ def concentration_blocks(sources: DataFrame, kernel: DataFrame, keys: list[str],
     FFT inside a task and the overlapping results are summed.  A block has a bounded
     number of cells and a kernel a bounded radius; a block whose side is four radii
     or more sends at most 2.25 times its cells."""
-    packed = kernel.groupBy(*keys).agg(F.max("dr").alias("radius"), F.sort_array(F.collect_list(F.struct("dr", "dc", "weight"))).alias("k")).select(*keys, "radius", F.transform("k", lambda x: x["weight"]).alias("k"))
+    on = [k for k in keys if k in kernel.columns]
+    packed = kernel.groupBy(*on).agg(F.max("dr").alias("radius"), F.sort_array(F.collect_list(F.struct("dr", "dc", "weight"))).alias("k")).select(*on, "radius", F.transform("k", lambda x: x["weight"]).alias("k"))
     br, bc = F.floor(F.col("row") / block), F.floor(F.col("col") / block)
     rows = sources.where(F.col(value) > 0).withColumn("_br", br).withColumn("_bc", bc)
-    grouped = rows.groupBy(*keys, "_br", "_bc").agg(F.collect_list(F.struct("row", "col", F.col(value).cast("double").alias("v"))).alias("s")).join(packed, keys)
+    grouped = rows.groupBy(*keys, "_br", "_bc").agg(F.collect_list(F.struct("row", "col", F.col(value).cast("double").alias("v"))).alias("s")).join(packed, on)
     schema = grouped.select(*keys, F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("col"), F.lit(0.0).alias("part")).schema
 
     def convolve(frames):

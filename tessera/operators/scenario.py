@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import verdicts
 from tessera.operators import regions
+from tessera.operators.quantiles import medians
 from tessera.operators.raster import dilation_ring
 
 BARE_NDVI = 0.10
@@ -17,17 +18,18 @@ NEAR = ("ndvi", "ndbi")
 SPILLOVER = 2
 
 
-def tree_reference(cells: DataFrame, keys: list[str], exact: bool = True) -> DataFrame:
+def tree_reference(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Medians of the moved variables over tree cover, and a reason where there is none."""
     tree = F.col("landcover") == regions.TREE
-    middle = (lambda c: F.median(c)) if exact else (lambda c: F.percentile_approx(c, 0.5, 10_000))
-    out = cells.groupBy(*keys).agg(*[middle(F.when(tree, F.col(v))).alias(f"tree_{v}") for v in MOVED], F.count_if(tree).alias("tree_cells"))
+    out = cells.groupBy(*keys).agg(F.count_if(tree).alias("tree_cells")).join(medians(cells.where(tree), keys, {f"tree_{v}": F.col(v) for v in MOVED}), keys, "left")
     return out.withColumn("reason", F.when(F.col("tree_cells") == 0, "no tree cover to refer to"))
 
 
 def tree_built_contrast(cells: DataFrame, keys: list[str], value: str = "lst_c") -> DataFrame:
-    built, tree = F.median(F.when(F.col("landcover") == regions.BUILT, F.col(value))), F.median(F.when(F.col("landcover") == regions.TREE, F.col(value)))
-    return cells.groupBy(*keys).agg(built.alias("built"), tree.alias("tree"), (built - tree).alias("contrast"))
+    """Median of built land, of tree cover, and their difference."""
+    v, cover = F.col(value), F.col("landcover")
+    out = medians(cells, keys, {"built": F.when(cover == regions.BUILT, v), "tree": F.when(cover == regions.TREE, v)})
+    return cells.select(*keys).distinct().join(out, keys, "left").withColumn("contrast", F.col("built") - F.col("tree"))
 
 
 def canopy_fraction(ndvi: Column, tree_ndvi: Column) -> Column:

@@ -187,7 +187,11 @@ def detected_change(spark, sf_dir):
     return f.agg(F.count("*").alias("cells"), F.count_if("changed").alias("changed"), r4(F.max("drift"), "drift"), r4(F.max("threshold"), "threshold"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_FIELD}, m AS (SELECT \"row\" AS r, col AS c, change, CAST(sign(change-drift) AS INTEGER) AS s FROM fl, dr WHERE changed), e AS (SELECT a.s, a.r*2147483648+a.c AS x, b.r*2147483648+b.c AS y FROM m a JOIN m b ON a.s=b.s AND abs(a.r-b.r)<=1 AND abs(a.c-b.c)<=1), "
+    "w AS (SELECT s, x, y FROM e UNION SELECT w.s, w.x, e.y FROM w JOIN e ON w.s=e.s AND w.y=e.x), k AS (SELECT s, x, min(y) AS component FROM w GROUP BY 1,2), g AS (SELECT k.s AS sign, component, count(*) AS cells, round(avg(change),4) AS mean_change FROM k JOIN m ON m.s=k.s AND m.r*2147483648+m.c=k.x GROUP BY 1,2 HAVING count(*)>=9) "
+    "SELECT CAST(row_number() OVER (ORDER BY cells DESC, component, sign) AS INTEGER) AS rank, sign, component, cells, mean_change FROM g"
+)
 def change_sites(spark, sf_dir):
     """Patches of change, largest first within the tile."""
     f = change.flag_change(change_field(spark, sf_dir), ["tile_id"])

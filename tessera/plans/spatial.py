@@ -252,14 +252,47 @@ def concentration_overlap(spark, sf_dir):
     return out.where("concentration > 1e-12").select("row", "col", F.round("concentration", 6).alias("concentration"))
 
 
+def winds(spark, sf_dir):
+    """A wind for each type of event and season: mean speed and direction."""
+    e = T.read(spark, sf_dir, "events").where("value IS NOT NULL")
+    season = F.when(F.month("ts").between(4, 9), "summer").otherwise("winter").alias("season")
+    w = e.groupBy("event_type", season).agg((F.avg("value") / 20).alias("wind_speed"), F.avg(F.col("value") * 37 % 360).alias("wind_direction"))
+    return kernel.season_parameters(w.withColumn("deposition", F.when(F.col("wind_speed").isNotNull(), 0.004))).drop("reason")
+
+
+_WINDS = "wd AS (SELECT event_type, CASE WHEN month(ts) BETWEEN 4 AND 9 THEN 'summer' ELSE 'winter' END AS season, greatest(avg(value)/20,0.5) AS u, radians(avg((value*37)%360)) AS b FROM events WHERE value IS NOT NULL GROUP BY 1,2), wn AS (SELECT *, CASE season WHEN 'winter' THEN 250.0 ELSE 800.0 END*u AS vent, CASE season WHEN 'winter' THEN 0.05 ELSE 0.11 END AS sy FROM wd)"
+
+
+def _plume_sql(pairs: str) -> str:
+    """Weights for rows of ``pairs(dr, dc, b, vent, sy, ...)``."""
+    return (
+        f"al AS (SELECT *, CASE WHEN dr=0 AND dc=0 THEN 200.0 ELSE dr*400.0*cos(b)-dc*400.0*sin(b) END AS along, abs(dc*400.0*cos(b)+dr*400.0*sin(b)) AS across FROM {pairs}), "
+        "wt AS (SELECT *, CASE WHEN along>1e-6 THEN exp(-0.5*pow(across/(50+sy*along),2))/(sqrt(2*pi())*(50+sy*along)*vent)*exp(-0.004*along/vent) ELSE 0 END AS w FROM al)"
+    )
+
+
 @query(
-    "WITH kr AS (SELECT a.i AS dr, b.i AS dc, CASE WHEN a.i=0 AND b.i=0 THEN 200.0 ELSE b.i*400.0 END AS along, abs(a.i*400.0) AS across FROM range(-12,13) a(i), range(-12,13) b(i)) "
-    "SELECT dr, dc, round(CASE WHEN along>1e-6 THEN exp(-0.5*pow(across/(50+0.05*along),2))/(sqrt(2*pi())*(50+0.05*along)*2.0*250)*exp(-0.004*along/(2.0*250)) ELSE 0 END*1e9,4) AS nano FROM kr WHERE EXISTS (SELECT 1 FROM region)"
+    f"WITH {_WINDS}, kr AS (SELECT a.i AS dr, b.i AS dc, wn.* FROM range(-200,201) a(i), range(-200,201) b(i), wn), {_plume_sql('kr')} "
+    "SELECT event_type, season, dr, round(sum(w)*1e9,4) AS nano_sum, round(max(w)*1e9,4) AS nano_max FROM wt GROUP BY 1,2,3"
 )
 def plume(spark, sf_dir):
-    """The directional kernel of a westerly."""
-    k = kernel.plume_kernel(parameters(spark, sf_dir), ["tile_id"], _RES, 12)
-    return k.select("dr", "dc", r4(F.col("weight") * 1e9, "nano"))
+    """The directional kernels of all winds at the full radius, by row."""
+    k = kernel.plume_kernel(winds(spark, sf_dir), ["event_type", "season"], _RES)
+    return k.groupBy("event_type", "season", "dr").agg(r4(F.sum("weight") * 1e9, "nano_sum"), r4(F.max("weight") * 1e9, "nano_max"))
+
+
+@query(
+    f"WITH {T.CELLS}, {_WINDS}, pr AS (SELECT t.\"row\", t.col, t.\"row\"-s.\"row\" AS dr, t.col-s.col AS dc, s.elevation_m/1e6 AS e, wn.* FROM cells s, cells t, wn WHERE s.landcover=80 AND abs(t.\"row\"-s.\"row\")<=200 AND abs(t.col-s.col)<=200), {_plume_sql('pr')} "
+    "SELECT event_type, season, \"row\", col, round(sum(e*w)*1e6,8) AS concentration FROM wt GROUP BY 1,2,3,4 HAVING round(sum(e*w)*1e6,8)>0"
+)
+def plume_field(spark, sf_dir):
+    """The plumes of all winds over all sources, by overlap-add of blocks."""
+    w = winds(spark, sf_dir)
+    keys = ["event_type", "season"]
+    spread = sources(spark, sf_dir).join(w.select(*keys, T.tile("event_type").alias("tile_id")), "tile_id")
+    out = kernel.concentration_blocks(spread, kernel.plume_kernel(w, keys, _RES), ["tile_id", *keys], height(spark, sf_dir), T.WIDTH)
+    at = T.cells(spark, sf_dir).select("tile_id", "row", "col")  # the last row of the grid is not full
+    return out.join(at, ["tile_id", "row", "col"], "left_semi").select(*keys, "row", "col", F.round("concentration", 8).alias("concentration")).where("concentration > 0")
 
 
 @query(f"WITH {T.CELLS} SELECT landcover, round(0.001+avg(elevation_m/10000)*0.009,8) AS deposition FROM cells GROUP BY 1")

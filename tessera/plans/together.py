@@ -124,8 +124,7 @@ def air_scenarios(spark, sf_dir):
     removed = kernel.removed_emissions(cells, known, ["scenario_id"])
     k = kernel.seasonal_kernel(parameters(spark, sf_dir), ["tile_id"], _RES)
     sent = removed.where("removed > 0").select(T.tile("scenario_id").alias("tile_id"), "scenario_id", "row", "col", F.col("removed").alias("emission"))
-    per = k.join(sent.select("tile_id", "scenario_id").distinct(), "tile_id").select("scenario_id", "dr", "dc", "weight")
-    field = kernel.concentration(sent.drop("tile_id"), per, ["scenario_id"], height(spark, sf_dir), T.WIDTH)
+    field = kernel.concentration(sent, k, ["tile_id", "scenario_id"], height(spark, sf_dir), T.WIDTH)
     stats = field.groupBy("scenario_id").agg(r4(-F.max("concentration"), "strongest"), F.count("*").alias("cells"))
     return removed.select("scenario_id", "status").distinct().join(stats, "scenario_id", "left")
 

@@ -360,3 +360,36 @@ def test_models_are_kept_and_windows_left_out(spark, tmp_path):
     assert features.importances(kept)[0][0] == "ndvi" and sorted(features.importances(kept), key=lambda x: -x[1]) == features.importances(model)
     same = kept.transform(frame).select("predicted").collect()
     assert same == model.transform(frame).select("predicted").collect()
+
+
+def test_quantiles_by_brackets_are_exact(spark):
+    from tessera.operators.quantiles import medians, quantiles
+
+    rng = np.random.default_rng(3)
+    groups = [rng.normal(size=1), rng.normal(size=2), rng.normal(size=9), rng.normal(size=4000), rng.integers(0, 4, 4000), np.exp(rng.normal(size=3001) * 8), np.full(500, 7.0)]
+    rows = [(k, float(v)) for k, g in enumerate(groups) for v in g] + [(0, None), (99, None)]
+    table = spark.createDataFrame(rows, "k long, v double").repartition(5)
+    at = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    for accuracy in (20, 150, 10_000):  # small ones leave values outside the brackets
+        got = {r.k: r.q for r in quantiles(table, ["k"], "v", at, accuracy).collect()}
+        assert sorted(got) == list(range(len(groups)))
+        for k, g in enumerate(groups):
+            assert got[k] == pytest.approx(np.quantile(g, at).tolist(), rel=1e-12)
+    both = {r.k: (r.a, r.b) for r in medians(table, ["k"], {"a": F.col("v"), "b": F.when(F.col("k") == 2, -F.col("v"))}, 20).collect()}
+    assert both[3] == (pytest.approx(np.median(groups[3])), None)
+    assert both[2] == (pytest.approx(np.median(groups[2])), pytest.approx(-np.median(groups[2])))
+    assert quantiles(table.limit(0), ["k"], "v", at).count() == 0
+
+
+def test_one_kernel_serves_all_scenarios_of_a_tile(spark):
+    from tessera.operators import kernel
+
+    k = spark.createDataFrame([("t", r, c, 1.0 + r + 2 * c) for r in (-1, 0, 1) for c in (-1, 0, 1)], "tile_id string, dr int, dc int, weight double")
+    sent = spark.createDataFrame([("t", s, 3 + s, 4, 0.5 + s) for s in range(3)], "tile_id string, scenario_id long, row long, col long, emission double")
+    keys = ["tile_id", "scenario_id"]
+    rows = lambda df: {(r.scenario_id, r.row, r.col): round(r.concentration, 4) for r in df.collect() if r.concentration > 1e-6}
+    want = {(s, 3 + s + r, 4 + c): round((0.5 + s) * (1.0 + r + 2 * c) * 1e6, 4) for s in range(3) for r in (-1, 0, 1) for c in (-1, 0, 1)}
+    want = {x: v for x, v in want.items() if v > 0}
+    # negative weights of this made-up kernel meet no others, so each is cut at zero
+    assert rows(kernel.concentration(sent, k, keys, 9, 9)) == want
+    assert rows(kernel.concentration_blocks(sent, k, keys, 9, 9)) == want

@@ -40,3 +40,16 @@ def test_change_sites_take_the_defaults(spark, monkeypatch):
     monkeypatch.setattr(change, "sites", lambda flagged, key, least=change.MIN_SITE_CELLS: seen.append(least) or sites(flagged, key, least))
     catalogue.queries()["change_sites"](spark, SF)
     assert seen == [3.0, 9]
+
+
+def test_change_sites_equal_their_sql_where_there_are_sites(spark, monkeypatch):
+    flag, sites = change.flag_change, change.sites
+    monkeypatch.setattr(change, "flag_change", lambda field, key: flag(field, key, 0.5))
+    monkeypatch.setattr(change, "sites", lambda flagged, key: sites(flagged, key, 2))
+    got = [tuple(r[c] for c in ("rank", "sign", "component", "cells")) for r in catalogue.queries()["change_sites"](spark, SF).collect()]
+    duck = duckdb.connect()
+    for t in ("part", "lineitem"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    sql = catalogue.oracle_sql()["change_sites"].replace("3.0*1.4826", "0.5*1.4826").replace("count(*)>=9", "count(*)>=2")
+    want = duck.execute(f"SELECT rank, sign, component, cells FROM ({sql})").fetchall()
+    assert want and sorted(got) == sorted(want)
