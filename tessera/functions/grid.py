@@ -154,8 +154,11 @@ def bounds(blocks: DataFrame, grid: Grid) -> DataFrame:
 
 def block_ring(row0: Column, row1: Column, col0: Column, col1: Column, grid: Grid) -> Column:
     """Closed ring of a block's corners in WGS84 degrees."""
-    def corner(row: Column, col: Column) -> Column:
-        lon, lat = inverse(grid.left + col * grid.res, grid.top - row * grid.res, grid.zone)
+    corner = lambda row, col: F.struct((grid.left + col * grid.res).alias("x"), (grid.top - row * grid.res).alias("y"))
+
+    def degrees(p: Column) -> Column:
+        lon, lat = inverse(p["x"], p["y"], grid.zone)
         return F.struct(lon.alias("lon"), lat.alias("lat"))
 
-    return F.array(corner(row1, col0), corner(row1, col1), corner(row0, col1), corner(row0, col0), corner(row1, col0))
+    # one copy of the series for all corners: five would outgrow a generated method
+    return F.transform(F.array(corner(row1, col0), corner(row1, col1), corner(row0, col1), corner(row0, col0), corner(row1, col0)), degrees)

@@ -111,17 +111,20 @@ def bilinear_field(spark, sf_dir):
 _SPLIT = "(least(({0}+1-0.5)/2.5, t.i+1.0)-greatest(({0}-0.5)/2.5, t.i))/(1/2.5)"
 
 
-@query(
-    f"WITH {T.PEOPLE}, a AS (SELECT p.\"row\", p.col, population, t.i AS tr, {_SPLIT.format('p.\"row\"')} AS wr FROM people p, range(-1,2000) t(i) WHERE (p.\"row\"+1-0.5)/2.5>t.i AND (p.\"row\"-0.5)/2.5<t.i+1 AND t.i BETWEEN p.\"row\"/2.5-3 AND p.\"row\"/2.5+3), "
-    f"b AS (SELECT p.tr, t.i AS tc, population*wr*{_SPLIT.format('p.col')} AS v FROM a p, range(-1,30) t(i) WHERE (p.col+1-0.5)/2.5>t.i AND (p.col-0.5)/2.5<t.i+1) SELECT tr AS \"row\", tc AS col, round(sum(v),4) AS population FROM b GROUP BY 1,2"
+_REGRID = (
+    f"{T.PEOPLE}, a AS (SELECT p.\"row\", p.col, population, t.i AS tr, {_SPLIT.format('p.\"row\"')} AS wr FROM people p, range(-1,2000) t(i) WHERE (p.\"row\"+1-0.5)/2.5>t.i AND (p.\"row\"-0.5)/2.5<t.i+1 AND t.i BETWEEN p.\"row\"/2.5-3 AND p.\"row\"/2.5+3), "
+    f"b AS (SELECT p.tr, t.i AS tc, population*wr*{_SPLIT.format('p.col')} AS v FROM a p, range(-1,30) t(i) WHERE (p.col+1-0.5)/2.5>t.i AND (p.col-0.5)/2.5<t.i+1)"
 )
+
+
+@query(f"WITH {_REGRID} SELECT tr AS \"row\", tc AS col, round(sum(v),4) AS population FROM b GROUP BY 1,2")
 def summed_population(spark, sf_dir):
     """Totals moved to coarser cells, conserved."""
     people = T.population(spark, sf_dir).withColumn("tile_id", T.tile("row"))
     return raster.resample_sum(people, "population", 2.5, 0.5, 0.5).select("row", "col", r4("population"))
 
 
-@query("SELECT round(sum(CASE WHEN l_linenumber=1 THEN l_quantity ELSE 0 END),2) AS source_total, round(sum(CASE WHEN l_linenumber=1 THEN l_quantity ELSE 0 END),2) AS grid_total, 0.0::DOUBLE AS drift_pct, false AS warns FROM lineitem")
+@query(f"WITH {_REGRID}, s AS (SELECT sum(population) AS s FROM people), g AS (SELECT sum(v) AS g FROM b) SELECT round(s,2) AS source_total, round(g,2) AS grid_total, abs(round(100*(g-s)/s,6)) AS drift_pct, abs(100*(g-s)/s)>5 AS warns FROM s, g")
 def population_conserved(spark, sf_dir):
     """Totals before and after regridding."""
     from tessera.operators import quality
@@ -314,6 +317,18 @@ def _forward_sql(zone: int) -> str:
     )
 
 
+def _inverse_sql(points: str, zone: int) -> str:
+    """``ll``: rows of ``points(e, n, ...)`` with lon and lat, from the series' constants."""
+    scale, ecc = f"{G.SCALE * G.RADIUS!r}", f"{G.ECCENTRICITY!r}"
+    p = "-".join(["xi", *(f"({b!r})*sin({2 * j}*xi)*cosh({2 * j}*eta)" for j, b in enumerate(G.BETA, 1))])
+    q = "-".join(["eta", *(f"({b!r})*cos({2 * j}*xi)*sinh({2 * j}*eta)" for j, b in enumerate(G.BETA, 1))])
+    steps = "".join(f", i{k} AS (SELECT * REPLACE (asin(tanh(psi+{ecc}*atanh({ecc}*sin(phi)))) AS phi) FROM i{k - 1})" for k in range(1, 6))
+    return (
+        f"xe AS (SELECT *, n/{scale} AS xi, (e-{G.FALSE_EASTING})/{scale} AS eta FROM {points}), pq AS (SELECT *, {p} AS p, {q} AS q FROM xe), ta AS (SELECT *, sin(p)/sqrt(pow(sinh(q),2)+pow(cos(p),2)) AS tau FROM pq), "
+        f"i0 AS (SELECT *, asinh(tau) AS psi, atan(tau) AS phi FROM ta){steps}, ll AS (SELECT *, degrees(atan2(sinh(q),cos(p)))+({G.central_meridian(zone)}) AS lon, degrees(phi) AS lat FROM i5)"
+    )
+
+
 @query(f"WITH p AS (SELECT c_custkey AS id, 71+(c_custkey%500)/100.0 AS lon, 30+(c_custkey%300)/100.0 AS lat FROM customer), {_forward_sql(43)}, round(lon,6) AS lon, round(lat,6) AS lat FROM e")
 def projection_round_trip(spark, sf_dir):
     """Degrees to metres, and back."""
@@ -325,9 +340,17 @@ def projection_round_trip(spark, sf_dir):
     return placed.select("id", F.round("e", 3).alias("east"), F.round("n", 3).alias("north"), F.round(x, 6).alias("lon"), F.round(y, 6).alias("lat"))
 
 
-@query()
+#: Corners of every region of the lattice, in the order of a ring.
+CORNERS = (
+    "rg AS (SELECT printf('r%02dc%02d', CAST(\"row\"//10 AS INTEGER), CAST(col//10 AS INTEGER)) AS region_id, min(\"row\") AS r0, max(\"row\")+1 AS r1, min(col) AS c0, max(col)+1 AS c1 FROM cells GROUP BY 1), "
+    "cn AS (SELECT region_id, k AS nth, 429000.0+100.0*CASE WHEN k IN (1,2) THEN c1 ELSE c0 END AS e, 3497500.0-100.0*CASE WHEN k IN (2,3) THEN r0 ELSE r1 END AS n FROM rg, range(0,5) t(k))"
+)
+LONLAT = _inverse_sql("cn", 43)
+
+
+@query(f"WITH {T.CELLS}, {CORNERS}, {LONLAT} SELECT region_id, round(min(lon),7) AS west, round(min(lat),7) AS south, round(max(lon),7) AS east, round(max(lat),7) AS north FROM ll GROUP BY 1")
 def grid_bounds(spark, sf_dir):
-    """The envelope in degrees of each region's own grid (no SQL form of the inverse series)."""
+    """The envelope in degrees of each region's own grid."""
     from tessera.plans.people import lattice_of
 
     g = G.Grid(429000.0, 3497500.0, 100.0, height(spark, sf_dir), T.WIDTH)

@@ -12,7 +12,7 @@ from tessera.plans.acting import _DELTA, _PLANS, KEYS, cube, delta_field, plan_t
 from tessera.plans.observing import _IDX, _PIX, W, indices
 from tessera.plans.people import lattice_of
 from tessera.plans.registry import query, r4
-from tessera.plans.spatial import _H, _KER, _RES, height, parameters
+from tessera.plans.spatial import _H, _KER, _RES, CORNERS, LONLAT, height, parameters
 from tessera.sources import io
 
 
@@ -61,23 +61,35 @@ def edge_columns(spark, sf_dir):
 
 
 @query(
-    "SELECT s_suppkey AS id, CASE s_suppkey%6 WHEN 0 THEN 4 WHEN 1 THEN 4 WHEN 2 THEN 8 WHEN 3 THEN 4 ELSE 0 END AS vertices, CASE WHEN s_suppkey%6=4 THEN 'not a polygon' WHEN s_suppkey%6=5 THEN 'not a polygon' END AS reason FROM supplier"
+    "WITH s AS (SELECT s_suppkey AS id, s_suppkey%8 AS k, 3+s_suppkey//8%6 AS n, (s_suppkey%90)*1.0 AS x FROM supplier), one AS (SELECT *, (n+1)*x+n*(n-1)/20.0 AS sx FROM s) "
+    "SELECT id, CASE WHEN k<2 THEN n+1 WHEN k<4 THEN 2*(n+1) ELSE 0 END AS vertices, round(CASE WHEN k<2 THEN sx WHEN k<4 THEN 2*sx+n+1 ELSE 0 END,4) AS sum_x, CASE WHEN k=4 THEN 'no vertices' WHEN k>4 THEN 'not a polygon' END AS reason FROM one"
 )
 def geometry_checks(spark, sf_dir):
-    """Geometries unwrapped, counted, refused."""
-    ring = "[[0,0],[1,0],[1,1],[0,0]]"
-    poly = '{"type":"Polygon","coordinates":[' + ring + "]}"
-    multi = '{"type":"MultiPolygon","coordinates":[[' + ring + "],[" + ring + "]]}"
-    texts = [poly, '{"type":"Feature","geometry":' + poly + "}", '{"type":"Feature","geometry":' + multi + "}", '{"type":"FeatureCollection","features":[{"type":"Feature","geometry":' + poly + "}]}", '{"type":"Point","coordinates":[1,2]}', "not json"]
-    s = T.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.array(*[F.lit(t) for t in texts])[(F.col("s_suppkey") % 6).cast("int")].alias("geojson"))
-    return geojson.polygons(s).select("id", "vertices", "reason")
-
-
-@query()
+    """Geometries of rings that differ by row, unwrapped, counted, refused."""
+    s = T.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (3 + F.floor(F.col("s_suppkey") / 8) % 6).alias("n"), (F.col("s_suppkey") % 90).cast("double").alias("x"))
+
+    def ring(right: float):
+        spots = F.concat(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), F.array(F.lit(0).cast("long")))
+        return F.concat(F.lit("["), F.array_join(F.transform(spots, lambda i: F.format_string("[%.1f,%d]", F.col("x") + right + i / 10, i)), ","), F.lit("]"))
+
+    typed = lambda kind, coords: F.concat(F.lit(f'{{"type":"{kind}","coordinates":'), coords, F.lit("}"))
+    feature = lambda g: F.concat(F.lit('{"type":"Feature","properties":{},"geometry":'), g, F.lit("}"))
+    listed = lambda *f: F.concat(F.lit('{"type":"FeatureCollection","features":['), F.concat_ws(",", *f), F.lit("]}"))
+    poly = typed("Polygon", F.concat(F.lit("["), ring(0.0), F.lit("]")))
+    holed = typed("Polygon", F.concat(F.lit("["), ring(0.0), F.lit(","), ring(1.0), F.lit("]")))
+    multi = typed("MultiPolygon", F.concat(F.lit("[["), ring(0.0), F.lit("],["), ring(1.0), F.lit("]]")))
+    texts = [poly, listed(feature(poly)), feature(holed), multi, typed("Polygon", F.lit("[]")), typed("Point", F.lit("[1,2]")), listed(feature(poly), feature(poly)), F.concat(F.lit("not json "), F.col("x").cast("string"))]
+    out = geojson.polygons(s.withColumn("geojson", F.array(*texts)[(F.col("id") % 8).cast("int")]))
+    xs = F.coalesce(F.aggregate(F.flatten("rings"), F.lit(0.0), lambda a, p: a + p["x"]), F.lit(0.0))
+    return out.select("id", "vertices", r4(xs, "sum_x"), "reason")
+
+
+@query(f"WITH {T.CELLS}, {CORNERS}, {LONLAT} SELECT region_id, nth, round(lon,7) AS lon, round(lat,7) AS lat FROM ll")
 def block_rings(spark, sf_dir):
     """K8: corners of the regions in degrees."""
     g = G.Grid(429000.0, 3497500.0, 100.0, height(spark, sf_dir), T.WIDTH)
-    return lattice_of(spark, sf_dir).select("region_id", F.to_json(G.block_ring(F.col("row0"), F.col("row1"), F.col("col0"), F.col("col1"), g)).alias("ring"))
+    ring = G.block_ring(F.col("row0"), F.col("row1"), F.col("col0"), F.col("col1"), g)
+    return lattice_of(spark, sf_dir).select("region_id", F.posexplode(ring).alias("nth", "p")).select("region_id", F.col("nth").cast("long").alias("nth"), F.round("p.lon", 7).alias("lon"), F.round("p.lat", 7).alias("lat"))
 
 
 @query(
