@@ -238,17 +238,28 @@ def requests(spark, sf_dir):
 _X = lambda p, g: f"nullif(regexp_extract(t, '{p}', {g}), '')"
 
 
-@query(
-    f"WITH {_TEXT}, l AS (SELECT id, lower(t0) AS t FROM tx), x AS (SELECT id, t, regexp_replace({_X(planning.TREES, 1)}, '[,\\s]', '', 'g') AS d, {_X(planning.TREES, 2)} AS m, coalesce({_X(planning.CANOPY_FIRST, 1)}, {_X(planning.CANOPY_LAST, 2)}) AS cf, {_X(planning.TRAFFIC_SHARE, 1)} AS sh, coalesce(regexp_matches(t, '{planning.TRAFFIC_WORDS}'), false) AS tw, "
+#: Plans from rows of tx(id, t0).
+_PARSED = (
+    f"l AS (SELECT id, lower(t0) AS t FROM tx), x AS (SELECT id, t, regexp_replace({_X(planning.TREES, 1)}, '[,\\s]', '', 'g') AS d, {_X(planning.TREES, 2)} AS m, coalesce({_X(planning.CANOPY_FIRST, 1)}, {_X(planning.CANOPY_LAST, 2)}) AS cf, {_X(planning.TRAFFIC_SHARE, 1)} AS sh, coalesce(regexp_matches(t, '{planning.TRAFFIC_WORDS}'), false) AS tw, "
     f"coalesce({_X(planning.WINDOW, 1)}||'-'||{_X(planning.WINDOW, 2)}, {_X(planning.WINDOW_REVERSED, 2)}||'-'||{_X(planning.WINDOW_REVERSED, 1)}) AS win, {_X(planning.SEASON, 1)} AS se FROM l), "
     "y AS (SELECT id, CASE WHEN d IS NOT NULL THEN CAST(greatest(round_even(CAST(d AS DOUBLE)*CASE WHEN m IS NULL THEN 1 ELSE 1000 END,0),1) AS BIGINT) END AS tree_count, CASE WHEN d IS NULL AND cf IS NOT NULL THEN least(greatest(CAST(cf AS DOUBLE)/100,0.01),1.0) END AS canopy_fraction, CASE WHEN sh IS NOT NULL THEN least(greatest(CAST(sh AS DOUBLE)/100,0.01),1.0) WHEN tw THEN 1.0 END AS emission_fraction, win, CASE WHEN win IS NULL THEN se END AS season, CASE WHEN d IS NOT NULL AND cf IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN sh IS NULL AND tw THEN 1 ELSE 0 END AS warnings FROM x) "
     "SELECT id, tree_count, canopy_fraction, emission_fraction, win AS \"window\", season, warnings, CASE WHEN tree_count IS NULL AND canopy_fraction IS NULL AND emission_fraction IS NULL THEN 'no intervention' ELSE 'ok' END AS status FROM y"
 )
+
+
+@query(f"WITH {_TEXT}, {_PARSED}")
 def parsed_requests(spark, sf_dir):
     """Plans read from plain text."""
     return planning.parse(requests(spark, sf_dir)).select("id", "tree_count", "canopy_fraction", "emission_fraction", "window", "season", F.coalesce(F.size("warnings"), F.lit(0)).alias("warnings"), "status")
 
 
+@query(f"WITH tx AS (SELECT concat_ws('/', conv_id, turn) AS id, text AS t0 FROM conversations), {_PARSED}")
+def parsed_conversations(spark, sf_dir):
+    """Every turn of every conversation as a request."""
+    turns = T.read(spark, sf_dir, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text")
+    return planning.parse(turns).select("id", "tree_count", "canopy_fraction", "emission_fraction", "window", "season", F.coalesce(F.size("warnings"), F.lit(0)).alias("warnings"), "status")
+
+
 @query(
     "WITH p AS (SELECT o_orderkey AS id, (o_orderkey%97)*1000+500 AS v, o_orderkey%4 AS c FROM orders), q AS (SELECT id, c, v, CASE WHEN c=0 THEN v ELSE v+v*CASE c WHEN 1 THEN 0.02 WHEN 2 THEN 0.2 ELSE 0 END END AS w FROM p) SELECT id, c<>3 AND c<>2 AS numbers_ok, c<>1 AS direction_ok, c=0 OR c=3 AS headline_ok FROM q"
 )
@@ -324,8 +335,7 @@ def greedy_best(spark, sf_dir):
     change = delta_field(spark, sf_dir, touched).join(people, ["row", "col"], "left").withColumn("population", F.coalesce("population", F.lit(0.0)))
     cooler = scenario.summarise_delta(change, ["scenario_id"]).join(equity.totals(change, ["scenario_id"]), "scenario_id")
     sent = own.where(air & (F.col("emission") > 0)).select("scenario_id", "tile_id", "row", "col", "emission")
-    spread = kernel.seasonal_kernel(parameters(spark, sf_dir), ["tile_id"], _RES).join(sent.select("tile_id", "scenario_id").distinct(), "tile_id").drop("tile_id")
-    field = kernel.concentration(sent.drop("tile_id"), spread, ["scenario_id"], height(spark, sf_dir), T.WIDTH)
+    field = kernel.concentration(sent, kernel.seasonal_kernel(parameters(spark, sf_dir), ["tile_id"], _RES), ["tile_id", "scenario_id"], height(spark, sf_dir), T.WIDTH)
     less = own.where(air).select("scenario_id", "row", "col").join(field, ["scenario_id", "row", "col"], "left").groupBy("scenario_id").agg((-F.avg(F.coalesce("concentration", F.lit(0.0)))).alias("delta_pm25"))
     outcomes = run.select("scenario_id", "objective_id", "region_id").join(cooler, "scenario_id", "left").join(less, "scenario_id", "left").select(
         "objective_id", "region_id", verdicts.corrected_cooling(F.col("mean_inside")).alias("expected_cooling"), F.col("net").alias("person_degrees"), "delta_pm25"
