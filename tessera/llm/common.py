@@ -87,6 +87,11 @@ def require_long(df: DataFrame, column: str) -> None:
         raise TypeError(f"column {column} must hold whole numbers, not {kind}")
 
 
+def plain(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named c0, c1, ...: Arrow functions can't take names with dots."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def partitions(df: DataFrame) -> int:
     """Partitions for an exchange of ``df``: the session's number, or as many as
     its scan has, so that the count follows the input."""
@@ -269,12 +274,12 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word ``[^\\x20\\x09-\\x0D]+`` and the number of words
-    before each text; words never cross texts."""
+def word_spans(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word, ``[^\\x20\\x09-\\x0D]+`` unless ``between`` marks other
+    bytes, and the number of words before each text; words never cross texts."""
     n = len(raw)
     inside = np.zeros(n + 1, bool)
-    np.logical_not(_SPACE[raw], out=inside[:n])
+    np.logical_not(between[raw], out=inside[:n])
     starts = inside[:n].copy()
     starts[1:] &= ~inside[: n - 1] if n else starts[1:]
     firsts = offsets[:-1][(offsets[:-1] < n) & (offsets[:-1] < offsets[1:])]
@@ -286,12 +291,12 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return s, e, np.searchsorted(s, offsets)
 
 
-def distinct_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+def distinct_words(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, pa.Array]:
     """A number for each word, the same for equal words of ``raw`` and no others, and
     the distinct words by number.  The spans are those of :func:`word_spans`."""
     offsets = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(ends - starts, out=offsets[1:])
-    data = np.ascontiguousarray(raw[~_SPACE[raw]])
+    data = np.ascontiguousarray(raw[~between[raw]])
     column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
     coded = column.dictionary_encode()
     return coded.indices.to_numpy().astype(np.int64), coded.dictionary
