@@ -6,24 +6,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_VERTICES = 10_000
+#: Features and collections that may lie around a geometry.
+MAX_DEPTH = 4
 POLYGON, MULTI = "array<array<array<double>>>", "array<array<array<array<double>>>>"
 
 
-def geometry(text: Column) -> Column:
-    """The geometry of a Feature, of a collection of one feature, or the text itself."""
-    part = lambda path: F.get_json_object(text, path)
-    kind = part("$.type")
-    one = part("$.features[1]").isNull()
-    return F.when(kind == "Feature", part("$.geometry")).when((kind == "FeatureCollection") & one, part("$.features[0].geometry")).when(kind.isin("Polygon", "MultiPolygon"), text)
+def part(text: Column, path: str) -> Column:
+    return F.get_json_object(text, path)
+
+
+def geometry(text: Column) -> tuple[Column, Column]:
+    """The geometry inside Features and collections of one feature, and why there is none."""
+    reason = F.when(text.isNull() | part(text, "$.type").isNull(), "not a polygon")
+    for depth in range(MAX_DEPTH + 1):
+        kind = part(text, "$.type")
+        many = (kind == "FeatureCollection") & (part(text, "$.features[0]").isNull() | part(text, "$.features[1]").isNotNull())
+        bare = (kind == "Feature") & part(text, "$.geometry.type").isNull()
+        reason = F.coalesce(reason, F.when(many, "not one feature").when(bare, "no geometry"))
+        if depth < MAX_DEPTH:
+            text = F.when(kind == "Feature", part(text, "$.geometry")).when(kind == "FeatureCollection", part(text, "$.features[0]")).otherwise(text)
+    kind = part(text, "$.type")
+    return text, F.coalesce(reason, F.when(kind.isin("Feature", "FeatureCollection"), "nested too deep"), F.when(~F.coalesce(kind.isin("Polygon", "MultiPolygon"), F.lit(False)), "not a polygon"))
 
 
 def polygons(table: DataFrame, text: str = "geojson", most: int = MAX_VERTICES) -> DataFrame:
-    """``table`` with ``rings`` (arrays of x, y), ``vertices`` and ``reason``: not a polygon,
-    no vertices, or too many.  A polygon and a multipolygon give the same rows."""
-    g = geometry(F.col(text))
-    kind, coords = F.get_json_object(g, "$.type"), F.get_json_object(g, "$.coordinates")
-    rings = F.when(kind == "Polygon", F.from_json(coords, POLYGON)).when(kind == "MultiPolygon", F.flatten(F.from_json(coords, MULTI)))
-    out = table.withColumn("rings", F.transform(rings, lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))))
+    """``table`` with ``parts`` (polygons of rings of x, y), ``rings`` (of all parts), ``vertices``
+    and ``reason``: not a polygon, not one feature, no geometry, nested too deep, no
+    vertices, or too many.  A polygon is a multipolygon of one part."""
+    g, refused = geometry(F.col(text))
+    kind, coords = part(F.col("_g"), "$.type"), part(F.col("_g"), "$.coordinates")
+    nested = F.when(kind == "Polygon", F.array(F.from_json(coords, POLYGON))).when(kind == "MultiPolygon", F.from_json(coords, MULTI))
+    point = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
+    ring = lambda r: F.transform(r, point)
+    out = table.withColumn("_g", g).withColumn("_r", refused).withColumn("parts", F.transform(nested, lambda rings: F.transform(rings, ring))).withColumn("rings", F.flatten("parts"))
     count = F.coalesce(F.aggregate("rings", F.lit(0), lambda a, r: a + F.size(r)), F.lit(0))
-    reason = F.when(F.col("rings").isNull(), "not a polygon").when(count == 0, "no vertices").when(count > most, "too many vertices")
-    return out.withColumn("vertices", count).withColumn("reason", reason)
+    reason = F.coalesce("_r", F.when(F.col("rings").isNull(), "not a polygon").when(count == 0, "no vertices").when(count > most, "too many vertices"))
+    return out.withColumn("vertices", count).withColumn("reason", reason).drop("_g", "_r")

@@ -55,7 +55,12 @@ def dilation_ring(mask: DataFrame, keys: list[str], steps: int, height: int, wid
 
 
 def polygon_cells(rings: DataFrame, keys: list[str], grid: Grid) -> DataFrame:
-    """Cells whose centre is inside polygons, from ``rings(keys, ring_id, points array<struct<x, y>>)``.
+    """Cells whose centre is inside polygons; see :func:`polygon_spans`."""
+    return polygon_spans(rings, keys, grid).select(*keys, "row", F.explode(F.sequence("c0", "c1")).alias("col"))
+
+
+def polygon_spans(rings: DataFrame, keys: list[str], grid: Grid) -> DataFrame:
+    """Runs (row, c0, c1) of cells whose centre is inside polygons, from ``rings(keys, points array<struct<x, y>>)``.
 
     Holes are further rings.  An edge covers the rows whose centre it crosses, half
     open in y, so a vertex counts once; sorted crossings of a row pair up.
@@ -77,8 +82,7 @@ def polygon_cells(rings: DataFrame, keys: list[str], grid: Grid) -> DataFrame:
     pairs = at.select(*keys, "row", F.explode(F.transform(F.sequence(F.lit(0), (F.size("xs") / 2).cast("int") - 1), lambda i: F.struct(F.col("xs")[i * 2].alias("a"), F.col("xs")[i * 2 + 1].alias("b")))).alias("s"))
     c0 = F.greatest(F.ceil((F.col("s.a") - grid.left) / grid.res - 0.5), F.lit(0))
     c1 = F.least(F.ceil((F.col("s.b") - grid.left) / grid.res - 0.5) - 1, F.lit(grid.width - 1))
-    spans = pairs.withColumn("c0", c0).withColumn("c1", c1).where("c0 <= c1")
-    return spans.select(*keys, "row", F.explode(F.sequence("c0", "c1")).alias("col"))
+    return pairs.withColumn("c0", c0).withColumn("c1", c1).where("c0 <= c1").select(*keys, "row", "c0", "c1")
 
 
 def components(mask: DataFrame, keys: list[str], block: int = 64) -> DataFrame:

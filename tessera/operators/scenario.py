@@ -48,11 +48,17 @@ def perturbed(cells: DataFrame, fraction: str) -> DataFrame:
     return cells.withColumns({f"{v}_new": F.col(v) + F.col(fraction) * (F.col(f"tree_{v}") - F.col(v)) for v in MOVED})
 
 
+def referred(cells: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells with the tree reference of their tile and window."""
+    from tessera.operators.features import with_scalars
+
+    return with_scalars(cells, reference.drop("tree_cells"), keys)
+
+
 def planted(cells: DataFrame, scenarios: DataFrame, scenario_cells: DataFrame, keys: list[str]) -> DataFrame:
     """Cells of each scenario's mask with canopy, the fraction added and what they become.
     Only masked cells are touched, so the size is that of the masks."""
-    referred = cells.join(tree_reference(cells, keys).drop("tree_cells"), keys)
-    own = scenario_cells.join(scenarios, "scenario_id").join(referred, [c for c in ("tile_id", "row", "col") if c in scenario_cells.columns])
+    own = scenario_cells.join(scenarios, "scenario_id").join(referred(cells, tree_reference(cells, keys), keys), [c for c in ("tile_id", "row", "col") if c in scenario_cells.columns])
     canopy = canopy_fraction(F.col("ndvi"), F.col("tree_ndvi"))
     added = effective_fraction(F.col("canopy_fraction"), F.lit(True), F.col("ndvi"), canopy, F.col("landcover"))
     return perturbed(own.withColumn("canopy", canopy).withColumn("canopy_added", added), "canopy_added")
