@@ -8,12 +8,6 @@ from pyspark.sql import functions as F
 CELL = ["tile_id", "window", "row", "col"]
 
 
-def search_scenes(scenes: DataFrame, collection: Column, max_cloud: Column | float | None = None) -> DataFrame:
-    """Scenes that match; a scene without a cloud value counts as clear."""
-    found = scenes.where(collection)
-    return found if max_cloud is None else found.where(F.coalesce("cloud_cover", F.lit(0.0)) <= max_cloud)
-
-
 def scene_counts(scenes: DataFrame, keys: list[str], max_cloud: float) -> DataFrame:
     """Found and kept scenes of each key, from one pass."""
     return scenes.groupBy(*keys).agg(F.count("*").alias("found"), F.count_if(F.coalesce("cloud_cover", F.lit(0.0)) <= max_cloud).alias("kept"))
@@ -56,9 +50,11 @@ def composite_depth(composites: DataFrame, keys: list[str], looks: str) -> DataF
 def on_skeleton(cells: DataFrame, windows: DataFrame, data: DataFrame, keys: list[str], count_cols: list[str] = ()) -> DataFrame:
     """Every cell of every window; counts of cells without data are zero.
 
-    The windows are a dimension of a few rows per year.
+    The windows are a dimension of a few rows per year; over 10,000 are refused.
     """
-    dense = cells.crossJoin(F.broadcast(windows)) if windows.count() <= 10_000 else cells.crossJoin(windows)
+    if windows.limit(10_001).count() > 10_000:
+        raise ValueError("over 10,000 windows: these are no seasons")
+    dense = cells.crossJoin(F.broadcast(windows))
     return dense.join(data, keys, "left").fillna(0, list(count_cols))
 
 

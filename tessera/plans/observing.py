@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import bands, season, verdicts
-from tessera.operators import composite, quality
+from tessera.operators import composite, quality, search
 from tessera.plans import tables as T
 from tessera.plans.registry import query, r4
 
@@ -59,6 +59,50 @@ def scene_accounting(spark, sf_dir):
     return composite.scene_counts(T.scenes(spark, sf_dir).where("window IS NOT NULL"), ["collection", "window"], 40.0)
 
 
+_BOXES = (
+    f"{T.SCENES}, bx AS (SELECT *, (scene_id*137%34000)/100.0-170 AS west, (scene_id*71%15000)/100.0-75 AS south, (scene_id%23)/10.0+0.5 AS wide FROM scenes), "
+    "sq AS (SELECT c_custkey AS search_id, ['1-URGENT','2-HIGH','3-MEDIUM','4-NOT SPECIFIED','5-LOW'][CAST(c_custkey%5 AS INTEGER)+1] AS collection, CASE WHEN c_custkey%11=0 THEN 170.0 ELSE (c_custkey*331%33000)/100.0-170 END AS west, (c_custkey*97%14000)/100.0-75 AS south, "
+    "CASE WHEN c_custkey%11=0 THEN -170.0 ELSE (c_custkey*331%33000)/100.0-170+(c_custkey%17)*(c_custkey%7)/4.0 END AS east, (c_custkey*97%14000)/100.0-75+(c_custkey%13) AS north, CASE WHEN c_custkey%9<>0 THEN TIMESTAMP '1995-01-01'+to_days(CAST(c_custkey*13%900 AS INTEGER)) END AS \"from\", "
+    "CASE WHEN c_custkey%8<>0 THEN TIMESTAMP '1995-01-01'+to_days(CAST(c_custkey*13%900+c_custkey%4*c_custkey%300 AS INTEGER))+to_microseconds(86399999999) END AS \"to\", CASE WHEN c_custkey%3<>0 THEN (c_custkey%5)*20.0 END AS max_cloud FROM customer), "
+    "ht AS (SELECT search_id, scene_id, coalesce(coalesce(cloud_cover,0)<=max_cloud,true) AS kept FROM sq JOIN bx ON sq.collection=bx.collection AND bx.south<=sq.north AND sq.south<=bx.south+wide AND "
+    "CASE WHEN sq.west>sq.east THEN bx.west+wide>=sq.west OR bx.west<=sq.east ELSE bx.west<=sq.east AND sq.west<=bx.west+wide END AND coalesce(ts>=\"from\",true) AND coalesce(ts<=\"to\",true))"
+)
+
+
+def boxed_scenes(spark, sf_dir):
+    k = F.col("scene_id")
+    west, south, wide = k * 137 % 34000 / 100.0 - 170, k * 71 % 15000 / 100.0 - 75, k % 23 / 10.0 + 0.5
+    return T.scenes(spark, sf_dir).withColumns({"west": west, "south": south, "east": west + wide, "north": south + wide})
+
+
+def searches(spark, sf_dir):
+    """A search for each customer: boxes from a point to 24 degrees, some over the date
+    line; intervals from a day to ten months, open at either end or both."""
+    k = F.col("c_custkey")
+    names = F.array(*[F.lit(x) for x in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")])
+    west, south = k * 331 % 33000 / 100.0 - 170, k * 97 % 14000 / 100.0 - 75
+    day = lambda n: F.date_format(F.date_add(F.lit("1995-01-01").cast("date"), n.cast("int")), "yyyy-MM-dd")
+    text = F.concat(F.when(k % 9 == 0, "..").otherwise(day(k * 13 % 900)), F.lit("/"), F.when(k % 8 == 0, "").otherwise(day(k * 13 % 900 + k % 4 * k % 300)))
+    start, end = search.parse_interval(text)
+    return T.read(spark, sf_dir, "customer").select(
+        k.alias("search_id"), names[(k % 5).cast("int")].alias("collection"), F.when(k % 11 == 0, 170.0).otherwise(west).alias("west"), south.alias("south"),
+        F.when(k % 11 == 0, -170.0).otherwise(west + k % 17 * (k % 7) / 4.0).alias("east"), (south + k % 13).alias("north"), start.alias("start"), end.alias("end"), F.when(k % 3 != 0, k % 5 * 20.0).alias("max_cloud"),
+    )
+
+
+@query(f"WITH {_BOXES} SELECT search_id, scene_id, kept FROM ht")
+def scene_search(spark, sf_dir):
+    """Scenes of many searches by box and interval."""
+    return search.matches(boxed_scenes(spark, sf_dir), searches(spark, sf_dir)).select("search_id", "scene_id", "kept")
+
+
+@query(f"WITH {_BOXES} SELECT search_id, count(scene_id) AS n_found, count(CASE WHEN kept THEN 1 END) AS n_kept FROM sq LEFT JOIN ht USING (search_id) GROUP BY 1")
+def search_counts(spark, sf_dir):
+    """How many scenes each search finds, and how many of them are clear enough."""
+    asked = searches(spark, sf_dir)
+    return search.counts(asked, search.matches(boxed_scenes(spark, sf_dir), asked))
+
+
 @query(f"WITH {T.SCENES} SELECT scene_id, collection, {W}, rank FROM (SELECT *, row_number() OVER (PARTITION BY collection, {W} ORDER BY coalesce(cloud_cover,0), scene_id) AS rank FROM scenes WHERE {W} IS NOT NULL) WHERE rank<=14")
 def clearest_scenes(spark, sf_dir):
     """The 14 clearest scenes of a collection and window."""
