@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Element names, fixed by HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,7 +55,8 @@ _NAMES = re.compile(r"[a-z]+")
 BESIDE = (
     "ad ads advert advertisement banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header footer "
     "sidebar side aside widget related recommend share social comment comments respond reply disqus cookie consent notice popup modal "
-    "overlay newsletter subscribe signup login form search copyright legal toolbar tags pagination pager skip hidden"
+    "overlay newsletter subscribe signup login form search copyright legal toolbar tags pagination pager skip hidden "
+    "teaser teasers recommended trending popular latest links commentlist alert topbar masthead"
 ).split()
 #: Words in names that mark the article itself.
 WITHIN = "article content main post entry story body text prose".split()
@@ -65,7 +67,11 @@ TAGS = (
 ).split()
 _TAG_AT = {t: i for i, t in enumerate(TAGS)}
 _CLASS_AT = {w: i for i, w in enumerate(BESIDE + WITHIN)}
-N_FEATURES = 1 + len(TAGS) + len(_CLASS_AT) + 8
+N_FEATURES = 1 + len(TAGS) + len(_CLASS_AT) + 14
+#: Elements that hold running text or its parts, and elements that name their role.
+_TEXTUAL = frozenset("p li h1 h2 h3 h4 h5 h6 dd dt dl td th tr table tbody thead ul ol blockquote pre figcaption figure".split())
+_ROLES = frozenset("article main nav header footer aside form button".split())
+_BESIDE, _WITHIN = frozenset(BESIDE), frozenset(WITHIN)
 
 
 @cache
@@ -263,7 +269,15 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             if k is not None:
                 put(v, 1 + len(TAGS) + k)
     share = total / whole
-    for k, column in enumerate((density, density > 0.5, share, share > 0.4, np.log1p(total) / 10, total < 20, total > 200, in_link)):
+    heads = [v for v in range(n) if page.tag[v] in ("h1", "h2")]
+    order, depth = np.arange(n), np.array(page.depth)
+    beside = np.array([not _BESIDE.isdisjoint(w) for w in page.names])
+    within = np.array([not _WITHIN.isdisjoint(w) for w in page.names])
+    top = depth == 1
+    first = order < heads[0] if heads else np.zeros(n, bool)
+    textual = np.array([t in _TEXTUAL for t in page.tag])
+    columns = (density, density > 0.5, share, share > 0.4, np.log1p(total) / 10, total < 20, total > 200, in_link, beside, within & ~beside, top, top & textual & (density < 0.5), first, first & (density > 0.5))
+    for k, column in enumerate(columns):
         on = np.flatnonzero(column)
         node += on.tolist()
         feat += [at + k] * len(on)
@@ -271,10 +285,21 @@ def features(page: Page) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.array(node), np.array(feat), np.array(value)
 
 
+def kinds(page: Page) -> np.ndarray:
+    """Kind of each node, which says how closely it follows its parent: text, inline,
+    running text, containers without a name, elements that say what they are, and
+    those without a name that stand at the top of the page."""
+    out = []
+    for tag, names, text, depth in zip(page.tag, page.names, page.text, page.depth, strict=True):
+        named = tag in _ROLES or not _BESIDE.isdisjoint(names) or not _WITHIN.isdisjoint(names)
+        out.append(0 if text is not None else 4 if named else 5 if depth == 1 else 2 if tag in _TEXTUAL else 3 if tag in BLOCK else 1)
+    return np.array(out)
+
+
 @dataclass
 class TreeModel:
     """unary: log odds weights of features; edges[k]: log potentials of (parent,
-    child) states for children that are text (k = 0) or elements (k = 1)."""
+    child) states for children of kind k (the last table also serves all kinds beyond it)."""
 
     unary: np.ndarray
     edges: np.ndarray
@@ -288,7 +313,7 @@ def beliefs(page: Page, model: TreeModel, found=None) -> tuple[np.ndarray, np.nd
     score = np.bincount(node, model.unary[feat] * value, n)
     log = np.zeros((n, 2))
     log[:, 1] = score
-    kind = np.array([0 if t is not None else 1 for t in page.text])
+    kind = np.minimum(kinds(page), len(model.edges) - 1)
     edge = np.exp(model.edges)
     up = np.ones((n, 2))
     own = np.exp(log - log.max(axis=1, keepdims=True)).tolist()
@@ -320,27 +345,64 @@ def beliefs(page: Page, model: TreeModel, found=None) -> tuple[np.ndarray, np.nd
     return np.array(belief)[:, 1], pairs
 
 
-def train(pages: list[tuple[Page, np.ndarray, float]], rounds: int = 100, rate: float = 0.3, l2: float = 1e-4) -> TreeModel:
+class Forest:
+    """Trees side by side, their nodes by depth: messages of all trees go up and down level by level."""
+
+    def __init__(self, pages: list[Page]):
+        sizes = [len(p.tag) for p in pages]
+        first = np.cumsum([0, *sizes[:-1]])
+        self.parent = np.concatenate([np.array(p.parent) + f for p, f in zip(pages, first, strict=True)])
+        self.parent[first] = -1
+        self.kind = np.concatenate([kinds(p) for p in pages])
+        depth = np.concatenate([np.array(p.depth) for p in pages])
+        order = np.argsort(depth, kind="stable")
+        cut = np.searchsorted(depth[order], np.arange(depth.max() + 2))
+        self.levels = [order[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+    def beliefs(self, score: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Content marginals, and those of (parent, child) states, as :func:`beliefs` gives them."""
+        n, join = len(score), np.logaddexp
+        e = edges[np.minimum(self.kind, len(edges) - 1)]
+        own, sent = score.copy(), np.zeros(n)
+        for level in self.levels[:0:-1]:
+            r, t = own[level], e[level]
+            sent[level] = join(t[:, 1, 0], t[:, 1, 1] + r) - join(t[:, 0, 0], t[:, 0, 1] + r)
+            np.add.at(own, self.parent[level], sent[level])
+        odds, pairs = own.copy(), np.zeros((n, 2, 2))
+        for level in self.levels[1:]:
+            above, r, t = odds[self.parent[level]] - sent[level], own[level], e[level]
+            odds[level] = r + join(t[:, 0, 1], t[:, 1, 1] + above) - join(t[:, 0, 0], t[:, 1, 0] + above)
+            both = t + np.stack([np.stack([np.zeros(len(r)), r], 1), np.stack([above, above + r], 1)], 1)
+            both = np.exp(both - both.max((1, 2), keepdims=True))
+            pairs[level] = both / both.sum((1, 2), keepdims=True)
+        return 1 / (1 + np.exp(-np.clip(odds, -500, 500))), pairs
+
+
+KINDS = 6
+
+
+def train(pages: list[tuple[Page, np.ndarray, float]], rounds: int = 400, rate: float = 0.4, l2: float = 1e-5) -> TreeModel:
     """Maximum likelihood of labelled trees: observed minus expected feature and
     edge counts of pages that each have a weight, by AdaGrad over all of them in each round."""
-    model = TreeModel(np.zeros(N_FEATURES), np.zeros((2, 2, 2)))
-    gu, ge = np.full(N_FEATURES, 1e-6), np.full((2, 2, 2), 1e-6)
-    made = [(p, y, w / len(y), features(p)) for p, y, w in pages]
-    size = sum(w for _, _, w in pages)
+    model = TreeModel(np.zeros(N_FEATURES), np.zeros((KINDS, 2, 2)))
+    gu, ge = np.full(N_FEATURES, 1e-6), np.full((KINDS, 2, 2), 1e-6)
+    forest, y = Forest([p for p, _, _ in pages]), np.concatenate([y for _, y, _ in pages]).astype(int)
+    weight = np.concatenate([np.full(len(y), w / len(y)) for _, y, w in pages]) / sum(w for _, _, w in pages)
+    found, base = [], 0
+    for page, _, _ in pages:
+        node, feat, value = features(page)
+        found.append((node + base, feat, value))
+        base += len(page.tag)
+    node, feat, value = (np.concatenate(x) for x in zip(*found, strict=True))
+    child = np.flatnonzero(forest.parent >= 0)
+    seen = np.zeros((KINDS, 2, 2))
+    np.add.at(seen, (forest.kind[child], y[forest.parent[child]], y[child]), weight[child])
     for _ in range(rounds):
-        du, de = l2 * model.unary, l2 * model.edges
-        for page, y, w, found in made:
-            node, feat, value = found
-            p, pairs = beliefs(page, model, found)
-            du = du + np.bincount(feat, (p - y)[node] * value, N_FEATURES) * w / size
-            kind = np.array([0 if t is not None else 1 for t in page.text])
-            par = np.array(page.parent)
-            for k in (0, 1):
-                own = np.flatnonzero((kind == k) & (par >= 0))
-                seen = np.zeros((2, 2))
-                np.add.at(seen, (y[par[own]].astype(int), y[own].astype(int)), 1)
-                if len(own):
-                    de[k] += (pairs[own].sum(axis=0) - seen) * w / size
+        p, pairs = forest.beliefs(np.bincount(node, model.unary[feat] * value, base), model.edges)
+        du = l2 * model.unary + np.bincount(feat, ((p - y) * weight)[node] * value, N_FEATURES)
+        expected = np.zeros((KINDS, 2, 2))
+        np.add.at(expected, forest.kind[child], pairs[child] * weight[child, None, None])
+        de = l2 * model.edges + expected - seen
         gu += du * du
         ge += de * de
         model = TreeModel(model.unary - rate * du / np.sqrt(gu), model.edges - rate * de / np.sqrt(ge))
@@ -404,31 +466,31 @@ TRAIN_PAGES = 80
 TRAIN_CHARS = 20_000
 
 
-def fit(pages: DataFrame, most: int = TRAIN_PAGES, most_chars: int = TRAIN_CHARS) -> TreeModel:
-    """Train on at most ``most`` pages of ``pages(page_id, html)`` that mark their
-    article, beside a few written examples of parts that pages in the table may
-    lack (menus, notices, forms, comments), which :func:`label` labels alike.  The
-    sample fits the driver: pages of more than ``most_chars`` characters are not
-    trained on; all pages are extracted from, whatever their length."""
+def fit(pages: DataFrame, most: int = TRAIN_PAGES, most_chars: int = TRAIN_CHARS, id_col: str = "page_id", html_col: str = "html") -> TreeModel:
+    """Train on written pages of many shapes (:func:`written_pages`) and on at most ``most``
+    pages of ``pages(page_id, html)`` that mark their article, which weigh as much
+    as a quarter of the written ones together, as they may all look alike; half of them without the
+    element that marks it.  The sample fits the driver: pages of more than
+    ``most_chars`` characters are not trained on; all pages are extracted from,
+    whatever their length.  Nulls and pages without a mark are not trained on, rows that
+    repeat may both be; an empty table leaves the written pages."""
     rows = (
-        pages.where(F.col("html").rlike("(?i)<(article|main)\\b") & (F.length("html") <= most_chars))
-        .orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(most).select("html").toArrow()["html"].to_pylist()
+        pages.where(F.col(f"`{html_col}`").rlike("(?i)<(article|main)\\b") & (F.length(f"`{html_col}`") <= most_chars))
+        .orderBy(F.xxhash64(f"`{id_col}`"), f"`{id_col}`", F.xxhash64(f"`{html_col}`")).limit(most).select(F.col(f"`{html_col}`").alias("html")).toArrow()["html"].to_pylist()
     )
-    made = [(p, y, 1.0) for p in map(parse, rows) if (y := label(p)) is not None]
-    return train(made + example_pages(max(1, len(made)) / len(EXAMPLES)))
-
-
-def example_pages(weight: float) -> list[tuple[Page, np.ndarray, float]]:
-    """The written examples, with and without an article element, at one weight."""
-    made = [(p, y, weight) for p in map(parse, EXAMPLES) if (y := label(p)) is not None]
-    plain = [parse(x.replace("<article>", '<div class="content">').replace("</article>", "</div>").replace("<main>", "<div>").replace("</main>", "</div>")) for x in EXAMPLES]
-    made += [(p, y, weight) for p, x in zip(plain, EXAMPLES, strict=True) if (y := label(parse(x))) is not None and len(y) == len(p.tag)]
-    return made
+    made = [(p, y) for p in map(parse, rows) if (y := label(p)) is not None]
+    for page, _ in made[::2]:
+        page.tag = ["div" if t in _IN else t for t in page.tag]
+    written = written_pages()
+    weight = len(written) / (4 * max(1, len(made)))
+    return train([(p, y, weight) for p, y in made] + [(p, y, 1.0) for p, y in written])
 
 
 def extract(pages: DataFrame, model: TreeModel, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """``pages`` without the html column, with text and n_chars; a null or empty
-    page has an empty text.  No exchange; other columns stay as they are."""
+    page has an empty text.  No exchange; other columns stay as they are, but for ones
+    called text or n_chars, which the results replace.  Rows don't depend on each other: repeated rows get equal
+    results, an empty table gives an empty one, a page is read whole whatever its length."""
     rest = [F.col(f"`{c}`") for c in pages.columns if c not in (html_col, "text", "n_chars")]
     schema = pages.select(*rest, F.lit("").alias("text"), F.lit(0).cast("long").alias("n_chars")).schema
     shared = pages.sparkSession.sparkContext.broadcast(model)
@@ -442,20 +504,115 @@ def extract(pages: DataFrame, model: TreeModel, id_col: str = "page_id", html_co
                 page = parse(source.as_py() or "")
                 out.append(main_text(page, beliefs(page, m)[0]) if len(page.tag) > 1 else "")
             text = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], text, pc.utf8_length(text).cast(pa.int64())], names)
-
-    return pages.select(*rest, F.col(html_col).alias("_html")).mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], text, pc.utf8_length(text).cast(pa.int64())], [f"c{k}" for k in range(len(names))])
+
+    # Arrow functions can't take names with dots
+    plainly = pages.select(*[c.alias(f"c{k}") for k, c in enumerate(rest)], F.col(f"`{html_col}`").alias("_html"))
+    return plainly.mapInArrow(run, StructType([StructField(f"c{k}", f.dataType) for k, f in enumerate(schema.fields)])).toDF(*names)
+
+
+# -- written pages --------------------------------------------------------------------
+# Shapes that the table's pages may lack, dealt from parts by a fixed random stream.  The
+# names IN and OUT on an element are its label and no feature.
+
+IN, OUT = "zzin", "zzout"
+WRITTEN_PAGES = 500
+_WORDS = "the a river stone of light and under old window they walked to market near some water house with green long winter said that it was there for many years before her brother came from town by road".split()
+
+
+def _said(rng: np.random.Generator, words: int) -> str:
+    text = " ".join(rng.choice(_WORDS, max(1, words)))
+    return text[:1].upper() + text[1:] + "."
+
+
+def _element(tag: str, names: str, inner: str, mark: str = "", by: str = "class") -> str:
+    marked = f' class="{mark}"' if mark and by != "class" else ""
+    named = f' {by}="{names} {mark}"' if names and by == "class" else f' {by}="{names}"' if names else f' class="{mark}"' if mark else ""
+    return f"<{tag}{named}{marked if names else ''}>{inner}</{tag}>"
+
+
+def _links(rng: np.random.Generator, n: int, listed: bool, words: int = 2) -> str:
+    each = [f'<a href="/x{k}">{_said(rng, int(rng.integers(1, words + 1)))[:-1]}</a>' for k in range(n)]
+    return "".join(f"<li>{x}</li>" for x in each) if listed else " ".join(each)
+
+
+def _beside(rng: np.random.Generator) -> str:
+    """One part beside the article: its element, names and content vary apart from each other."""
+    pick = lambda *x: x[int(rng.integers(len(x)))]
+    by = pick("class", "class", "id")
+    kind = pick("menu", "menu", "head", "foot", "side", "notice", "ad", "form", "comments", "comments", "related", "share", "crumbs", "pager")
+    prose = lambda n: "".join(f"<p>{_said(rng, int(rng.integers(3, 40)))}</p>" for _ in range(n))
+    few = int(rng.integers(1, 7))
+    if kind == "menu":
+        inner = _links(rng, few, True)
+        shape = pick(("nav", "", f"<ul>{inner}</ul>"), ("nav", "", _links(rng, few, False)), ("ul", pick("menu", "nav", "navigation", "links"), inner), ("div", pick("menu", "navbar", "nav", "navigation", "topbar"), _links(rng, few, False)), ("ul", "", inner), ("div", pick("nav", "menu"), f"<ul>{inner}</ul>"))
+    elif kind == "head":
+        shape = pick(("header", "", f"<h1>{_said(rng, 3)}</h1>" + _links(rng, few, False)), ("div", pick("header", "banner", "masthead", "site-header", "topbar"), f"<span>{_said(rng, 4)}</span>"), ("header", "", f"<p>{_said(rng, 6)}</p>"), ("div", "header", f"<h1>{_said(rng, 3)}</h1><p>{_said(rng, 8)}</p>"))
+    elif kind == "foot":
+        shape = (pick("footer", "div", "section"), pick("footer", "site-footer", "copyright", "legal"), pick(prose(1), _links(rng, few, False), f"&copy; {_said(rng, 6)}"))
+        shape = pick(shape, ("footer", "", prose(1)), ("footer", "", _said(rng, 8)))
+    elif kind == "side":
+        shape = (pick("aside", "div", "section"), pick("sidebar", "widget", "side", "sidebar-left", "widget-area"), f"<h3>{_said(rng, 2)}</h3>" + pick(prose(2), f"<ul>{_links(rng, few, True, 8)}</ul>"))
+        shape = pick(shape, ("aside", "", prose(1)))
+    elif kind == "notice":
+        shape = (pick("div", "section", "div"), pick("cookie", "consent", "notice", "popup", "modal", "overlay", "alert", "cookie-notice"), prose(1) + pick("<button>Accept</button>", ""))
+    elif kind == "ad":
+        shape = (pick("div", "div", "section", "aside"), pick("ad", "ads", "advert", "advertisement", "sponsored", "promo", "banner"), pick(_said(rng, 8), prose(1), _links(rng, 1, False, 8)))
+    elif kind == "form":
+        shape = pick(("form", "", f"<label>{_said(rng, 2)}</label><input><button>Send</button>"), ("form", pick("newsletter", "search", "login"), prose(1) + "<input>"), ("div", pick("newsletter", "subscribe", "signup", "login"), prose(1) + "<form><input></form>"))
+    elif kind == "comments":
+        one = lambda: pick(f'<div class="comment"><p>{_said(rng, int(rng.integers(3, 40)))}</p></div>', f"<li><p>{_said(rng, int(rng.integers(3, 40)))}</p></li>", f"<p>{_said(rng, int(rng.integers(3, 40)))}</p>", f"<div>{_said(rng, int(rng.integers(3, 40)))}</div>")
+        shape = (pick("section", "div", "ol", "div"), pick("comments", "comments", "comment", "commentlist", "respond", "comments-area", "disqus"), f"<h3>{_said(rng, 2)}</h3>" * int(rng.integers(2)) + pick("{}", "{}", "<ol>{}</ol>", "<ul>{}</ul>").format("".join(one() for _ in range(few))))
+    elif kind == "related":
+        tease = lambda: pick(f'<h3><a href="/r">{_said(rng, 5)}</a></h3><p>{_said(rng, int(rng.integers(5, 30)))}</p>', f'<a href="/r">{_said(rng, 7)}</a>')
+        names = pick("related", "teaser", "recommended", "popular", "trending", "teaser related", "latest")
+        shape = pick((pick("div", "section", "aside"), names, tease() + tease()), (pick("article", "div", "li"), names, tease()))
+    else:
+        shape = {"share": (pick("div", "ul"), pick("share", "social", "share-buttons"), _links(rng, few, True)), "crumbs": (pick("div", "ol", "p"), pick("breadcrumb", "breadcrumbs"), " / ".join(_links(rng, 1, False) for _ in range(3))), "pager": ("div", pick("pagination", "pager", "tags"), _links(rng, few, False))}[kind]
+    return _element(shape[0], shape[1], shape[2], OUT, by)
+
+
+def _block(rng: np.random.Generator) -> str:
+    pick = lambda *x: x[int(rng.integers(len(x)))]
+    words = int(pick(1, 3, 8, 20, 40, 70))
+    p = f"<p>{_said(rng, words)}</p>"
+    linked = f'<p>{_said(rng, 4)} <a href="/l">{_said(rng, 3)}</a></p>'
+    whole = f'<p><a href="/w">{_said(rng, int(rng.integers(1, 12)))}</a></p>'
+    table = "<table>" + "".join(f"<tr><td>{_said(rng, 2)}</td><td>{_said(rng, 1)}</td></tr>" for _ in range(2)) + "</table>"
+    return pick(
+        p, p, p, p, linked, whole, f"<h2>{_said(rng, 3)}</h2>{p}", f"<ul><li>{_said(rng, 4)}</li><li>{_said(rng, 2)} <a href='/x'>{_said(rng, 2)}</a></li></ul>", f"<ol><li>{_said(rng, 6)}</li></ol>", f"<ul>{_links(rng, 3, True, 4)}</ul>",
+        f"<blockquote>{_said(rng, 12)}</blockquote>", f"<pre>{_said(rng, 5)}</pre>", table, f"<div>{_said(rng, words)}</div>", f"<figure><img src='i'><figcaption>{_said(rng, 5)}</figcaption></figure>", f"<p><b>{_said(rng, 4)}</b><br>{_said(rng, 9)}</p>", f"<section>{p}{p}</section>", f"<dl><dt>{_said(rng, 1)}</dt><dd>{_said(rng, 7)}</dd></dl>",
+    )
 
 
-_P = "<p>{0} is the first long sentence of this passage, and it goes on for a while. A second one follows it &amp; ends here.</p>"
-_BODY = "<h1>A title of the page</h1>" + _P.format("Here") + "<h2>A part</h2>" + _P.format("There") + "<ul><li>one point of several</li><li>another point with <a href='/x'>a link</a></li></ul><blockquote>quoted words stand here</blockquote>" + _P.format("Then")
-EXAMPLES = tuple(
-    f"<html><body>{before}<article>{inner}</article>{after}</body></html>"
-    for before, inner, after in (
-        ('<header><a href="/">Site</a><nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li></ul></nav></header>', _BODY, '<footer><p>Copyright 2020, all rights reserved by the owner of this site.</p></footer>'),
-        ('<div class="cookie notice"><p>This site uses cookies. Accept them to go on.</p><button>Accept</button></div><div class="menu"><a href="/a">One</a> <a href="/b">Two</a></div>', _BODY, '<aside class="sidebar"><h3>Related</h3><ul><li><a href="/r">Another story that may be read</a></li></ul></aside>'),
-        ('<div class="breadcrumbs"><a href="/">Home</a> / <a href="/x">Part</a></div>', _BODY + '<div class="ad"><p>Buy this thing now, it is cheap and good.</p></div>' + _P.format("Last"), '<section class="comments"><h3>Comments</h3><div class="comment"><p>I read this page with joy and think it is right, said a reader at some length.</p></div></section><div id="footer"><p>Terms and privacy</p></div>'),
-        ('<div id="header"><span>Name of the site</span></div><form class="search"><label>Search</label><input></form>', _BODY, '<form class="newsletter"><p>Subscribe to our letter and get it each week.</p><input><button>Send</button></form><div class="share social"><a href="/t">Share</a></div>'),
-        ('<div class="banner promo">Only today: half the price of all things.</div>', "<div><table><tr><td>cell one</td><td>cell two</td></tr></table></div>" + _BODY + "<pre>some code here</pre>", '<div class="widget"><h4>Popular</h4><p>Short words on other pages that many have read.</p></div><div class="popup modal"><p>Sign up now for more.</p></div>'),
-    )
-)
+def written_pages(n: int = WRITTEN_PAGES, seed: int = 11) -> list[tuple[Page, np.ndarray]]:
+    """``n`` pages of parts in random layouts, with their labels: the article in any of many
+    elements or in none, of one line or of many blocks, linked or not, with parts beside it, before, after and within."""
+    rng = np.random.default_rng(seed)
+    pick = lambda *x: x[int(rng.integers(len(x)))]
+    out = []
+    for _ in range(n):
+        inner = [f"<h1>{_said(rng, int(rng.integers(1, 7)))}</h1>"] if rng.random() < 0.65 else []
+        inner += [_block(rng) for _ in range(int(pick(1, 1, 2, 3, 5, 8)))]
+        if rng.random() < 0.35:
+            inner.insert(int(rng.integers(1, len(inner) + 1)), _beside(rng))
+        tag, by, names = pick(
+            ("article", "class", ""), ("article", "class", pick("post", "entry", "story")), ("main", "class", ""), ("main", "id", "content"), ("div", "role", "main"), ("div", "id", pick("story", "content", "main", "article", "post")),
+            ("div", "class", pick("content", "post-body", "entry-content", "article-text", "story", "prose")), ("section", "class", pick("content", "", "body")), ("div", "class", ""), ("td", "class", ""), ("td", "class", ""), ("", "", ""),
+        )
+        body = "".join(inner)
+        if tag:
+            core = _element(tag, names, body, IN, by)
+            core = f"<table><tr><td class='{OUT}'>{_links(rng, 3, False)}</td>{core}</tr></table>" if tag == "td" else core
+        else:
+            core = re.sub(r"<(h1|h2|p|ul|ol|blockquote|pre|table|div|figure|section|dl)>", rf'<\1 class="{IN}">', body)
+        if rng.random() < 0.3:
+            core = _element("div", pick("", "wrapper", "page", "container"), core, IN)
+        before, after = ("".join(_beside(rng) for _ in range(int(rng.integers(0, 4)))) for _ in range(2))
+        whole = before + core + after
+        page = parse(_element("div", pick("page", "wrapper", ""), whole) if tag and rng.random() < 0.3 else whole)
+        y = np.zeros(len(page.tag))
+        for v in range(1, len(page.tag)):
+            y[v] = 1 if IN in page.names[v] else 0 if OUT in page.names[v] else y[page.parent[v]]
+        out.append((page, y))
+    return out
