@@ -274,7 +274,11 @@ def decode(coded: DataFrame, rank_path: str, pattern: str, ids_col: str = "ids",
 
 def digest(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each whole text: encoded,
-    then decoded from the ids, in one pass without an exchange."""
+    then decoded from the ids, in one pass without an exchange.
+
+    Null texts are empty and have no ids; texts are read whole, however long.  Repeated rows get
+    equal results, an empty table gives an empty one, null ids stay, other columns are not looked at.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(rank_path, pattern)
@@ -296,6 +300,6 @@ def digest(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(
         run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )

@@ -166,7 +166,11 @@ def packed_batches(rows: Iterator[tuple[int, int, bytes]], limit: int = 1 << 24)
 
 def keyed(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text", also: list[str] = ()) -> DataFrame:
     """(part, kind 1, payload null, key, doc_id, text, also ...): ``key`` tells rows
-    apart that share a doc_id but not the text; ``part`` is where a key lives."""
+    apart that share a doc_id but not the text; ``part`` is where a key lives.
+
+    The key has 64 bits: of 10^10 different rows, 2.7 pairs are expected to share one, and
+    such rows get each other's spans, too.
+    """
     key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     return docs.select(
         F.expr(f"cast(pmod(shiftrightunsigned(xxhash64(`{id_col}`, `{text_col}`), 33), {n}) as int)").alias("part"),

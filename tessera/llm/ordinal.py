@@ -39,17 +39,8 @@ def ordered(raw: np.ndarray) -> np.ndarray:
     return np.cumsum(np.r_[raw[:1], np.exp(np.clip(raw[1:], -20, 20))])
 
 
-def fit(docs: DataFrame, ratings: DataFrame, grades: int, rows: int = FIT_ROWS, size: int = FIT_BYTES) -> OrdinalModel | None:
-    """Fitted on at most ``rows`` rated documents and ``size`` bytes of ``ratings(doc_id,
-    grade 0 .. grades-1)``; None where the sample has one grade only."""
-    table, parts = labelled_sample(docs, ratings, ["grade"], rows, size)
-    y = np.asarray(table["grade"]).astype(int)
-    if len(np.unique(y)) < 2:
-        return None
-    sample = Sample(parts)
-    share = np.bincount(y, minlength=grades) / len(y)
-    weight = 1 / len(y)
-    sample.most_weight = weight * 2
+def slopes(y: np.ndarray, grades: int, weight: float):
+    """(score, extra) -> slopes of the mean negative log-likelihood of the grades ``y``."""
 
     def slope(score, extra):
         theta = np.r_[-np.inf, ordered(extra), np.inf]
@@ -62,9 +53,24 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, rows: int = FIT_ROWS,
         back[1:] *= np.exp(np.clip(extra[1:], -20, 20))
         return d, back
 
+    return slope
+
+
+def fit(docs: DataFrame, ratings: DataFrame, grades: int, rows: int = FIT_ROWS, size: int = FIT_BYTES) -> OrdinalModel | None:
+    """Fitted on at most ``rows`` rated documents and ``size`` bytes of ``ratings(doc_id,
+    grade 0 .. grades-1)``; None where the sample has one grade only."""
+    table, parts = labelled_sample(docs, ratings, ["grade"], rows, size)
+    y = np.asarray(table["grade"]).astype(int)
+    if len(np.unique(y)) < 2:
+        return None
+    sample = Sample(parts)
+    share = np.bincount(y, minlength=grades) / len(y)
+    weight = 1 / len(y)
+    sample.most_weight = weight * 2
+
     start = np.clip(np.cumsum(share)[:-1], 0.02, 0.98)
     cut = np.maximum.accumulate(np.log(start / (1 - start)))
-    w, c, extra = fit_sparse(sample, slope, np.r_[cut[:1], np.log(np.maximum(np.diff(cut), 0.05))], rounds=150, l1=2e-3)
+    w, c, extra = fit_sparse(sample, slopes(y, grades, weight), np.r_[cut[:1], np.log(np.maximum(np.diff(cut), 0.05))], rounds=150, l1=2e-3)
     return OrdinalModel(*sample.spread(w, c), ordered(extra))
 
 
@@ -72,7 +78,9 @@ def grade(docs: DataFrame, model: OrdinalModel | None, good: int = GOOD_GRADE, s
     """(doc_id, expected_grade, p_good, kept) of each row, without an exchange.
 
     Null texts are scored as empty ones.  Without a model the first two are null
-    and every row is kept.
+    and every row is kept.  A chance that equals ``select`` is kept; texts are read whole,
+    repeated rows get equal results, an empty table gives an empty one, null ids stay,
+    other columns are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed number of slots
 
@@ -90,6 +98,6 @@ def grade(docs: DataFrame, model: OrdinalModel | None, good: int = GOOD_GRADE, s
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(
         run, f"doc_id {kind}, expected_grade double, p_good double, kept boolean"
     )

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import distinct_words, exact_names, slices, stored, text_bytes, word_spans
+from tessera.llm.common import distinct_words, exact_names, plain, slices, stored, text_bytes, word_spans
 from tessera.llm.textfeatures import Sample, fit_sparse, dot, hashed
 
 #: Labelled rows that a classifier is fitted on, at most; chosen by a hash of doc_id.
@@ -186,7 +186,9 @@ def rules(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, id
     base_failed, quality, kept) of each row, without an exchange.
 
     Null texts are empty; a text without words has base_failed.  ``quality`` is
-    the calibrated probability (null without a model, and then the base decides).
+    the calibrated probability (null without a model, and then the base decides); one
+    that equals the threshold is kept.  Texts are read whole.  Repeated rows get equal results, an
+    empty table gives an empty one, null ids stay, other columns are not looked at.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # fixed number of slots
@@ -205,23 +207,26 @@ def rules(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, id
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(
         run, f"doc_id {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality double, kept boolean"
     )
 
 
 def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that pass; columns as they are."""
+    """The rows of ``docs`` that pass, each by itself; columns and their names as they are.
+    Nulls, empty and repeated texts, ties and empty tables as in :func:`rules`."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    text = f"c{docs.columns.index(text_col)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for whole in batches:
-            for batch in slices(whole, text_col):
-                raw, offsets = text_bytes(batch.column(batch.schema.get_field_index(text_col)))
+            for batch in slices(whole, text):
+                raw, offsets = text_bytes(batch.column(batch.schema.get_field_index(text)))
                 c = base_counts(raw, offsets)
                 failed = (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
                 p = m.probability(hashed(raw, offsets)) if m else np.ones(len(failed))
                 yield batch.filter(pa.array(~failed & (p >= threshold)))
 
-    return docs.mapInArrow(run, docs.schema)
+    table = plain(docs)
+    return table.mapInArrow(run, table.schema).toDF(*docs.columns)

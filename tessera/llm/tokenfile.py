@@ -174,7 +174,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str | None = None, e
     Rows are dealt by ranges of doc_id, so file ``part`` k holds smaller doc_ids
     than k + 1; a null text has only the end id, a null doc_id sorts first, rows
     with one doc_id stand in text order.  Ids that are not whole numbers are refused;
-    other columns are not looked at.  Returns the folder.
+    other columns are not looked at; an empty table gives files without documents.
+    Texts are read whole; a long one takes as many blocks' ids as it has.  Returns the folder.
     """
     require_long(docs, id_col)
     spark = docs.sparkSession
@@ -203,7 +204,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str | None = None, e
                     yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, ARROW, strict=True)], NAMES)
                     block, done, lo = block + 1, done + len(own), hi
 
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, FILE).write.parquet(out)
     return out
 
