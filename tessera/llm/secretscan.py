@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import distinct_words, slices, text_bytes, word_spans
+from tessera.llm.common import distinct_words, slices, stored, text_bytes, word_spans
 
 # The patterns, least lengths and order of kinds of the base.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -85,7 +85,15 @@ def dictionary(docs: DataFrame, words: int = DICTIONARY_WORDS, size: int = DICTI
                 yield pa.RecordBatch.from_arrays([names.filter(pa.array(counts > 0)).cast(pa.binary()), pa.array(counts[counts > 0])], ["word", "n"])
 
     counted = docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    most = counted.orderBy(F.desc("n"), "word").limit(words).collect()  # a top list of fixed length
+    counted = stored(counted, "words")
+    # only words that can be among the first go to the driver: counts are cut at a power of two first
+    power = F.floor(F.log2("n")).cast("int")
+    least, have = 0, 0
+    for p, n in sorted(counted.groupBy(power).count().collect(), reverse=True):  # 64 rows at most
+        least, have = 1 << p, have + n
+        if have >= words:
+            break
+    most = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(words).collect()  # a top list of fixed length
     out, room = [], size - len(IDENTIFIERS) - 1
     for r in most:
         room -= len(r.word) + 1
