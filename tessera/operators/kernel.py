@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 SEASONS = {"winter": (250.0, 0.05), "summer": (800.0, 0.11)}
 SIGMA_INITIAL_M, BARE_M_S, CANOPY_M_S, MIN_WIND, MAX_RADIUS, SEASONAL_SIGMA_M, FETCH_M, RADIUS_SIGMAS = 50.0, 0.001, 0.010, 0.5, 200, 1000.0, 20_000.0, 6
 TO_MICRO = 1e6
+#: Rows of kernels up to which they are broadcast (24 MB), and tasks that a tile's sources are dealt to beyond that.
+BROADCAST_WEIGHTS, SALTS = 1_000_000, 64
 
 
 def season_parameters(windows: DataFrame) -> DataFrame:
@@ -69,7 +71,13 @@ def concentration(sources: DataFrame, kernel: DataFrame, keys: list[str], height
     """Sum of all sources' kernels at each cell they reach, in millionths, as joins and
     a grouped sum: for small radii and as the check of :func:`concentration_blocks`.
     A kernel may have fewer keys than its sources: one for all scenarios of a tile."""
-    sent = sources.where(F.col(value) > 0).join(kernel.where("weight <> 0"), [k for k in keys if k in kernel.columns])
+    on, some = [k for k in keys if k in kernel.columns], kernel.where("weight <> 0")
+    emitting = sources.where(F.col(value) > 0)
+    if some.limit(BROADCAST_WEIGHTS + 1).count() <= BROADCAST_WEIGHTS:
+        sent = emitting.join(F.broadcast(some), on)
+    else:  # a tile's sources go to SALTS tasks, each with a copy of the tile's kernel
+        dealt = emitting.withColumn("_salt", F.pmod(F.xxhash64("row", "col"), F.lit(SALTS)))
+        sent = dealt.join(some.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*on, "_salt"])
     at = sent.select(*keys, (F.col("row") + F.col("dr")).alias("row"), (F.col("col") + F.col("dc")).alias("col"), (F.col(value) * F.col("weight")).alias("part"))
     return at.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)).groupBy(*keys, "row", "col").agg((F.greatest(F.sum("part"), F.lit(0.0)) * TO_MICRO).alias("concentration"))
 
@@ -106,11 +114,11 @@ def concentration_blocks(sources: DataFrame, kernel: DataFrame, keys: list[str],
     return parts.groupBy(*keys, "row", "col").agg((F.greatest(F.sum("part"), F.lit(0.0)) * TO_MICRO).alias("concentration"))
 
 
-def removed_emissions(cells: DataFrame, mask: DataFrame, keys: list[str], fraction: str = "emission_fraction", value: str = "emission") -> DataFrame:
+def removed_emissions(cells: DataFrame, mask: DataFrame, keys: list[str], fraction: str = "emission_fraction", value: str = "emission", on: list[str] | None = None) -> DataFrame:
     """What each scenario takes away: the change in concentration is linear in it while
     the canopy is unchanged.  ``status`` refuses a scenario without an inventory or
     with no emissions inside its mask."""
-    joined = mask.join(cells, [c for c in ("tile_id", "row", "col") if c in cells.columns and c in mask.columns], "left")
+    joined = mask.join(cells, on or [c for c in ("tile_id", "row", "col") if c in cells.columns and c in mask.columns], "left")
     out = joined.withColumn("removed", F.coalesce(F.col(value), F.lit(0.0)) * F.col(fraction))
     status = out.groupBy(*keys).agg(F.count(value).alias("known"), F.coalesce(F.sum(value), F.lit(0.0)).alias("inside")).select(
         *keys, F.when(F.col("known") == 0, "no inventory").when(F.col("inside") == 0, "nothing to remove").otherwise("ok").alias("status")

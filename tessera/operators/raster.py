@@ -17,6 +17,7 @@ from tessera.functions.grid import Grid
 def neighbourhood_mean(cells: DataFrame, keys: list[str], value: str, height: int, width: int, size: int = 5) -> DataFrame:
     """Mean over a size x size square that ignores missing values; cells beyond the
     edge repeat the edge.  ``cells`` holds every cell, missing values as null.
+    ``{value}_near_n`` counts the values, repeated ones as often as they stand there.
 
     Separable: sums along rows, then along columns, each partitioned by its line.
     """
@@ -37,7 +38,7 @@ def neighbourhood_mean(cells: DataFrame, keys: list[str], value: str, height: in
     s, n = along(start, "row", "col", F.col("_s"), F.col("_n"), width - 1)
     rows = start.withColumn("_rs", s).withColumn("_rn", n)
     s, n = along(rows, "col", "row", F.col("_rs"), F.col("_rn"), height - 1)
-    return rows.withColumn("_cs", s).withColumn("_cn", n).withColumn(f"{value}_near", F.when(F.col("_cn") > 0, F.col("_cs") / F.col("_cn"))).drop("_s", "_n", "_rs", "_rn", "_cs", "_cn")
+    return rows.withColumn("_cs", s).withColumn("_cn", n).withColumn(f"{value}_near", F.when(F.col("_cn") > 0, F.col("_cs") / F.col("_cn"))).withColumnRenamed("_cn", f"{value}_near_n").drop("_s", "_n", "_rs", "_rn", "_cs")
 
 
 def dilation_ring(mask: DataFrame, keys: list[str], steps: int, height: int, width: int) -> DataFrame:

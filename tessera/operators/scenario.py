@@ -71,11 +71,11 @@ def affected(touched: DataFrame, keys: list[str], reach: int, height: int, width
     return sent.select(*keys, (F.col("row") + F.col("d.dr")).alias("row"), (F.col("col") + F.col("d.dc")).alias("col")).where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)).distinct()
 
 
-def neighbourhood_shift(touched: DataFrame, keys: list[str], variable: str, height: int, width: int, reach: int = 2) -> DataFrame:
+def neighbourhood_shift(touched: DataFrame, keys: list[str], variable: str, height: int, width: int, reach: int = 2, total: bool = False) -> DataFrame:
     """Change of the neighbourhood mean around changed cells, over complete squares
-    inside the grid; edges repeat, so an edge cell counts for each place it stands in."""
+    inside the grid, or with ``total`` of the sum; edges repeat, so an edge cell counts for each place it stands in."""
     d = F.col(f"{variable}_new") - F.col(variable)
-    n = (2 * reach + 1) ** 2
+    n = 1 if total else (2 * reach + 1) ** 2
 
     def spots(c: str, last: int) -> Column:
         # places of the padded axis that this line fills
@@ -102,6 +102,20 @@ def after_features(touched: DataFrame, table: DataFrame, keys: list[str], height
     return out.join(table, [*keys, "row", "col"]).withColumns(moved).drop(*[f"{v}_new" for v in MOVED], *[f"{v}_near_shift" for v in near])
 
 
+def paired_features(planted: DataFrame, table: DataFrame, keys: list[str], height: int, width: int, near: tuple[str, ...] = NEAR) -> DataFrame:
+    """Like :func:`after_features`, with the values before as ``{name}_before`` on the same row,
+    and each neighbourhood's change over the values that it really holds (``{name}_near_n`` of ``table``)."""
+    on = ["scenario_id", *keys, "row", "col"]
+    out = planted.select(*on, *[f"{v}_new" for v in MOVED])
+    for v in near:
+        out = out.join(neighbourhood_shift(planted, ["scenario_id", *keys], v, height, width, total=True), on, "full_outer")
+    out = out.join(table, [*keys, "row", "col"])
+    names = [*MOVED, *[f"{v}_near" for v in near]]
+    moved = {v: F.coalesce(f"{v}_new", v) for v in MOVED}
+    moved |= {f"{v}_near": F.col(f"{v}_near") + F.coalesce(F.try_divide(F.col(f"{v}_near_shift"), F.col(f"{v}_near_n")), F.lit(0.0)) for v in near}
+    return out.withColumns({f"{n}_before": F.col(n) for n in names}).withColumns(moved).drop(*[f"{v}_new" for v in MOVED], *[f"{v}_near_shift" for v in near])
+
+
 def sided(changed: DataFrame, mask: DataFrame, keys: list[str], height: int, width: int, steps: int = SPILLOVER) -> DataFrame:
     """Cells with ``delta``, and whether they lie inside the mask or in the ring of
     ``steps`` around it; masked and ring cells that did not change have delta 0."""

@@ -155,7 +155,7 @@ def delta_field(spark, sf_dir, touched):
     # both are read several times: the grid once per window, the masks once per scenario
     h, table, touched = height(spark, sf_dir), raster.checkpointed(feature_table(spark, sf_dir)), raster.checkpointed(touched)
     model = features.linear(table, KEYS, greenness(table))
-    predict = lambda d: d.join(F.broadcast(model), KEYS).withColumn("predicted", F.col("slope") * greenness(d) + F.col("intercept"))
+    predict = lambda d: features.with_scalars(d, model, KEYS).withColumn("predicted", F.col("slope") * greenness(d) + F.col("intercept"))
     changed = scenario.deltas(scenario.after_features(touched, table, KEYS, h, T.WIDTH, ("ndvi",)), table, predict, [*KEYS, "row", "col"])
     return scenario.sided(changed, touched, ["scenario_id", *KEYS], h, T.WIDTH)
 

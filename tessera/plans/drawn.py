@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import grid as G
-from tessera.operators import polygons, scenario
+from tessera.operators import features, kernel, polygons, raster, scenario, simulate
 from tessera.plans import tables as T
-from tessera.plans.acting import _CUBE, KEYS, cube
+from tessera.plans.acting import _AIR, _CUBE, _LM, _NEAR, KEYS, cube, feature_table, greenness
+from tessera.plans.people import _GROUPED
 from tessera.plans.registry import query, r4
-from tessera.plans.spatial import _H, height
+from tessera.plans.spatial import _H, _RES, height, parameters
 
 #: Rings of each shape in steps around a middle, positions not closed; kind of geometry, and features around it.
 _SQUARE = lambda a, b, c, d: [(a, b), (c, b), (c, d), (a, d)]
@@ -119,3 +120,72 @@ def polygon_measures(spark, sf_dir):
     cells, reason = headroom(spark, sf_dir)
     out = polygons.measure(status, runs.withColumn("tile_id", T.tile("id")), cells, ["id"], ["tile_id"], T.WIDTH, RES * RES, reason)
     return out.select("id", "status", "cells", "area_m2", F.round("plantable_canopy_m2", 2).alias("plantable_canopy_m2"))
+
+
+# -- simulations ------------------------------------------------------------------------
+
+
+def drawn_requests(spark, sf_dir):
+    """A request for each drawing: canopy to add, and in every third some emissions to remove."""
+    k = F.col("id")
+    return drawings(spark, sf_dir).select(
+        k.alias("scenario_id"), T.tile("id").alias("tile_id"), F.when(k % 50 != 49, "2024-summer").otherwise("2030-summer").alias("window"), "geojson", (0.1 + k % 5 * 0.1).alias("canopy_fraction_added"), F.when(k % 3 == 0, 0.5).otherwise(0.0).alias("emission_fraction_removed")
+    )
+
+
+def simulated_table(spark, sf_dir):
+    """Features of all cells, with people and emissions, written once for all simulations."""
+    people = T.population(spark, sf_dir).select("row", "col", "population")
+    emission = F.when(F.col("landcover") == 80, F.col("elevation_m") / 1e6).otherwise(0.0)
+    return raster.checkpointed(feature_table(spark, sf_dir).join(people, ["row", "col"], "left").withColumn("emission", emission))
+
+
+_REQUESTED = (
+    f"{_CUBE}, {_NEAR}, {_LM}, {_DRAWN}, {_GROUPED}, {_AIR}, rq AS (SELECT c_custkey AS id, CASE WHEN c_custkey%50<>49 THEN '2024-summer' ELSE '2030-summer' END AS win, 0.1+(c_custkey%5)*0.1 AS cf, CASE WHEN c_custkey%3=0 THEN 0.5 ELSE 0.0 END AS ef FROM customer), "
+    "st AS (SELECT DISTINCT dr.id, CASE WHEN status='ok' AND win<>'2024-summer' THEN 'no window '||win ELSE status END AS status, cf, ef FROM dr JOIN rq USING (id)), "
+    "mk AS (SELECT dr.id, dr.\"row\", dr.col, cf, ef FROM dr JOIN st USING (id) WHERE st.status='ok'), tf AS (SELECT median(CASE WHEN landcover=10 THEN ndvi END) AS tn FROM cube), "
+    "pl AS (SELECT id, \"row\", col, CASE WHEN landcover NOT IN (80,0) THEN least(cf, 1-least(greatest((ndvi-0.1)/greatest(tn-0.1,1e-6),0),1)) ELSE 0 END AS added, tn-ndvi AS gap FROM mk JOIN cube USING (\"row\",col), tf), "
+    "ms AS (SELECT id, \"row\", col, added*gap AS d FROM pl WHERE added>0), nn AS (SELECT nb.\"row\", nb.col, count(*) AS n FROM nb JOIN cube c ON c.\"row\"=nb.nr AND c.col=nb.nc GROUP BY 1,2), "
+    "af AS (SELECT DISTINCT id, m.\"row\"+dr AS \"row\", m.col+dc AS col FROM ms m, od), sf AS (SELECT a.id, a.\"row\", a.col, sum(coalesce(m.d,0)) AS s5 FROM af a JOIN nb ON nb.\"row\"=a.\"row\" AND nb.col=a.col LEFT JOIN ms m ON m.id=a.id AND m.\"row\"=nb.nr AND m.col=nb.nc GROUP BY ALL), "
+    "rg AS (SELECT DISTINCT id, m.\"row\"+dr AS \"row\", m.col+dc AS col, true AS near FROM ms m, od WHERE abs(dr)+abs(dc)<=2), "
+    "fd AS (SELECT sf.id, sf.\"row\", sf.col, lm.s*(coalesce(d,0)+0.5*s5/n) AS delta, d IS NOT NULL AS inside, d IS NULL AND coalesce(near,false) AS ring, population FROM sf JOIN nn USING (\"row\",col) LEFT JOIN ms USING (id,\"row\",col) LEFT JOIN rg USING (id,\"row\",col) LEFT JOIN (SELECT \"row\", col, population FROM people) USING (\"row\",col), lm), "
+    "ss AS (SELECT id, count(*) AS n, coalesce(avg(CASE WHEN inside THEN delta END),0) AS mi, coalesce(avg(CASE WHEN ring THEN delta END),0) AS mr, count(CASE WHEN ring THEN 1 END) AS rc, min(delta) AS lo, max(delta) AS hi, sum(CASE WHEN population>0 THEN -delta*population ELSE 0 END) AS net, sum(abs(delta*greatest(population,0))) AS gross, "
+    "sum(CASE WHEN population>0 THEN -delta ELSE 0 END) AS ic, sum(CASE WHEN population<=0 THEN -delta ELSE 0 END) AS uc FROM fd GROUP BY 1), "
+    "sg AS (SELECT id, sum(-delta*population) AS pd FROM fd JOIN (SELECT \"row\", col, \"group\" FROM grp) USING (\"row\",col) GROUP BY id, \"group\"), sp AS (SELECT id, list_sum(list_reverse_sort(list_concat(list(coalesce(pd/nullif(t,0),0)), list_transform(range(10-count(*)), lambda x: 0.0)))[1:3]) AS top3 FROM (SELECT *, sum(pd) OVER (PARTITION BY id) AS t FROM sg) GROUP BY 1), "
+    "pa AS (SELECT mk.id, count(*) AS cells FROM mk GROUP BY 1), pp AS (SELECT id, count(CASE WHEN added>0 THEN 1 END) AS changed, coalesce(avg(CASE WHEN added>0 THEN added END),0) AS a FROM pl GROUP BY 1), "
+    "eq AS (SELECT mk.id, mk.\"row\", mk.col, c.landcover, coalesce(CASE WHEN c.landcover=80 THEN elevation_m/1e6 ELSE 0 END,0)*ef AS g FROM mk LEFT JOIN cube c USING (\"row\",col) WHERE ef>0), "
+    f"de AS (SELECT id, \"row\"+dr AS \"row\", col+dc AS col, sum(g*w)*1e6 AS c FROM eq, kw WHERE g>0 AND \"row\"+dr BETWEEN 0 AND {_H} AND col+dc BETWEEN 0 AND 49 GROUP BY 1,2,3), "
+    "ai AS (SELECT id, CASE WHEN count(landcover)=0 THEN 'no inventory' WHEN sum(g)=0 THEN 'nothing to remove' ELSE 'ok' END AS air, -avg(coalesce(c,0)) AS pm FROM eq LEFT JOIN de USING (id,\"row\",col) GROUP BY 1), am AS (SELECT id, -max(c) AS most FROM de GROUP BY 1), "
+    "al AS (SELECT st.id, st.status, st.ef, cells, coalesce(changed,0) AS changed, coalesce(a,0) AS a, coalesce(mi,0) AS mi, coalesce(mr,0) AS mr, coalesce(rc,0) AS rc, coalesce(CASE WHEN n<(SELECT count(*) FROM cube) THEN least(lo,0) ELSE lo END,0) AS lo, coalesce(CASE WHEN n<(SELECT count(*) FROM cube) THEN greatest(hi,0) ELSE hi END,0) AS hi, coalesce(net,0) AS net, "
+    "coalesce(net>0 AND net/nullif(gross,0)>=0.2,false) AS reliable, coalesce(CASE WHEN ic+uc>0 THEN uc/(ic+uc) END,0) AS waste, coalesce(top3,0) AS top3, k, air, pm, most, abs(coalesce(mi,0)) AS z FROM st LEFT JOIN pa USING (id) LEFT JOIN pp USING (id) LEFT JOIN ss USING (id) LEFT JOIN sp USING (id) LEFT JOIN ai USING (id) LEFT JOIN am USING (id), lm) "
+)
+
+
+@query(
+    f"WITH {_REQUESTED} SELECT id AS scenario_id, status, CASE WHEN status='ok' THEN cells*10000.0 END AS area_m2, CASE WHEN status='ok' THEN changed END AS cells_changed, CASE WHEN status='ok' THEN round(mi,4) END AS mean_inside, CASE WHEN status='ok' THEN round(mr,4) END AS mean_ring, CASE WHEN status='ok' THEN rc END AS ring_cells, "
+    "CASE WHEN status='ok' THEN round(lo,4) END AS min_delta, CASE WHEN status='ok' THEN round(hi,4) END AS max_delta, CASE WHEN status='ok' AND k>=1 THEN round(mi/nullif(-a*k,0),4) END AS ratio_to_linear, CASE WHEN status='ok' THEN round(greatest(-mi,0)/2.5,4) END AS expected_cooling, "
+    "CASE WHEN status='ok' THEN CASE WHEN mi>=-0.005 THEN 'none' WHEN k<1 THEN CASE WHEN z>=0.1 THEN 'small' ELSE 'marginal' END WHEN z/k>=0.3 THEN 'large' WHEN z/k>=0.15 THEN 'moderate' WHEN z/k>=0.05 THEN 'small' ELSE 'marginal' END END AS impact, CASE WHEN status='ok' THEN round(net,2) END AS person_degrees, CASE WHEN status='ok' THEN round(top3,4) END AS top_three_share, "
+    "CASE WHEN status='ok' THEN CASE WHEN NOT reliable THEN 'no-net-effect' WHEN waste>=0.2 THEN 'wasted' WHEN top3>0.5 THEN 'skewed' ELSE 'even' END END AS verdict, CASE WHEN status='ok' THEN CASE WHEN ef=0 THEN 'not asked' ELSE air END END AS air_status, CASE WHEN status='ok' AND air='ok' THEN round(pm,4) END AS pm25_inside, CASE WHEN status='ok' AND air='ok' THEN round(most,4) END AS pm25_strongest FROM al"
+)
+def drawn_scenarios(spark, sf_dir):
+    """Every drawing simulated in one plan, by the model that SQL can fit."""
+    table = simulated_table(spark, sf_dir)
+    line = features.linear(table, KEYS, greenness(table))
+    predict = simulate.by_line(line, KEYS, lambda s: F.col(f"ndvi{s}") + 0.5 * F.col(f"ndvi_near{s}"))
+    air = kernel.seasonal_kernel(parameters(spark, sf_dir), ["tile_id"], _RES)
+    out = simulate.run(drawn_requests(spark, sf_dir), _grid(spark, sf_dir), table, predict, KEYS, air)
+    rounded = [r4(c) for c in ("mean_inside", "mean_ring", "min_delta", "max_delta", "ratio_to_linear", "expected_cooling", "top_three_share", "pm25_inside", "pm25_strongest")]
+    return out.select("scenario_id", "status", "area_m2", "cells_changed", "ring_cells", "impact", F.round("person_degrees", 2).alias("person_degrees"), "verdict", "air_status", *rounded)
+
+
+#: Trees of the registered simulations: small ones, as they are fitted in each call.
+ROUNDS, DEPTH = 5, 4
+
+
+@query()
+def run_scenarios(spark, sf_dir):
+    """The same by boosted trees on all features (no SQL form)."""
+    table = simulated_table(spark, sf_dir)
+    model = features.train(features.training_frame(table), rounds=ROUNDS, depth=DEPTH)
+    air = kernel.seasonal_kernel(parameters(spark, sf_dir), ["tile_id"], _RES)
+    return simulate.run(drawn_requests(spark, sf_dir), _grid(spark, sf_dir), table, simulate.by_trees(model), KEYS, air)
