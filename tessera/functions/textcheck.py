@@ -5,10 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: White space as Unicode has it, for use inside brackets: the plain class alone leaves out no-break spaces.
+BLANKS = r"\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def wide(pattern: str) -> str:
+    """``pattern`` with every ``\\s`` taken as any white space."""
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        two = pattern[at : at + 2]
+        if two == r"\s":
+            out.append(BLANKS if inside else f"[{BLANKS}]")
+        elif two[0] == "\\":
+            out.append(two)
+        else:
+            inside = two[0] == "[" or inside and two[0] != "]"
+            out.append(two[0])
+            at -= 1
+        at += 2
+    return "".join(out)
+
+
 #: Numerals that do not continue a word, and the unit or magnitude after one; fixed.
 NUMERAL = r"(?<![A-Za-z0-9.])\d+(?:\.\d+)?"
 UNITS = r"%|degc|degf|°c|°f|km2|m2|km|m3|µg/m3|ug/m3|million|billion"
-NUMBER = rf"({NUMERAL})(?:\s*({UNITS})\b)?"
+NUMBER = wide(rf"({NUMERAL})(?:\s*({UNITS})\b)?")
 #: Words of either direction; fixed, as equal verdicts need equal words.
 COOLER = r"\b(cool(?:s|er|ing)?|falls?|drops?|decreas(?:es|ing)?)\b"
 WARMER = r"\b(warm(?:s|er|ing)?|hotter|ris(?:es|ing)|increas(?:es|ing)?)\b"

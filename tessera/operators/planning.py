@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.textcheck import BLANKS, wide
 from tessera.functions.verdicts import TREE_CANOPY_M2
 
 KM2 = 1e6
 #: Patterns of the request grammar, fixed.
-TREES = r"(\d[\d,\s]{0,14}(?:\.\d+)?)\s*(k|thousand)?\s*(?:more\s+)?(?:trees?)"
-CANOPY_FIRST = r"(\d+(?:\.\d+)?)\s*(?:%|per\s*cent)[^.]{0,24}?(canopy|tree|shade|green)"
-CANOPY_LAST = r"(canopy|tree cover|shade|greening)[^.]{0,24}?(\d+(?:\.\d+)?)\s*(?:%|per\s*cent)"
-TRAFFIC_SHARE = r"(\d+(?:\.\d+)?)\s*(?:%|per\s*cent)\s*(?:of\s*)?(?:the\s*)?(traffic|vehicles?|cars?|emissions?|lorr|truck)"
+TREES = wide(r"(\d[\d,\s]{0,14}(?:\.\d+)?)\s*(k|thousand)?\s*(?:more\s+)?(?:trees?)")
+CANOPY_FIRST = wide(r"(\d+(?:\.\d+)?)\s*(?:%|per\s*cent)[^.]{0,24}?(canopy|tree|shade|green)")
+CANOPY_LAST = wide(r"(canopy|tree cover|shade|greening)[^.]{0,24}?(\d+(?:\.\d+)?)\s*(?:%|per\s*cent)")
+TRAFFIC_SHARE = wide(r"(\d+(?:\.\d+)?)\s*(?:%|per\s*cent)\s*(?:of\s*)?(?:the\s*)?(traffic|vehicles?|cars?|emissions?|lorr|truck)")
 TRAFFIC_WORDS = r"\b(ban|banning|car[- ]free|pedestriani[sz]|low[- ]emission zone|lez|congestion charge|combustion|no cars|no traffic|remove traffic|close .{0,12}to traffic|diesel)\b"
-WINDOW = r"\b(20\d\d)\s*[-/ ]\s*(summer|winter)\b"
-WINDOW_REVERSED = r"\b(summer|winter)\s*(?:of\s*)?(20\d\d)\b"
+WINDOW = wide(r"\b(20\d\d)\s*[-/ ]\s*(summer|winter)\b")
+WINDOW_REVERSED = wide(r"\b(summer|winter)\s*(?:of\s*)?(20\d\d)\b")
 SEASON = r"\b(summer|winter)\b"
 
 
@@ -28,7 +29,7 @@ def parse(requests: DataFrame, text: str = "text") -> DataFrame:
     window, season, warnings, and status with ``no intervention`` where none is found.
     A null text has none."""
     t = F.lower(F.col(text))
-    digits = F.regexp_replace(_group(t, TREES, 1), r"[,\s]", "")
+    digits = F.regexp_replace(_group(t, TREES, 1), f"[,{BLANKS}]", "")
     count = F.greatest(F.bround(digits.try_cast("double") * F.when(_group(t, TREES, 2).isNotNull(), 1000).otherwise(1)), F.lit(1.0))
     fraction = lambda raw: F.when(raw.isNotNull(), F.least(F.greatest(raw.try_cast("double") / 100, F.lit(0.01)), F.lit(1.0)))  # noqa: E731  least skips nulls
     first, last = _group(t, CANOPY_FIRST, 1), _group(t, CANOPY_LAST, 2)

@@ -240,7 +240,7 @@ _X = lambda p, g: f"nullif(regexp_extract(t, '{p}', {g}), '')"
 
 #: Plans from rows of tx(id, t0).
 _PARSED = (
-    f"l AS (SELECT id, lower(t0) AS t FROM tx), x AS (SELECT id, t, regexp_replace({_X(planning.TREES, 1)}, '[,\\s]', '', 'g') AS d, {_X(planning.TREES, 2)} AS m, coalesce({_X(planning.CANOPY_FIRST, 1)}, {_X(planning.CANOPY_LAST, 2)}) AS cf, {_X(planning.TRAFFIC_SHARE, 1)} AS sh, coalesce(regexp_matches(t, '{planning.TRAFFIC_WORDS}'), false) AS tw, "
+    f"l AS (SELECT id, lower(t0) AS t FROM tx), x AS (SELECT id, t, regexp_replace({_X(planning.TREES, 1)}, '[,{textcheck.BLANKS}]', '', 'g') AS d, {_X(planning.TREES, 2)} AS m, coalesce({_X(planning.CANOPY_FIRST, 1)}, {_X(planning.CANOPY_LAST, 2)}) AS cf, {_X(planning.TRAFFIC_SHARE, 1)} AS sh, coalesce(regexp_matches(t, '{planning.TRAFFIC_WORDS}'), false) AS tw, "
     f"coalesce({_X(planning.WINDOW, 1)}||'-'||{_X(planning.WINDOW, 2)}, {_X(planning.WINDOW_REVERSED, 2)}||'-'||{_X(planning.WINDOW_REVERSED, 1)}) AS win, {_X(planning.SEASON, 1)} AS se FROM l), "
     "y AS (SELECT id, CASE WHEN d IS NOT NULL THEN CAST(greatest(round_even(CAST(d AS DOUBLE)*CASE WHEN m IS NULL THEN 1 ELSE 1000 END,0),1) AS BIGINT) END AS tree_count, CASE WHEN d IS NULL AND cf IS NOT NULL THEN least(greatest(CAST(cf AS DOUBLE)/100,0.01),1.0) END AS canopy_fraction, CASE WHEN sh IS NOT NULL THEN least(greatest(CAST(sh AS DOUBLE)/100,0.01),1.0) WHEN tw THEN 1.0 END AS emission_fraction, win, CASE WHEN win IS NULL THEN se END AS season, CASE WHEN d IS NOT NULL AND cf IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN sh IS NULL AND tw THEN 1 ELSE 0 END AS warnings FROM x) "
     "SELECT id, tree_count, canopy_fraction, emission_fraction, win AS \"window\", season, warnings, CASE WHEN tree_count IS NULL AND canopy_fraction IS NULL AND emission_fraction IS NULL THEN 'no intervention' ELSE 'ok' END AS status FROM y"
@@ -276,6 +276,28 @@ def faithful_rewrites(spark, sf_dir):
     return o.select("id", textcheck.numbers_are_faithful(s, r).alias("numbers_ok"), textcheck.direction_is_faithful(s, r).alias("direction_ok"), textcheck.headline_survives(s, r).alias("headline_ok"))
 
 
+_NUMBER_SQL = lambda t, g: f"regexp_extract_all({t}, '(?:^|[^a-z0-9.])(\\d+(?:\\.\\d+)?)(?:[{textcheck.BLANKS}]*({textcheck.UNITS})\\b)?', {g})"
+
+
+@query(
+    "WITH p AS (SELECT event_id AS id, event_id%8 AS k, CAST(round_even(value*10,0) AS BIGINT)/10.0 AS v FROM events WHERE value>=0), q AS (SELECT id, k, v, 'the block cools by '||printf('%.1f', v)||' degc over '||(id%500+20)||' km2' AS src, CASE k WHEN 1 THEN chr(8239)||'°c' WHEN 2 THEN chr(160)||'degc' WHEN 3 THEN '°f' WHEN 4 THEN chr(12288)||'degc' ELSE ' degc' END AS unit, CASE WHEN k=5 THEN v*1.03 WHEN k=6 THEN v*1.2+1 ELSE v END AS w FROM p), "
+    "r AS (SELECT id, src, CASE WHEN k=7 THEN 'it warms by ' ELSE 'it cools by ' END||printf('%.1f', w)||unit||' or so' AS rew FROM q), "
+    f"n AS (SELECT id, src, rew, list_zip({_NUMBER_SQL('src', 1)}, {_NUMBER_SQL('src', 2)}) AS a, list_zip({_NUMBER_SQL('rew', 1)}, {_NUMBER_SQL('rew', 2)}) AS b FROM r), "
+    "u AS (SELECT id, src, rew, a, unnest(b) AS x FROM n), c AS (SELECT id, src, rew, x, len(list_filter(a, lambda y: replace(replace(y[2],'°c','degc'),'°f','degf')=replace(replace(x[2],'°c','degc'),'°f','degf') AND abs(CAST(x[1] AS DOUBLE)-CAST(y[1] AS DOUBLE))<=greatest(0.05,0.05*abs(CAST(y[1] AS DOUBLE)))))>0 AS ok FROM u) "
+    "SELECT id, bool_and(ok) AS numbers_ok, NOT max(contains(rew,'warms')) AS direction_ok FROM c GROUP BY 1"
+)
+def spaced_rewrites(spark, sf_dir):
+    """Figures whose unit stands after a space of any kind, rounded, invented, or with another unit."""
+    k, v = F.col("event_id") % 8, F.bround(F.col("value") * 10).cast("long") / 10.0
+    unit = F.when(k == 1, "\u202f°C").when(k == 2, "\u00a0degC").when(k == 3, "°F").when(k == 4, "\u3000degC").otherwise(" degC")
+    w = F.when(k == 5, v * 1.03).when(k == 6, v * 1.2 + 1).otherwise(v)
+    e = T.read(spark, sf_dir, "events").where("value >= 0").select(
+        F.col("event_id").alias("id"), F.concat(F.lit("The block cools by "), F.format_string("%.1f", v), F.lit(" degC over "), (F.col("event_id") % 500 + 20).cast("string"), F.lit(" km2")).alias("s"),
+        F.concat(F.when(k == 7, "It warms by ").otherwise("It cools by "), F.format_string("%.1f", w), unit, F.lit(" or so")).alias("r"),
+    )
+    return e.select("id", textcheck.numbers_are_faithful(F.col("s"), F.col("r")).alias("numbers_ok"), textcheck.direction_is_faithful(F.col("s"), F.col("r")).alias("direction_ok"))
+
+
 @query(
     "WITH s AS (SELECT o_custkey AS search, o_orderkey AS step, CASE WHEN o_orderstatus='P' THEN NULL ELSE round(CASE o_custkey%3 WHEN 0 THEN o_totalprice/1000 WHEN 1 THEN coalesce(-(o_totalprice%7-3),0) ELSE o_totalprice END,5)+0.0 END AS score, coalesce(o_totalprice/1000>=250,false) AS satisfied FROM orders) "
     "SELECT search, step, score, max(score) OVER w AS best, coalesce(score=max(score) OVER w,false) AS improves, CASE WHEN satisfied THEN 'target met' WHEN row_number() OVER (PARTITION BY search ORDER BY step)>=10 THEN 'budget spent' END AS stop FROM s WINDOW w AS (PARTITION BY search ORDER BY step ROWS UNBOUNDED PRECEDING)"

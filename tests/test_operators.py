@@ -393,3 +393,13 @@ def test_one_kernel_serves_all_scenarios_of_a_tile(spark):
     # negative weights of this made-up kernel meet no others, so each is cut at zero
     assert rows(kernel.concentration(sent, k, keys, 9, 9)) == want
     assert rows(kernel.concentration_blocks(sent, k, keys, 9, 9)) == want
+
+
+@pytest.mark.parametrize("blank", [" ", " ", " ", "　", " ", ""])
+def test_units_after_any_space(spark, blank):
+    t = spark.createDataFrame([("It cools by 0.16 degC.", f"It cools by 0.16{blank}°C or so", f"It cools by 0.16{blank}°F")], "s string, same string, other string")
+    r = t.select(textcheck.numbers_are_faithful(F.col("s"), F.col("same")).alias("same"), textcheck.numbers_are_faithful(F.col("s"), F.col("other")).alias("other")).first()
+    assert r.same and not r.other
+    if blank:
+        p = planning.parse(spark.createDataFrame([(f"plant 5{blank}000{blank}trees in 2024{blank}-{blank}winter",)], "text string")).first()
+        assert p.tree_count == 5000
