@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -94,12 +99,44 @@ def fold_means(frame: DataFrame, groups: list[str], target: str = "lst_c") -> Da
     return frame.join(joined.select(*groups, "fold", naive.alias("naive")), [*groups, "fold"])
 
 
-def cross_validate(frame: DataFrame, groups: list[str], folds: list, target: str = "lst_c", rounds: int = 20) -> DataFrame:
-    """Held-out predictions of every fold, with the naive ones; one fit per fold."""
+#: Fits that run beside each other.
+TOGETHER = 4
+
+
+@contextmanager
+def together(frame: DataFrame, at_once: int = TOGETHER) -> Iterator[tuple[DataFrame, Callable]]:
+    """(frame, submit): ``frame`` persisted while several fits read it, and a function that
+    applies another to each item from ``at_once`` threads of the driver, each in a fair pool of its own where the
+    session schedules fairly.  Blocks that are lost with an executor are read or computed again."""
+    sc = frame.sparkSession.sparkContext
+    kept = frame.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def submit(f: Callable, items: list) -> list:
+        def one(item):
+            sc.setLocalProperty("spark.scheduler.pool", f"fit-{item}")
+            try:
+                return f(item)
+            finally:
+                sc.setLocalProperty("spark.scheduler.pool", None)
+
+        with ThreadPoolExecutor(at_once) as pool:
+            return list(pool.map(inheritable_thread_target(one), items))
+
+    try:
+        yield kept, submit
+    finally:
+        kept.unpersist()
+
+
+def cross_validate(frame: DataFrame, groups: list[str], folds: list, target: str = "lst_c", rounds: int = 20, depth: int = 5) -> DataFrame:
+    """Held-out predictions of every fold, with the naive ones; one fit per fold, all
+    submitted together over one persisted frame."""
+    with together(frame) as (kept, submit):
+        models = submit(lambda k: train(kept.where(F.col("fold") != k), target, rounds, depth), folds)
     out = None
-    for k in folds:
+    for k, model in zip(folds, models, strict=True):
         rest, held = frame.where(F.col("fold") != k), frame.where(F.col("fold") == k)
-        scored = naive_prediction(train(rest, target, rounds).transform(held), rest, groups, target)
+        scored = naive_prediction(model.transform(held), rest, groups, target)
         out = scored if out is None else out.unionByName(scored)
     return out
 
@@ -124,12 +161,12 @@ def linear_without_fold(frame: DataFrame, x: Column, target: str = "lst_c") -> D
     return line.select("fold", "slope", (F.col("naive") - F.col("slope") * F.col("_mean")).alias("intercept"), "naive")
 
 
-def leave_one_window_out(frame: DataFrame, groups: list[str], windows: list[str], target: str = "lst_c", rounds: int = 20) -> DataFrame:
+def leave_one_window_out(frame: DataFrame, groups: list[str], windows: list[str], target: str = "lst_c", rounds: int = 20, depth: int = 5) -> DataFrame:
     """Held-out predictions of every window by a model of the others: a fold is a
     window.  One fit per window of the list; fewer than two are refused."""
     if len(windows) < 2:
         raise ValueError("a window can be left out only if there are others")
-    return cross_validate(frame.withColumn("fold", F.col("window")).where(F.col("window").isin(windows)), groups, windows, target, rounds)
+    return cross_validate(frame.withColumn("fold", F.col("window")).where(F.col("window").isin(windows)), groups, windows, target, rounds, depth)
 
 
 def save(model: PipelineModel, path: str) -> None:
