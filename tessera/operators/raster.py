@@ -55,6 +55,40 @@ def dilation_ring(mask: DataFrame, keys: list[str], steps: int, height: int, wid
     return grown.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)).join(mask, cell, "left_anti")
 
 
+def distances(mask: DataFrame, keys: list[str], reach: int, height: int, width: int) -> DataFrame:
+    """(keys, row, col, distance) of every cell within ``reach`` 4-neighbour steps of the
+    mask, masked cells with 0: exact, and one table for the rings of all radii.
+
+    Min-plus along rows, then along columns.  In a row each column belongs to its
+    nearest masked cell.  In a column, running minima of distance less row (from above)
+    and distance plus row (from below) decide between the rows that have one.  A cell is made
+    once in each pass, whatever the reach, and a line has no more cells than the grid is wide or high.
+    """
+    in_row = Window.partitionBy(*keys, "row").orderBy("col")
+    before, after = F.lag("col").over(in_row), F.lead("col").over(in_row)
+    low = F.greatest(F.lit(0), F.col("col") - reach, F.coalesce(F.floor((F.col("_b") + F.col("col")) / 2) + 1, F.lit(0)))
+    high = F.least(F.lit(width - 1), F.col("col") + reach, F.coalesce(F.floor((F.col("col") + F.col("_a")) / 2), F.lit(width - 1)))
+    owned = mask.select(*keys, "row", "col").distinct().withColumn("_b", before).withColumn("_a", after)
+    along = owned.select(*keys, "row", F.col("col").alias("_m"), F.explode(F.sequence(low.cast("long"), high.cast("long"))).alias("col")).withColumn("_h", F.abs(F.col("col") - F.col("_m")))
+    down = Window.partitionBy(*keys, "col").orderBy("row")
+    up = Window.partitionBy(*keys, "col").orderBy(F.desc("row"))
+    from_above = F.min(F.col("_h") - F.col("row")).over(down.rowsBetween(Window.unboundedPreceding, 0))
+    from_below = F.min(F.col("_h") + F.col("row")).over(up.rowsBetween(Window.unboundedPreceding, 0))
+    lines = along.withColumn("_f", from_above).withColumn("_g", from_below)
+    lines = lines.withColumn("_next", F.lead("row").over(down)).withColumn("_below", F.lead("_g").over(down)).withColumn("_top", F.lag("row").over(down).isNull())
+    # rows from this one to the next that has a distance, as far as either of both reaches
+    last = F.coalesce(F.col("_next") - 1, F.lit(height - 1))
+    reached = F.least(last, F.lit(reach) - F.col("_f"))
+    again = F.greatest(F.col("row"), F.col("_below") - reach)
+    empty = F.array().cast("array<bigint>")
+    span = lambda a, b: F.when(a <= b, F.sequence(a.cast("long"), b.cast("long"))).otherwise(empty)
+    second = F.when(F.col("_below").isNotNull(), span(F.greatest(again, reached + 1, F.col("row")), last)).otherwise(empty)
+    first = F.when(F.col("_top"), span(F.greatest(F.lit(0), F.col("_g") - reach), F.col("row") - 1)).otherwise(empty)
+    here = lines.select(*keys, "col", "_f", "_g", "_below", F.col("row").alias("_r"), F.explode(F.concat(first, span(F.col("row"), reached), second)).alias("row"))
+    nearest = F.when(F.col("row") < F.col("_r"), F.col("_g") - F.col("row")).otherwise(F.least(F.col("_f") + F.col("row"), F.col("_below") - F.col("row")))
+    return here.select(*keys, "row", "col", nearest.cast("int").alias("distance")).where(F.col("distance") <= reach)
+
+
 def polygon_cells(rings: DataFrame, keys: list[str], grid: Grid) -> DataFrame:
     """Cells whose centre is inside polygons; see :func:`polygon_spans`."""
     return polygon_spans(rings, keys, grid).select(*keys, "row", F.explode(F.sequence("c0", "c1")).alias("col"))

@@ -51,6 +51,19 @@ def spillover_ring(spark, sf_dir):
     return raster.dilation_ring(mask, ["tile_id"], 2, height(spark, sf_dir), T.WIDTH).select("row", "col")
 
 
+@query(
+    f"WITH {T.CELLS}, m AS (SELECT \"row\" AS r, col AS c FROM cells WHERE landcover=10 AND elevation_m>=(SELECT quantile_cont(elevation_m,0.99) FROM cells)), g AS (SELECT r.i AS \"row\", c.i AS col FROM (SELECT unnest(range(0,{_H}+1)) AS i) r, range(0,50) c(i)), "
+    "d AS (SELECT \"row\", col, min(abs(\"row\"-r)+abs(col-c)) AS distance FROM g, m GROUP BY 1,2) SELECT \"row\", col, CAST(distance AS INTEGER) AS distance, distance BETWEEN 1 AND 2 AS ring2, distance BETWEEN 1 AND 3 AS ring3, distance BETWEEN 1 AND 10 AS ring10 FROM d WHERE distance<=10"
+)
+def mask_distances(spark, sf_dir):
+    """Steps to the nearest masked cell, and the rings of 2, 3 and 10 from one table."""
+    cells = T.cells(spark, sf_dir)
+    high = cells.agg(F.percentile("elevation_m", 0.99).alias("_p"))  # one row
+    mask = cells.where("landcover = 10").crossJoin(F.broadcast(high)).where("elevation_m >= _p").select("tile_id", "row", "col")
+    d = raster.distances(mask, ["tile_id"], 10, height(spark, sf_dir), T.WIDTH)
+    return d.select("row", "col", "distance", *[F.col("distance").between(1, k).alias(f"ring{k}") for k in (2, 3, 10)])
+
+
 @query(
     f"WITH RECURSIVE {T.CELLS}, m AS (SELECT \"row\" AS r, col AS c FROM cells WHERE landcover<>50), e AS (SELECT a.r*2147483648+a.c AS x, b.r*2147483648+b.c AS y FROM m a JOIN m b ON abs(a.r-b.r)<=1 AND abs(a.c-b.c)<=1), "
     "w AS (SELECT x, y FROM e UNION SELECT w.x, e.y FROM w JOIN e ON w.y=e.x), k AS (SELECT x, min(y) AS component FROM w GROUP BY 1) SELECT component, count(*) AS cells FROM k GROUP BY 1"
