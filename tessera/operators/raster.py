@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.grid import Grid
@@ -169,17 +169,23 @@ def components(mask: DataFrame, keys: list[str], block: int = 64) -> DataFrame:
     return labelled.join(current.withColumnRenamed("node", "label"), [*keys, "label"], "left").select(*keys, "row", "col", F.coalesce("root", "label").alias("component"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder the session names, or on one machine in a temporary one
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that the session names, or on one machine a temporary one
     where it names none; a cluster without one is refused."""
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         import tempfile
 
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix=f"tessera-{uuid.uuid4().hex[:6]}"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """A checkpoint in the session's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

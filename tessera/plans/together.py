@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessera.functions import geojson, season, verdicts
 from tessera.functions import grid as G
-from tessera.operators import change, composite, equity, features, kernel, planning, regions, roads, scenario
+from tessera.operators import change, composite, equity, features, kernel, planning, raster, regions, roads, scenario
 from tessera.plans import tables as T
 from tessera.plans.acting import _DELTA, _PLANS, KEYS, cube, delta_field, plan_table, planted, scenarios
 from tessera.plans.observing import _IDX, _PIX, W, indices
 from tessera.plans.people import lattice_of
 from tessera.plans.registry import query, r4
 from tessera.plans.spatial import _H, _KER, _RES, CORNERS, LONLAT, height, parameters
-from tessera.sources import io
+from tessera.sources import builds, io
 
 
 @query(f"WITH {T.CELLS}, old AS (SELECT \"row\", col, CASE WHEN landcover<>30 THEN elevation_m END AS v FROM cells WHERE col<40), new AS (SELECT \"row\", col, CASE WHEN landcover<>10 THEN elevation_m*2 END AS v FROM cells WHERE col>=10) SELECT \"row\", col, round(coalesce(new.v, old.v),4) AS v FROM old FULL OUTER JOIN new USING (\"row\",col)")
@@ -32,8 +34,45 @@ def grafted_layer(spark, sf_dir):
 def latest_build(spark, sf_dir):
     """The report of the latest build."""
     s = T.scenes(spark, sf_dir).withColumn("build_id", F.year("ts"))
-    builds = s.groupBy("build_id").agg(F.to_date(F.max("ts")).alias("built_at"))
-    return io.latest_build(builds, composite.scene_counts(s, ["build_id", "collection", "window"], 40.0))
+    made = s.groupBy("build_id").agg(F.to_date(F.max("ts")).alias("built_at"))
+    return io.latest_build(made, composite.scene_counts(s, ["build_id", "collection", "window"], 40.0))
+
+
+_BUILDS = (
+    f"{T.SCENES}, src AS (SELECT year(ts) AS build_id, collection, {W}, count(*) AS found, count(CASE WHEN coalesce(cloud_cover,0)<=CASE WHEN year(ts)>=1996 THEN 60 ELSE 40 END THEN 1 END) AS kept, CASE WHEN year(ts)>=1996 THEN 'v2' END AS version FROM scenes GROUP BY 1,2,3), "
+    "bld AS (SELECT year(ts) AS build_id, CAST(max(ts) AS DATE) AS built_at FROM scenes GROUP BY 1), var AS (SELECT year(ts) AS build_id, platform AS variable, round(avg(CASE WHEN cloud_cover IS NULL THEN 0.0 ELSE 1.0 END),4) AS valid FROM scenes GROUP BY 1,2)"
+)
+
+
+def recorded(spark, sf_dir) -> str:
+    """A catalogue of builds: one for each year of scenes, recorded, and those since 1996
+    recorded again with another limit of cloud and a column more.  Returns its folder."""
+    root = f"{raster.shared_folder(spark)}/builds-{uuid.uuid4().hex}"
+    scenes = T.scenes(spark, sf_dir).withColumn("build_id", F.year("ts"))
+
+    def run(s, limit, *more):
+        made = s.groupBy("build_id").agg(F.to_date(F.max("ts")).alias("built_at"))
+        variables = s.groupBy("build_id", F.col("platform").alias("variable")).agg(r4(F.avg(F.col("cloud_cover").isNotNull().cast("double")), "valid"))
+        builds.record(root, made, composite.scene_counts(s, ["build_id", "collection", "window"], limit).select("*", *more), variables)
+
+    run(scenes, 40.0)
+    run(scenes.where("build_id >= 1996"), 60.0, F.lit("v2").alias("version"))
+    return root
+
+
+@query(f"WITH {_BUILDS} SELECT build_id, built_at, count(*) AS sources, CAST(sum(found) AS BIGINT) AS found, CAST(sum(kept) AS BIGINT) AS kept, max(version) AS version, max(v.n) AS variables, max(v.valid) AS most_valid FROM bld JOIN src USING (build_id) JOIN (SELECT build_id, count(*) AS n, max(valid) AS valid FROM var GROUP BY 1) v USING (build_id) GROUP BY 1,2")
+def recorded_builds(spark, sf_dir):
+    """Builds as they stand in three tables after a second run replaced some of them."""
+    root = recorded(spark, sf_dir)
+    variables = builds.read(spark, root, "build_variables").groupBy("build_id").agg(F.count("*").alias("variables"), F.max("valid").alias("most_valid"))
+    sources = builds.read(spark, root, "build_sources").groupBy("build_id").agg(F.count("*").alias("sources"), F.sum("found").alias("found"), F.sum("kept").alias("kept"), F.max("version").alias("version"))
+    return builds.read(spark, root, "builds").join(sources, "build_id").join(variables, "build_id")
+
+
+@query(f"WITH {_BUILDS} SELECT build_id, built_at, collection, {W}, found, kept FROM bld JOIN src USING (build_id) WHERE built_at=(SELECT max(built_at) FROM bld)")
+def latest_recorded_build(spark, sf_dir):
+    """The report of the latest build of the catalogue."""
+    return builds.latest(spark, recorded(spark, sf_dir))
 
 
 @query(
