@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import acting, drawn, observing, past, people, searching, spatial, together  # noqa: F401  they register themselves
+from tessera.plans import acting, checks, drawn, observing, past, people, searching, spatial, together  # noqa: F401  they register themselves
 from tessera.plans.registry import QUERIES, SQL
 
 
