@@ -31,14 +31,15 @@ def geometry(text: Column) -> tuple[Column, Column]:
 
 def polygons(table: DataFrame, text: str = "geojson", most: int = MAX_VERTICES) -> DataFrame:
     """``table`` with ``parts`` (polygons of rings of x, y), ``rings`` (of all parts), ``vertices``
-    and ``reason``: not a polygon, not one feature, no geometry, nested too deep, no
-    vertices, or too many.  A polygon is a multipolygon of one part."""
+    and ``reason``: not a polygon, no vertices, or too many; ``detail`` says why there is no
+    polygon: not one feature, no geometry, nested too deep.  A polygon is a multipolygon of one part."""
     g, refused = geometry(F.col(text))
+    g = F.when(refused.isNull(), g)
     kind, coords = part(F.col("_g"), "$.type"), part(F.col("_g"), "$.coordinates")
     nested = F.when(kind == "Polygon", F.array(F.from_json(coords, POLYGON))).when(kind == "MultiPolygon", F.from_json(coords, MULTI))
     point = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
     ring = lambda r: F.transform(r, point)
     out = table.withColumn("_g", g).withColumn("_r", refused).withColumn("parts", F.transform(nested, lambda rings: F.transform(rings, ring))).withColumn("rings", F.flatten("parts"))
     count = F.coalesce(F.aggregate("rings", F.lit(0), lambda a, r: a + F.size(r)), F.lit(0))
-    reason = F.coalesce("_r", F.when(F.col("rings").isNull(), "not a polygon").when(count == 0, "no vertices").when(count > most, "too many vertices"))
-    return out.withColumn("vertices", count).withColumn("reason", reason).drop("_g", "_r")
+    reason = F.when(F.col("rings").isNull(), "not a polygon").when(count == 0, "no vertices").when(count > most, "too many vertices")
+    return out.withColumn("vertices", count).withColumn("reason", reason).withColumn("detail", F.coalesce("_r", reason)).drop("_g", "_r")

@@ -128,12 +128,12 @@ def misplaced(e: DataFrame, keys: list[str]) -> DataFrame:
 def checked(table: DataFrame, keys: list[str], text: str = "geojson") -> DataFrame:
     """(keys, parts, vertices, status) of each row, ``keys`` being unique.
 
-    Status is ok, a reason of :func:`geojson.polygons`, unreadable (rings of fewer than
+    Status is ok, a detail of :func:`geojson.polygons`, unreadable (rings of fewer than
     four positions, coordinates that are no numbers) or invalid.  Two things that a
     full test of validity refuses are let through: a ring that passes from one side of
     another to the other exactly at a position, and an interior that touching rings cut in two.
     """
-    read = geojson.polygons(table, text).withColumn("status", F.coalesce("reason", F.when(~readable(F.col("parts")), "unreadable")))
+    read = geojson.polygons(table, text).withColumn("status", F.coalesce("detail", F.when(~readable(F.col("parts")), "unreadable")))
     read = checkpointed(read.select(*keys, "parts", "vertices", "status"))
     e = checkpointed(edges(read.where("status IS NULL"), keys))
     flat = e.groupBy(*keys, "part", "ring").agg(F.max("of").alias("of")).where("of < 3").select(*keys)
