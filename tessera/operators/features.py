@@ -13,7 +13,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.raster import neighbourhood_mean
+from tessera.operators.raster import checkpointed, neighbourhood_mean
 
 BASE = ["ndvi", "ndbi", "albedo", "elevation_m"]
 NEAR = ["ndvi", "ndbi"]
@@ -99,17 +99,24 @@ def fold_means(frame: DataFrame, groups: list[str], target: str = "lst_c") -> Da
     return frame.join(joined.select(*groups, "fold", naive.alias("naive")), [*groups, "fold"])
 
 
-#: Fits that run beside each other.
-TOGETHER = 4
+#: Fits that run beside each other, and rows of a frame that a task of theirs reads.
+TOGETHER, ROWS_A_TASK = 4, 50_000
+
+
+def packed(frame: DataFrame) -> DataFrame:
+    """``frame`` written once, in as many partitions as its rows ask for: each level of each tree
+    runs a task for every partition, and the step before may have left hundreds of a few rows."""
+    written = checkpointed(frame)
+    return written.coalesce(written.count() // ROWS_A_TASK + 1)
 
 
 @contextmanager
 def together(frame: DataFrame, at_once: int = TOGETHER) -> Iterator[tuple[DataFrame, Callable]]:
-    """(frame, submit): ``frame`` persisted while several fits read it, and a function that
+    """(frame, submit): ``frame`` :func:`packed` and persisted while several fits read it, and a function that
     applies another to each item from ``at_once`` threads of the driver, each in a fair pool of its own where the
     session schedules fairly.  Blocks that are lost with an executor are read or computed again."""
     sc = frame.sparkSession.sparkContext
-    kept = frame.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = packed(frame).persist(StorageLevel.MEMORY_AND_DISK)
 
     def submit(f: Callable, items: list) -> list:
         def one(item):
@@ -135,7 +142,7 @@ def cross_validate(frame: DataFrame, groups: list[str], folds: list, target: str
         models = submit(lambda k: train(kept.where(F.col("fold") != k), target, rounds, depth), folds)
     out = None
     for k, model in zip(folds, models, strict=True):
-        rest, held = frame.where(F.col("fold") != k), frame.where(F.col("fold") == k)
+        rest, held = kept.where(F.col("fold") != k), kept.where(F.col("fold") == k)
         scored = naive_prediction(model.transform(held), rest, groups, target)
         out = scored if out is None else out.unionByName(scored)
     return out
