@@ -54,10 +54,12 @@ def matches(scenes: DataFrame, searches: DataFrame) -> DataFrame:
     An equi join on collection, square and stretch of months, each search at the one
     pair of sizes that fits it; a pair meets in several squares and is taken in the
     first of those that both have.  Scenes are copied once for each pair of sizes in use.
+    Pairs are never shuffled.
     """
     over = F.col("west") > F.col("east")
-    halves = F.when(over, F.array(F.struct("west", F.lit(180.0).alias("east")), F.struct(F.lit(-180.0).alias("west"), "east"))).otherwise(F.array(F.struct("west", "east")))
-    asked = searches.withColumn("_over", over).withColumn("_half", F.explode(halves)).withColumn("west", F.col("_half.west")).withColumn("east", F.col("_half.east")).drop("_half")
+    none = F.lit(None).cast("double").alias("before")
+    halves = F.when(over, F.array(F.struct("west", F.lit(180.0).alias("east"), none), F.struct(F.lit(-180.0).alias("west"), "east", F.col("west").cast("double").alias("before")))).otherwise(F.array(F.struct("west", "east", none)))
+    asked = searches.withColumn("_half", F.explode(halves)).withColumn("west", F.col("_half.west")).withColumn("east", F.col("_half.east")).withColumn("_before", F.col("_half.before")).drop("_half")
     extent = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
     length = _month(F.col("end")) - _month(F.col("start"))
     asked = asked.withColumn("_size", _level(extent, DEGREES, len(DEGREES) - 1)).withColumn("_long", F.when(length.isNull(), ALWAYS).otherwise(_level(length, MONTHS, ALWAYS)))
@@ -84,9 +86,9 @@ def matches(scenes: DataFrame, searches: DataFrame) -> DataFrame:
     exact = (s["west"] <= F.col("east")) & (F.col("west") <= s["east"]) & (s["south"] <= F.col("north")) & (F.col("south") <= s["north"])
     exact &= F.coalesce(F.col("ts") >= F.col("start"), F.col("start").isNull()) & F.coalesce(F.col("ts") <= F.col("end"), F.col("end").isNull())
     first = (F.col("_x") == F.greatest("_x0", s["_x0"])) & (F.col("_y") == F.greatest("_y0", s["_y0"]))
-    found = both.where(first & exact).select("search_id", "scene_id", "cloud_cover", (F.col("max_cloud").isNull() | (F.coalesce("cloud_cover", F.lit(0.0)) <= F.col("max_cloud"))).alias("kept"), "_over")
-    once = found.where("NOT _over").drop("_over")
-    return once.unionByName(found.where("_over").drop("_over").dropDuplicates(["search_id", "scene_id"]))
+    # a scene that meets the half west of the date line was found there
+    again = F.coalesce((s["west"] <= 180.0) & (F.col("_before") <= s["east"]), F.lit(False))
+    return both.where(first & exact & ~again).select("search_id", "scene_id", "cloud_cover", (F.col("max_cloud").isNull() | (F.coalesce("cloud_cover", F.lit(0.0)) <= F.col("max_cloud"))).alias("kept"))
 
 
 def counts(searches: DataFrame, found: DataFrame) -> DataFrame:
