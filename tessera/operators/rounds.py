@@ -28,8 +28,10 @@ def offered(searches: DataFrame, regions: DataFrame, tried: DataFrame, shown: in
     """The first ``shown`` regions of each search's metric that it has not tried, by rank.
 
     ``regions(metric, region_id, rank, ...)`` is ranked once for each metric.  A search
-    that has tried n regions finds its next ones among the first n + shown."""
-    near = searches.select("search_id", "metric", "step").join(regions, "metric").where(F.col("rank") <= F.col("step") + shown)
+    that has tried n regions finds its next ones among the first n + shown: it asks for those
+    ranks, and no search meets the others."""
+    ranks = F.explode(F.sequence(F.lit(1).cast("long"), F.col("step") + shown)).alias("rank")
+    near = searches.select("search_id", "metric", "step", ranks).join(regions.withColumn("rank", F.col("rank").cast("long")), ["metric", "rank"])
     left = near.join(tried.select("search_id", "region_id"), ["search_id", "region_id"], "left_anti").drop("step")
     return left.withColumn("nth", F.row_number().over(Window.partitionBy("search_id").orderBy("rank"))).where(F.col("nth") <= shown)
 
