@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import geojson
 from tessera.functions.grid import Grid, forward
-from tessera.operators.raster import checkpointed, polygon_spans
+from tessera.operators.raster import checkpointed, dealt, polygon_spans
 
 #: Buckets along each side of a geometry's box, at most.
 BUCKETS = 128
@@ -82,7 +82,7 @@ def crossing(e: DataFrame, keys: list[str]) -> DataFrame:
     cell = [*keys, "bx", "by"]
     own = bucketed(e).select(*cell, F.struct("part", "ring", "nth").alias("edge"), "of", "x0", "y0", "x1", "y1")
     other = own.select(*cell, *[F.col(c).alias(f"{c}_") for c in ("edge", "of", "x0", "y0", "x1", "y1")])
-    pair = own.join(other, cell).where(F.col("edge") < F.col("edge_"))
+    pair = own.join(dealt(other), cell).where(F.col("edge") < F.col("edge_"))
     a, b, c, d = ((F.col(f"x{k}{s}"), F.col(f"y{k}{s}")) for s in ("", "_") for k in (0, 1))
     turns = {"t1": _turn(*a, *b, *c), "t2": _turn(*a, *b, *d), "t3": _turn(*c, *d, *a), "t4": _turn(*c, *d, *b)}
     within = lambda p, q, r: r[0].between(F.least(p[0], q[0]), F.greatest(p[0], q[0])) & r[1].between(F.least(p[1], q[1]), F.greatest(p[1], q[1]))
@@ -112,16 +112,16 @@ def misplaced(e: DataFrame, keys: list[str]) -> DataFrame:
     middle = F.struct(((F.col("x0") + F.col("x1")) / 2).alias("x"), ((F.col("y0") + F.col("y1")) / 2).alias("y"))
     probes = e.groupBy(*ring).agg(F.max_by(middle, F.struct(length, -F.col("nth"))).alias("p"), F.first("box").alias("box"))
     several = probes.groupBy(*keys).count().where("count > 1").select(*keys)
-    probes = probes.join(several, keys, "left_semi").withColumn("by", band(F.col("p.y"), 0.0)).drop("box")
+    probes = probes.join(dealt(several), keys, "left_semi").withColumn("by", band(F.col("p.y"), 0.0)).drop("box")
     crossed = e.where("y0 <> y1").withColumn("by", F.explode(F.sequence(band(F.least("y0", "y1"), -SLACK), band(F.greatest("y0", "y1"), SLACK))))
     crossed = crossed.select(*keys, "by", F.col("part").alias("part_"), F.col("ring").alias("ring_"), "x0", "y0", "x1", "y1")
     py, px = F.col("p.y"), F.col("p.x")
     passes = ((F.col("y0") > py) != (F.col("y1") > py)) & (px < F.col("x0") + (py - F.col("y0")) * (F.col("x1") - F.col("x0")) / (F.col("y1") - F.col("y0")))
-    hits = probes.join(crossed, [*keys, "by"]).where(((F.col("part") != F.col("part_")) | (F.col("ring") != F.col("ring_"))) & passes)
+    hits = probes.join(dealt(crossed), [*keys, "by"]).where(((F.col("part") != F.col("part_")) | (F.col("ring") != F.col("ring_"))) & passes)
     around = hits.groupBy(*ring, "part_", "ring_").count().where("count % 2 = 1").groupBy(*ring, "part_").agg(F.count("*").alias("n"))
     other = around.where((F.col("part_") != F.col("part")) & (F.col("n") % 2 == 1)).select(*keys)
     in_own = around.where(F.col("part_") == F.col("part")).select(*ring, "n")
-    wrong = probes.select(*ring).join(in_own, ring, "left").where(F.coalesce("n", F.lit(0)) != F.when(F.col("ring") > 0, 1).otherwise(0)).select(*keys)
+    wrong = probes.select(*ring).join(dealt(in_own), ring, "left").where(F.coalesce("n", F.lit(0)) != F.when(F.col("ring") > 0, 1).otherwise(0)).select(*keys)
     return other.unionByName(wrong).distinct()
 
 
@@ -138,7 +138,7 @@ def checked(table: DataFrame, keys: list[str], text: str = "geojson") -> DataFra
     e = checkpointed(edges(read.where("status IS NULL"), keys))
     flat = e.groupBy(*keys, "part", "ring").agg(F.max("of").alias("of")).where("of < 3").select(*keys)
     invalid = crossing(e, keys).unionByName(misplaced(e, keys)).unionByName(flat).distinct().withColumn("_bad", F.lit("invalid"))
-    return read.join(invalid, keys, "left").withColumn("status", F.coalesce("status", "_bad", F.lit("ok"))).drop("_bad")
+    return read.join(dealt(invalid), keys, "left").withColumn("status", F.coalesce("status", "_bad", F.lit("ok"))).drop("_bad")
 
 
 def masks(table: DataFrame, keys: list[str], grid: Grid, text: str = "geojson") -> tuple[DataFrame, DataFrame]:
@@ -159,7 +159,7 @@ def masks(table: DataFrame, keys: list[str], grid: Grid, text: str = "geojson")
     runs = checkpointed(polygon_spans(fine, keys, grid))
     found = runs.select(*keys).distinct().withColumn("_any", F.lit(True))
     status = F.when((F.col("status") == "ok") & F.col("_any").isNull(), "no cells").otherwise(F.col("status"))
-    return told.join(found, keys, "left").select(*keys, "vertices", status.alias("status")), runs
+    return told.join(dealt(found), keys, "left").select(*keys, "vertices", status.alias("status")), runs
 
 
 def cells_of(runs: DataFrame, keys: list[str]) -> DataFrame:
@@ -173,7 +173,7 @@ def running_sums(cells: DataFrame, keys: list[str], values: list[str], width: in
     line = [*keys, "row"]
     every = cells.select(*line).distinct().withColumn("col", F.explode(F.sequence(F.lit(-1).cast("long"), F.lit(width - 1).cast("long"))))
     upto = Window.partitionBy(*line).orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
-    full = every.join(cells.select(*line, "col", *values), [*line, "col"], "left")
+    full = every.join(dealt(cells.select(*line, "col", *values)), [*line, "col"], "left")
     return full.select(*line, "col", *[F.sum(F.coalesce(F.col(v).cast("double"), F.lit(0.0))).over(upto).alias(v) for v in values])
 
 
@@ -183,7 +183,7 @@ def totals(runs: DataFrame, sums: DataFrame, keys: list[str], on: list[str], val
     geometry crosses, however wide it is.  ``on`` are the keys that cells have, too."""
     ends = F.array(F.struct(F.col("c1").alias("col"), F.lit(1.0).alias("sign")), F.struct((F.col("c0") - 1).alias("col"), F.lit(-1.0).alias("sign")))
     each = runs.select(*dict.fromkeys([*keys, *on]), "row", F.explode(ends).alias("e")).select("*", "e.col", "e.sign").drop("e")
-    return each.join(sums, [*on, "row", "col"]).groupBy(*keys).agg(*[F.sum(F.col("sign") * F.col(v)).alias(v) for v in values])
+    return each.join(dealt(sums), [*on, "row", "col"]).groupBy(*keys).agg(*[F.sum(F.col("sign") * F.col(v)).alias(v) for v in values])
 
 
 def measure(status: DataFrame, runs: DataFrame, cells: DataFrame, keys: list[str], on: list[str], width: int, cell_m2: float, reason: DataFrame | None = None) -> DataFrame:
@@ -194,10 +194,10 @@ def measure(status: DataFrame, runs: DataFrame, cells: DataFrame, keys: list[str
     """
     sums = running_sums(cells.withColumn("cells", F.lit(1.0)), on, ["cells", "headroom"], width)
     got = totals(runs, sums, keys, on, ["cells", "headroom"])
-    out = status.join(got, keys, "left").withColumn("cells", F.round("cells").cast("long"))
+    out = status.join(dealt(got), keys, "left").withColumn("cells", F.round("cells").cast("long"))
     if reason is not None:
         tiles = runs.select(*dict.fromkeys([*keys, *on])).distinct().join(reason, on).where("reason IS NOT NULL").groupBy(*keys).agg(F.min("reason").alias("reason"))
-        out = out.join(tiles, keys, "left").withColumn("status", F.when((F.col("status") == "ok") & F.col("reason").isNotNull(), F.col("reason")).otherwise(F.col("status"))).drop("reason")
+        out = out.join(dealt(tiles), keys, "left").withColumn("status", F.when((F.col("status") == "ok") & F.col("reason").isNotNull(), F.col("reason")).otherwise(F.col("status"))).drop("reason")
     fine = F.col("status") == "ok"
     kept = {"cells": F.col("cells"), "area_m2": F.col("cells") * cell_m2, "plantable_canopy_m2": F.greatest(F.col("headroom"), F.lit(0.0)) * cell_m2}
     return out.select(*keys, "status", *[F.when(fine, c).alias(n) for n, c in kept.items()])

@@ -48,11 +48,11 @@ def dilation_ring(mask: DataFrame, keys: list[str], steps: int, height: int, wid
     cell = [*keys, "row", "col"]
     sides = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c in ((0, 1), (1, 0), (0, -1), (-1, 0))])
     around = mask.select(*cell, F.explode(sides).alias("d")).select(*keys, "row", "col", (F.col("row") + F.col("d.dr")).alias("nr"), (F.col("col") + F.col("d.dc")).alias("nc"))
-    other = mask.select(*keys, F.col("row").alias("nr"), F.col("col").alias("nc"))
+    other = dealt(mask.select(*keys, F.col("row").alias("nr"), F.col("col").alias("nc")))
     edge = around.join(other, [*keys, "nr", "nc"], "left_anti").select(*cell).distinct()
     ball = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r in range(-steps, steps + 1) for c in range(-steps, steps + 1) if 0 < abs(r) + abs(c) <= steps])
     grown = edge.select(*cell, F.explode(ball).alias("d")).select(*keys, (F.col("row") + F.col("d.dr")).alias("row"), (F.col("col") + F.col("d.dc")).alias("col")).distinct()
-    return grown.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)).join(mask, cell, "left_anti")
+    return grown.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1)).join(dealt(mask), cell, "left_anti")
 
 
 def distances(mask: DataFrame, keys: list[str], reach: int, height: int, width: int) -> DataFrame:
@@ -189,6 +189,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(side: DataFrame) -> DataFrame:
+    """A side of a join that goes to its keys by a shuffle.  Its estimated size is that of the
+    rows before they were exploded, so Spark would send it whole through the driver."""
+    return side.hint("merge")
+
+
 def resample_nearest(source: DataFrame, targets: DataFrame, value: str, factor: float, shift_row: float = 0.0, shift_col: float = 0.0) -> DataFrame:
     """The source cell under each target's centre; a target is ``factor`` source cells wide."""
     at = lambda c, s: F.floor((F.col(c) + 0.5) * factor + s)

@@ -99,7 +99,7 @@ _DRAWN = (
 def geojson_cells(spark, sf_dir):
     """K1: from text in degrees to cells, with refusals of invalid geometries and of those without a cell."""
     status, runs = polygons.masks(drawings(spark, sf_dir), ["id"], _grid(spark, sf_dir))
-    return status.join(polygons.cells_of(runs, ["id"]), "id", "left").select("id", "status", "row", "col")
+    return status.join(raster.dealt(polygons.cells_of(runs, ["id"])), "id", "left").select("id", "status", "row", "col")
 
 
 def headroom(spark, sf_dir):
@@ -186,6 +186,6 @@ ROUNDS, DEPTH = 5, 4
 def run_scenarios(spark, sf_dir):
     """The same by boosted trees on all features (no SQL form)."""
     table = simulated_table(spark, sf_dir)
-    model = features.train(features.training_frame(table), rounds=ROUNDS, depth=DEPTH)
+    model = features.train(features.packed(features.training_frame(table)), rounds=ROUNDS, depth=DEPTH)
     air = kernel.seasonal_kernel(parameters(spark, sf_dir), ["tile_id"], _RES)
     return simulate.run(drawn_requests(spark, sf_dir), _grid(spark, sf_dir), table, simulate.by_trees(model), KEYS, air)
