@@ -7,12 +7,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.raster import dealt
+
 #: Literature values, fixed.
 SEASONS = {"winter": (250.0, 0.05), "summer": (800.0, 0.11)}
 SIGMA_INITIAL_M, BARE_M_S, CANOPY_M_S, MIN_WIND, MAX_RADIUS, SEASONAL_SIGMA_M, FETCH_M, RADIUS_SIGMAS = 50.0, 0.001, 0.010, 0.5, 200, 1000.0, 20_000.0, 6
 TO_MICRO = 1e6
 #: Rows of kernels up to which they are broadcast (24 MB), and tasks that a tile's sources are dealt to beyond that.
 BROADCAST_WEIGHTS, SALTS = 1_000_000, 64
+#: Parts of sums that a task makes, rows of cells whose sources stay together, and blocks that a task convolves.
+PARTS_A_TASK, SIDE, BLOCKS_A_TASK = 4_000_000, 32, 8
 
 
 def season_parameters(windows: DataFrame) -> DataFrame:
@@ -73,8 +77,11 @@ def concentration(sources: DataFrame, kernel: DataFrame, keys: list[str], height
     A kernel may have fewer keys than its sources: one for all scenarios of a tile."""
     on, some = [k for k in keys if k in kernel.columns], kernel.where("weight <> 0")
     emitting = sources.where(F.col(value) > 0)
-    if some.limit(BROADCAST_WEIGHTS + 1).count() <= BROADCAST_WEIGHTS:
-        sent = emitting.join(F.broadcast(some), on)
+    weights = some.limit(BROADCAST_WEIGHTS + 1).count()
+    if weights <= BROADCAST_WEIGHTS:
+        # each task makes PARTS_A_TASK parts or so: Spark counts sources, and would give many of them to one
+        tasks = emitting.count() * weights // PARTS_A_TASK + 1
+        sent = emitting.repartition(tasks, *keys, F.floor(F.col("row") / SIDE)).join(F.broadcast(some), on)
     else:  # a tile's sources go to SALTS tasks, each with a copy of the tile's kernel
         dealt = emitting.withColumn("_salt", F.pmod(F.xxhash64("row", "col"), F.lit(SALTS)))
         sent = dealt.join(some.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [*on, "_salt"])
@@ -92,6 +99,9 @@ def concentration_blocks(sources: DataFrame, kernel: DataFrame, keys: list[str],
     br, bc = F.floor(F.col("row") / block), F.floor(F.col("col") / block)
     rows = sources.where(F.col(value) > 0).withColumn("_br", br).withColumn("_bc", bc)
     grouped = rows.groupBy(*keys, "_br", "_bc").agg(F.collect_list(F.struct("row", "col", F.col(value).cast("double").alias("v"))).alias("s")).join(packed, on)
+    # a batch holds all blocks of a task: so many tasks that these are few
+    tasks = rows.select(*keys, "_br", "_bc").distinct().count() // BLOCKS_A_TASK + 1
+    grouped = grouped.repartition(tasks, *keys, "_br", "_bc")
     schema = grouped.select(*keys, F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("col"), F.lit(0.0).alias("part")).schema
 
     def convolve(frames):
@@ -118,9 +128,9 @@ def removed_emissions(cells: DataFrame, mask: DataFrame, keys: list[str], fracti
     """What each scenario takes away: the change in concentration is linear in it while
     the canopy is unchanged.  ``status`` refuses a scenario without an inventory or
     with no emissions inside its mask."""
-    joined = mask.join(cells, on or [c for c in ("tile_id", "row", "col") if c in cells.columns and c in mask.columns], "left")
+    joined = mask.join(dealt(cells), on or [c for c in ("tile_id", "row", "col") if c in cells.columns and c in mask.columns], "left")
     out = joined.withColumn("removed", F.coalesce(F.col(value), F.lit(0.0)) * F.col(fraction))
     status = out.groupBy(*keys).agg(F.count(value).alias("known"), F.coalesce(F.sum(value), F.lit(0.0)).alias("inside")).select(
         *keys, F.when(F.col("known") == 0, "no inventory").when(F.col("inside") == 0, "nothing to remove").otherwise("ok").alias("status")
     )
-    return out.join(status, keys)
+    return out.join(dealt(status), keys)
