@@ -38,7 +38,9 @@ ODD_SPACE = (
 #: Longest text given to the library in one call where safe pieces exist.
 LONG_TEXT = 1 << 16
 #: Bytes of text whose distinct units are looked up together.
-TOGETHER = 1 << 23
+TOGETHER = 1 << 21
+#: Ids whose bytes are gathered together: an index of 8 bytes is made for each byte.
+DECODED = 1 << 14
 #: Units that go to the library in one string.
 JOINED = 256
 #: ASCII marks; as all of a unit's end after a letter or digit of ``_BEFORE_MARKS`` they are one match of their own.
@@ -60,7 +62,7 @@ class UnitEncoder:
     moves to the younger one, and the older one is dropped when that is full.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], leads: np.ndarray, one_match: Callable[[str], list[int]], special: tuple[str, ...] = (), split: bool = True, most: int = 500_000):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], leads: np.ndarray, one_match: Callable[[str], list[int]], special: tuple[str, ...] = (), split: bool = True, most: int = 200_000):
         self.encode, self.leads, self.one_match, self.special, self.split, self.most = encode, leads, one_match, special, split, most
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -228,8 +230,12 @@ def token_bytes(enc) -> tuple[np.ndarray, np.ndarray]:
 
 def decode_bytes(ids: np.ndarray, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Raw bytes of a run of ids."""
-    each = ends[ids + 1] - ends[ids]
-    return flat[np.repeat(ends[ids] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+    out = [np.empty(0, np.uint8)]
+    for at in range(0, len(ids), DECODED):
+        part = ids[at : at + DECODED]
+        each = ends[part + 1] - ends[part]
+        out.append(flat[np.repeat(ends[part] - (np.cumsum(each) - each), each) + np.arange(each.sum())])
+    return np.concatenate(out)
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
