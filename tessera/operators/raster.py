@@ -120,37 +120,56 @@ def polygon_spans(rings: DataFrame, keys: list[str], grid: Grid) -> DataFrame:
     return pairs.withColumn("c0", c0).withColumn("c1", c1).where("c0 <= c1").select(*keys, "row", "c0", "c1")
 
 
+def block_labels(group: np.ndarray, row: np.ndarray, col: np.ndarray, block: int) -> np.ndarray:
+    """For each cell of the numbered blocks the smallest (row, col) code of its patch inside its block."""
+    wide = block + 1  # a free row and column between blocks
+    cells, first, where = np.unique((group * wide + row % block) * wide + col % block, return_index=True, return_inverse=True)
+    pairs = []
+    for step in (1, wide - 1, wide, wide + 1):
+        to = np.minimum(np.searchsorted(cells, cells + step), len(cells) - 1)
+        one = np.flatnonzero(cells[to] == cells + step)
+        pairs.append((one, to[one]))
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    label = np.arange(len(cells))  # cells of a block are in row-major order
+    while len(a):
+        la, lb = label[a], label[b]
+        apart = la != lb
+        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while (label[label] != label).any():
+            label = label[label]
+    return (row[first].astype(np.int64) * (1 << 31) + col[first])[label][where]
+
+
 def components(mask: DataFrame, keys: list[str], block: int = 64) -> DataFrame:
     """``mask`` with ``component``, the smallest (row, col) code of its 8-connected patch.
 
-    Blocks are labelled inside tasks; labels that touch across block edges form a
-    small graph, whose labels shrink to the smallest in rounds.  Each round is
-    checkpointed where the session names a folder for it.
+    Blocks are labelled inside tasks, all that a batch holds at once, and their labels are
+    checkpointed; labels that touch across block edges form a small graph, whose labels
+    shrink to the smallest in rounds.  Each round is checkpointed, too.
     """
-    spark = mask.sparkSession
     schema = mask.select(*keys, "row", "col", F.lit(0).cast("long").alias("label")).schema
-
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        r, c = pdf["row"].to_numpy(), pdf["col"].to_numpy()
-        r0, c0 = r - r.min() + 1, c - c.min() + 1
-        field = np.full((r0.max() + 2, c0.max() + 2), np.iinfo(np.int64).max)
-        field[r0, c0] = code(r, c)
-        on = field < np.iinfo(np.int64).max
-        while True:
-            best = field.copy()
-            for dr in (-1, 0, 1):
-                for dc in (-1, 0, 1):
-                    best = np.minimum(best, np.roll(field, (dr, dc), (0, 1)))
-            best = np.where(on, best, np.iinfo(np.int64).max)
-            if (best == field).all():
-                break
-            field = best
-        return pdf.assign(label=field[r0, c0])[[*keys, "row", "col", "label"]]
-
-    spark_code = lambda r, c: r.cast("long") * (1 << 31) + c
-    code = lambda r, c: r.astype(np.int64) * (1 << 31) + c
-    blocks = mask.withColumn("_br", F.floor(F.col("row") / block)).withColumn("_bc", F.floor(F.col("col") / block))
-    labelled = blocks.groupBy(*keys, "_br", "_bc").applyInPandas(lambda pdf: label(pdf), schema)
+    of = [*keys, "_br", "_bc"]
+
+    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def told(pdf: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+            return pdf.assign(label=block_labels(group, pdf["row"].to_numpy(), pdf["col"].to_numpy(), block))[[*keys, "row", "col", "label"]]
+
+        held = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            group = held.groupby(of, sort=False, dropna=False).ngroup().to_numpy()
+            last = int(np.searchsorted(group == group[-1], True))  # rows are sorted: the last block may go on
+            if last:
+                yield told(held[:last], group[:last])
+                held = held[last:]
+        if held is not None:
+            yield told(held, np.zeros(len(held), np.int64))
+
+    blocks = mask.select(*keys, "row", "col", F.floor(F.col("row") / block).alias("_br"), F.floor(F.col("col") / block).alias("_bc"))
+    labelled = checkpointed(blocks.repartition(*of).sortWithinPartitions(*of).mapInPandas(label, schema))
     edge_cells = labelled.where((F.pmod("row", F.lit(block)).isin(0, block - 1)) | (F.pmod("col", F.lit(block)).isin(0, block - 1)))
     near = F.array(*[F.struct(F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r in (-1, 0, 1) for c in (-1, 0, 1) if (r, c) != (0, 0)])
     sent = edge_cells.select(*keys, F.explode(near).alias("d"), "row", "col", F.col("label").alias("a")).select(*keys, (F.col("row") + F.col("d.dr")).alias("row"), (F.col("col") + F.col("d.dc")).alias("col"), "a")
