@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import change, features
@@ -68,11 +68,9 @@ def run(
     asked = refused(configs)
     fine = asked.where("reason IS NULL")
     trained = cells.join(F.broadcast(fine.select("config_id", F.explode("before").alias("window"))), "window")  # a few rows for each configuration
-    at = cells.join(F.broadcast(fine.select("config_id", F.col("scored").alias("window"), "bins")), "window")
-    past = trained.groupBy(*key, "row", "col").agg(F.median(value).alias("_v0"), F.median(target).alias("_t0"))
-    scored = checkpointed(at.join(past, [*key, "row", "col"], "left"))
+    scored = checkpointed(with_past(fine, cells, tile, {"_v0": value, "_t0": target}))
     field = scored.select(*key, "row", "col", (F.col(value) - F.col("_v0")).alias("change"))
-    flagged = change.flag_change(field, key, sigma)
+    flagged = checkpointed(change.flag_change(field, key, sigma))
     sites = in_sites(flagged, key, least)
     marked = flagged.select(*key, "row", "col", F.col("changed").alias("_flag"), "threshold").join(sites.withColumn("_site", F.lit(True)), [*key, "row", "col"], "left")
     rows = predict(trained, scored, key).join(marked, [*key, "row", "col"]).where(F.col("predicted").isNotNull() & F.col(target).isNotNull())
@@ -81,7 +79,7 @@ def run(
     scores = change.score(rows.withColumn("side", F.explode(sides)).withColumn("observed", F.col(target)), [*key, "side"])
     wide = scores.groupBy(*key).agg(*[F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{s}_{c}") for s in SIDES for c in FIGURES])
     shifts = rows.groupBy(*key).agg(F.avg(F.when(F.col("_site"), F.col("shift"))).alias("changed_shift"), F.avg(F.when(~F.col("_flag"), F.col("shift"))).alias("unchanged_shift"), F.max("threshold").alias("threshold"))
-    compared = strata(rows, key, "_v0").where(F.col("_site") | ~F.col("_flag")).withColumn("changed", F.col("_site"))
+    compared = checkpointed(strata(rows, key, "_v0").where(F.col("_site") | ~F.col("_flag")).select(*key, "stratum", F.col("_site").alias("changed"), "residual", "shift"))
     error = change.matched_difference(compared, key, "residual").select(*key, F.col("value").alias("matched_error"), "matched_cells", "unmatched_cells")
     effect = change.matched_difference(compared.where("shift IS NOT NULL"), key, "shift").select(*key, F.col("value").alias("matched_effect"))
     out = wide.join(shifts, key).join(error, key, "left").join(effect, key, "left")
@@ -92,6 +90,24 @@ def run(
     return told.withColumns({c: F.when(F.col("status") == "ok", F.col(c)) for c in figures})
 
 
+def with_past(configs: DataFrame, cells: DataFrame, tile: str, medians: dict[str, str]) -> DataFrame:
+    """Cells of each configuration's scored window with medians over its windows before
+    (new name: column; null without a value).  The windows of a cell are gathered once for all
+    configurations; a list is as long as the cell has windows."""
+    rest = [c for c in cells.columns if c not in (tile, "row", "col")]
+    gathered = cells.groupBy(tile, "row", "col").agg(F.collect_list(F.struct(*rest)).alias("_w"))
+    each = gathered.crossJoin(F.broadcast(configs.select("config_id", "before", "scored", "bins")))  # a row for each configuration
+
+    def median(name: str) -> Column:
+        had = F.filter("_w", lambda w: F.array_contains("before", w["window"]) & w[name].isNotNull())
+        v = F.array_sort(F.transform(had, lambda w: w[name].cast("double")))
+        return 0.5 * F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + 0.5 * F.get(v, F.floor(F.size(v) / 2).cast("int"))
+
+    now = F.filter("_w", lambda w: w["window"] == F.col("scored"))
+    told = each.withColumn("_now", now).where(F.size("_now") > 0).select("config_id", "bins", tile, "row", "col", *[median(c).alias(n) for n, c in medians.items()], F.explode("_now").alias("_now"))
+    return told.select("config_id", "bins", tile, "row", "col", *[F.col("_now")[c].alias(c) for c in rest], *medians)
+
+
 def in_sites(flagged: DataFrame, key: list[str], least: int) -> DataFrame:
     """Cells (key, row, col) of patches of change of one sign with at least ``least`` cells."""
     patches = checkpointed(components(flagged.where("changed").select(*key, "sign", "row", "col"), [*key, "sign"]))

@@ -15,14 +15,14 @@ _PIX = f"pix AS (SELECT *, {_REFL.format('red')} AS r, {_REFL.format('nir')} AS
 _IDX = "idx AS (SELECT *, (n-r)/nullif(n+r,0) AS ndvi, (s1-n)/nullif(s1+n,0) AS ndbi, (0.356*b+0.130*r+0.373*n+0.085*s1+0.072*s2-0.0018)/1.016 AS albedo FROM pix)"
 
 
-def indices(spark, sf_dir):
-    """Clear-sky reflectances and their indices, one row per observation."""
+def indices(spark, sf_dir, also=()):
+    """Clear-sky reflectances and their indices, one row per observation, beside the columns ``also``."""
     obs = T.observations(spark, sf_dir)
     clear = bands.clear_class(F.col("scl"))
     refl = {x: F.when(clear, bands.reflectance(F.col(x), 1000.0)) for x in ("blue", "red", "nir", "swir16", "swir22")}
     return obs.select(
         "tile_id", "window", "row", "col", "scene_id", "ts", bands.normalised_difference(refl["nir"], refl["red"]).alias("ndvi"), bands.normalised_difference(refl["swir16"], refl["nir"]).alias("ndbi"),
-        bands.albedo(refl["blue"], refl["red"], refl["nir"], refl["swir16"], refl["swir22"]).alias("albedo"),
+        bands.albedo(refl["blue"], refl["red"], refl["nir"], refl["swir16"], refl["swir22"]).alias("albedo"), *also,
     )
 
 

@@ -19,10 +19,10 @@ SIGMA, LEAST, LEAK = 1.2, 2, 6
 
 def windows_cube(spark, sf_dir):
     """Composites of greenness and temperature of every window, beside the land cover."""
-    obs = T.observations(spark, sf_dir).groupBy(*composite.CELL).agg((F.median("thermal") * THERMAL_SCALE + THERMAL_OFFSET - KELVIN).alias("lst_c"))
-    green = composite.composite(indices(spark, sf_dir), composite.CELL, ["ndvi"]).select(*composite.CELL, "ndvi")
+    both = composite.composite(indices(spark, sf_dir, ["thermal"]), composite.CELL, ["ndvi", "thermal"])
+    both = both.select(*composite.CELL, "ndvi", (F.col("thermal") * THERMAL_SCALE + THERMAL_OFFSET - KELVIN).alias("lst_c"))
     cover = T.cells(spark, sf_dir).select("tile_id", "row", "col", "landcover")
-    return checkpointed(green.join(obs, composite.CELL).join(cover, ["tile_id", "row", "col"]))
+    return checkpointed(both.join(cover, ["tile_id", "row", "col"]))
 
 
 def configurations(cells):
