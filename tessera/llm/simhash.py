@@ -121,8 +121,9 @@ def links(fps: DataFrame, threshold: int = 3) -> DataFrame:
     if threshold > 3:
         raise ValueError("two halves cover at most 3 differing bits")
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # distinct fingerprints are few bytes in few partitions, but each becomes 34 rows
-    dealt = anchors(fps.select("fp").distinct().repartition(n))
+    # distinct fingerprints are few bytes in few partitions, but each becomes 34 rows, which estimates
+    # do not see: without the hint they are broadcast, as planned or by adaptive execution
+    dealt = anchors(fps.select("fp").distinct().repartition(n)).hint("merge")
     # only anchors with someone at home and a second fingerprint can link
     sizes = dealt.groupBy("half", "anchor").agg(F.count("*").alias("n"), F.count_if("home").alias("homes")).where("n > 1 AND homes > 0")
     groups = F.ceil(F.col("homes") / HOT_ANCHOR).cast("int")
@@ -164,14 +165,15 @@ def near_duplicates(docs: DataFrame, threshold: int = 3, id_col: str = "doc_id",
     reachable over links.  Texts without words share fingerprint zero and link
     like any other; null doc_ids are ignored as component ids (null if a group has no
     other); repeated rows stay.  Ids may have any type with an order.  Other columns
-    are not looked at.  An empty table gives an empty table."""
+    are not looked at.  An empty table gives an empty table.  Tables with a row per text
+    are joined by shuffles: files of many copies are far smaller than their rows."""
     marked = stored(fingerprints(docs, id_col, text_col), "fingerprints")
     classes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     joined = stored(components(links(classes, threshold)), "components")
-    labelled = classes.join(joined, classes.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    labelled = classes.hint("merge").join(joined, classes.fp == joined.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = labelled.join(smallest, "component").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    by_fp = labelled.hint("merge").join(smallest, "component").select("fp", "component_id")
+    return marked.hint("merge").join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, threshold: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

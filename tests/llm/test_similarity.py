@@ -45,6 +45,16 @@ def test_simhash_equals_brute_force(spark):
     assert want == {i: g[1] for i, g in got.items()}
 
 
+def test_anchors_and_texts_are_not_broadcast(spark):
+    """A fingerprint of 8 bytes becomes 34 rows, and files of copies are small: neither goes through the driver."""
+    fps = spark.createDataFrame([(k * 0x9E3779B97F4A7C15 % (1 << 63),) for k in range(50)], "fp long")
+    docs = spark.createDataFrame([(k, f"text number {k % 7}") for k in range(50)], "doc_id long, text string")
+    linked, found = simhash.links(fps), simhash.near_duplicates(docs)
+    linked.collect()  # adaptive execution plans anew from the sizes of what was shuffled
+    for plan in (linked._jdf.queryExecution().executedPlan(), linked._jdf.queryExecution().sparkPlan(), found._jdf.queryExecution().sparkPlan()):
+        assert "Broadcast" not in plan.toString()
+
+
 def test_one_of_each_group_stays(spark):
     text = "some words of a text that stands here more than once and is long enough"
     df = spark.createDataFrame([(5, text, "a"), (3, text, "b"), (3, text, "b"), (None, text, "c"), (9, "quite another text with other words in it", "d")], "doc_id long, text string, fp string")
