@@ -86,7 +86,8 @@ def cuts(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1
         ).withColumn("p", F.try_divide("rest", "source_size")).withColumn("mean", F.try_divide("source_size", "documents")),
         "plan",
     )
-    ranges = max(RANGES, (plan.agg(F.sum("documents")).first()[0] or 0) // IN_RANGE)
+    documents, sources = plan.agg(F.sum("documents"), F.count(F.lit(1))).first()
+    ranges = max(RANGES, (documents or 0) // IN_RANGE)
     open_plan = plan.where("rest > 0").select("of", "rest", "p", "mean")
     ranked = _with(rows.where("size > 0"), open_plan, F.col("source")).select("of", "rest", "size", pareto_rank(F.col("u"), F.col("p"), F.col("size"), F.col("mean")).alias("rank"))
     ranked = ranked.withColumn("range", F.floor(F.col("rank") / (1 + F.col("rank")) * ranges).cast("int"))
@@ -98,6 +99,8 @@ def cuts(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1
         .agg(F.min(F.struct("range", (F.col("rest") - F.col("upto") + F.col("in_range")).alias("room"))).alias("edge"))
         .select(F.col("of").alias("edge_of"), F.col("edge.range").alias("edge"), F.col("edge.room").alias("room"))
     )
+    # a row per source at most: estimates of both sides would send all documents through the driver instead
+    edge = F.broadcast(edge) if sources <= BROADCAST_SOURCES else edge.hint("merge")
     near = ranked.join(edge, F.col("of").eqNullSafe(F.col("edge_of")) & (F.col("range") == F.col("edge"))).groupBy("of", "rank", "room").agg(F.sum("size").alias("size"))
     inside = F.sum("size").over(Window.partitionBy("of").orderBy("rank"))
     last = near.withColumn("mid", inside - F.col("size") / 2).where("mid <= room").groupBy("of").agg(F.max("rank").alias("last")).withColumnRenamed("of", "last_of")

@@ -210,6 +210,23 @@ def test_mix_of_nothing(spark):
     assert mixing.mix_sizes(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_cuts_go_to_documents_not_documents_to_cuts(spark, monkeypatch):
+    """What is broadcast has a row per source; with very many sources nothing with a row per document is."""
+    rows = spark.range(400).selectExpr("concat('s', id % 5) AS source", "1 + id % 9 AS size", "(id + 0.5) / 400 AS u")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # what is left was asked for
+    try:
+        few = mixing.cuts(rows)
+        joins = [x for x in few._jdf.queryExecution().sparkPlan().toString().split("\n") if "Join" in x and "edge#" in x]
+        want = sorted(map(tuple, few.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert joins and all("BroadcastHashJoin" in x and "BuildRight" in x for x in joins)
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 2)
+    many = mixing.cuts(rows)
+    assert sorted(map(tuple, many.collect())) == want
+
+
 def brute_counts(text):
     text = text or ""
     words, seen, dup = WORD.findall(text), set(), 0
