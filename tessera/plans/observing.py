@@ -99,8 +99,7 @@ def scene_search(spark, sf_dir):
 @query(f"WITH {_BOXES} SELECT search_id, count(scene_id) AS n_found, count(CASE WHEN kept THEN 1 END) AS n_kept FROM sq LEFT JOIN ht USING (search_id) GROUP BY 1")
 def search_counts(spark, sf_dir):
     """How many scenes each search finds, and how many of them are clear enough."""
-    asked = searches(spark, sf_dir)
-    return search.counts(asked, search.matches(boxed_scenes(spark, sf_dir), asked))
+    return search.tallies(boxed_scenes(spark, sf_dir), searches(spark, sf_dir))
 
 
 @query(f"WITH {T.SCENES} SELECT scene_id, collection, {W}, rank FROM (SELECT *, row_number() OVER (PARTITION BY collection, {W} ORDER BY coalesce(cloud_cover,0), scene_id) AS rank FROM scenes WHERE {W} IS NOT NULL) WHERE rank<=14")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import composite, search
+from tessera.plans import observing
 
 SCENES = "scene_id long, collection string, west double, south double, east double, north double, ts timestamp, cloud_cover double"
 SEARCHES = "search_id long, collection string, west double, south double, east double, north double, start timestamp, end timestamp, max_cloud double"
@@ -48,6 +49,47 @@ def test_equals_all_pairs(spark):
     assert search.matches(spark.createDataFrame(scenes, SCENES), asked.limit(0)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def crowded():
+    """Thousands of scenes in one square, found by most searches; some searches go over the date line."""
+    rng = np.random.default_rng(5)
+    day = lambda n: dt.datetime(2020, 1, 1) + dt.timedelta(days=int(n))
+    scenes = [(k, "a", w, s, w + 1.5, s + 1.0, None if k % 31 == 0 else day(rng.integers(0, 90)), None if k % 7 == 0 else float(rng.integers(0, 100))) for k, (w, s) in enumerate(zip(rng.uniform(2, 13, 2500).tolist(), rng.uniform(1, 18, 2500).tolist(), strict=True))]
+    scenes += [(9000 + k, "a", w, 3.0, w + 2.0, 4.0, day(k), 50.0) for k, w in enumerate([-180.0, -179.5, 175.0, 178.0, 178.5, 10.0])]
+    searches = [(k, "a", 3.0 + k % 5, 2.0 + k % 3, 9.0 + k % 9, 7.0 + k % 12, None if k % 4 == 0 else day(k), None if k % 3 == 0 else day(k + 20), None if k % 5 == 0 else float(k)) for k in range(60)]
+    searches += [(100, "a", 176.0, 0.0, 5.0, 20.0, None, None, 40.0), (101, "a", 176.0, 0.0, 175.0, 20.0, day(2), None, None), (100, "a", 5.0, 5.0, 5.0, 5.0, None, None, None)]
+    return scenes, searches
+
+
+def test_tallies_equal_all_pairs_in_parts(spark, crowded, monkeypatch):
+    """A square of several words of bits, dealt out over several parts; a search's id stands twice."""
+    monkeypatch.setattr(search, "PART", 700)
+    scenes, searches = crowded
+    want = plain(scenes, searches)
+    there, asked = spark.createDataFrame(scenes, SCENES), spark.createDataFrame(searches, SEARCHES)
+    assert sorted((r.search_id, r.scene_id, r.kept) for r in search.matches(there, asked).collect()) == want and len(want) > 20_000
+    got = [(r.search_id, r.n_found, r.n_kept) for r in search.tallies(there, asked).collect()]
+    assert sorted(got) == sorted((s[0], sum(w[0] == s[0] for w in want), sum(w[0] == s[0] and w[2] for w in want)) for s in searches)
+    empty = spark.createDataFrame([], SCENES)
+    assert {(r.n_found, r.n_kept) for r in search.tallies(empty, asked).collect()} == {(0, 0)} and search.tallies(there, asked.limit(0)).count() == 0
+
+
+def test_no_side_is_copied_for_a_join_of_pairs(spark, crowded):
+    """Pairs come from sets of bits: nothing is broadcast or dealt once more for them."""
+    found = search.matches(*(spark.createDataFrame(x, y) for x, y in zip(crowded, (SCENES, SEARCHES), strict=True)))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_counts_are_not_made_from_pairs(spark, monkeypatch):
+    from tessera.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, search.counts(*(lambda a: (a, search.matches(observing.boxed_scenes(spark, sf), a)))(observing.searches(spark, sf))).collect()))
+    monkeypatch.setattr(search, "matches", None)
+    assert sorted(map(tuple, catalogue.queries()["search_counts"](spark, sf).collect())) == want
+
+
 def test_no_cross_join(spark):
     df = search.matches(spark.createDataFrame([(1, "a", 0.0, 0.0, 1.0, 1.0, dt.datetime(2020, 1, 1), None)], SCENES), spark.createDataFrame([(1, "a", 0.0, 0.0, 1.0, 1.0, None, None, None)], SEARCHES))
     plan = df._jdf.queryExecution().toString()
